@@ -49,16 +49,21 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def numbered_ngrams(tokens: Column, max_n: int) -> Column:
-    """All 1..max_n-grams as an array of ``(n, gram)`` structs."""
+    """All 1..max_n-grams as an array of ``(n, gram)`` structs.
+
+    ``tokens`` is bound to a one-element array first: inside a lambda an
+    expression would be evaluated again for every element.
+    """
+
+    def tagged(bound: Column, n: int) -> Column:
+        return F.transform(
+            ngrams(bound, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+        )
+
     return F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    ngrams(tokens, n),
-                    lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")),
-                )
-                for n in range(1, max_n + 1)
-            ]
+        F.transform(
+            F.array(tokens),
+            lambda bound: F.flatten(F.array(*[tagged(bound, n) for n in range(1, max_n + 1)])),
         )
     )
 

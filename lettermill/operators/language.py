@@ -96,4 +96,6 @@ def language_detector(
                     out.append(names[int(logp[buckets].sum(axis=0).argmax())])
             yield pd.Series(out, dtype=object)
 
-    return lambda text: best(F.when(text.rlike(r"\p{L}"), text))
+    # Marked so that the optimizer neither copies the call into filters nor runs it twice.
+    once = best.asNondeterministic()
+    return lambda text: once(F.when(text.rlike(r"\p{L}"), text))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise_for_metrics, numbered_ngrams, rouge_tokens, words
 from .ordering import rank_in_group, uneven_join
@@ -146,7 +147,7 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - rows.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series([lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")

@@ -121,12 +121,8 @@ def enrich(
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
     queries = (model or hashed_terms())(train.select(id_col, "email"), "email", "vector")
     hits = nearest(queries, keyed, settings.neighbours, query_id=id_col)
-    own = (
-        F.substring_index("chunk_id", "#", F.size(F.split("chunk_id", "#")) - 1)
-        == F.col(id_col)
-        if exclude_self
-        else None
-    )
+    chunk_of = F.regexp_replace("chunk_id", r"#[0-9]+\z", "")
+    own = (chunk_of == F.col(id_col)) if exclude_self else None
     return with_neighbours(
         train, hits, keyed, id_col, "email", "chunk_id", "chunk", F.col("email"), exclude_self=own
     )
