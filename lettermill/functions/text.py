@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import ASCII_PUNCTUATION, WS, WS_CHARS
+from ..fixed_values import WS, WS_CHARS
+
+# The whitespace class and its complement with the common case first: printable
+# ASCII and most Latin letters are settled by one range test per character.
+_PLAIN = r"\x21-\x84\x{a1}-\x{167f}"
+SPACE = rf"[[^{_PLAIN}]&&[{WS}]]"
+NOT_SPACE = rf"[{_PLAIN}[^{WS}]]"
 
 
 def strip(text: Column) -> Column:
@@ -15,26 +21,36 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated tokens as an array, empty for blank text."""
-    return F.filter(F.split(text, f"[{WS}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, f"[{WS}]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" "))
 
 
 def normalise_for_metrics(text: Column) -> Column:
     """Lower-case text without ASCII punctuation, single spaces between tokens."""
-    return collapse_whitespace(F.lower(F.translate(text, ASCII_PUNCTUATION, "")))
+    return collapse_whitespace(_lower_without_punctuation(text))
+
+
+def metric_tokens(text: Column) -> Column:
+    """The tokens of ``normalise_for_metrics``, split in one pass."""
+    return words(_lower_without_punctuation(text))
+
+
+def _lower_without_punctuation(text: Column) -> Column:
+    # \p{Punct} is exactly the 32 ASCII marks.
+    return F.lower(F.regexp_replace(text, r"\p{Punct}+", ""))
 
 
 def rouge_tokens(text: Column) -> Column:
     """Tokens of ``[a-z0-9]`` runs, any other character separating them."""
     clean = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
-    return F.filter(F.split(clean, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(clean, " ", -1), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

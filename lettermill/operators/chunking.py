@@ -35,14 +35,15 @@ def _slide(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
     start = end = length = 0
     for piece in pieces:
         if length + len(piece) > size:
-            if end > start:
-                yield "".join(pieces[start:end]).strip()
+            if chunk := "".join(pieces[start:end]).strip():
+                yield chunk
             while length > overlap or (length and length + len(piece) > size):
                 length -= len(pieces[start])
                 start += 1
         length += len(piece)
         end += 1
-    yield "".join(pieces[start:end]).strip()
+    if chunk := "".join(pieces[start:end]).strip():
+        yield chunk
 
 
 def split_recursively(
@@ -84,8 +85,7 @@ def chunk_recursive(
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(
-                [[c for c in split_recursively(t or "", size, overlap) if c] for t in texts],
-                dtype=object,
+                [list(split_recursively(t or "", size, overlap)) for t in texts], dtype=object
             )
 
     return df.select("*", F.posexplode(cut(F.col(text_col))).alias("chunk_no", "chunk"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
-from ..functions.text import normalise_for_metrics, words
+from ..functions.text import metric_tokens
 from .chunking import chunk_fixed, chunk_recursive
 
 Model = Callable[[DataFrame, str, str], DataFrame]
@@ -26,7 +26,7 @@ def hashed_terms(dimensions: int = 256) -> Model:
     """
 
     def embed(df: DataFrame, text_col: str, out: str) -> DataFrame:
-        tokens = df.withColumn("_tokens", words(normalise_for_metrics(F.col(text_col))))
+        tokens = df.withColumn("_tokens", metric_tokens(F.col(text_col)))
         counted = HashingTF(
             inputCol="_tokens", outputCol="_tf", numFeatures=dimensions
         ).transform(tokens)

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_for_metrics, words
+from ..functions.text import metric_tokens
 from ..session import cut_lineage
 from .ordering import uneven_join
 
 
-def _bigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, w1, w2, n): bigrams of every text, counted per text before a shuffle."""
-    tokens = df.select(
-        F.col(id_col).alias("id"), words(normalise_for_metrics(F.col(text_col))).alias("t")
-    ).where(F.size("t") >= 2)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("t") - 2),
-        lambda i: F.struct(F.get("t", i).alias("w1"), F.get("t", i + 1).alias("w2")),
+def _bigrams(texts: DataFrame) -> DataFrame:
+    """(id, w1, w2, n): bigrams per id, counted before the shuffle."""
+    tokens = texts.select("id", metric_tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    followers = F.size("t") - 1
+    pairs = F.arrays_zip(
+        F.slice("t", F.lit(1), followers).alias("w1"), F.slice("t", F.lit(2), followers).alias("w2")
     )
     return (
         tokens.select("id", F.explode(pairs).alias("b"))
@@ -32,26 +30,34 @@ def row_perplexity(
     """(id, n_bigrams, log_prob, perplexity) of every test row with two words or more.
 
     p(w2 | w1) = (count(w1, w2) + 1) / (count(w1) + V), counts and the vocabulary
-    V (distinct words of any bigram) from the training rows. Probabilities are
+    V (distinct words of any bigram) from the training rows. Both parts are
+    counted in one pass, training rows under the id NULL. Probabilities are
     looked up once per distinct bigram; common bigrams and words are spread.
     """
-    seen = cut_lineage(
-        _bigrams(train, id_col, text_col).groupBy("w1", "w2").agg(F.sum("n").alias("c12"))
+    texts = test.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    learnt = train.select(
+        F.lit(None).cast(texts.schema["id"].dataType).alias("id"), F.col(text_col).alias("text")
     )
+    grams = cut_lineage(_bigrams(texts.unionByName(learnt)))
+    pairs = cut_lineage(
+        grams.groupBy("w1", "w2").agg(
+            F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("c12"),
+            F.bool_or(F.col("id").isNotNull()).alias("asked"),
+        )
+    )
+    seen = pairs.where(F.col("c12") > 0)
     first = seen.groupBy("w1").agg(F.sum("c12").alias("c1"))
     vocabulary = (
-        seen.select(F.explode(F.array("w1", "w2")).alias("w")).distinct().agg(F.count(F.lit(1)))
-    ).first()[0]
-    asked = cut_lineage(_bigrams(test, id_col, text_col))
-    distinct = asked.select("w1", "w2").distinct()
-    known = distinct.join(seen, ["w1", "w2"], "left")
-    logp = uneven_join(known, first, ["w1"], ["w2"]).select(
+        seen.select("w1").distinct().union(seen.select("w2").distinct()).distinct().count()
+    )
+    logp = uneven_join(
+        pairs.where("asked").select("w1", "w2", "c12"), first, ["w1"], ["w2"]
+    ).select(
         "w1",
         "w2",
-        F.ln(
-            (F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + F.lit(vocabulary))
-        ).alias("lp"),
+        F.ln((F.col("c12") + 1) / (F.coalesce("c1", F.lit(0)) + F.lit(vocabulary))).alias("lp"),
     )
+    asked = grams.where(F.col("id").isNotNull())
     scored = uneven_join(asked, logp, ["w1", "w2"], ["id"], how="inner")
     per_row = scored.groupBy("id").agg(
         F.sum("n").alias("n_bigrams"), F.sum(F.col("n") * F.col("lp")).alias("log_prob")

@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalise_for_metrics, numbered_ngrams, rouge_tokens, words
+from ..functions.text import (
+    metric_tokens,
+    normalise_for_metrics,
+    numbered_ngrams,
+    rouge_tokens,
+)
 from .ordering import rank_in_group, uneven_join
 
 ORDERS = (1, 2, 3, 4)
@@ -72,10 +77,10 @@ def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
     match gives 0. Samples without goldens score NULL.
     """
     cand = samples.select(
-        "sample_id", "prompt_id", words(normalise_for_metrics(F.col("response"))).alias("t")
+        "sample_id", "prompt_id", metric_tokens(F.col("response")).alias("t")
     )
     gold = goldens.select(
-        "prompt_id", "golden_no", words(normalise_for_metrics(F.col("golden"))).alias("t")
+        "prompt_id", "golden_no", metric_tokens(F.col("golden")).alias("t")
     )
     cand_counts = (
         cand.select("sample_id", "prompt_id", F.explode(numbered_ngrams(F.col("t"), 4)).alias("g"))

@@ -87,7 +87,8 @@ def evaluate(
     both = responses.select(F.col("response").alias("t"), F.lit(True).alias("is_reply")).union(
         compared.select("golden", F.lit(False))
     )
-    vectors = (model or hashed_terms())(both, "t", "vector").select("vector", "is_reply")
+    embedded = (model or hashed_terms())(both, "t", "vector")
+    vectors = cut_lineage(embedded.select("vector", "is_reply"))
     divergence = mauve(kmeans_cells(vectors, "vector", cells), "cell", F.col("is_reply"))
     means = metric_means(scores, "bleu", *ROUGE_KEYS)
     metrics = means.join(divergence.select("mauve"), F.lit(1) == F.lit(1), "left")

@@ -23,7 +23,7 @@ from ..operators import (
     splitting,
     threads,
 )
-from ..session import cut_lineage, new_work_path
+from ..session import cut_lineage, new_work_path, spread
 from ..sources import jsonl, mail_view, mbox, store
 from ..streaming import ingest as stream_ingest
 from ..streaming import stats as stream_stats
@@ -51,7 +51,8 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, "doc_id") if name == "documents" else scan
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +217,7 @@ def normalised_text(spark, sf_dir):
 
 @query
 def ngram_counts(spark, sf_dir):
-    tokens = text.words(text.normalise_for_metrics(F.col("text")))
+    tokens = text.metric_tokens(F.col("text"))
     return (
         table(spark, sf_dir, "conversations")
         .select(F.explode(text.numbered_ngrams(tokens, 3)).alias("g"))
@@ -608,8 +609,10 @@ def containment_filter(spark, sf_dir):
 @query
 def search_text(spark, sf_dir):
     """Benchmark texts looked up in the document chunks by hashed vectors."""
-    chunks = fixed_chunk_store(spark, sf_dir).withColumn(
-        "chunk_id", F.concat_ws("#", "doc_id", "chunk_no")
+    chunks = cut_lineage(
+        fixed_chunk_store(spark, sf_dir).select(
+            F.concat_ws("#", "doc_id", "chunk_no").alias("chunk_id"), "vector"
+        )
     )
     queries = embedding.hashed_terms(64)(
         table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text", "vector"

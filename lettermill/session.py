@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", name: str = "lettermill") -> SparkSess
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small test data: keep shuffles in several tasks, not one.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -46,6 +48,23 @@ def new_work_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table below the shared folder and go on from the files.
+
+    Columnar files survive lost executors and later steps read only the columns
+    they need.
+    """
+    path = new_work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Cut a table scan with fewer splits than cores into one part per core.
+
+    A single small file is one task whatever runs on it. Large tables have more
+    splits than cores and are returned as they are: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
