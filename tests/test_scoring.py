@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def plain_rouge(candidate, goldens):
         return p, r, (2 * p * r / (p + r) if p + r else 0.0)
 
     c = tokens(candidate)
-    best = None
+    best, best_f1 = None, Fraction(0)
     for golden in goldens:
         g = tokens(golden)
         scores = {}
@@ -76,8 +77,11 @@ def plain_rouge(candidate, goldens):
             hits = sum((grams(c, n) & grams(g, n)).values())
             scores[name] = prf(hits, max(len(c) - n + 1, 0), max(len(g) - n + 1, 0))
         scores["rougeL"] = scores["rougeLsum"] = prf(lcs(c, g), len(c), len(g))
-        if best is None or scores["rouge1"][2] > best["rouge1"][2]:
-            best = scores
+        # F of whole counts, so that equal scores tie exactly and the first one stays.
+        hits = sum((grams(c, 1) & grams(g, 1)).values())
+        f1 = Fraction(2 * hits, len(c) + len(g)) if c or g else Fraction(0)
+        if best is None or f1 > best_f1:
+            best, best_f1 = scores, f1
     return best
 
 
