@@ -50,14 +50,17 @@ def generate(
     out: str = "response",
     samples: int = 1,
 ) -> DataFrame:
-    """Add ``sample_no`` and ``out``: ``samples`` replies per row, keys kept."""
-    asked = df.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    schema = T.StructType([*asked.schema.fields, T.StructField(out, T.StringType())])
+    """Add ``sample_no`` and ``out``: ``samples`` replies per row, keys kept.
+
+    Only the prompt column goes through Python. The call is marked so that the
+    optimizer never repeats it.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
-        for batch in batches:
-            replies = model(batch[prompt_col]) if len(batch) else pd.Series([], dtype=object)
-            yield batch.assign(**{out: replies})
+        for prompts in batches:
+            yield model(prompts)
 
-    return asked.mapInPandas(run, schema)
+    asked = df.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return asked.withColumn(out, run.asNondeterministic()(F.col(prompt_col)))

@@ -20,9 +20,10 @@ from ..functions.text import (
     numbered_ngrams,
     rouge_tokens,
 )
-from .ordering import rank_in_group, uneven_join
+from .ordering import rank_in_group
 
 ORDERS = (1, 2, 3, 4)
+GOLDEN_RANGE_BITS = 10
 ROUGE_KEYS = tuple(
     f"{kind}_{part}"
     for kind in ("rouge1", "rouge2", "rougeL", "rougeLsum")
@@ -61,14 +62,6 @@ def golden_groups(
     )
 
 
-def long_goldens(df: DataFrame, prompt: str, seq: str, email: str) -> DataFrame:
-    """(prompt_id, golden_no, golden), one row per golden."""
-    given = df.where(F.col(email).isNotNull())
-    return given.select(
-        F.col(prompt).alias("prompt_id"), F.col(seq).alias("golden_no"), F.col(email).alias("golden")
-    )
-
-
 def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
     """Mean of BLEU-1..4 per sample: (sample_id, bleu1..bleu4, bleu).
 
@@ -164,6 +157,10 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
     The best golden has the highest ROUGE-1 F, the first one on ties. Texts have
     no line breaks after normalisation, so Lsum equals L. ``longest=False``
     leaves both out and stays on the JVM. Samples without goldens score NULL.
+
+    n-grams meet per prompt and range of 2**GOLDEN_RANGE_BITS golden numbers, so a
+    prompt with very many goldens is many join keys; a sample's few n-grams are
+    repeated per range of its prompt.
     """
     cand = samples.select(
         "sample_id",
@@ -173,30 +170,35 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
     gold = goldens.select(
         "prompt_id",
         "golden_no",
+        F.shiftright(F.col("golden_no").cast("bigint"), GOLDEN_RANGE_BITS).alias("part"),
         rouge_tokens(normalise_for_metrics(F.col("golden"))).alias("t"),
     )
+    parts = gold.select("prompt_id", "part").distinct()
     cand_counts = (
-        cand.select(
+        cand.join(parts, "prompt_id")
+        .select(
             "sample_id",
             "prompt_id",
+            "part",
             F.size("t").alias("clen"),
             F.explode(numbered_ngrams(F.col("t"), 2)).alias("g"),
         )
-        .groupBy("sample_id", "prompt_id", "clen", "g.n", "g.gram")
+        .groupBy("sample_id", "prompt_id", "part", "clen", "g.n", "g.gram")
         .agg(F.count(F.lit(1)).alias("c"))
     )
     gold_counts = (
         gold.select(
             "prompt_id",
+            "part",
             "golden_no",
             F.size("t").alias("glen"),
             F.explode(numbered_ngrams(F.col("t"), 2)).alias("g"),
         )
-        .groupBy("prompt_id", "golden_no", "glen", "g.n", "g.gram")
+        .groupBy("prompt_id", "part", "golden_no", "glen", "g.n", "g.gram")
         .agg(F.count(F.lit(1)).alias("k"))
     )
     overlap = (
-        uneven_join(gold_counts, cand_counts, ["prompt_id", "n", "gram"], ["golden_no"], "inner")
+        gold_counts.join(cand_counts, ["prompt_id", "part", "n", "gram"])
         .groupBy("sample_id", "prompt_id", "golden_no", "clen", "glen")
         .agg(
             F.sum(F.when(F.col("n") == 1, F.least("c", "k"))).alias("h1"),

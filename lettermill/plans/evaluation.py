@@ -4,25 +4,52 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed_values import RELEVANCE_THRESHOLD
 from ..operators import prompting
 from ..operators.divergence import kmeans_cells, mauve
 from ..operators.embedding import Model, hashed_terms
 from ..operators.generation import GeneratorFactory, generate
-from ..operators.scoring import ROUGE_KEYS, bleu, long_goldens, metric_means, rouge
+from ..operators.retrieval import above_threshold, nearest, with_neighbours
+from ..operators.scoring import ROUGE_KEYS, bleu, metric_means, rouge
 from ..session import cut_lineage
 
 
 @dataclass
 class Evaluation:
+    """responses: one row per prompt and sample; goldens: one row per golden;
+    scores: one row per sample; metrics: one row."""
+
     responses: DataFrame
     goldens: DataFrame
     scores: DataFrame
     metrics: DataFrame
 
 
+def _with_hits(
+    prompts: DataFrame, chunks: DataFrame, k: int, threshold: float, model: Model
+) -> DataFrame:
+    """Add ``hits``: bodies of the stored emails nearest to each prompt."""
+    keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
+    queries = model(prompts.select("prompt_id", "prompt"), "prompt", "vector")
+    hits = above_threshold(nearest(queries, keyed, k, query_id="prompt_id"), threshold)
+    found = with_neighbours(
+        prompts,
+        hits,
+        keyed,
+        "prompt_id",
+        "prompt",
+        "chunk_id",
+        "chunk",
+        F.col("email"),
+        drop_contained=False,
+    )
+    bodies = F.transform("relevant_emails", lambda h: h["serialized_email"]["email"])
+    return found.withColumn("hits", bodies).drop("relevant_emails")
+
+
 def evaluate(
     test: DataFrame,
     factory: GeneratorFactory,
@@ -33,63 +60,67 @@ def evaluate(
     samples: int = 1,
     use_thread: bool = False,
     thread_emails: int = 0,
+    chunks: DataFrame | None = None,
+    rag_emails: int = 0,
+    threshold: float = RELEVANCE_THRESHOLD,
     goldens_for_divergence: str = "all",
     cells: int = 16,
     model: Model | None = None,
     system_preamble: str = prompting.SYSTEM_PREAMBLE,
     user_preamble: str = "",
-    hits: Column | None = None,
 ) -> Evaluation:
     """Answer every distinct prompt of ``test`` and score against all its goldens.
 
-    Rows with one prompt share their goldens; the last thread counts. Replies
-    are generated once and written before they are scored.
+    Rows with one prompt share their goldens; the last thread counts. The prompt
+    id is a hash of the prompt, so goldens find their prompt without a join.
+    Replies are generated once and written before they are scored. With
+    ``chunks`` and ``rag_emails`` the prompt shows retrieved emails.
     """
-    prompts = test.groupBy(F.col(prompt).alias("prompt")).agg(
-        F.max_by(thread, seq).alias("thread"), F.min(seq).alias("prompt_id")
+    embed = model or hashed_terms()
+    keyed = test.withColumn("prompt_id", F.md5(F.col(prompt)))
+    prompts = keyed.groupBy("prompt_id", F.col(prompt).alias("prompt")).agg(
+        F.max_by(thread, seq).alias("thread"), F.min(seq).alias("first_seq")
     )
     if not use_thread:
         prompts = prompts.withColumn("thread", F.lit(None).cast("array<string>"))
-    asked = prompts.withColumn(
-        "full_prompt",
-        prompting.email_prompt(
-            F.col("prompt"),
-            system_preamble,
-            user_preamble,
-            hits=hits,
-            thread=F.col("thread") if use_thread else None,
-            thread_emails=thread_emails,
-        ),
+    hits = None
+    if chunks is not None and rag_emails > 0:
+        prompts = _with_hits(cut_lineage(prompts), chunks, rag_emails, threshold, embed)
+        hits = F.col("hits")
+    full_prompt = prompting.email_prompt(
+        F.col("prompt"),
+        system_preamble,
+        user_preamble,
+        hits=hits,
+        thread=F.col("thread") if use_thread else None,
+        thread_emails=thread_emails,
     )
+    asked = prompts.select("prompt_id", "prompt", "thread", "first_seq", full_prompt.alias("full_prompt"))
     answered = generate(asked, "full_prompt", factory, samples=samples)
     responses = cut_lineage(
         answered.withColumn("response", prompting.strip_boilerplate(F.col("response"))).withColumn(
-            "sample_id", F.concat_ws("#", F.col("prompt_id").cast("string"), "sample_no")
+            "sample_id", F.concat_ws("#", "prompt_id", F.col("sample_no").cast("string"))
         )
     )
-    keys = responses.select("prompt", "prompt_id").distinct()
-    goldens = (
-        long_goldens(test, prompt, seq, email)
-        .withColumnRenamed("prompt_id", "prompt")
-        .join(keys, "prompt")
-        .select("prompt_id", "golden_no", "golden")
+    goldens = keyed.where(F.col(email).isNotNull()).select(
+        "prompt_id", F.col(seq).alias("golden_no"), F.col(email).alias("golden")
     )
-    asked_ids = responses.select("sample_id", "prompt_id", "response")
-    scores = (
-        asked_ids.select("sample_id", "prompt_id")
-        .join(bleu(asked_ids, goldens), "sample_id", "left")
-        .join(rouge(asked_ids, goldens), "sample_id", "left")
+    replies = responses.select("sample_id", "prompt_id", "response")
+    scores = cut_lineage(
+        replies.select("sample_id", "prompt_id")
+        .join(bleu(replies, goldens), "sample_id", "left")
+        .join(rouge(replies, goldens), "sample_id", "left")
     )
-    scores = cut_lineage(scores)
     compared = goldens
     if goldens_for_divergence == "first":
         compared = goldens.groupBy("prompt_id").agg(F.min_by("golden", "golden_no").alias("golden"))
-    both = responses.select(F.col("response").alias("t"), F.lit(True).alias("is_reply")).union(
+    both = replies.select(F.col("response").alias("t"), F.lit(True).alias("is_reply")).union(
         compared.select("golden", F.lit(False))
     )
-    embedded = (model or hashed_terms())(both, "t", "vector")
-    vectors = cut_lineage(embedded.select("vector", "is_reply"))
+    vectors = cut_lineage(embed(both, "t", "vector").select("vector", "is_reply"))
     divergence = mauve(kmeans_cells(vectors, "vector", cells), "cell", F.col("is_reply"))
-    means = metric_means(scores, "bleu", *ROUGE_KEYS)
-    metrics = means.join(divergence.select("mauve"), F.lit(1) == F.lit(1), "left")
+    # Two one-row tables side by side.
+    one = F.lit(1).alias("one")
+    means = metric_means(scores, "bleu", *ROUGE_KEYS).select("*", one)
+    metrics = means.join(divergence.select("mauve", one), "one", "left").drop("one")
     return Evaluation(responses, goldens, scores, metrics)

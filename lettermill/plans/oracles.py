@@ -82,6 +82,9 @@ threads AS (
   FROM entries GROUP BY conv_id, turn),
 split_mails AS (SELECT m.*, t.main, t.thread FROM mails m JOIN threads t USING (conv_id, turn))"""
 
+# The first sentence: up to a mark followed by whitespace or the end.
+SENTENCE = rf"(?s)\A[{WS}]*(.+?[.!?])(?:[{WS}]|\z)"
+
 BUCKETS = """regexp_extract_all(' ' || {text} || ' ', '(?s).')"""
 
 PROFILE = f"""
@@ -339,7 +342,7 @@ ORACLES: dict[str, str] = {
     "previous_messages": f"WITH {MAILS} SELECT conv_id, turn, prev, prev2 FROM mails",
     "lang_id": f"WITH {PROFILE},{DOC_LANG} SELECT doc_id, lang FROM detected",
     "lang_filter": f"WITH {PROFILE},{DOC_LANG} SELECT doc_id, source FROM detected WHERE lang = 'en'",
-    "lang_profile": f"WITH {PROFILE} SELECT lang, bucket, n FROM profile",
+    "lang_profile": f"WITH {PROFILE} SELECT lang, CAST(bucket AS BIGINT) AS bucket, n FROM profile",
     "word_counts": f"SELECT doc_id, len({words('text')}) AS n_words FROM documents",
     "short_filter": f"SELECT doc_id, lang FROM documents WHERE len({words('text')}) < 10",
     "normalised_text": f"SELECT doc_id, {normal('text')} AS normalised FROM documents",
@@ -373,6 +376,10 @@ ORACLES: dict[str, str] = {
                array_to_string(list_filter([prev2, prev], lambda x: x IS NOT NULL), {NL} || '==' || {NL}) AS thread,
                date_iso, sent_s * 1000000 AS date_us,
                CASE WHEN turn = 0 THEN text END AS summary FROM mails""",
+    "serialize_email": f"""WITH {MAILS}
+        SELECT conv_id, turn, md5(CAST(to_json({{'email': body, 'subject': subject,
+               'thread': list_filter([prev2, prev], lambda x: x IS NOT NULL), 'date': date_iso,
+               'summary': CASE WHEN turn = 0 THEN text END}}) AS VARCHAR)) AS json_md5 FROM mails""",
     "backfill_v1": """
         SELECT conv_id, turn, text AS email, '' AS subject, CAST(0 AS BIGINT) AS n_thread,
                CAST(NULL AS BIGINT) AS date_us, CAST(NULL AS VARCHAR) AS summary FROM conversations""",
@@ -404,6 +411,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 2 * count(*) AS n_chunks, CAST(2 * sum(length(chunk)) AS BIGINT) AS n_chars,
                CAST(0 AS BIGINT) AS before FROM chunks GROUP BY doc_id""",
     "reuse_stage": "SELECT doc_id, 'first' AS version FROM documents",
+    "stage_counts": """
+        WITH c AS (SELECT count(*) AS n FROM documents, range(0, 100000) r(i)
+                   WHERE length(text) > 0 AND (i = 0 OR i * 400 + 100 < length(text)))
+        SELECT (SELECT count(*) FROM documents) AS n_documents, n AS n_chunks, n AS n_written FROM c""",
     "chunk_fixed": """
         SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 400 + 1 AS BIGINT), 500) AS chunk
         FROM documents, range(0, 100000) r(i)
@@ -479,6 +490,12 @@ ORACLES: dict[str, str] = {
     "generate_echo": """
         SELECT conv_id, turn, s AS sample_no, 'Received: Instruction: ' || text AS response
         FROM conversations, range(0, 2) r(s)""",
+    "generate_extractive": f"""
+        WITH p AS (SELECT doc_id, list_last(string_split(trim(replace({lit(SUMMARY_TEMPLATE)}, '{{email}}', text),
+                                            {TRIM}), {NL} || {NL})) AS last FROM documents)
+        SELECT doc_id, CAST(0 AS BIGINT) AS sample_no, 'Instruction: Write an email saying: '
+               || CASE WHEN regexp_matches(last, {lit(SENTENCE)})
+                       THEN regexp_extract(last, {lit(SENTENCE)}, 1) ELSE last END AS response FROM p""",
     "golden_groups": f"""
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations),
         facts AS (SELECT conv_id, arg_max(role || '/' || turn, turn) AS thread, min(turn) AS first_seq,

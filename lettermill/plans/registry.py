@@ -457,6 +457,20 @@ def reuse_stage(spark, sf_dir):
     return kept.select("doc_id", "version")
 
 
+@query
+def stage_counts(spark, sf_dir):
+    """Rows of two stages, counted while they are written and not by extra jobs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, seen = stages.observed(docs, "documents")
+    chunks, cut = stages.observed(chunking.chunk_fixed(docs, "text", 500, 100), "chunks")
+    written = cut_lineage(chunks.select("doc_id", "chunk_no"))
+    return written.agg(
+        F.lit(seen.get["rows"]).cast("bigint").alias("n_documents"),
+        F.lit(cut.get["rows"]).cast("bigint").alias("n_chunks"),
+        F.count(F.lit(1)).alias("n_written"),
+    )
+
+
 # --- chunks and vectors -------------------------------------------------------------
 
 
@@ -769,7 +783,7 @@ def generate_extractive(spark, sf_dir):
         "prompt", prompting.summary_prompt(F.col("text"))
     )
     answered = generation.generate(asked, "prompt", generation.extractive)
-    return answered.select("doc_id", "sample_no", "response")
+    return answered.select("doc_id", F.col("sample_no").cast("bigint").alias("sample_no"), "response")
 
 
 # --- evaluation ------------------------------------------------------------------------------

@@ -27,6 +27,7 @@ from ..operators.embedding import Model, build_index, hashed_terms
 from ..operators.generation import GeneratorFactory, generate
 from ..operators.retrieval import nearest, with_neighbours
 from ..operators.splitting import split_train_test
+from ..session import cut_lineage
 from ..sources import mbox
 
 
@@ -68,13 +69,15 @@ def instruct(
     """Emails with a generated instruction in ``summary``, and the rejected ones.
 
     With ``validate`` a reply must hold the keyword exactly once and the text
-    behind it is kept; otherwise every reply is taken as it is.
+    behind it is kept; otherwise every reply is taken as it is. Replies are
+    written before they are told apart, so the generator runs once per email.
     """
     asked = emails.withColumn("_prompt", prompting.summary_prompt(F.col("email")))
     answered = generate(asked, "_prompt", factory, "_reply").drop("_prompt", "sample_no")
     if not validate:
         kept = answered.withColumn("summary", F.col("_reply")).drop("_reply")
-        return kept, answered.limit(0)
+        return kept, answered.where(F.lit(False))
+    answered = cut_lineage(answered)
     valid = prompting.has_one_instruction(F.col("_reply"))
     kept = answered.where(valid).withColumn(
         "summary", prompting.instruction_behind_key(F.col("_reply"))
@@ -111,20 +114,32 @@ def enrich(
     settings: Settings,
     model: Model | None = None,
     id_col: str = "email_id",
+    query_text: Column | None = None,
+    drop_contained: bool = True,
     exclude_self: bool = True,
 ) -> DataFrame:
     """Training emails with their nearest stored emails in ``relevant_emails``.
 
-    The chunk a row was cut from is found like any other; it goes because the
-    row contains it, or (``exclude_self``) because it is the row's own.
+    By default a row asks with its own body and loses the hits it contains.
+    ``query_text=instruction_of(summary)`` with ``drop_contained=False`` and
+    ``exclude_self=False`` asks the way a prompt does at writing time.
     """
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
-    queries = (model or hashed_terms())(train.select(id_col, "email"), "email", "vector")
+    asked = train.select(id_col, (F.col("email") if query_text is None else query_text).alias("q"))
+    queries = (model or hashed_terms())(asked, "q", "vector")
     hits = nearest(queries, keyed, settings.neighbours, query_id=id_col)
     chunk_of = F.regexp_replace("chunk_id", r"#[0-9]+\z", "")
-    own = (chunk_of == F.col(id_col)) if exclude_self else None
     return with_neighbours(
-        train, hits, keyed, id_col, "email", "chunk_id", "chunk", F.col("email"), exclude_self=own
+        train,
+        hits,
+        keyed,
+        id_col,
+        "email",
+        "chunk_id",
+        "chunk",
+        F.col("email"),
+        drop_contained=drop_contained,
+        exclude_self=(chunk_of == F.col(id_col)) if exclude_self else None,
     )
 
 

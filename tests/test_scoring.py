@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lettermill.operators import divergence, language, perplexity, scoring
 from lettermill.operators import generation
-from lettermill.operators.embedding import hashed_terms
+from lettermill.operators.embedding import build_index, hashed_terms
 from lettermill.plans.evaluation import evaluate
 
 WORDS = ["the", "a", "cat", "dog", "sat", "on", "mat", "The", "cat.", "é"]
@@ -250,9 +250,30 @@ def test_evaluation_end_to_end(spark):
     responses = result.responses.collect()
     assert len(responses) == 4 and {r.prompt for r in responses} == {"say hi", "say bye"}
     assert all(r.full_prompt == f"Instruction: {r.prompt}" for r in responses)
+    ids = {r.prompt: r.prompt_id for r in responses}
     scores = {r.sample_id: r for r in result.scores.collect()}
-    assert scores["2#0"].bleu == pytest.approx(1.0)
-    assert scores["2#1"].rougeL_fmeasure == pytest.approx(1.0)
+    assert scores[ids["say bye"] + "#0"].bleu == pytest.approx(1.0)
+    assert scores[ids["say bye"] + "#1"].rougeL_fmeasure == pytest.approx(1.0)
+    assert {r.prompt: r.first_seq for r in responses} == {"say hi": 0, "say bye": 2}
     (metrics,) = result.metrics.collect()
     assert metrics.bleu == pytest.approx(sum(r.bleu for r in scores.values()) / 4)
     assert 0 <= metrics.mauve <= 1
+
+
+def test_evaluation_with_retrieval_and_threads(spark):
+    rows = [("write about cats", 0, "cats", ["old"]), ("write about cats", 1, "more cats", ["new"])]
+    df = spark.createDataFrame(rows, "summary string, seq bigint, email string, thread array<string>")
+    emails = spark.createDataFrame(
+        [("e1", "about cats we write", "s", [], "d", None), ("e2", "zebra", "s", [], "d", None)],
+        "id string, email string, subject string, thread array<string>, date string, summary string",
+    )
+    model = hashed_terms(64)
+    result = evaluate(
+        df, generation.echo, use_thread=True, thread_emails=1, rag_emails=2, threshold=0.2, cells=2,
+        chunks=build_index(emails, "id", "mail", model, 100, 0), model=model, system_preamble="",
+        goldens_for_divergence="first",
+    )
+    (row,) = result.responses.collect()
+    assert "E-MAIL CONTENT:\nabout cats we write\n\n---" in row.full_prompt
+    assert "zebra" not in row.full_prompt and "new\n\n---" in row.full_prompt
+    assert result.goldens.count() == 2 and result.metrics.count() == 1
