@@ -8,9 +8,10 @@ are joined and summed; the goldens of a prompt never meet in one row or task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,25 +112,30 @@ def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
             ).alias("glen")
         )
     )
-    scored = closest.join(matched, "sample_id", "left")
-    for n in ORDERS:
+    def precision(n: int) -> Column:
         m = F.coalesce(F.col(f"m{n}"), F.lit(0))
-        total = F.greatest(F.col("clen") - (n - 1), F.lit(0))
-        scored = scored.withColumn(f"p{n}", F.when(m > 0, m / total).otherwise(F.lit(0.0)))
+        return F.when(m > 0, m / (F.col("clen") - (n - 1))).otherwise(F.lit(0.0))
+
     brevity = F.when(F.col("clen") > F.col("glen"), F.lit(1.0)).otherwise(
         F.exp(1 - F.col("glen") / F.nullif(F.col("clen"), F.lit(0)))
     )
-    for n in ORDERS:
-        logs = sum((F.ln(f"p{i}") for i in range(1, n + 1)), F.lit(0.0))
-        hit = F.least(*[F.col(f"p{i}") for i in range(1, n + 1)]) > 0 if n > 1 else F.col("p1") > 0
-        scored = scored.withColumn(
-            f"bleu{n}",
-            F.when(F.col("glen").isNull(), F.lit(None).cast("double"))
-            .when(hit, brevity * F.exp(logs / n))
-            .otherwise(F.lit(0.0)),
-        )
+    measured = closest.join(matched, "sample_id", "left").select(
+        "sample_id",
+        F.col("glen").isNotNull().alias("has"),
+        brevity.alias("bp"),
+        *[precision(n).alias(f"p{n}") for n in ORDERS],
+    )
+
+    def score(n: int) -> Column:
+        used = [F.col(f"p{i}") for i in range(1, n + 1)]
+        worst = F.least(*used) if n > 1 else used[0]
+        product = reduce(lambda x, y: x * y, used)
+        value = F.when(worst > 0, F.col("bp") * F.pow(product, F.lit(1.0 / n))).otherwise(0.0)
+        return F.when(F.col("has"), value)
+
+    scored = measured.select("sample_id", *[score(n).alias(f"bleu{n}") for n in ORDERS])
     mean = sum((F.col(f"bleu{n}") for n in ORDERS), F.lit(0.0)) / len(ORDERS)
-    return scored.select("sample_id", *[f"bleu{n}" for n in ORDERS], mean.alias("bleu"))
+    return scored.select("*", mean.alias("bleu"))
 
 
 def lcs_length(a: list, b: list) -> int:

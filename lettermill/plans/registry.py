@@ -807,7 +807,7 @@ def golden_groups(spark, sf_dir):
 
 def graded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Assistant turns as replies; the one or two messages before as goldens."""
-    rows = replies(spark, sf_dir)
+    rows = cut_lineage(replies(spark, sf_dir).select("email_id", "text", "prev", "prev2"))
     key = F.col("email_id")
     samples = rows.select(
         key.alias("sample_id"), key.alias("prompt_id"), F.col("text").alias("response")
@@ -878,11 +878,13 @@ def corpus_perplexity(spark, sf_dir):
 
 def test_table(spark, sf_dir) -> DataFrame:
     """Replies with the message they answer as instruction."""
-    return replies(spark, sf_dir).select(
-        F.col("prev").alias("summary"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.col("text").alias("email"),
-        F.array_compact(F.array("prev2")).alias("thread"),
+    return cut_lineage(
+        replies(spark, sf_dir).select(
+            F.col("prev").alias("summary"),
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+            F.col("text").alias("email"),
+            F.array_compact(F.array("prev2")).alias("thread"),
+        )
     )
 
 
