@@ -22,11 +22,20 @@ def chunk_fixed(df: DataFrame, text_col: str, size: int, overlap: int) -> DataFr
     step = size - overlap
     n = F.length(text_col)
     last = F.greatest(F.ceil((n - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
+    # Steps are cut once, in one pass over the text; a window is a few whole steps.
+    # Taking substrings at growing offsets would read the text again for each.
+    steps = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.substring(F.col(text_col), i * step + 1, F.lit(size)),
+        F.sequence(F.lit(1), last + 1),
+        lambda i: F.left(
+            F.array_join(F.slice("_steps", i, F.lit(-(-size // step))), ""), F.lit(size)
+        ),
+    )
+    return (
+        df.withColumn("_steps", steps)
+        .select("*", F.posexplode(F.when(n > 0, windows)).alias("chunk_no", "chunk"))
+        .drop("_steps")
     )
-    return df.select("*", F.posexplode(F.when(n > 0, windows)).alias("chunk_no", "chunk"))
 
 
 def _slide(pieces: list[str], size: int, overlap: int) -> Iterator[str]:

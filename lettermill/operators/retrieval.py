@@ -38,7 +38,7 @@ _CELLS_AT_ONCE = 4_000_000
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
 def block_top_k(queries: np.ndarray, chunks: np.ndarray, k: int):
@@ -269,9 +269,10 @@ def nearest(
     q = queries.select(F.col(query_id).alias("qid"), vectors)
     c = chunks.select(F.col(chunk_id).alias("cid"), vectors)
     types = dict(q.dtypes)["qid"], dict(c.dtypes)["cid"]
-    n_chunks, width = c.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_chunks = c.count()
     if n_chunks == 0:
         return no_hits(queries, query_id, chunk_id, types)
+    width = c.select(F.size("v")).first()[0]
     if probes is None and n_chunks * width * 8 <= broadcast_bytes:
         few = first_in_group(c, ["v"], [F.col("cid")], k).select("cid", "v").toPandas()
         hits = _broadcast_hits(q, few, k, types)

@@ -34,9 +34,12 @@ def ingest(
     model: Model | None = None,
     detect_language: Callable[[Column], Column] | None = None,
     recursive: bool = True,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Append every batch's clean chunks to ``store``/batch_id=N.
 
+    Takes what has arrived and stops, or goes on with a batch ``every`` interval.
+
     A batch that is run again after a failure overwrites its own folder, so each
     message is stored once. Read the store with ``ingested``.
     """
@@ -58,7 +61,7 @@ def ingest(
     return (
         parts.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 

@@ -23,12 +23,13 @@ def stream_stats(
     out: str,
     checkpoint: str,
     lateness: str = "1 day",
+    every: str | None = None,
 ) -> StreamingQuery:
     """Write changed counters of every batch to ``out``/batch_id=N.
 
     State is one counter per open day and reason. Rows later than ``lateness``
     are dropped by the watermark (see ``late_rows``). Re-run batches overwrite
-    themselves.
+    themselves. Takes what has arrived and stops, or runs ``every`` interval.
     """
     counted = stats_by_day(rows.withWatermark(time_col, lateness), time_col, reason_col)
 
@@ -39,7 +40,7 @@ def stream_stats(
         counted.writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
@@ -55,7 +56,7 @@ def latest_stats(spark: SparkSession, out: str) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, over all recorded batches."""
+    """Rows the watermark dropped, over the batches the query still remembers."""
     return sum(
         op.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
