@@ -207,7 +207,7 @@ def grams(source: str, keys: str, tokens: str, max_n: int) -> str:
   FROM (SELECT {keys}, {tokens} AS t FROM {source}), range(1, {max_n + 1}) r(n)"""
 
 
-BLEU = f"""{GRADED},
+BLEU_SCORES = f"""
 cand AS (SELECT sample_id, n, gram, count(*) AS c FROM ({grams('samples', 'sample_id', words(normal('response')), 4)}) GROUP BY ALL),
 gold AS (SELECT sample_id, golden_no, n, gram, count(*) AS c FROM ({grams('goldens', 'sample_id, golden_no', words(normal('golden')), 4)}) GROUP BY ALL),
 most AS (SELECT sample_id, n, gram, max(c) AS m FROM gold GROUP BY ALL),
@@ -236,6 +236,19 @@ bleus AS (
   FROM precisions),
 bleu_scores AS (SELECT *, (b1 + b2 + b3 + b4) / 4 AS b FROM bleus)"""
 
+BLEU = f"{GRADED},{BLEU_SCORES}"
+
+# Echoed prompts as replies; all messages that answer one text are its goldens.
+EVALUATED = f"""{MAILS},
+answers AS (SELECT *, conv_id * 1000 + turn AS seq FROM mails WHERE role = 'assistant' AND prev IS NOT NULL),
+asked AS (SELECT prev, coalesce(arg_max(coalesce(prev2, ''), seq), '') AS head FROM answers GROUP BY prev),
+samples AS (
+  SELECT md5(prev) AS sample_id, 'Received: ' || {SYSTEM}
+    || trim(replace({lit(THREAD_PREAMBLE)}, '{{threading_context}}',
+            CASE WHEN head <> '' THEN head || {NL} || {NL} || '---' || {NL} || {NL} ELSE '' END), {TRIM})
+    || {NL} || {NL} || 'Instruction: ' || prev AS response FROM asked),
+goldens AS (SELECT md5(prev) AS sample_id, seq AS golden_no, text AS golden FROM answers)"""
+
 ROUGE = f"""
 rcand AS (SELECT sample_id, n, gram, count(*) AS c FROM ({grams('samples', 'sample_id', rouge_words('response'), 2)}) GROUP BY ALL),
 rgold AS (SELECT sample_id, golden_no, n, gram, count(*) AS k FROM ({grams('goldens', 'sample_id, golden_no', rouge_words('golden'), 2)}) GROUP BY ALL),
@@ -517,6 +530,12 @@ ORACLES: dict[str, str] = {
                round(avg(p2), 6) AS rouge2_precision, round(avg(r2), 6) AS rouge2_recall,
                round(avg(f2), 6) AS rouge2_fmeasure
         FROM bleu_scores JOIN rouge_scores USING (sample_id)""",
+    "evaluate_scores": f"""WITH {EVALUATED},{BLEU_SCORES},{ROUGE}
+        SELECT round(avg(b), 6) AS bleu, round(avg(p1), 6) AS rouge1_precision,
+               round(avg(r1), 6) AS rouge1_recall, round(avg(f1), 6) AS rouge1_fmeasure,
+               round(avg(p2), 6) AS rouge2_precision, round(avg(r2), 6) AS rouge2_recall,
+               round(avg(f2), 6) AS rouge2_fmeasure
+        FROM bleu_scores JOIN rouge_scores USING (sample_id)""",
     "mauve_cells": """
         WITH h AS (SELECT label, count(*) FILTER (vec_id % 2 = 0) AS p, count(*) FILTER (vec_id % 2 <> 0) AS q
                    FROM embeddings GROUP BY label),

@@ -888,10 +888,8 @@ def test_table(spark, sf_dir) -> DataFrame:
     )
 
 
-@query
-def evaluate_replies(spark, sf_dir):
-    """Bulk answering and scoring; one row of aggregate metrics."""
-    result = evaluate(
+def echo_evaluation(spark, sf_dir):
+    return evaluate(
         test_table(spark, sf_dir),
         generation.echo,
         use_thread=True,
@@ -899,7 +897,21 @@ def evaluate_replies(spark, sf_dir):
         cells=8,
         model=embedding.hashed_terms(64),
     )
-    return result.metrics
+
+
+@query
+def evaluate_replies(spark, sf_dir):
+    """Bulk answering and scoring; one row of aggregate metrics."""
+    return echo_evaluation(spark, sf_dir).metrics
+
+
+@query
+def evaluate_scores(spark, sf_dir):
+    """The means of the same run that plain SQL can state."""
+    scores = echo_evaluation(spark, sf_dir).scores
+    names = ["bleu", *[k for k in scoring.ROUGE_KEYS if k.startswith(("rouge1", "rouge2"))]]
+    means = scoring.metric_means(scores, *names)
+    return means.select(*[rounded(c).alias(c) for c in names])
 
 
 # --- stages together ----------------------------------------------------------------------------

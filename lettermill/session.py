@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if sc.getCheckpointDir() is None:
         if configured is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="lettermill-")
         sc.setCheckpointDir(configured)
     return (configured or sc.getCheckpointDir()).rstrip("/")
