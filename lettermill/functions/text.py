@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import WS, WS_CHARS
@@ -64,24 +64,29 @@ def ngrams(tokens: Column, n: int) -> Column:
     )
 
 
-def numbered_ngrams(tokens: Column, max_n: int) -> Column:
-    """All 1..max_n-grams as an array of ``(n, gram)`` structs.
+def explode_ngrams(df: DataFrame, tokens: str, max_n: int, keep: list[str]) -> DataFrame:
+    """One row ``(keep..., n, gram)`` per n-gram of a token array, n = 1..max_n.
 
-    ``tokens`` is bound to a one-element array first: inside a lambda an
-    expression would be evaluated again for every element.
+    The array is zipped with itself shifted by 1, 2, ... and exploded, so a row
+    holds the words its n-grams need. Plain expressions throughout: generated
+    code, no lambda per element.
     """
-
-    def tagged(bound: Column, n: int) -> Column:
-        return F.transform(
-            ngrams(bound, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-        )
-
-    return F.flatten(
-        F.transform(
-            F.array(tokens),
-            lambda bound: F.flatten(F.array(*[tagged(bound, n) for n in range(1, max_n + 1)])),
-        )
-    )
+    size = F.size(tokens)
+    shifted = [
+        F.slice(tokens, F.lit(i), F.greatest(size - (i - 1), F.lit(0))).alias(f"w{i}")
+        for i in range(1, max_n + 1)
+    ]
+    rows = df.select(*keep, F.explode(F.arrays_zip(*shifted)).alias("w"))
+
+    def gram(n: int) -> Column:
+        # NULL where the text ends before the n-th word.
+        parts = [F.col("w.w1")]
+        for i in range(2, n + 1):
+            parts += [F.lit(" "), F.col(f"w.w{i}")]
+        return F.struct(F.lit(n).alias("n"), F.concat(*parts).alias("gram"))
+
+    grams = F.explode(F.array(*[gram(n) for n in range(1, max_n + 1)])).alias("g")
+    return rows.select(*keep, grams).where(F.col("g.gram").isNotNull()).select(*keep, "g.*")
 
 
 def username(address: Column) -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (
+    explode_ngrams,
     metric_tokens,
     normalise_for_metrics,
-    numbered_ngrams,
     rouge_tokens,
 )
 from .ordering import rank_in_group
@@ -77,13 +77,13 @@ def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
         "prompt_id", "golden_no", metric_tokens(F.col("golden")).alias("t")
     )
     cand_counts = (
-        cand.select("sample_id", "prompt_id", F.explode(numbered_ngrams(F.col("t"), 4)).alias("g"))
-        .groupBy("sample_id", "prompt_id", "g.n", "g.gram")
+        explode_ngrams(cand, "t", 4, ["sample_id", "prompt_id"])
+        .groupBy("sample_id", "prompt_id", "n", "gram")
         .agg(F.count(F.lit(1)).alias("c"))
     )
     gold_max = (
-        gold.select("prompt_id", "golden_no", F.explode(numbered_ngrams(F.col("t"), 4)).alias("g"))
-        .groupBy("prompt_id", "golden_no", "g.n", "g.gram")
+        explode_ngrams(gold, "t", 4, ["prompt_id", "golden_no"])
+        .groupBy("prompt_id", "golden_no", "n", "gram")
         .agg(F.count(F.lit(1)).alias("c"))
         .groupBy("prompt_id", "n", "gram")
         .agg(F.max("c").alias("most"))
@@ -180,27 +180,16 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
         rouge_tokens(normalise_for_metrics(F.col("golden"))).alias("t"),
     )
     parts = gold.select("prompt_id", "part").distinct()
+    cand_parts = cand.join(parts, "prompt_id").withColumn("clen", F.size("t"))
     cand_counts = (
-        cand.join(parts, "prompt_id")
-        .select(
-            "sample_id",
-            "prompt_id",
-            "part",
-            F.size("t").alias("clen"),
-            F.explode(numbered_ngrams(F.col("t"), 2)).alias("g"),
-        )
-        .groupBy("sample_id", "prompt_id", "part", "clen", "g.n", "g.gram")
+        explode_ngrams(cand_parts, "t", 2, ["sample_id", "prompt_id", "part", "clen"])
+        .groupBy("sample_id", "prompt_id", "part", "clen", "n", "gram")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    gold_sized = gold.withColumn("glen", F.size("t"))
     gold_counts = (
-        gold.select(
-            "prompt_id",
-            "part",
-            "golden_no",
-            F.size("t").alias("glen"),
-            F.explode(numbered_ngrams(F.col("t"), 2)).alias("g"),
-        )
-        .groupBy("prompt_id", "part", "golden_no", "glen", "g.n", "g.gram")
+        explode_ngrams(gold_sized, "t", 2, ["prompt_id", "part", "golden_no", "glen"])
+        .groupBy("prompt_id", "part", "golden_no", "glen", "n", "gram")
         .agg(F.count(F.lit(1)).alias("k"))
     )
     overlap = (

@@ -218,10 +218,10 @@ def normalised_text(spark, sf_dir):
 @query
 def ngram_counts(spark, sf_dir):
     tokens = text.metric_tokens(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").select(tokens.alias("t"))
     return (
-        table(spark, sf_dir, "conversations")
-        .select(F.explode(text.numbered_ngrams(tokens, 3)).alias("g"))
-        .groupBy(F.col("g.n").cast("bigint").alias("n"), "g.gram")
+        text.explode_ngrams(turns, "t", 3, [])
+        .groupBy(F.col("n").cast("bigint").alias("n"), "gram")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
 

@@ -172,3 +172,20 @@ def test_metric_normalisation(spark):
 def test_drop_quoted_lines(spark):
     df = spark.createDataFrame([("a\n> b\n c\n>",)], "t string")
     assert df.select(C.drop_quoted_lines(F.col("t"))).first()[0] == "a\n c"
+
+
+def test_ngrams_two_ways(spark):
+    rows = ["a b c d", "a", "", "x x x"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s string").withColumn(
+        "t", X.words(F.col("s"))
+    )
+    got = sorted(tuple(r) for r in X.explode_ngrams(df, "t", 3, ["i"]).collect())
+    want = sorted(
+        (i, n, " ".join(s.split()[j : j + n]))
+        for i, s in enumerate(rows)
+        for n in (1, 2, 3)
+        for j in range(len(s.split()) - n + 1)
+    )
+    assert got == want
+    arrays = df.select("i", X.ngrams(F.col("t"), 2).alias("g")).orderBy("i").collect()
+    assert [r.g for r in arrays] == [["a b", "b c", "c d"], [], [], ["x x", "x x"]]
