@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, source_mix
+from . import bpe_codec, exact_dedup, source_mix, token_counts
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary_path(name: str) -> str:
+    """Where the installed public vocabularies are; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -34,6 +41,16 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op9_bpe_round_trip(spark, sf_dir):
+    return bpe_codec.round_trip(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
+
+
 @query
 def op10_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
