@@ -27,7 +27,7 @@ BROADCAST_ROWS = 1_000_000  # narrow rows a counted table may have to be broadca
 
 __all__ = [
     "SPACE", "WORD", "cut_lineage", "new_work_path", "documents", "labels", "fresh", "fold", "text_or_empty",
-    "small", "pieces", "mix64", "word_hashes", "release",
+    "small", "pieces", "mix64", "words_in", "release",
 ]
 
 
@@ -113,14 +113,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of several texts, and per text where its words begin.
+def words_in(
+    raw: np.ndarray, starts: np.ndarray, is_word: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several texts: hashes, first bytes, lengths, first word per text.
 
     ``raw`` are the bytes of all texts, ``starts`` the text borders, ``is_word`` a
     table of 256 booleans. A word is a maximal run of word bytes within one text;
     its hash is the scrambled polynomial of its bytes modulo 2**64.
     """
-    n_texts = len(starts) - 1
     inside = is_word[raw]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -129,7 +130,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tup
     begin[borders] = inside[borders]
     heads = np.flatnonzero(begin)
     if not len(heads):
-        return np.empty(0, np.uint64), np.zeros(n_texts + 1, np.int64)
+        return np.empty(0, np.uint64), heads, heads, np.zeros(len(starts), np.int64)
     kept = np.flatnonzero(inside)
     # Place of every word byte within its word, then one sum per word.
     first_kept = np.searchsorted(kept, heads)
@@ -137,7 +138,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tup
     place = np.arange(len(kept)) - np.repeat(first_kept, length)
     table = powers(0x9E3779B97F4A7C15, int(length.max()))
     sums = np.add.reduceat((raw[kept].astype(np.uint64) + np.uint64(1)) * table[place], first_kept)
-    return mix64(sums ^ (length.astype(np.uint64) << np.uint64(52))), np.searchsorted(heads, starts)
+    return mix64(sums ^ (length.astype(np.uint64) << np.uint64(52))), heads, length, np.searchsorted(heads, starts)
 
 
 def byte_table(allowed) -> np.ndarray:

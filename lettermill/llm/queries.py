@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, source_mix, token_counts
-from .common import documents
+from . import bpe_codec, exact_dedup, source_mix, token_counts, toxicity
+from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), 2048)
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 @query
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe_codec.round_trip(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
