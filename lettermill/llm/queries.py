@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, source_mix, token_counts, toxicity
+from . import (
+    bpe_codec,
+    exact_dedup,
+    language_codes,
+    quality_neighbours,
+    source_mix,
+    token_counts,
+    toxicity,
+)
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +49,23 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op3_quality_neighbours(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality_neighbours.score(docs, quality_neighbours.fit(docs, labels(spark, sf_dir)))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), 2048)
 
 
+@query
+def op6_language_codes(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_codes.identify(docs, language_codes.fit(docs))
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
