@@ -10,12 +10,14 @@ from . import (
     bpe_codec,
     exact_dedup,
     language_codes,
+    ngram_join,
     quality_neighbours,
+    quality_rules,
     source_mix,
     token_counts,
     toxicity,
 )
-from .common import documents, labels
+from .common import SPACE, WORD, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +62,60 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), 2048)
 
 
+@query
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.apply_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_LINE_FAILS = f"""(
+  len(regexp_extract_all(line, {_re(quality_rules.LINE_SYMBOLS)})) * 5 > len(regexp_extract_all(line, {_re(WORD)}))
+  OR len(regexp_extract_all(line, {_re(quality_rules.SEPARATORS)})) >= 3
+  OR regexp_matches(line, {_re(quality_rules.MENU)})
+  OR (len(regexp_extract_all(line, {_re(WORD)})) <= {quality_rules.STOCK_WORDS}
+      AND regexp_matches(line, {_re(quality_rules.STOCK)})))"""
+
+ORACLES["op5_quality_rules"] = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_re(WORD)}) AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
+g AS (
+  SELECT doc_id, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER d" for k in range(1, 8))}) AS gram,
+         lead(word, 7) OVER d AS last
+  FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+m AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE last IS NOT NULL),
+r AS (
+  SELECT doc_id, sum(least(8, nxt - i)) AS n_repeat_words FROM (
+    SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 8) AS nxt FROM m WHERE n > 1)
+  GROUP BY doc_id),
+l AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, {_re(WORD)})),
+ll AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+         sum(CASE WHEN {_LINE_FAILS} THEN 0 ELSE len(regexp_extract_all(line, {_re(WORD)})) END) AS n_kept
+  FROM l GROUP BY doc_id),
+a AS (
+  SELECT t.doc_id, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, {_re(SPACE)}, '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, {_re(quality_rules.SYMBOLS)}))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_kept, 0)::BIGINT AS n_kept
+  FROM t LEFT JOIN r USING (doc_id) LEFT JOIN ll USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_kept >= {quality_rules.MIN_WORDS}
+       AND NOT 100 * (n_words - n_kept) > {quality_rules.MAX_LOSS} * n_words AS kept
+FROM b
+"""
+
+
 @query
 def op6_language_codes(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -72,6 +128,11 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+@query
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe_codec.round_trip(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
