@@ -6,7 +6,9 @@ Every line is judged first; a line goes if it fails one of
   fifth of its words;
 * navigation: three or more separators (``|``, ``>>`` and the like), or a short line that
   is a menu word list;
-* boilerplate: a short line with a stock phrase (cookies, sign in, all rights reserved, ...).
+* boilerplate: a short line with a stock phrase (cookies, sign in, all rights reserved, ...),
+  or a line of ten words or more that says the same few over and over (distinct words are
+  fewer than a quarter).
 
 A document is rejected if what is left has too few words, or if more than MAX_LOSS percent
 of its words went with the lines. Base rules on the whole text reject it before that: fewer
@@ -44,6 +46,7 @@ STOCK = (
     r"|log ?in\b|subscribe to|newsletter|click here|read more|javascript|lorem ipsum)"
 )
 STOCK_WORDS = 15
+STUTTER_WORDS, STUTTER = 10, 4
 
 
 def words_of(text: Column) -> Column:
@@ -59,6 +62,7 @@ def line_fails(line: Column) -> Column:
         | (F.regexp_count(line, F.lit(SEPARATORS)) >= 3)
         | line.rlike(MENU)
         | ((n <= STOCK_WORDS) & line.rlike(STOCK))
+        | ((n >= STUTTER_WORDS) & (F.size(F.array_distinct(words_of(line))) * STUTTER < n))
     )
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     bpe_codec,
     exact_dedup,
     language_codes,
+    line_runs,
     ngram_join,
     quality_neighbours,
     quality_rules,
@@ -36,6 +38,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 @query
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -51,6 +57,50 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op2_line_runs(spark, sf_dir):
+    found = line_runs.without_runs(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_deleted", "deleted_words", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def _line_runs_sql(levels: int = 12, min_words: int = line_runs.MIN_WORDS) -> str:
+    """Names of all runs of 2**k lines by nested digests; beyond 2**12 lines nothing is added."""
+    parts = [
+        f"""h0 AS (
+  SELECT doc_id, i, md5(line) AS h, len(regexp_extract_all(line, {_re(WORD)})) AS w FROM (
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))"""
+    ]
+    for k in range(1, levels + 1):
+        parts.append(
+            f"""h{k} AS (
+  SELECT doc_id, i, md5(h || h2) AS h, w + w2 AS w FROM (
+    SELECT *, lead(h, {1 << (k - 1)}) OVER o AS h2, lead(w, {1 << (k - 1)}) OVER o AS w2
+    FROM h{k - 1} WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE h2 IS NOT NULL)"""
+        )
+    hits = "\n  UNION ALL ".join(
+        f"""SELECT doc_id, i, {1 << k} AS n FROM (
+    SELECT *, min((doc_id, i)) OVER (PARTITION BY h) AS f FROM h{k}) WHERE (doc_id, i) > f AND w >= {min_words}"""
+        for k in range(levels + 1)
+    )
+    return f"""
+WITH {", ".join(parts)},
+hits AS (SELECT doc_id, i, max(n) AS n FROM ({hits}) GROUP BY doc_id, i),
+marked AS (
+  SELECT l.doc_id, l.i, l.w, coalesce(max(l.i + n) OVER (PARTITION BY l.doc_id ORDER BY l.i), 0) > l.i AS gone
+  FROM h0 l LEFT JOIN hits USING (doc_id, i)),
+cut AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line, w, gone FROM marked JOIN documents USING (doc_id))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
+       coalesce(sum(w) FILTER (gone), 0)::BIGINT AS deleted_words,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256
+FROM cut GROUP BY doc_id
+"""
+
+
+ORACLES["op2_line_runs"] = _line_runs_sql()
+
+
 @query
 def op3_quality_neighbours(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -69,16 +119,15 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
-def _re(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 _LINE_FAILS = f"""(
   len(regexp_extract_all(line, {_re(quality_rules.LINE_SYMBOLS)})) * 5 > len(regexp_extract_all(line, {_re(WORD)}))
   OR len(regexp_extract_all(line, {_re(quality_rules.SEPARATORS)})) >= 3
   OR regexp_matches(line, {_re(quality_rules.MENU)})
   OR (len(regexp_extract_all(line, {_re(WORD)})) <= {quality_rules.STOCK_WORDS}
-      AND regexp_matches(line, {_re(quality_rules.STOCK)})))"""
+      AND regexp_matches(line, {_re(quality_rules.STOCK)}))
+  OR (len(regexp_extract_all(line, {_re(WORD)})) >= {quality_rules.STUTTER_WORDS}
+      AND list_unique(regexp_extract_all(line, {_re(WORD)})) * {quality_rules.STUTTER}
+          < len(regexp_extract_all(line, {_re(WORD)}))))"""
 
 ORACLES["op5_quality_rules"] = f"""
 WITH t AS (
