@@ -21,7 +21,6 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -130,7 +129,7 @@ def bucket_of(digest: str | Column, buckets: int) -> Column:
 def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
     """One filter row per bucket of an immutable table with a ``digest`` column."""
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         seed, segment, count, cells = build_filter(_keys(rows["digest"]))
         return pd.DataFrame(
             {"bucket": [key[0]], "seed": [seed], "segment": [segment], "count": [count], "cells": [cells]}

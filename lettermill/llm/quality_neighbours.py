@@ -86,12 +86,14 @@ class Space:
         for first in range(0, len(counts), BLOCK_ROWS):
             part = counts[first : first + BLOCK_ROWS]
             cosine = self.place(part) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.ids) else np.tile(np.arange(k), (len(part), 1))
+            # Whole-number keys: equal cosines are ordered by place, whatever the block's shape.
+            rank = np.round(cosine * 1e5).astype(np.int64) * len(self.ids) - np.arange(len(self.ids))
+            near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3) ** POWER
             vote = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
             some = part.any(axis=1)
             out[first : first + BLOCK_ROWS][some] = vote[some]
-        return np.clip(out, 0.0, 1.0)
+        return np.clip(np.round(out, 4), 0.0, 1.0)
 
 
 def latent_space(counts: np.ndarray, labels: np.ndarray, ids: np.ndarray, dimensions: int = DIMENSIONS) -> Space:

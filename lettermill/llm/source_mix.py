@@ -22,7 +22,6 @@ random numbers come from hashes of the ids.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,7 +105,7 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _settle(last: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["h", "doc_id", "row_key", "size", "p"], kind="stable", na_position="last")
         p = rows["p"].to_numpy(dtype=float).copy()
         p[p < EPS], p[p > 1 - EPS] = 0.0, 1.0

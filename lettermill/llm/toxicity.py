@@ -36,7 +36,7 @@ from .common import ALNUM, LOWER, fold, mix64, pieces, text_or_empty, words_in,
 
 MAX_EXAMPLES = 12_000
 MAX_TERMS = 4096
-MIN_CHI = 40.0
+MIN_CHI = 20.0
 MIN_DOCS = 4
 BLOCK = 64
 NEIGHBOURS = 15
