@@ -17,10 +17,9 @@ from ..functions.text import strip, word_count
 
 def sent_by(from_addr: Column, addresses: list[str]) -> Column:
     """True if any address occurs, case-sensitively, in the From header."""
-    hits = [F.contains(from_addr, F.lit(a)) for a in addresses]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
+    found = F.lit(False)
+    for address in addresses:
+        found = found | F.contains(from_addr, F.lit(address))
     return F.coalesce(found, F.lit(False))
 
 
@@ -83,7 +82,11 @@ def quote_groups(lines: Column) -> Column:
 
 
 def split_thread(df: DataFrame, text_col: str, strict_attribution: bool = False) -> DataFrame:
-    """Add ``main`` (first-seen quote level) and ``thread`` (the others, oldest first)."""
+    """Add ``main`` (first-seen quote level) and ``thread`` (the others, oldest first).
+
+    The split goes through a one-row generator: filters on what it gives are not moved
+    below it, so the lines of a message are taken apart once however often they are asked.
+    """
     return (
         df.withColumn("_lines", quote_lines(F.col(text_col)))
         .withColumn("_groups", quote_groups(F.col("_lines")))
@@ -91,6 +94,7 @@ def split_thread(df: DataFrame, text_col: str, strict_attribution: bool = False)
             "_groups",
             F.transform("_groups", lambda g: strip_attribution(g["text"], strict_attribution)),
         )
+        .withColumn("_groups", F.explode_outer(F.array("_groups")))
         .withColumn("main", F.element_at("_groups", 1))
         .withColumn(
             "thread",

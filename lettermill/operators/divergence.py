@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DIVERGENCE_POINTS, DIVERGENCE_SCALE
 
-MAX_CELLS = 100_000
-
 
 def kmeans_cells(
     df: DataFrame, vector: str, cells: int, seed: int = 41, out: str = "cell"
@@ -26,41 +24,26 @@ def kmeans_cells(
 def mauve(df: DataFrame, cell: str, is_first: Column) -> DataFrame:
     """One row: (mauve, n_p, n_q) for set P (``is_first`` true) against Q.
 
-    Rows are counted per cell before anything is gathered; what is gathered is
-    one pair of counts per cell, and the number of cells is checked.
+    Rows are counted per cell, each cell gives its term for every weight of the grid,
+    and terms are summed per weight: only as many rows as weights are ever gathered.
     """
     counts = df.groupBy(cell).agg(
         F.count(F.when(is_first, 1)).alias("p"), F.count(F.when(~is_first, 1)).alias("q")
     )
-    bounded = counts.agg(
-        F.when(
-            F.count(F.lit(1)) > MAX_CELLS, F.raise_error(F.lit("too many cells")).cast("boolean")
-        ).alias("_checked"),
-        F.sort_array(F.collect_list(F.struct(cell, "p", "q"))).alias("h"),
-        F.sum("p").alias("n_p"),
-        F.sum("q").alias("n_q"),
-    )
+    totals = counts.agg(F.sum("p").alias("n_p"), F.sum("q").alias("n_q"))
     last = DIVERGENCE_POINTS - 1
     grid = [1e-6 + (1 - 2e-6) * i / last for i in range(DIVERGENCE_POINTS)]
+    p, q = F.col("p") / F.col("n_p"), F.col("q") / F.col("n_q")
+    mixed = F.col("w") * p + (1 - F.col("w")) * q
 
-    def kl(side: str, total: str, w: Column) -> Column:
-        def term(acc: Column, x: Column) -> Column:
-            p, q = x["p"] / F.col("n_p"), x["q"] / F.col("n_q")
-            own = x[side] / F.col(total)
-            return acc + F.when(own > 0, own * F.ln(own / (w * p + (1 - w) * q))).otherwise(0.0)
-
-        return F.aggregate("h", F.lit(0.0), term)
+    def kl(own: Column) -> Column:
+        return F.sum(F.when(own > 0, own * F.ln(own / mixed)).otherwise(0.0))
 
     points = (
-        bounded.where(F.col("_checked").isNull())
-        .select("h", "n_p", "n_q", F.posexplode(F.array(*map(F.lit, grid))).alias("i", "w"))
-        .select(
-            "n_p",
-            "n_q",
-            "i",
-            F.exp(-DIVERGENCE_SCALE * kl("q", "n_q", F.col("w"))).alias("x"),
-            F.exp(-DIVERGENCE_SCALE * kl("p", "n_p", F.col("w"))).alias("y"),
-        )
+        counts.crossJoin(F.broadcast(totals))
+        .select("p", "q", "n_p", "n_q", F.posexplode(F.array(*map(F.lit, grid))).alias("i", "w"))
+        .groupBy("n_p", "n_q", "i")
+        .agg(F.exp(-DIVERGENCE_SCALE * kl(q)).alias("x"), F.exp(-DIVERGENCE_SCALE * kl(p)).alias("y"))
     )
     # 25 points plus the two end points (1, 0) and (0, 1), in order of the weight.
     curve = points.groupBy("n_p", "n_q").agg(

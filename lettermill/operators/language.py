@@ -19,6 +19,7 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 64
 MICRO = 1_000_000
 _A, _B = 961, 31
+_NONE = np.empty(0, dtype=np.int64)
 
 
 def trigram_buckets(text: str) -> np.ndarray:
@@ -30,18 +31,21 @@ def trigram_buckets(text: str) -> np.ndarray:
     return (codes[:-2] * _A + codes[1:-1] * _B + codes[2:]) % BUCKETS
 
 
-def trigram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def trigram_counts(
+    df: DataFrame, text_col: str, lang_col: str, max_languages: int = MAX_LANGUAGES
+) -> DataFrame:
     """(lang, bucket, n) over the whole texts, counted before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
+            for lang, texts in batch.groupby("lang", sort=False)["text"]:
                 if lang not in seen:
-                    if len(seen) >= MAX_LANGUAGES:
-                        raise ValueError("too many languages for one profile")
+                    if len(seen) >= max_languages:
+                        raise ValueError("more languages than max_languages")
                     seen[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                seen[lang] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
+                buckets = np.concatenate([trigram_buckets(t) for t in texts])
+                seen[lang] += np.bincount(buckets, minlength=BUCKETS)
         for lang, counts in seen.items():
             used = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": used, "n": counts[used]})
@@ -54,15 +58,18 @@ def trigram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     )
 
 
-def train_profile(df: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+def train_profile(
+    df: DataFrame, text_col: str, lang_col: str, max_languages: int = MAX_LANGUAGES
+) -> tuple[list[str], np.ndarray]:
     """Languages in name order and their (BUCKETS, languages) table of micro-nats.
 
-    The counts come to the driver; the language check bounds them first.
+    The counts come to the driver and the table is broadcast: half a megabyte a language,
+    so ``max_languages`` is what bounds both. More languages are an error, not left out.
     """
-    counts = trigram_counts(df, text_col, lang_col)
-    names = [r[0] for r in df.select(lang_col).dropna().distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError("too many languages for one profile")
+    counts = trigram_counts(df, text_col, lang_col, max_languages)
+    names = [r[0] for r in df.select(lang_col).dropna().distinct().limit(max_languages + 1).collect()]
+    if len(names) > max_languages:
+        raise ValueError("more languages than max_languages")
     langs = sorted(names)
     table = np.zeros((BUCKETS, len(langs)), dtype=np.int64)
     got = counts.toPandas()
@@ -87,13 +94,16 @@ def language_detector(
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names, logp = shared.value
         for texts in batches:
-            out: list[str | None] = []
-            for text in texts:
-                buckets = trigram_buckets(text) if text is not None else ()
-                if len(buckets) == 0:
-                    out.append(None)
-                else:
-                    out.append(names[int(logp[buckets].sum(axis=0).argmax())])
+            # All texts of the batch at once: one run of trigrams, one sum per text.
+            runs = [trigram_buckets(t) if t is not None else _NONE for t in texts]
+            length = np.array([len(r) for r in runs])
+            out = np.full(len(runs), None, dtype=object)
+            some = np.flatnonzero(length)
+            if len(some):
+                starts = np.append(0, np.cumsum(length[some])[:-1])
+                buckets = np.concatenate([runs[i] for i in some])
+                total = np.stack([np.add.reduceat(column[buckets], starts) for column in logp.T], axis=1)
+                out[some] = np.array(names, dtype=object)[total.argmax(axis=1)]
             yield pd.Series(out, dtype=object)
 
     # Marked so that the optimizer neither copies the call into filters nor runs it twice.

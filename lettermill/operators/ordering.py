@@ -1,9 +1,11 @@
 """Order-based operators that stay distributed however uneven the groups are.
 
-A window over one group puts the whole group in one task. Here a group is cut
-into ranges of its integer order key (``WIDTH`` values each), windows run over
-(group, range), and only what has to cross a range border travels separately.
-The order key must be an integer that is unique within its group.
+A window over one group puts the whole group in one task. Groups of more than
+``rows_per_task`` rows are therefore cut into ranges of their rows in order: a range
+partitioning by (group, order) samples the keys, so ranges hold similar numbers of rows
+whatever the keys look like. Windows run over (group, range), and only what has to cross
+a range border travels separately. Groups may have NULL keys. The order key must be
+unique within its group.
 """
 
 from __future__ import annotations
@@ -13,36 +15,62 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH_BITS = 16
+from ..session import cut_lineage
+
+ROWS_PER_TASK = 1 << 16
+BROADCAST_KEYS = 1_000_000
 FINISH_ROWS = 100_000
 RADIX_BITS = 16
 
 
-def _range_of(order: str) -> Column:
-    return F.shiftright(F.col(order).cast("bigint"), WIDTH_BITS)
+def same_keys_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
 
+def _ranged(df: DataFrame, group: list[str], order: str, rows_per_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``_range``, and the rows of groups that have several ranges (or None).
 
-def _groups_beyond_first_range(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Keys of groups with rows outside range 0: usually none, and the test is a
-    plain comparison on the order key, so it is pushed into the scan."""
-    far = (F.col(order) < 0) | (F.col(order) >= (1 << WIDTH_BITS))
-    return df.where(far).select(*group).distinct()
+    Counting reads the group columns only. A group that fits one task has range 0.
+    """
+    heavy = df.groupBy(*group).count().where(F.col("count") > rows_per_task)
+    found = cut_lineage(heavy)
+    total = found.agg(F.sum("count")).first()[0]
+    if total is None:
+        return df.withColumn("_range", F.lit(0)), None
+    keys = found.select(*group)
+    parts = -(-total // rows_per_task) + 1
+    split = cut_lineage(
+        same_keys_join(df, keys, group, "left_semi")
+        .repartitionByRange(parts, *group, order)
+        .withColumn("_range", F.spark_partition_id())
+    )
+    rest = same_keys_join(df, keys, group, "left_anti").withColumn("_range", F.lit(0))
+    return rest.unionByName(split), split
 
 
 def previous_in_group(
-    df: DataFrame, group: list[str], order: str, value: Column, outs: list[str]
+    df: DataFrame,
+    group: list[str],
+    order: str,
+    value: Column,
+    outs: list[str],
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``outs``: ``value`` one, two, ... rows before in the same group, else NULL."""
     n = len(outs)
-    ranged = df.withColumn("_range", _range_of(order)).withColumn("_value", value)
+    ranged, wide = _ranged(df.withColumn("_value", value), group, order, rows_per_task)
     w = Window.partitionBy(*group, "_range").orderBy(order)
     inside = ranged.select(
         "*",
         F.row_number().over(w).alias("_place"),
         *[F.lag("_value", i).over(w).alias(f"_lag{i}") for i in range(1, n + 1)],
     )
-    # The last n values of every range of the few groups that have several ranges.
-    wide = ranged.join(_groups_beyond_first_range(df, group, order), group, "left_semi")
+    if wide is None:
+        return inside.select(*df.columns, *[F.col(f"_lag{i}").alias(out) for i, out in enumerate(outs, 1)])
+    # The last n values of every range; a range may be shorter than n.
     tails = (
         first_in_group(wide, [*group, "_range"], [F.col(order).desc()], n)
         .groupBy(*group, "_range")
@@ -53,7 +81,7 @@ def previous_in_group(
         *group, "_range", F.flatten(F.reverse(F.collect_list("_tail").over(before))).alias("_carried")
     )
     place = F.col("_place")
-    joined = inside.join(carried, [*group, "_range"], "left")
+    joined = same_keys_join(inside, carried, [*group, "_range"], "left")
     found = [
         F.when(place <= i, F.get("_carried", F.lit(i) - place)["_value"])
         .otherwise(F.col(f"_lag{i}"))
@@ -63,24 +91,27 @@ def previous_in_group(
     return joined.select(*df.columns, *found)
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
+def rank_in_group(
+    df: DataFrame, group: list[str], order: str, out: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Add ``out``: the 0-based position of a row within its group."""
-    ranged = df.withColumn("_range", _range_of(order))
+    ranged, wide = _ranged(df, group, order, rows_per_task)
     w = Window.partitionBy(*group, "_range").orderBy(order)
-    counts = (
-        ranged.join(_groups_beyond_first_range(df, group, order), group, "left_semi")
-        .groupBy(*group, "_range")
-        .count()
-    )
+    inside = ranged.withColumn("_inside", F.row_number().over(w) - 1)
+    if wide is None:
+        return inside.withColumn(out, F.col("_inside").cast("bigint")).drop("_range", "_inside")
     before = (
         Window.partitionBy(*group)
         .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(*group, "_range", F.sum("count").over(before).alias("_before"))
+    offsets = (
+        wide.groupBy(*group, "_range")
+        .count()
+        .select(*group, "_range", F.sum("count").over(before).alias("_before"))
+    )
     return (
-        ranged.withColumn("_inside", F.row_number().over(w) - 1)
-        .join(offsets, [*group, "_range"], "left")
+        same_keys_join(inside, offsets, [*group, "_range"], "left")
         .withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0)))
         .drop("_range", "_inside", "_before")
     )
@@ -90,7 +121,8 @@ def first_in_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     """The first ``n`` rows of every group with their 1-based ``rank``.
 
     Spark prunes to n rows per group before and after the shuffle, so no task
-    sees more than n rows of a group per input partition.
+    sees more than n rows of a group per input partition. It does so for n up to
+    spark.sql.optimizer.windowGroupLimitThreshold (1000 unless set).
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
@@ -102,35 +134,32 @@ def uneven_join(
     keys: list[str],
     spread_by: list[str],
     how: str = "left",
-    salts: int = 32,
-    heavy_keys: int = 1000,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``many`` (few keys may own most rows) to ``table`` on ``keys``.
 
-    The ``heavy_keys`` most frequent keys of ``many`` are spread over ``salts``
-    tasks each by a hash of ``spread_by``, and only their rows of ``table`` are
-    repeated. Every key below the list owns less than 1/heavy_keys of the rows.
-    What is broadcast is that list: at most ``heavy_keys`` keys, no payload.
+    A key with more than ``rows_per_task`` rows is spread over as many tasks as it needs
+    by a hash of ``spread_by``, and only its rows of ``table`` are repeated. The list of
+    such keys has at most rows / rows_per_task entries; its size is checked before it is
+    broadcast. Rows without a key match nothing and are spread too.
     """
-    heavy = (
+    heavy = cut_lineage(
         many.groupBy(*keys)
         .count()
-        .where(F.col("count") > 10 * salts)
-        .orderBy(F.col("count").desc(), *keys)
-        .limit(heavy_keys)
-        .select(*keys, F.lit(True).alias("_heavy"))
-    )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = many.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), salt).otherwise(F.lit(0))
-    )
-    every_salt = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        .where(F.col("count") > rows_per_task)
+        .select(*keys, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
+        .dropna()
     )
-    repeated = table.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.explode(every_salt)
+    known = F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy
+    hashed = F.xxhash64(*spread_by)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(no_key, F.pmod(hashed, F.lit(1 << 20))).otherwise(
+        F.pmod(hashed, F.coalesce("_salts", F.lit(1)))
     )
-    return salted.drop("_heavy").join(repeated.drop("_heavy"), [*keys, "_salt"], how).drop("_salt")
+    salted = many.join(known, keys, "left").withColumn("_salt", salt.cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    repeated = table.join(known, keys, "left").withColumn("_salt", every)
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def hash_keys(value: Column, seed: int) -> list[Column]:

@@ -33,7 +33,7 @@ from .ordering import first_in_group, uneven_join
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
-MAX_CELLS = 1024
+PIVOT_BYTES = 64 << 20
 _CELLS_AT_ONCE = 4_000_000
 
 
@@ -101,15 +101,38 @@ def _broadcast_hits(queries: DataFrame, few: pd.DataFrame, k: int, types) -> Dat
     return queries.mapInPandas(search, f"qid {types[0]}, cid {types[1]}, rank int, d2 double")
 
 
-def _nearest_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
-    shared = groups.sparkSession.sparkContext.broadcast(pivots)
+def pivot_tree(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """About sqrt(p) of the pivots as centres, and the pivots nearest to each."""
+    centres = pivots[:: max(1, math.isqrt(len(pivots)))]
+    _, owner, _ = block_top_k(pivots, centres, 1)
+    return centres, [np.flatnonzero(owner == c) for c in range(len(centres))]
+
+
+def near_pivots(vectors: np.ndarray, pivots: np.ndarray, tree) -> tuple[np.ndarray, np.ndarray]:
+    """A near pivot of every vector and its distance, by way of the nearest centre.
+
+    Two steps of sqrt(p) comparisons instead of p. The pivot need not be the nearest:
+    cells keep the distances measured here, so the triangle inequality stays right.
+    """
+    centres, owned = tree
+    _, centre, _ = block_top_k(vectors, centres, 1)
+    cell, reach = np.empty(len(vectors), dtype=np.int32), np.empty(len(vectors))
+    for c in np.unique(centre):
+        rows = np.flatnonzero(centre == c)
+        _, best, d2 = block_top_k(vectors[rows], pivots[owned[c]], 1)
+        cell[rows], reach[rows] = owned[c][best], np.sqrt(d2)
+    return cell, reach
+
+
+def _near_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+    shared = groups.sparkSession.sparkContext.broadcast((pivots, pivot_tree(pivots)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch) == 0:
                 continue
-            _, cell, d2 = block_top_k(_matrix(batch["v"]), shared.value, 1)
-            yield batch.assign(cell=cell.astype("int32"), reach=np.sqrt(d2))
+            cell, reach = near_pivots(_matrix(batch["v"]), *shared.value)
+            yield batch.assign(cell=cell, reach=reach)
 
     return groups.mapInPandas(
         assign,
@@ -153,7 +176,7 @@ def _visit(queries: DataFrame, pivots, radius, filled, k: int, probes: int | Non
 
 
 def _block_hits(
-    queries: DataFrame, chunks: DataFrame, n_chunks: int, k: int, probes, cells, block_rows, types
+    queries: DataFrame, chunks: DataFrame, n_chunks: int, width: int, k: int, probes, cells, block_rows, types
 ) -> DataFrame:
     q_type, c_type = types
     spark = queries.sparkSession
@@ -165,10 +188,12 @@ def _block_hits(
     )
     distinct = queries.groupBy("v").agg(F.min("qid").alias("rep")).select("rep", "v")
 
-    wanted = cells or min(MAX_CELLS, max(1, math.isqrt(n_chunks)))
+    # Cells of about sqrt(n) vectors. What bounds their number is the broadcast of the
+    # pivots alone: 64 MiB are 131 072 cells of 64 dimensions.
+    wanted = cells or max(1, min(math.isqrt(n_chunks), PIVOT_BYTES // (8 * max(1, width))))
     picked = groups.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(wanted)
     pivots = _matrix(picked.select("v").toPandas()["v"])
-    assigned = _nearest_pivot(groups, pivots, c_type)
+    assigned = cut_lineage(_near_pivot(groups, pivots, c_type))
     radius, filled = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
     for cell, n, reach in (
         assigned.groupBy("cell").agg(F.count(F.lit(1)), F.max("reach")).collect()
@@ -178,7 +203,7 @@ def _block_hits(
     routed = cut_lineage(_visit(distinct, pivots, radius, filled, k, probes, q_type))
     visits = routed.select("rep", "v", F.explode("cells").alias("cell"))
     visitors = dict(visits.groupBy("cell").count().collect())
-    # One row per pivot cell, at most MAX_CELLS rows.
+    # One row per pivot cell.
     sizes = F.broadcast(
         spark.createDataFrame(
             [
@@ -269,15 +294,23 @@ def nearest(
     q = queries.select(F.col(query_id).alias("qid"), vectors)
     c = chunks.select(F.col(chunk_id).alias("cid"), vectors)
     types = dict(q.dtypes)["qid"], dict(c.dtypes)["cid"]
-    n_chunks = c.count()
+    # Rows without a vector (NULL or empty) match nothing; uneven ones are an error.
+    q, c = (df.where(F.coalesce(F.size("v"), F.lit(0)) > 0) for df in (q, c))
+    n_chunks, low, width, size = c.agg(
+        F.count(F.lit(1)),
+        F.min(F.size("v")),
+        F.max(F.size("v")),
+        F.sum(F.size("v") * 8 + F.octet_length(F.col("cid").cast("string"))),
+    ).first()
     if n_chunks == 0:
         return no_hits(queries, query_id, chunk_id, types)
-    width = c.select(F.size("v")).first()[0]
-    if probes is None and n_chunks * width * 8 <= broadcast_bytes:
+    if low != width:
+        raise ValueError(f"chunk vectors have from {low} to {width} numbers")
+    if probes is None and size <= broadcast_bytes:
         few = first_in_group(c, ["v"], [F.col("cid")], k).select("cid", "v").toPandas()
         hits = _broadcast_hits(q, few, k, types)
     else:
-        hits = _block_hits(q, c, n_chunks, k, probes, cells, block_rows, types)
+        hits = _block_hits(q, c, n_chunks, width, k, probes, cells, block_rows, types)
     return hits.select(
         F.col("qid").alias(query_id),
         F.col("cid").alias(chunk_id),

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from .ordering import first_in_group, rank_in_group, uneven_join
 
 
-def thread_so_far(
+def thread_rows(messages: DataFrame, group: str, order: str) -> DataFrame:
+    """Add ``n_before``: the complete thread of every message in linear form.
+
+    A message's thread are the rows of its group with a smaller ``n_before``; arrays of
+    them would grow with the square of the conversation.
+    """
+    return rank_in_group(messages, [group], order, "n_before")
+
+
+def thread_head(
     messages: DataFrame, group: str, order: str, text: str, n: int
 ) -> DataFrame:
     """Add ``thread`` (the first ``n`` messages before this one) and ``n_before``.
 
-    Prompts read a thread from its oldest message on, so its head is what is
-    kept; ``n_before`` is the full length. The head is built once per
+    Prompts read a thread from its oldest message on, so this keeps its head;
+    ``n_before`` is the full length and ``thread_rows`` the whole thread. The head is built once per
     conversation, however many messages read it.
     """
     heads = (
@@ -29,3 +38,6 @@ def thread_so_far(
         .withColumn("thread", F.transform(earlier, lambda h: h[text]))
         .drop("_head")
     )
+
+
+thread_so_far = thread_head

@@ -352,6 +352,9 @@ ORACLES: dict[str, str] = {
                coalesce(array_to_string((list(text) OVER w)[1:3], {NL} || '==' || {NL}), '') AS thread
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "thread_rows": """
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n_before, text
+        FROM conversations""",
     "previous_messages": f"WITH {MAILS} SELECT conv_id, turn, prev, prev2 FROM mails",
     "lang_id": f"WITH {PROFILE},{DOC_LANG} SELECT doc_id, lang FROM detected",
     "lang_filter": f"WITH {PROFILE},{DOC_LANG} SELECT doc_id, source FROM detected WHERE lang = 'en'",

@@ -170,6 +170,13 @@ def thread_so_far(spark, sf_dir):
     ).select("conv_id", "turn", "n_before", joined(F.col("thread")).alias("thread"))
 
 
+@query
+def thread_rows(spark, sf_dir):
+    """Whole threads: a message's thread are the rows of its conversation before it."""
+    turns = table(spark, sf_dir, "conversations")
+    return threads.thread_rows(turns, "conv_id", "turn").select("conv_id", "turn", "n_before", "text")
+
+
 @query
 def previous_messages(spark, sf_dir):
     return mails(spark, sf_dir).select("conv_id", "turn", "prev", "prev2")
@@ -947,18 +954,19 @@ def stats_by_day(spark, sf_dir):
 
 @query
 def stream_stats_by_day(spark, sf_dir):
-    """The same counts from a file stream with a watermark."""
+    """The same counts from a file stream whose days arrive in any order."""
     events = table(spark, sf_dir, "events")
     arrived = new_work_path(spark, "events")
-    events.select("ts", "event_type").repartition(4).write.parquet(arrived)
+    shuffled = events.select("ts", "event_type").withColumn("h", F.xxhash64("ts", "event_type"))
+    shuffled.repartition(6, "h").drop("h").write.parquet(arrived)
     rows = (
         spark.readStream.schema("ts timestamp_ntz, event_type string")
-        .option("maxFilesPerTrigger", 2)
+        .option("maxFilesPerTrigger", 1)
         .parquet(arrived)
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
     out, checkpoint = new_work_path(spark, "daily"), new_work_path(spark, "daily-state")
-    stream_stats.stream_stats(rows, "ts", "event_type", out, checkpoint, "60 days").awaitTermination()
+    stream_stats.stream_stats(rows, "ts", "event_type", out, checkpoint).awaitTermination()
     return stream_stats.latest_stats(spark, out).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "reason", "n"
     )

@@ -74,10 +74,9 @@ def instruct(
     """
     asked = emails.withColumn("_prompt", prompting.summary_prompt(F.col("email")))
     answered = generate(asked, "_prompt", factory, "_reply").drop("_prompt", "sample_no")
-    if not validate:
-        kept = answered.withColumn("summary", F.col("_reply")).drop("_reply")
-        return kept, answered.where(F.lit(False))
     answered = cut_lineage(answered)
+    if not validate:
+        return answered.withColumnRenamed("_reply", "summary"), answered.where(F.lit(False))
     valid = prompting.has_one_instruction(F.col("_reply"))
     kept = answered.where(valid).withColumn(
         "summary", prompting.instruction_behind_key(F.col("_reply"))

@@ -44,9 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (configured or sc.getCheckpointDir()).rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/lettermill/{spark.sparkContext.applicationId}"
+
+
 def new_work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/lettermill/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder."""
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete all this application wrote as work tables; call it when results are stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .text(path)
         .select(
             F.concat_ws(
-                ":", F.col("_metadata.file_name"), F.monotonically_increasing_id().cast("string")
+                ":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")
             ).alias("msg_id"),
             F.col("_metadata.file_path").alias("source_file"),
             F.col("value").cast("binary").alias("_record"),
@@ -68,7 +68,7 @@ def explode_parts(raw: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for msg_id, data in zip(batch["msg_id"], batch["raw"]):
-                message = message_from_bytes(bytes(data).replace(b"\r\n", b"\n"))
+                message = message_from_bytes(bytes(data))
                 header = message["Date"]
                 iso, micros = _date(header) if header else (None, None)
                 shared = (_text(message["From"]), _text(message["Subject"]), _text(header), iso, micros)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +30,42 @@ def load_index(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return stored.where(F.col("index_name") == index_name)
+    return stored.where(F.col("index_name") == index_name).select(*schema.names)
 
 
 def store_chunks(chunks: DataFrame, path: str) -> None:
-    """Append to the store; indexes are partitions, duplicates are kept."""
-    chunks.write.mode("append").partitionBy("index_name").parquet(path)
+    """Append to the store; indexes are partitions, duplicates are kept.
+
+    Below an index every write has a folder of its own, as the batches of a stream have,
+    so batch and stream can fill the same index.
+    """
+    batch = F.lit(f"set-{uuid.uuid4().hex[:12]}")
+    chunks.withColumn("batch_id", batch).write.mode("append").partitionBy("index_name", "batch_id").parquet(path)
+
+
+def index_folder(spark: SparkSession, path: str, index_name: str) -> str:
+    """The partition folder of an index, its name escaped as the writer does."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path.rstrip('/')}/index_name={escape(index_name)}"
 
 
 def replace_index(chunks: DataFrame, path: str) -> None:
-    """Write the indexes in ``chunks`` anew and leave the others alone."""
-    (
-        chunks.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("index_name")
-        .parquet(path)
-    )
+    """Write the indexes in ``chunks`` anew and leave the others alone.
+
+    The new rows are written beside the old ones, which are deleted afterwards.
+    """
+    spark = chunks.sparkSession
+    written = f"whole-{uuid.uuid4().hex[:12]}"
+    chunks.withColumn("batch_id", F.lit(written)).write.mode("append").partitionBy(
+        "index_name", "batch_id"
+    ).parquet(path)
+    new = spark.read.parquet(path).where(F.col("batch_id") == written)
+    for (name,) in new.select("index_name").distinct().collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(index_folder(spark, path, name))
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in fs.listStatus(folder):
+            if found.getPath().getName() != f"batch_id={written}":
+                fs.delete(found.getPath(), True)
 
 
 def materialise(df: DataFrame, path: str, force: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import cleaning
 from ..operators.embedding import Model, build_index
 from ..schema import PARTS
+from ..sources.store import index_folder
 
 
 def read_part_stream(
@@ -36,7 +37,7 @@ def ingest(
     recursive: bool = True,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Append every batch's clean chunks to ``store``/batch_id=N.
+    """Append every batch's clean chunks to ``store``/index_name=.../batch_id=stream-N.
 
     Takes what has arrived and stops, or goes on with a batch ``every`` interval.
 
@@ -56,7 +57,9 @@ def ingest(
         )
         build_index(
             emails, "email_id", index_name, model, chunk_size, chunk_overlap, recursive
-        ).write.mode("overwrite").partitionBy("index_name").parquet(f"{store}/batch_id={batch_id}")
+        ).drop("index_name").write.mode("overwrite").parquet(
+            f"{index_folder(parts.sparkSession, store, index_name)}/batch_id=stream-{batch_id}"
+        )
 
     return (
         parts.writeStream.foreachBatch(append)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.dates import parse_iso, sort_micros
 from lettermill.operators import ordering, splitting
-from lettermill.operators.threads import thread_so_far
+from lettermill.operators.threads import thread_head, thread_rows
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +49,12 @@ def test_rank_in_group(uneven):
     assert got == want
 
 
-def test_thread_so_far(uneven):
+def test_thread_head_and_rows(uneven):
     rows, df = uneven
-    got = thread_so_far(df, "g", "k", "v", 2).collect()
+    whole = {(r.g, r.k): r.n_before for r in thread_rows(df, "g", "k").collect()}
+    groups = by_group(rows)
+    assert whole == {(g, k): i for g, vs in groups.items() for i, (k, _) in enumerate(vs)}
+    got = thread_head(df, "g", "k", "v", 2).collect()
     groups = by_group(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -66,7 +69,7 @@ def test_uneven_join_equals_join(spark, how):
     table = [(k, f"t{k}") for k in range(0, 50)]
     left = spark.createDataFrame(many, "k int, i int")
     right = spark.createDataFrame(table, "k int, t string")
-    got = ordering.uneven_join(left, right, ["k"], ["i"], how, salts=4).collect()
+    got = ordering.uneven_join(left, right, ["k"], ["i"], how, rows_per_task=300).collect()
     want = left.join(right, "k", how).collect()
     assert sorted((r.k, r.i, str(r.t)) for r in got) == sorted((r.k, r.i, str(r.t)) for r in want)
 
@@ -139,3 +142,38 @@ def test_leaks(spark):
     df = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train")], "t string, split string")
     (row,) = splitting.leaked_bodies(df, "t").collect()
     assert (row.n_train, row.n_test) == (1, 1)
+
+
+@pytest.mark.parametrize("rows_per_task", [7, 64, 10_000])
+def test_ranges_hold_counted_rows(spark, rows_per_task):
+    """Time-stamp keys far apart, NULL groups, one group with a third of all rows."""
+    rng = random.Random(8)
+    stamps = rng.sample(range(10**15, 2 * 10**15), 600)
+    rows = [(None if i < 200 else i % 40, k, f"v{k}") for i, k in enumerate(stamps)]
+    df = spark.createDataFrame(rows, "g int, k bigint, v string").repartition(4)
+    groups = {}
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        groups.setdefault(g, []).append((k, v))
+    ranks = {(r.g, r.k): r.n for r in ordering.rank_in_group(df, ["g"], "k", "n", rows_per_task).collect()}
+    assert ranks == {(g, k): i for g, vs in groups.items() for i, (k, _) in enumerate(vs)}
+    outs = ["p1", "p2"]
+    before = ordering.previous_in_group(df, ["g"], "k", F.col("v"), outs, rows_per_task).collect()
+    for r in before:
+        place = ranks[(r.g, r.k)]
+        vs = [v for _, v in groups[r.g]]
+        assert (r.p1, r.p2) == tuple(vs[place - i] if place >= i else None for i in (1, 2))
+    if rows_per_task == 7:
+        ranged, _ = ordering._ranged(df, ["g"], "k", rows_per_task)
+        assert ranged.groupBy("g", "_range").count().agg(F.max("count")).first()[0] <= 5 * rows_per_task
+
+
+def test_uneven_join_with_many_heavy_keys(spark):
+    """More than a thousand heavy keys, and a key that owns 30 % of the rows."""
+    many = spark.range(30_000).select(
+        F.when(F.col("id") % 10 < 3, -1).when(F.col("id") % 97 == 5, F.lit(None)).otherwise(F.col("id") % 1200).cast("int").alias("k"),
+        F.col("id").cast("int").alias("i"),
+    )
+    table = spark.range(-1, 1100).select(F.col("id").cast("int").alias("k"), F.col("id").cast("string").alias("t"))
+    got = ordering.uneven_join(many, table, ["k"], ["i"], "left", rows_per_task=10)
+    want = many.join(table, "k", "left")
+    assert got.count() == want.count() == 30_000 and got.exceptAll(want.select(got.columns)).isEmpty()

@@ -303,9 +303,7 @@ def test_stream_stats_equal_batch_and_count_late_rows(spark):
 
     def run():
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
-        query = stats.stream_stats(stream, "date", "reason", out, state, "30 days")
-        query.awaitTermination()
-        return query
+        stats.stream_stats(stream, "date", "reason", out, state).awaitTermination()
 
     run()
     want = sorted(map(tuple, stats.stats_by_day(rows, "date", "reason").collect()))
@@ -314,6 +312,23 @@ def test_stream_stats_equal_batch_and_count_late_rows(spark):
     late.select(F.to_timestamp("t").alias("date"), "reason").coalesce(1).write.mode("append").parquet(
         arrived
     )
-    query = run()
-    assert stats.late_rows(query) >= 1
-    assert sorted(map(tuple, stats.latest_stats(spark, out).collect())) == want
+    run()
+    every = sorted(map(tuple, stats.stats_by_day(rows.union(spark.read.parquet(arrived).where("date < '2021-01-01'")), "date", "reason").collect()))
+    assert len(every) == len(want) + 1
+    assert sorted(map(tuple, stats.latest_stats(spark, out).collect())) == every
+    assert stats.late_rows(spark, out) == 0
+
+
+def test_lateness_counts_what_it_leaves_out(spark):
+    arrived, out, state = (new_work_path(spark, n) for n in ("in", "out", "state"))
+    days = [(10, 5), (3, 4), (11, 2), (1, 3)]  # (day, rows), one file and batch each
+    kind = "date timestamp, reason string"
+    for i, (d, n) in enumerate(days):
+        rows = spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00",)] * n, "t string")
+        rows = rows.select(F.to_timestamp("t").alias("date"), F.lit("clean").alias("reason"))
+        rows.coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(arrived)
+        stats.stream_stats(stream, "date", "reason", out, state, lateness="5 days").awaitTermination()
+    assert stats.late_rows(spark, out) == 4 + 3
+    kept = {r["day"].day: r["n"] for r in stats.closed_stats(spark, out).collect()}
+    assert kept == {10: 5, 11: 2}
