@@ -172,7 +172,7 @@ HIT_COLUMNS = "query_id, rank, chunk_id, round(1 - d2 / sqrt(2), 6) AS score"
 # Neighbours among documents that have a vector.
 RAFT = """
 rows AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS e
-         FROM documents JOIN embeddings ON vec_id = doc_id),
+         FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
 dists AS (
   SELECT q.doc_id, c.doc_id AS chunk_id, q.text AS own, c.text AS chunk,
          list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2

@@ -6,7 +6,7 @@ import pytest
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lettermill.session import local_session  # noqa: E402
+from lettermill.session import drop_work, local_session  # noqa: E402
 
 TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,6 +16,7 @@ def spark():
     session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_work(session)
     session.stop()
 
 
