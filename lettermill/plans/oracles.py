@@ -169,7 +169,7 @@ hits AS (
   WHERE rank <= 5)"""
 HIT_COLUMNS = "query_id, rank, chunk_id, round(1 - d2 / sqrt(2), 6) AS score"
 
-# Neighbours among documents that have a vector.
+# Neighbours among documents; vectors repeat where documents outnumber them.
 RAFT = """
 rows AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS e
          FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
