@@ -55,6 +55,10 @@ def python_model(factory: Callable[[], Callable[[list[str]], np.ndarray]]) -> Mo
     return embed
 
 
+#: Models by name; a factory takes its own parameters.
+MODELS: dict[str, Callable[..., Model]] = {"hashed_terms": hashed_terms, "python": python_model}
+
+
 def build_index(
     emails: DataFrame,
     id_col: str,

@@ -19,7 +19,7 @@ ids of equal vectors can be among the k nearest, and equal queries share hits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -320,6 +320,15 @@ def nearest(
     )
 
 
+#: What finds chunks for queries: the arguments of ``nearest``, its hit table.
+Retriever = Callable[..., DataFrame]
+
+
+def never(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", **_) -> DataFrame:
+    """A retriever that finds nothing."""
+    return no_hits(queries, query_id, chunk_id, (dict(queries.dtypes)[query_id], dict(chunks.dtypes)[chunk_id]))
+
+
 def no_hits(
     queries: DataFrame,
     query_id: str = "query_id",
@@ -396,3 +405,6 @@ def with_neighbours(
     )
     empty = F.array().cast(joined.select(plain.alias("x")).schema["x"].dataType)
     return joined.withColumn(out, F.coalesce(plain, empty)).drop("_hits")
+
+
+RETRIEVERS: dict[str, Retriever] = {"nearest": nearest, "none": never}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import RELEVANCE_THRESHOLD
@@ -12,7 +14,8 @@ from ..operators import prompting
 from ..operators.divergence import kmeans_cells, mauve
 from ..operators.embedding import Model, hashed_terms
 from ..operators.generation import GeneratorFactory, generate
-from ..operators.retrieval import above_threshold, nearest, with_neighbours
+from ..operators.ordering import rank_in_group
+from ..operators.retrieval import Retriever, above_threshold, nearest, with_neighbours
 from ..operators.scoring import ROUGE_KEYS, bleu, metric_means, rouge
 from ..session import cut_lineage
 
@@ -24,17 +27,17 @@ class Evaluation:
 
     responses: DataFrame
     goldens: DataFrame
-    scores: DataFrame
-    metrics: DataFrame
+    scores: DataFrame | None
+    metrics: DataFrame | None
 
 
 def _with_hits(
-    prompts: DataFrame, chunks: DataFrame, k: int, threshold: float, model: Model
+    prompts: DataFrame, chunks: DataFrame, k: int, threshold: float, model: Model, search: Callable[..., DataFrame]
 ) -> DataFrame:
     """Add ``hits``: bodies of the stored emails nearest to each prompt."""
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
     queries = model(prompts.select("prompt_id", "prompt"), "prompt", "vector")
-    hits = above_threshold(nearest(queries, keyed, k, query_id="prompt_id"), threshold)
+    hits = above_threshold(search(queries, keyed, k, query_id="prompt_id"), threshold)
     found = with_neighbours(
         prompts,
         hits,
@@ -68,13 +71,21 @@ def evaluate(
     model: Model | None = None,
     system_preamble: str = prompting.SYSTEM_PREAMBLE,
     user_preamble: str = "",
+    rag_preamble: str = prompting.RAG_PREAMBLE,
+    thread_preamble: str = prompting.THREAD_PREAMBLE,
+    build_prompt: Callable[..., Column] = prompting.email_prompt,
+    retriever: Retriever = nearest,
+    probes: int | None = None,
+    search_cells: int | None = None,
+    compute_metrics: bool = True,
 ) -> Evaluation:
     """Answer every distinct prompt of ``test`` and score against all its goldens.
 
     Rows with one prompt share their goldens; the last thread counts. The prompt
     id is a hash of the prompt, so goldens find their prompt without a join.
     Replies are generated once and written before they are scored. With
-    ``chunks`` and ``rag_emails`` the prompt shows retrieved emails.
+    ``chunks`` and ``rag_emails`` the prompt shows retrieved emails. Without
+    ``compute_metrics`` prompts are only answered.
     """
     embed = model or hashed_terms()
     keyed = test.withColumn("prompt_id", F.md5(F.col(prompt)))
@@ -84,16 +95,19 @@ def evaluate(
     if not use_thread:
         prompts = prompts.withColumn("thread", F.lit(None).cast("array<string>"))
     hits = None
+    search = partial(retriever, probes=probes, cells=search_cells)
     if chunks is not None and rag_emails > 0:
-        prompts = _with_hits(cut_lineage(prompts), chunks, rag_emails, threshold, embed)
+        prompts = _with_hits(cut_lineage(prompts), chunks, rag_emails, threshold, embed, search)
         hits = F.col("hits")
-    full_prompt = prompting.email_prompt(
+    full_prompt = build_prompt(
         F.col("prompt"),
         system_preamble,
         user_preamble,
         hits=hits,
+        rag_preamble=rag_preamble,
         thread=F.col("thread") if use_thread else None,
         thread_emails=thread_emails,
+        thread_preamble=thread_preamble,
     )
     asked = prompts.select("prompt_id", "prompt", "thread", "first_seq", full_prompt.alias("full_prompt"))
     answered = generate(asked, "full_prompt", factory, samples=samples)
@@ -102,9 +116,11 @@ def evaluate(
             "sample_id", F.concat_ws("#", "prompt_id", F.col("sample_no").cast("string"))
         )
     )
-    goldens = keyed.where(F.col(email).isNotNull()).select(
-        "prompt_id", F.col(seq).alias("golden_no"), F.col(email).alias("golden")
-    )
+    # Numbered densely, so that ranges of goldens are full.
+    answers = keyed.where(F.col(email).isNotNull()).select("prompt_id", F.col(seq).alias("_seq"), F.col(email).alias("golden"))
+    goldens = rank_in_group(answers, ["prompt_id"], "_seq", "golden_no").select("prompt_id", "golden_no", "golden")
+    if not compute_metrics:
+        return Evaluation(responses, goldens, None, None)
     replies = responses.select("sample_id", "prompt_id", "response")
     scores = cut_lineage(
         replies.select("sample_id", "prompt_id")

@@ -25,7 +25,7 @@ from ..functions.dates import sort_micros
 from ..operators import cleaning, prompting
 from ..operators.embedding import Model, build_index, hashed_terms
 from ..operators.generation import GeneratorFactory, generate
-from ..operators.retrieval import nearest, with_neighbours
+from ..operators.retrieval import Retriever, nearest, with_neighbours
 from ..operators.splitting import split_train_test
 from ..session import cut_lineage
 from ..sources import mbox
@@ -49,6 +49,11 @@ class Settings:
     system_preamble: str = prompting.SYSTEM_PREAMBLE
     user_preamble: str = ""
     chat_model: str = "llama"
+    rag_preamble: str = prompting.RAG_PREAMBLE
+    thread_preamble: str = prompting.THREAD_PREAMBLE
+    # Approximate retrieval: cells visited per query, and how many there are.
+    probes: int | None = None
+    cells: int | None = None
 
 
 def extract(
@@ -116,6 +121,7 @@ def enrich(
     query_text: Column | None = None,
     drop_contained: bool = True,
     exclude_self: bool = True,
+    retriever: Retriever = nearest,
 ) -> DataFrame:
     """Training emails with their nearest stored emails in ``relevant_emails``.
 
@@ -126,7 +132,9 @@ def enrich(
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
     asked = train.select(id_col, (F.col("email") if query_text is None else query_text).alias("q"))
     queries = (model or hashed_terms())(asked, "q", "vector")
-    hits = nearest(queries, keyed, settings.neighbours, query_id=id_col)
+    hits = retriever(
+        queries, keyed, settings.neighbours, query_id=id_col, probes=settings.probes, cells=settings.cells
+    )
     chunk_of = F.regexp_replace("chunk_id", r"#[0-9]+\z", "")
     return with_neighbours(
         train,
@@ -142,8 +150,13 @@ def enrich(
     )
 
 
-def training_pairs(enriched: DataFrame, settings: Settings) -> DataFrame:
-    """Prompt and response of every row with a summary, plus the length check."""
+def training_pairs(
+    enriched: DataFrame, settings: Settings, build_prompt: Callable[..., Column] = prompting.email_prompt
+) -> DataFrame:
+    """Prompt and response of every row with a summary, plus the length check.
+
+    ``build_prompt`` has the arguments of ``email_prompt``.
+    """
     hits = None
     if settings.rag_emails > 0:
         near = F.filter(
@@ -152,13 +165,15 @@ def training_pairs(enriched: DataFrame, settings: Settings) -> DataFrame:
         hits = F.transform(
             F.slice(near, 1, settings.rag_emails), lambda h: h["serialized_email"]["email"]
         )
-    prompt = prompting.email_prompt(
+    prompt = build_prompt(
         prompting.instruction_of(F.col("summary")),
         settings.system_preamble,
         settings.user_preamble,
         hits=hits,
+        rag_preamble=settings.rag_preamble,
         thread=F.col("thread"),
         thread_emails=settings.thread_emails,
+        thread_preamble=settings.thread_preamble,
     )
     paired = enriched.select(
         "email_id",

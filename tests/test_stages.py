@@ -1,13 +1,17 @@
 """The stages composed: mailbox files to training pairs."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lettermill.operators import cleaning, generation
-from lettermill.operators.embedding import hashed_terms
+from lettermill.operators.embedding import build_index, hashed_terms
 from lettermill.operators.prompting import instruction_of
+from lettermill.operators.retrieval import RETRIEVERS
 from lettermill.plans import stages
+from lettermill.plans.evaluation import evaluate
 from lettermill.session import cut_lineage, new_work_path
-from lettermill.sources import mbox
+from lettermill.sources import mbox, store
 
 
 def test_mailbox_to_pairs(spark):
@@ -71,3 +75,49 @@ def test_invalid_instructions_are_set_aside(spark):
     assert [(r.email, r.reply) for r in rejected.collect()] == [("bad", "no key")]
     everything, _ = stages.instruct(emails, factory, validate=False)
     assert everything.count() == 2
+
+
+def test_run_parameters(spark):
+    """Own templates, another prompt builder, no retrieval, replies without metrics."""
+    rows = [("a", "first mail", ["t1"], 10**15, "Instruction: ask"), ("b", "second mail", ["t2"], 3 * 10**15, "Instruction: ask")]
+    test = spark.createDataFrame(rows, "email_id string, email string, thread array<string>, seq bigint, summary string")
+    made = evaluate(
+        test, generation.echo, use_thread=True, thread_emails=1, system_preamble="S",
+        thread_preamble="THREAD {threading_context}", compute_metrics=False,
+    )
+    assert made.scores is None and made.metrics is None
+    reply = made.responses.first()["response"]
+    assert "S\n\nTHREAD t2" in reply and made.responses.count() == 1
+    assert sorted((r.golden_no, r.golden) for r in made.goldens.collect()) == [(0, "first mail"), (1, "second mail")]
+    shouted = evaluate(test, generation.echo, build_prompt=lambda text, *_, **__: F.upper(text), compute_metrics=False)
+    assert "INSTRUCTION: ASK" in shouted.responses.first()["response"]
+
+    settings = stages.Settings(addresses=("a",), neighbours=1, rag_emails=1, rag_preamble="HITS {rag_context}", system_preamble="")
+    train = test.withColumn("subject", F.lit("s")).withColumn("date_iso", F.lit("2024-01-01T00:00:00"))
+    chunks = cut_lineage(stages.index(train, settings, hashed_terms(8)))
+    found = stages.enrich(train, chunks, settings, hashed_terms(8), retriever=RETRIEVERS["none"])
+    pairs = stages.training_pairs(found, settings).collect()
+    assert len(pairs) == 2 and all("HITS" in p.prompt for p in pairs)
+    near = stages.enrich(train, chunks, replace(settings, probes=1, cells=1), hashed_terms(8), exclude_self=False, drop_contained=False)
+    assert all(len(r.relevant_emails) == 1 for r in near.collect())
+
+
+def test_cleaning_is_evaluated_once(spark):
+    parts = spark.createDataFrame([], "msg_id string, part_no int, from_addr string, subject string, date_raw string, date_iso string, date_us bigint, content_type string, payload binary")
+    plan = cleaning.clean_emails(cleaning.flag_parts(parts, ["me@x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+    assert cleaning.flag_parts(parts, []).count() == 0
+
+
+def test_batch_and_stream_share_an_index(spark):
+    out = new_work_path(spark, "store")
+    emails = spark.createDataFrame([("e1", "some text", "s", ["t"], "2024-01-01", None)],
+        "id string, email string, subject string, thread array<string>, date string, summary string")
+    chunks = build_index(emails, "id", "my index", hashed_terms(8), 100, 10, recursive=False)
+    store.store_chunks(chunks, out)
+    chunks.drop("index_name").write.parquet(f"{store.index_folder(spark, out, 'my index')}/batch_id=stream-0")
+    store.store_chunks(chunks.withColumn("index_name", F.lit("other")), out)
+    assert store.load_index(spark, out, "my index").count() == 2
+    store.replace_index(chunks, out)
+    assert store.load_index(spark, out, "my index").count() == 1
+    assert store.load_index(spark, out, "other").count() == 1
