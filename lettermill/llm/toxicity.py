@@ -103,21 +103,33 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (fewer if fewer share a term) and their cosines."""
         bound = weights @ self.block_max[terms]
-        best_at, best = np.empty(0, np.int64), np.empty(0, np.float64)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < best[-1] - 1e-6):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.places[t, block], self.places[t, block + 1]
-                score[self.examples[a:b] - block * BLOCK] += w * self.weights[a:b]
-            if block * BLOCK <= skip < (block + 1) * BLOCK:
-                score[skip - block * BLOCK] = 0.0
-            hit = np.flatnonzero(score > 0)
-            at, score = np.concatenate([best_at, hit + block * BLOCK]), np.concatenate([best, score[hit]])
-            order = np.lexsort((at, -np.round(score, 6)))[:k]
-            best_at, best = at[order], score[order]
-        return best_at, best
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, score = np.empty(0, np.int64), np.empty(0)
+        # The most promising blocks first, then ever more of those that can still matter.
+        first, count = 0, 2
+        while first < len(order):
+            blocks = order[first : first + count]
+            if len(score) >= k:
+                blocks = blocks[bound[blocks] >= score[-1] - 1e-6]
+                if not len(blocks):
+                    break
+            hit, value = self._scored(terms, weights, blocks)
+            at, score = np.concatenate([at, hit[hit != skip]]), np.concatenate([score, value[hit != skip]])
+            best = np.lexsort((at, -np.round(score, 6)))[:k]
+            at, score = at[best], score[best]
+            first, count = first + count, count * 4
+        return at, score
+
+    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the examples in ``blocks`` that share a term with the query."""
+        begin, end = self.places[terms][:, blocks].ravel(), self.places[terms][:, blocks + 1].ravel()
+        length = end - begin
+        rows = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        example = self.examples[rows]
+        value = self.weights[rows] * np.repeat(np.repeat(weights, len(blocks)), length)
+        found, place = np.unique(example, return_inverse=True)
+        return found, np.bincount(place, weights=value, minlength=len(found))
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Mean label of the neighbours, each weighted by 1 / (1.05 - cosine)."""
