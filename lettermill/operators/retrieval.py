@@ -101,37 +101,55 @@ def _broadcast_hits(queries: DataFrame, few: pd.DataFrame, k: int, types) -> Dat
     return queries.mapInPandas(search, f"qid {types[0]}, cid {types[1]}, rank int, d2 double")
 
 
-def pivot_tree(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """About sqrt(p) of the pivots as centres, and the pivots nearest to each."""
+def pivot_tree(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """About sqrt(p) of the pivots as centres, the pivots nearest to each, their radius."""
     centres = pivots[:: max(1, math.isqrt(len(pivots)))]
-    _, owner, _ = block_top_k(pivots, centres, 1)
-    return centres, [np.flatnonzero(owner == c) for c in range(len(centres))]
+    _, owner, d2 = block_top_k(pivots, centres, 1)
+    owned = [np.flatnonzero(owner == c) for c in range(len(centres))]
+    return centres, owned, np.array([np.sqrt(d2[o].max()) if len(o) else -np.inf for o in owned])
 
 
-def near_pivots(vectors: np.ndarray, pivots: np.ndarray, tree) -> tuple[np.ndarray, np.ndarray]:
-    """A near pivot of every vector and its distance, by way of the nearest centre.
+def nearest_pivot(vectors: np.ndarray, pivots: np.ndarray, tree) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every vector and its distance; the first of equally near ones.
 
-    Two steps of sqrt(p) comparisons instead of p. The pivot need not be the nearest:
-    cells keep the distances measured here, so the triangle inequality stays right.
+    A centre's pivots are looked at only by the vectors for which, by the triangle
+    inequality, one of them can be nearer than the best so far: about 2 sqrt(p)
+    comparisons where vectors are clustered.
     """
-    centres, owned = tree
-    _, centre, _ = block_top_k(vectors, centres, 1)
-    cell, reach = np.empty(len(vectors), dtype=np.int32), np.empty(len(vectors))
-    for c in np.unique(centre):
-        rows = np.flatnonzero(centre == c)
-        _, best, d2 = block_top_k(vectors[rows], pivots[owned[c]], 1)
-        cell[rows], reach[rows] = owned[c][best], np.sqrt(d2)
-    return cell, reach
-
-
-def _near_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+    centres, owned, radius = tree
+    norms, own_norms = (vectors**2).sum(axis=1), (centres**2).sum(axis=1)
+    square = norms[:, None] + own_norms[None, :] - 2.0 * (vectors @ centres.T)
+    slack = 1e-6 * (1.0 + np.sqrt(norms + own_norms.max()))  # of a distance by products
+    gap = np.sqrt(np.maximum(square, 0.0))
+    cell = np.full(len(vectors), len(pivots), dtype=np.int64)
+    best = np.full(len(vectors), np.inf)
+
+    def look(rows: np.ndarray, c: int) -> None:
+        _, found, d2 = block_top_k(vectors[rows], pivots[owned[c]], 1)
+        found = owned[c][found]
+        better = (d2 < best[rows]) | ((d2 == best[rows]) & (found < cell[rows]))
+        cell[rows[better]], best[rows[better]] = found[better], d2[better]
+
+    own = gap.argmin(axis=1)
+    for c in range(len(centres)):
+        rows = np.flatnonzero(own == c)
+        if len(rows) and len(owned[c]):
+            look(rows, c)
+    for c in range(len(centres)):
+        may = (gap[:, c] - radius[c] <= np.sqrt(best) + slack) & (own != c)
+        if len(owned[c]) and may.any():
+            look(np.flatnonzero(may), c)
+    return cell.astype(np.int32), np.sqrt(best)
+
+
+def _nearest_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
     shared = groups.sparkSession.sparkContext.broadcast((pivots, pivot_tree(pivots)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch) == 0:
                 continue
-            cell, reach = near_pivots(_matrix(batch["v"]), *shared.value)
+            cell, reach = nearest_pivot(_matrix(batch["v"]), *shared.value)
             yield batch.assign(cell=cell, reach=reach)
 
     return groups.mapInPandas(
@@ -193,7 +211,7 @@ def _block_hits(
     wanted = cells or max(1, min(math.isqrt(n_chunks), PIVOT_BYTES // (8 * max(1, width))))
     picked = groups.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(wanted)
     pivots = _matrix(picked.select("v").toPandas()["v"])
-    assigned = cut_lineage(_near_pivot(groups, pivots, c_type))
+    assigned = cut_lineage(_nearest_pivot(groups, pivots, c_type))
     radius, filled = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
     for cell, n, reach in (
         assigned.groupBy("cell").agg(F.count(F.lit(1)), F.max("reach")).collect()

@@ -134,3 +134,27 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = found(R.nearest(q.repartition(1), c.repartition(9), 3, broadcast_bytes=0, block_rows=10))
     b = found(R.nearest(q.repartition(16), c.repartition(1), 3))
     assert a == b
+
+
+def test_nearest_pivot_through_the_tree():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8)) * 20
+    pivots = np.concatenate([c + rng.normal(size=(20, 8)) for c in centres] + [np.zeros((2, 8))])
+    vectors = np.concatenate([pivots[:40], rng.normal(size=(60, 8)) * 15])
+    cell, reach = R.nearest_pivot(vectors, pivots, R.pivot_tree(pivots))
+    d2 = ((vectors[:, None] - pivots[None]) ** 2).sum(axis=2)
+    assert (cell == d2.argmin(axis=1)).all() and np.allclose(reach, np.sqrt(d2.min(axis=1)))
+
+
+def test_odd_chunk_vectors(spark):
+    """Rows without a vector match nothing, also in first place; uneven ones are an error."""
+    kind = "id string, vector array<float>"
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None), ("empty", [])], kind)
+    chunks = spark.createDataFrame([("a", None), ("b", []), ("c", [1.0, 0.5])], kind)
+    hits = R.nearest(
+        queries.withColumnRenamed("id", "query_id"), chunks.withColumnRenamed("id", "chunk_id"), 2
+    )
+    assert [(r.query_id, r.chunk_id) for r in hits.collect()] == [("q", "c")]
+    uneven = chunks.union(spark.createDataFrame([("d", [1.0])], kind)).withColumnRenamed("id", "chunk_id")
+    with pytest.raises(ValueError):
+        R.nearest(queries.withColumnRenamed("id", "query_id"), uneven, 2)
