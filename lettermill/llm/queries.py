@@ -101,6 +101,12 @@ FROM cut GROUP BY doc_id
 ORACLES["op2_line_runs"] = _line_runs_sql()
 
 
+@query
+def op2_maximal_runs(spark, sf_dir):
+    found = line_runs.without_runs(documents(spark, sf_dir), maximal=True)
+    return found.select("doc_id", "n_lines", "n_deleted", "deleted_words", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 @query
 def op3_quality_neighbours(spark, sf_dir):
     docs = documents(spark, sf_dir)
