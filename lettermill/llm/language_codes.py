@@ -10,7 +10,10 @@ text whose two best codewords are nearly as good is flagged ambiguous.
 Up to seven languages get the exhaustive code (all ways to split them in two); more get
 random columns from a fixed seed, those with the largest smallest distance.
 
-What is broadcast is bounded: (bits x TRIGRAMS) weights for at most MAX_LANGUAGES languages.
+Every language with labelled texts is learnt. What is broadcast are (bits x TRIGRAMS) weights,
+with 10 * log2 of the languages as bits, and the codewords; the driver takes in the counts of
+one language after another. Codewords are compared in pairs, so that more than MAX_LANGUAGES
+languages are an error; none is left out.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; null
 languages and null ids are not learnt from; with nothing learnt all texts are ``und``; with
@@ -20,7 +23,7 @@ not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, fold, pieces, text_or_empty, written
+from .common import LOWER, byte_table, fold, pieces, small, text_or_empty, written
 from .quality_neighbours import trigram_slots
 
 TRIGRAM_BITS = 15
 TRIGRAMS = 1 << TRIGRAM_BITS
-MAX_LANGUAGES = 128
+MAX_LANGUAGES = 4096
 SAMPLE_DOCS = 1000  # labelled texts per language
 EVIDENCE = 12.0  # trigrams after which more text makes no surer
 AMBIGUOUS = 0.8
+HELD_TABLES = 256  # languages a task counts before it passes its counts on
+DECODED = 1 << 22  # losses (texts x languages x bits) worked out at once
 FOLDS, HELD_OUT = 4, 2
 
 _LETTERS = byte_table(lambda b: b >= 0x80 or chr(b).isalpha())
@@ -77,7 +82,10 @@ class Codebook:
         if len(self.languages) == 1:
             n = len(margins)
             return np.zeros(n, dtype=int), np.ones(n), np.zeros(n, dtype=bool)
-        loss = np.logaddexp(0.0, -margins[:, None, :] * self.code[None]).sum(axis=2)
+        loss = np.empty((len(margins), len(self.code)))
+        rows = max(1, DECODED // self.code.size)
+        for i in range(0, len(margins), rows):
+            loss[i : i + rows] = np.logaddexp(0.0, -margins[i : i + rows, None, :] * self.code[None]).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
         share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
@@ -103,15 +111,17 @@ class Codebook:
         return out * surety[:, None]
 
 
-def train(languages: list[str], counts: np.ndarray) -> Codebook:
-    """Codebook from (languages, TRIGRAMS) counts."""
-    share = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
+def train(languages: list[str], tables: Iterable[np.ndarray]) -> Codebook:
+    """Codebook from the TRIGRAMS counts of each language, in the order of ``languages``."""
     code = codewords(len(languages))
-    weights = np.zeros((code.shape[1], TRIGRAMS), dtype=np.float32)
-    for bit in range(code.shape[1]):
-        plus = code[:, bit] > 0
-        weights[bit] = np.log(share[plus].mean(axis=0)) - np.log(share[~plus].mean(axis=0))
-    return Codebook(languages, code, weights)
+    plus, minus = np.zeros((2, code.shape[1], TRIGRAMS))
+    for word, counts in zip(code, tables, strict=True):
+        share = (counts + 0.1) / (counts + 0.1).sum()
+        plus[word > 0] += share
+        minus[word < 0] += share
+    ahead = (code > 0).sum(axis=0)[:, None]
+    weights = np.log(plus / ahead) - np.log(minus / (len(languages) - ahead))
+    return Codebook(languages, code, weights.astype(np.float32))
 
 
 def fit(
@@ -123,23 +133,31 @@ def fit(
     max_languages: int = MAX_LANGUAGES,
 ) -> Codebook:
     """Learn from rows with a language outside the held-out fold: at most ``sample_docs``
-    texts for each of the ``max_languages`` most frequent languages, by smallest hash."""
+    texts for each language, by smallest hash. More than ``max_languages`` are an error."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     usable = rows.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).select("lang")
+    if usable.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError("more languages than max_languages")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked, _ = written(
         usable.select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= sample_docs)
-        .join(F.broadcast(names), "lang")
         .select("doc_id", "lang")
         .distinct(),
         "lang-sample",
     )
 
+    def counted(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, table in seen.items():
+            used = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(table[used])],
+                ["lang", "slot", "n"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -148,28 +166,31 @@ def fit(
                 for i in range(end - first):
                     text = PLAIN[raw[starts[i] : starts[i + 1]]]
                     if len(text) >= 3:
+                        if len(seen) >= HELD_TABLES and langs[first + i] not in seen:
+                            yield from counted(seen)
+                            seen = {}
                         table = seen.setdefault(langs[first + i], np.zeros(TRIGRAMS, dtype=np.int64))
                         table += np.bincount(trigram_slots(text, TRIGRAM_BITS), minlength=TRIGRAMS)
-        for lang, table in seen.items():
-            used = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(table[used])],
-                ["lang", "slot", "n"],
-            )
+        yield from counted(seen)
 
-    sampled = usable.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang")
-    found = (
+    sampled = usable.join(small(picked, picked.count()), ["doc_id", "lang"]).select("text", "lang")
+    found, _ = written(
         sampled.mapInArrow(run, "lang string, slot int, n bigint")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .groupBy("lang")
+        .agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")),
+        "lang-counts",
     )
-    languages = sorted(found["lang"].unique().tolist())
-    counts = np.zeros((len(languages), TRIGRAMS))
-    place = {lang: i for i, lang in enumerate(languages)}
-    if len(found):
-        counts[found["lang"].map(place).to_numpy(), found["slot"].to_numpy()] = found["n"].to_numpy()
-    return train(languages, counts)
+    languages = sorted(r["lang"] for r in found.select("lang").collect())
+
+    def tables() -> Iterator[np.ndarray]:
+        for r in found.orderBy("lang").toLocalIterator():
+            table = np.zeros(TRIGRAMS)
+            table[r["slots"]] = r["counts"]
+            yield table
+
+    return train(languages, tables())
 
 
 def identify(docs: DataFrame, book: Codebook, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

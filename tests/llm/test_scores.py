@@ -111,6 +111,23 @@ def test_language(spark, docs):
     assert all(lang != "und" for d, lang, _ in odd if d not in (1, 2, 3, 4))
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    """140 languages of own words, the last ones rarer; more than are allowed is an error."""
+    monkeypatch.setattr(language_codes, "DECODED", 1 << 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(140):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(rng.permutation(words)), f"l{k:03}") for i in range(9 if k < 130 else 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    book = language_codes.fit(df)
+    assert book.languages == sorted({lang for _, _, lang in rows})
+    found = {r["doc_id"]: r["lang_pred"] for r in language_codes.identify(df, book).collect()}
+    assert found == {d: lang for d, _, lang in rows}
+    with pytest.raises(ValueError, match="more languages"):
+        language_codes.fit(df, max_languages=139)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 8, 20])
 def test_codewords(n):
     code = language_codes.codewords(n)
