@@ -3,7 +3,8 @@
 1. *Sketch*: each text becomes a set of hashed shingles, of which are kept a digest, the
    size, 40 band keys of five MinHash values each, and the low byte of 128 values. A text of
    one to four words is one shingle.
-2. Texts with equal sets are one *unit*; only units go on.
+2. Texts with equal sets are one *unit*; only units go on. Units are numbered in the order of
+   their smallest ids and digests, so that different texts with one id are different units.
 3. *Candidates* meet in a bucket of equal band keys. A pair at 0.8 shares a bucket with
    probability 1 - (1 - 0.8**5)**40 = 1 - 1.3e-7. Buckets of one unit are dropped before
    anything is fetched for them; large ones are compared block against block.
@@ -21,7 +22,7 @@ it is the one that stays.
 
 Defined cases: null, empty and blank texts have no shingles and no links, each is its own
 class; doc_id NULL takes part, its class is NULL unless a document with an id is in it;
-equal texts are linked; rows that repeat are rows; an empty table gives an empty result;
+equal texts are linked; rows that repeat are rows, one row of a class stays; an empty table gives an empty result;
 other columns are not looked at.
 """
 
@@ -45,7 +46,6 @@ BANDS, ROWS = 40, 5
 COMPARED, STEP = 128, 16
 TOLERANCE = 1e-6
 BLOCK = 256  # units of one side of a block comparison
-NO_ID = 1 << 62  # stand-in ids of rows without doc_id begin here
 FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 OFFSETS = mix64(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -316,20 +316,20 @@ def ngram_join(
     """One row per document: doc_id, class_id, n_links, stays, row (a hash of the text)."""
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.md5(text).alias("row"))
-    sketched, _ = written(sketch_rows(base), "ngram-sketch")
-    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(NO_ID))
-    filled = sketched.where("n > 0").withColumn("own", own)
-
-    sized = filled.groupBy("digest").agg(F.min("own").alias("unit"), F.count(F.lit(1)).alias("copies"))
-    sized, _ = written(sized, "ngram-units")
-    # One row of each unit carries its sketch: the one with the unit's id.
-    units = (
-        filled.select("own", "digest", "bands", "sketch")
-        .join(sized, (filled["own"] == sized["unit"]) & (filled["digest"] == sized["digest"]))
-        .select("unit", "copies", filled["digest"], "bands", "sketch")
-        .dropDuplicates(["unit"])  # rows that repeat an id count as one document
+    # ``seq`` tells rows apart that repeat id and text.
+    sketched, _ = written(sketch_rows(base).withColumn("seq", F.monotonically_increasing_id()), "ngram-sketch")
+    filled = sketched.where("n > 0")
+
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "seq")
+    sized = filled.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
+    sized = sized.select("digest", "copies", "first.*").repartitionByRange("no_id", "doc_id", "digest")
+    sized = sized.sortWithinPartitions("no_id", "doc_id", "digest").withColumn("unit", F.monotonically_increasing_id())
+    sized, _ = written(sized.drop("no_id"), "ngram-units")
+    # The first row of each unit carries its sketch.
+    units = filled.select("seq", "digest", "bands", "sketch").join(
+        sized.select("unit", "copies", "digest", "seq"), ["digest", "seq"]
     )
-    units, _ = written(units, "ngram-unit-sketches")
+    units, _ = written(units.select("unit", "copies", "bands", "sketch"), "ngram-unit-sketches")
 
     families = components(candidate_edges(units, threshold, tolerance))
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -338,12 +338,7 @@ def ngram_join(
         "ngram-families",
     )
     n_members = families.count()
-    wanted = (
-        filled.select("doc_id", "row", "own", "digest")
-        .join(small(families.select("unit").withColumnRenamed("unit", "own"), n_members), "own", "left_semi")
-        .groupBy("own").agg(F.min(F.struct("doc_id", "row")).alias("one"))
-        .select(F.col("own").alias("unit"), "one.doc_id", "one.row")
-    )
+    wanted = sized.select("unit", "doc_id", "row").join(small(families.select("unit"), n_members), "unit", "left_semi")
     wanted, _ = written(wanted, "ngram-wanted")
     same = base["doc_id"].eqNullSafe(wanted["doc_id"]) & (base["row"] == wanted["row"])
     texts = base.join(small(wanted, n_members), same).select("text", "unit")
@@ -371,26 +366,37 @@ def ngram_join(
         ),
         "ngram-classes",
     )
-    out = sketched.select("doc_id", "row", "digest", "n", own.alias("own")).join(
+    stay = sized.select(F.col("unit").alias("label"), F.col("doc_id").alias("class_id"), F.col("seq").alias("stay"))
+    stay, _ = written(stay.join(found.select("label").distinct(), "label"), "ngram-stay")
+    found, _ = written(found.join(small(stay, stay.count()), "label").drop("label"), "ngram-found")
+    out = sketched.select("doc_id", "row", "digest", "n", "seq").join(
         small(found, found.count()), (F.col("n") > 0) & (sketched["digest"] == found["digest"]), "left"
     )
-    label = F.coalesce("label", "own")
     return out.select(
         "doc_id",
-        F.when(F.col("n") == 0, F.col("doc_id")).when(label < NO_ID, label).alias("class_id"),
+        F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        ((F.col("n") == 0) | (F.col("own") == label)).alias("stays"),
+        (F.col("n_links").isNull() | (F.col("seq") == F.col("stay"))).alias("stays"),
         "row",
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class; all columns as they came."""
+    """``docs`` with one document of each class; all columns as they came. Of rows that repeat
+    id and text any one can be the one that stays."""
     found = ngram_join(docs, id_col, text_col, **options)
-    gone, _ = written(found.where(~F.col("stays")).select("doc_id", "row").distinct(), "ngram-gone")
+    linked = found.where("n_links > 0").groupBy("doc_id", "row")
+    linked = linked.agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
+    linked, _ = written(linked, "ngram-gone")
+    gone, repeated = linked.where(~F.col("stays")), linked.where("stays")
     ids, rows = fresh(docs, "_ngram_id"), fresh(docs, "_ngram_row")
-    gone = gone.select(F.col("doc_id").alias(ids), F.col("row").alias(rows))
-    same = docs[f"`{id_col}`"].cast("bigint").eqNullSafe(gone[ids]) & (
-        F.md5(text_or_empty(docs[f"`{text_col}`"])) == gone[rows]
-    )
-    return docs.join(small(gone, gone.count()), same, "left_anti")
+    own_id, own_row = docs[f"`{id_col}`"].cast("bigint"), F.md5(text_or_empty(docs[f"`{text_col}`"]))
+
+    def among(linked: DataFrame, how: str) -> DataFrame:
+        linked = linked.select(F.col("doc_id").alias(ids), F.col("row").alias(rows))
+        return docs.join(small(linked, linked.count()), own_id.eqNullSafe(linked[ids]) & (own_row == linked[rows]), how)
+
+    if repeated.isEmpty():
+        return among(gone, "left_anti")
+    once = among(repeated, "left_semi").withColumns({ids: own_id, rows: own_row}).dropDuplicates([ids, rows])
+    return among(linked, "left_anti").union(once.drop(ids, rows))

@@ -77,6 +77,20 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert got(ngram_join.ngram_join(df)) == brute(rows)
 
 
+def test_different_texts_with_one_id(spark):
+    """Ids 1 and 2 stand for two texts each, all with near copies of their own; rows repeat."""
+    a, b, c, d = (list(near_copies(seed, 200, 3, 1)) for seed in (11, 12, 13, 14))
+    rows = [(1, a[0]), (1, b[0]), (2, c[0]), (2, d[0]), (3, a[1]), (4, b[1]), (5, c[1]), (6, d[1]), (7, "alone with words of its own")]
+    rows += [(1, a[0]), (1, a[0]), (None, d[2]), (None, "no id here but two rows"), (None, "no id here but two rows"), (8, ""), (8, "")]
+    df = spark.createDataFrame([(x, t, i) for i, (x, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+    assert got(ngram_join.ngram_join(df)) == brute(rows)
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    least = [(1, a[0]), (1, b[0]), (2, c[0]), (2, d[0]), (7, rows[8][1]), (None, rows[12][1]), (8, ""), (8, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(least, key=repr)
+    assert ngram_join.ngram_join(df).where("stays").count() == len(least)
+
+
 def test_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
