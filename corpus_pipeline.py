@@ -47,8 +47,9 @@ STAGES = [
     ("bpe_codec", encode),
 ]
 
-# Learned scores, balanced draws and merges have no SQL form; tests hold each stage
-# against a brute-force version.
+# Learned scores, balanced draws and merges have no SQL form. The pipeline test holds exact
+# deduplication against a brute-force version, the toxicity and join stages against their own
+# operators, the mix and the encoding against row sets and totals; it does not call run().
 ORACLE_SQL = None
 
 
