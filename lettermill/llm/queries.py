@@ -15,6 +15,7 @@ from . import (
     ngram_join,
     quality_neighbours,
     quality_rules,
+    source_divergence,
     source_mix,
     token_counts,
     toxicity,
@@ -196,3 +197,45 @@ def op9_bpe_round_trip(spark, sf_dir):
 @query
 def op10_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+_PRICE = "1 + ({scale}::HUGEINT * ({n} + 5)) // ({all_n} + 5 * kept)"
+
+ORACLES["op13_source_divergence"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (
+  SELECT r, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term
+  HAVING count(DISTINCT r) >= {source_divergence.MIN_DOCS}),
+langs AS (SELECT lang, sum(n) AS lang_n, count(*) AS kept FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+priced AS (
+  SELECT lang, source, term, n,
+         {_PRICE.format(scale=source_divergence.SCALE, n="n", all_n="(sum(n) OVER (PARTITION BY lang, source))")} AS p,
+         {_PRICE.format(scale=source_divergence.SCALE, n="total", all_n="lang_n")} AS q
+  FROM grid JOIN langs USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b
+    ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM priced WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= {source_divergence.TOP}
+"""
