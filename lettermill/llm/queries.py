@@ -17,6 +17,7 @@ from . import (
     quality_rules,
     source_divergence,
     source_mix,
+    spelling_variants,
     token_counts,
     toxicity,
 )
@@ -239,3 +240,55 @@ found AS (
 SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
 FROM found QUALIFY part = 'pair' OR rank <= {source_divergence.TOP}
 """
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
+# CRC-32 by its table of 256 remainders, byte by byte.
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE steps AS (
+  SELECT b, b AS v, 0 AS k FROM (SELECT unnest(generate_series(0::BIGINT, 255)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM runs
+  WHERE length(run) >= {spelling_variants.MIN_LENGTH} GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+      [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(s), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM counted, tab),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % {spelling_variants.THINNING} = 0
+                THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2)
+                ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {spelling_variants.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling_variants.MIN_COUNT}),
+less AS (
+  SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL
+  SELECT DISTINCT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION ALL
+  SELECT DISTINCT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, CASE WHEN near_n >= {spelling_variants.FACTOR} * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= {spelling_variants.FACTOR} * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms
+  UNION ALL
+  SELECT c.word, coalesce(f.form, f.word), f.form IS NULL FROM chain c JOIN forms f ON f.word = c.root WHERE NOT c.done)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.done
+"""
