@@ -255,7 +255,7 @@ WITH RECURSIVE steps AS (
   SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
 tab AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
 runs AS (
-  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{spelling_variants.LETTERS}]+')),
                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
 counted AS (
   SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM runs
