@@ -1,47 +1,57 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words of letters and digits and the four- and five-byte beginnings
-of longer words (inflected insults share them). The vocabulary are the terms whose
-presence depends on the label (chi-square, Yates-corrected) among the labelled examples;
-vectors are (1 + ln tf) * idf over it, with unit length.
-
-The examples are held in a block-max inverted index: postings by term in blocks of BLOCK
-examples, and per term and block the largest weight. For a query the sum of its weights
-times these maxima bounds every cosine in a block; blocks are visited by falling bound and
-the search ends when no unvisited block can beat the k-th best, so the k nearest are exact.
-Among equal cosines the example that comes first in the index wins.
+of longer words (inflected insults share them). All terms of the examples are indexed. A
+weight is (1 + ln tf) * idf * relevance; relevance runs from FLOOR to 1 with the chi-square
+(Yates-corrected) of the term's presence against the label, so a word that tells the labels
+apart counts more than the topic of a text, and no term counts nothing. Vectors have unit
+length over all their terms; terms of a query that no example has count in its length.
+
+The examples are held in a block-max inverted index. Terms of COMMON examples or more keep,
+per block of BLOCK examples, their postings and their largest weight; rarer terms are few
+postings and are added up first. The sum of a query's weights times these maxima, plus the
+best rare part in a block, bounds every cosine there; blocks are visited by falling bound
+and the search ends when no unvisited block can beat the k-th best, so the k nearest are
+exact. Among equal cosines the example that comes first in the index wins.
 
 A vote weighs each neighbour's label by its closeness; a logistic curve fitted on
-leave-one-out votes of the examples turns votes into calibrated scores. Texts without any
-vocabulary term get the toxic share of such examples. ``evidence`` lists the neighbours.
+leave-one-out votes of the examples turns votes into calibrated scores. The examples are a
+sample of equally many of either label where there are enough, so the curve weighs them by
+the labels' true shares. Texts without any indexed term get the share of toxic labels.
+``evidence`` lists the neighbours.
 
-What is broadcast is the index of at most MAX_EXAMPLES examples and MAX_TERMS terms.
+What is learnt from is bounded: MAX_EXAMPLES labelled texts, by smallest hash of the id. Their
+terms are counted in the tasks that read them, one row per example; the index is built in
+one task and travels as one value.
 
 Defined cases: null and empty texts have no terms; unlabelled or null labels and null ids
 are not learnt from; without any usable label every score is 0; rows that repeat are
-scored alike; other columns are carried through or ignored.
+scored alike, of examples that repeat an id one text is learnt; other columns are carried
+through or ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, fold, mix64, pieces, text_or_empty, words_in, written
+from .common import ALNUM, LOWER, fold, mix64, pieces, share, shared, text_or_empty, words_in, written
 
-MAX_EXAMPLES = 12_000
-MAX_TERMS = 4096
-MIN_CHI = 20.0
-MIN_DOCS = 4
+MAX_EXAMPLES = 4_000
+HALF_CHI = 20.0  # chi-square at which a term has half of the full relevance
+FLOOR = 0.005  # relevance of a term that says nothing about the label
 BLOCK = 64
+COMMON = 16
 NEIGHBOURS = 15
 PREFIXES = (4, 5)
-FILTER_BITS = 18
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -61,27 +71,39 @@ def terms_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found), np.concatenate(owners)
 
 
+def counted_terms(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) of several texts, in this order, with their counts."""
+    hashes, owner = terms_of(raw, starts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], hashes[at].view(np.int64), np.diff(np.append(at, len(hashes)))
+
+
 def term_rows(docs: DataFrame) -> DataFrame:
-    """(example, label, term, tf) of (example, label, text): whole texts, counted in the task."""
+    """(example, label, terms, tf) of (example, label, text): a row per text, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for first, end, raw, starts in pieces(batch):
-                hashes, owner = terms_of(raw, starts)
-                order = np.lexsort((hashes, owner))
-                hashes, owner = hashes[order], owner[order]
-                new = np.ones(len(hashes), dtype=bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                tf = np.diff(np.append(at, len(hashes)))
+                owner, terms, tf = counted_terms(raw, starts)
+                edges = np.searchsorted(owner, np.arange(end - first + 1))
+                spans = list(zip(edges, edges[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + owner[at]]), pa.array(marks[first + owner[at]]), pa.array(hashes[at].view(np.int64)), pa.array(tf.astype(np.int32))],
-                    ["example", "label", "term", "tf"],
-                )
+                    [
+                        batch.column(1).slice(first, end - first),
+                        batch.column(2).slice(first, end - first),
+                        pa.array([terms[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([tf[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    ["example", "label", "terms", "tf"],
+                )
 
     rows = docs.select("text", "example", "label")
-    return rows.mapInArrow(run, "example bigint, label int, term bigint, tf int")
+    kind = rows.schema["example"].dataType.simpleString()
+    return rows.mapInArrow(run, f"example {kind}, label int, terms binary, tf binary")
 
 
 @dataclass
@@ -89,11 +111,14 @@ class Index:
     """Block-max inverted index of unit vectors, and what turns votes into scores."""
 
     terms: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    block_max: np.ndarray  # (terms, blocks)
-    places: np.ndarray  # (terms, blocks + 1): where a block's postings begin
-    examples: np.ndarray  # of the postings
+    idf: np.ndarray  # with relevance
+    unseen: float  # idf of a term that no example has
+    starts: np.ndarray  # (terms + 1): postings of a term
+    examples: np.ndarray  # of the postings, ascending within a term
     weights: np.ndarray
+    common: np.ndarray  # by term: its row in the block tables, or -1
+    block_max: np.ndarray  # (common terms, blocks)
+    places: np.ndarray  # (common terms, blocks + 1): where a block's postings begin
     ids: np.ndarray  # by example
     labels: np.ndarray
     slope: float = 0.0
@@ -102,34 +127,43 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (fewer if fewer share a term) and their cosines."""
-        bound = weights @ self.block_max[terms]
+        n_blocks = self.block_max.shape[1]
+        row = self.common[terms]
+        rare = row < 0
+        base = np.zeros(n_blocks * BLOCK)
+        found = _ranges(self.starts[terms[rare]], self.starts[terms[rare] + 1])
+        counts = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        base += np.bincount(self.examples[found], self.weights[found] * np.repeat(weights[rare], counts), len(base))
+        row, weights = row[~rare], weights[~rare]
+        bound = weights @ self.block_max[row] + base.reshape(n_blocks, BLOCK).max(axis=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, score = np.empty(0, np.int64), np.empty(0)
         # The most promising blocks first, then ever more of those that can still matter.
-        first, count = 0, 2
+        first, count = 0, 4
         while first < len(order):
             blocks = order[first : first + count]
             if len(score) >= k:
                 blocks = blocks[bound[blocks] >= score[-1] - 1e-6]
                 if not len(blocks):
                     break
-            hit, value = self._scored(terms, weights, blocks)
+            hit, value = self._scored(row, weights, blocks, base)
             at, score = np.concatenate([at, hit[hit != skip]]), np.concatenate([score, value[hit != skip]])
             best = np.lexsort((at, -np.round(score, 6)))[:k]
             at, score = at[best], score[best]
             first, count = first + count, count * 4
         return at, score
 
-    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _scored(self, row: np.ndarray, weights: np.ndarray, blocks: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of the examples in ``blocks`` that share a term with the query."""
-        begin, end = self.places[terms][:, blocks].ravel(), self.places[terms][:, blocks + 1].ravel()
-        length = end - begin
-        rows = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-        example = self.examples[rows]
-        value = self.weights[rows] * np.repeat(np.repeat(weights, len(blocks)), length)
-        found, place = np.unique(example, return_inverse=True)
-        return found, np.bincount(place, weights=value, minlength=len(found))
+        table = self.places[row]
+        begin, end = table[:, blocks].ravel(), table[:, blocks + 1].ravel()
+        found = _ranges(begin, end)
+        value = self.weights[found] * np.repeat(np.repeat(weights, len(blocks)), end - begin)
+        total = np.bincount(self.examples[found], weights=value, minlength=len(base))
+        some = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        total = total[some] + base[some]
+        return some[total > 0], total[total > 0]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Mean label of the neighbours, each weighted by 1 / (1.05 - cosine)."""
@@ -140,34 +174,55 @@ class Index:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of several ranges, one range after the other."""
+    length = end - begin
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def relevance(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """FLOOR to 1 by the chi-square of a term's presence in ``pos`` and ``neg`` examples."""
+    n, df = n_pos + n_neg, pos + neg
+    gap = np.maximum(np.abs(pos * n_neg - neg * n_pos) - n / 2, 0.0)
+    chi = n * gap * gap / (df * np.maximum(n - df, 1) * max(n_pos, 1) * max(n_neg, 1))
+    return FLOOR + (1 - FLOOR) * chi / (chi + HALF_CHI)
+
+
 def build_index(ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
     """Index of examples 0..n-1; the other arrays are the postings (term hashes)."""
     terms, t = np.unique(term, return_inverse=True)
     n, n_blocks = len(ids), max(1, -(-len(ids) // BLOCK))
-    idf = np.log((1 + n) / (1 + np.bincount(t, minlength=len(terms)))) + 1.0
+    df = np.bincount(t, minlength=len(terms))
+    pos = np.bincount(t, weights=labels[example], minlength=len(terms))
+    n_pos = int(labels.sum())
+    idf = (np.log((1 + n) / (1 + df)) + 1.0) * relevance(pos, df - pos, n_pos, n - n_pos)
     w = (1 + np.log(tf)) * idf[t]
     norm = np.sqrt(np.bincount(example, weights=w * w, minlength=n))
     w = w / norm[example] if len(w) else w
     order = np.lexsort((example, t))
     t, example, w = t[order], example[order], w[order]
-    cell = t * n_blocks + example // BLOCK
-    block_max = np.zeros((len(terms), n_blocks))
-    np.maximum.at(block_max, (t, example // BLOCK), w)
-    edges = np.searchsorted(cell, np.arange(len(terms) * n_blocks + 1))
-    places = np.empty((len(terms), n_blocks + 1), dtype=np.int64)
-    places[:, :-1] = edges[:-1].reshape(len(terms), n_blocks)
-    places[:, -1] = edges[n_blocks::n_blocks] if len(terms) else 0
-    return Index(terms, idf, block_max, places, example, w, ids, labels.astype(float))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a weak ridge."""
+    starts = np.append(0, np.cumsum(df))
+    often = np.flatnonzero(df >= COMMON)
+    common = np.full(len(terms), -1, dtype=np.int64)
+    common[often] = np.arange(len(often))
+    block_max = np.zeros((len(often), n_blocks))
+    places = np.empty((len(often), n_blocks + 1), dtype=np.int64)
+    for i, k in enumerate(often):
+        a, b = starts[k], starts[k + 1]
+        np.maximum.at(block_max[i], example[a:b] // BLOCK, w[a:b])
+        places[i] = a + np.searchsorted(example[a:b], np.arange(n_blocks + 1) * BLOCK)
+    unseen = (np.log(1 + n) + 1.0) * FLOOR
+    return Index(terms, idf, unseen, starts, example.astype(np.int32), w, common, block_max, places, ids, labels.astype(float))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset by Newton steps with a weak ridge; ``share`` weighs the rows."""
     a = np.column_stack([x, np.ones(len(x))])
     beta = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (y - p) - 1e-2 * beta
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+        grad = a.T @ (share * (y - p)) - 1e-2 * beta
+        hess = (a * (share * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -175,27 +230,42 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def query_vector(index: Index, known: np.ndarray, tf: np.ndarray) -> np.ndarray:
+def query_vector(index: Index, known: np.ndarray, tf: np.ndarray, unseen: float = 0.0) -> np.ndarray:
+    """Weights of the known terms; ``unseen`` is what other terms add to the squared length."""
     w = (1 + np.log(tf)) * index.idf[known]
-    return w / np.sqrt((w * w).sum())
-
-
-def calibrate(index: Index, example: np.ndarray, known: np.ndarray, tf: np.ndarray, k: int) -> None:
-    """Fit the curve on every example's vote without itself."""
-    order = np.argsort(example, kind="stable")
-    example, known, tf = example[order], known[order], tf[order]
-    used, at = np.unique(example, return_index=True)
-    votes, marks = [], []
-    for e, a, b in zip(used, at, np.append(at[1:], len(example))):
-        order = np.argsort(known[a:b])
-        q = known[a:b][order]
-        votes.append(index.vote(*index.nearest(q, query_vector(index, q, tf[a:b][order]), k, skip=int(e))))
-        marks.append(index.labels[e])
-    if votes:
-        index.slope, index.offset = fit_logistic(np.array(votes), np.array(marks))
-    rest = np.ones(len(index.ids), dtype=bool)
-    rest[used] = False
-    index.empty_score = float((index.labels[rest].sum() + 0.5 * index.labels.mean()) / (rest.sum() + 0.5))
+    return w / np.sqrt((w * w).sum() + unseen)
+
+
+def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """ids, labels, example, term, tf of ``term_rows``, examples numbered by id."""
+    rows = rows.sort_values("example", kind="stable").reset_index(drop=True)
+    terms = [np.frombuffer(t, dtype=np.int64) for t in rows["terms"]]
+    tf = [np.frombuffer(t, dtype=np.int32) for t in rows["tf"]]
+    example = np.repeat(np.arange(len(rows)), [len(t) for t in terms])
+    return rows["example"].to_numpy(), rows["label"].to_numpy(), example, np.concatenate(terms), np.concatenate(tf).astype(float)
+
+
+def _built(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"index": [pickle.dumps(tuple(vars(build_index(*_postings(rows))).values()))]})
+
+
+def leave_one_out(index: Index, rows: DataFrame, k: int) -> pd.DataFrame:
+    """(label, vote) of every example that shares a term with others, its vote without itself."""
+    model = share(rows.sparkSession, index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared(model)
+        for batch in batches:
+            votes = []
+            for example, terms, tf in zip(batch["example"], batch["terms"], batch["tf"]):
+                known = np.searchsorted(index.terms, np.frombuffer(terms, dtype=np.int64))
+                weights = query_vector(index, known, np.frombuffer(tf, dtype=np.int32))
+                at, cosine = index.nearest(known, weights, k, skip=int(np.searchsorted(index.ids, example)))
+                votes.append(index.vote(at, cosine) if len(at) else np.nan)
+            yield pd.DataFrame({"label": batch["label"], "vote": votes})
+
+    some = rows.where(F.octet_length("terms") > 0)
+    return some.mapInPandas(run, "label int, vote double").where(~F.isnan("vote")).toPandas()
 
 
 def fit(
@@ -205,95 +275,83 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
     k: int = NEIGHBOURS,
 ) -> Index | None:
     """Learn from the labelled rows outside the held-out fold.
 
-    ``max_examples`` of them at most, by smallest hash of the id: a bounded sample.
+    At most ``max_examples`` of them, half of each label where there are as many, by
+    smallest hash of the id: a bounded sample.
     """
-    picked, _ = written(
+    usable = (
         marks.where((fold(id_col, FOLDS) != HELD_OUT) & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("example"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("example"), "example")
-        .limit(max_examples),
-        "tox-examples",
     )
     texts = docs.select(F.col(id_col).alias("example"), text_or_empty(text_col).alias("text"))
-    rows, _ = written(term_rows(texts.join(F.broadcast(picked), "example")), "tox-terms")
-    found = picked.join(texts.select("example").distinct(), "example", "left_semi").toPandas()
-    found = found.sort_values("example").reset_index(drop=True)
-    n, n_pos = len(found), int(found["label"].sum()) if len(found) else 0
-    if n_pos == 0:
+    usable, _ = written(usable.join(texts.select("example"), "example", "left_semi"), "tox-labels")
+    totals = dict(usable.groupBy("label").count().collect())
+    if not totals.get(1):
         return None
-
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    gap = F.greatest(F.abs(a * (n - n_pos) - b * n_pos) - n / 2, F.lit(0.0))
-    chi = n * gap * gap / ((a + b) * F.greatest(n - a - b, F.lit(1.0)) * n_pos * max(n - n_pos, 1))
-    chosen = (
-        rows.groupBy("term")
-        .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-        .where(a + b >= MIN_DOCS)
-        .withColumn("chi", chi)
-        .where(F.col("chi") >= MIN_CHI)
-        .orderBy(F.col("chi").desc(), "term")
-        .limit(max_terms)
-        .select("term")
-    )
-    posts = rows.join(F.broadcast(chosen), "term").groupBy("example", "term").agg(F.max("tf").alias("tf")).toPandas()
-    ids = found["example"].to_numpy()
-    example = np.searchsorted(ids, posts["example"].to_numpy())
-    term, tf = posts["term"].to_numpy(), posts["tf"].to_numpy().astype(float)
-    index = build_index(ids, found["label"].to_numpy(), example, term, tf)
-    if len(term):
-        calibrate(index, example, np.searchsorted(index.terms, term), tf, k)
+    take = {1: min(totals[1], max(max_examples // 2, max_examples - totals.get(0, 0)))}
+    take[0] = min(totals.get(0, 0), max_examples - take[1])
+    by_hash = [F.xxhash64("example"), F.col("example")]
+    sides = [usable.where(F.col("label") == mark).orderBy(*by_hash).limit(n) for mark, n in take.items()]
+    picked, _ = written(sides[0].union(sides[1]), "tox-examples")
+    rows = term_rows(texts.join(F.broadcast(picked), "example"))
+    one = F.max(F.struct("terms", "tf", "label")).alias("x")
+    rows, _ = written(rows.groupBy("example").agg(one).select("example", "x.label", "x.terms", "x.tf"), "tox-terms")
+    # At most ``max_examples`` rows: one task.
+    built = rows.groupBy().applyInPandas(_built, "index binary").first()
+    index = Index(*pickle.loads(built["index"]))
+    votes = leave_one_out(index, rows, k)
+    index.empty_score = float(totals[1] / sum(totals.values()))
+    if len(votes):
+        mark = votes["label"].to_numpy()
+        true_share = np.array([totals.get(c, 0) / max(take[c], 1) for c in (0, 1)])
+        index.slope, index.offset = fit_logistic(votes["vote"].to_numpy(), mark, true_share[mark])
     return index
 
 
 class Scorer:
     def __init__(self, index: Index, k: int = NEIGHBOURS):
         self.index, self.k = index, k
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self._slot(index.terms.view(np.uint64))] = True
         self.seen: dict[bytes, tuple[float, list[int]]] = {}
 
-    @staticmethod
-    def _slot(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
     def scores(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
         """Scores of several texts and their nearest examples' ids."""
         index, n = self.index, len(starts) - 1
         out, evidence = np.full(n, index.empty_score), [[] for _ in range(n)]
         if not len(index.terms):
             return out, evidence
-        hashes, owner = terms_of(raw, starts)
-        likely = np.flatnonzero(self.filter[self._slot(hashes)])
-        hashes, owner = hashes[likely].view(np.int64), owner[likely]
+        owner, hashes, tf = counted_terms(raw, starts)
         known = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
         match = index.terms[known] == hashes
-        pair, tf = np.unique(owner[match] * len(index.terms) + known[match], return_counts=True)
-        owner, known = np.divmod(pair, len(index.terms))
+        strange = ((1 + np.log(tf[~match])) * index.unseen) ** 2
+        unseen = np.bincount(owner[~match], weights=strange, minlength=n)
+        owner, known, tf = owner[match], known[match], tf[match]
+        order = np.lexsort((known, owner))
+        owner, known, tf = owner[order], known[order], tf[order]
         rows, at = np.unique(owner, return_index=True)
         for row, a, b in zip(rows, at, np.append(at[1:], len(owner))):
-            key = known[a:b].tobytes() + tf[a:b].tobytes()
+            # Copies of a text are common.
+            key = hashlib.md5(known[a:b].tobytes() + tf[a:b].tobytes() + unseen[row].tobytes()).digest()
             if key not in self.seen:
-                near, cosine = index.nearest(known[a:b], query_vector(index, known[a:b], tf[a:b]), self.k)
-                value = index.calibrated(index.vote(near, cosine)), index.ids[near].tolist()
+                weights = query_vector(index, known[a:b], tf[a:b], unseen[row])
+                near, cosine = index.nearest(known[a:b], weights, self.k)
                 if len(self.seen) > 100_000:
                     self.seen.clear()
-                self.seen[key] = value
+                self.seen[key] = index.calibrated(index.vote(near, cosine)), index.ids[near].tolist()
             out[row], evidence[row] = self.seen[key]
         return out, evidence
 
 
 def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence."""
-    model = docs.sparkSession.sparkContext.broadcast(index)
+    model = share(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value) if model.value is not None else None
+        index = shared(model)
+        scorer = Scorer(index) if index is not None else None
         for batch in batches:
             values, near = [np.empty(0)], []
             for first, end, raw, starts in pieces(batch):
@@ -305,13 +363,13 @@ def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col
                     values.append(got)
                     near.extend(evidence)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(np.concatenate(values)), pa.array(near, pa.list_(pa.int64()))],
+                [batch.column(1), pa.array(np.concatenate(values)), pa.array(near, pa.list_(batch.column(1).type))],
                 ["doc_id", "score", "evidence"],
             )
 
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>")
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
@@ -325,11 +383,11 @@ def keep_mild(docs: DataFrame, index: Index | None, text_col: str = "text", limi
     """
     if index is None:
         return docs
-    model = docs.sparkSession.sparkContext.broadcast(index)
+    model = share(docs.sparkSession, index)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(shared(model))
         for batch in batches:
             values = [np.empty(0)] + [scorer.scores(raw, starts)[0] for _, _, raw, starts in pieces(batch, place)]
             yield batch.filter(pa.array(np.concatenate(values) < limit))
