@@ -28,13 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import share, shared
+
 LONG_WORD = 200
 CACHE_WORDS = 400_000
 NO_RANK = 1 << 62
-ID_BITS = 17
+ID_BITS = 24
 LATIN_END = 0x250  # below it, character classes are spelled out for the fast matcher
 
-# The pattern of the byte-level pre-tokeniser.
+# The pattern of the byte-level pre-tokeniser, and that of lower-casing files.
+FILE_WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -104,9 +107,33 @@ class Vocabulary:
     suffix: str
 
 
+def refuse_other_settings(content: dict) -> None:
+    """Raise for a file whose settings are not the ones that are built in here."""
+    model, special = content["model"], content.get("added_tokens") or []
+    other = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    other += [f"{t['content']}: {k}" for t in special for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    cut = content["pre_tokenizer"] or {}
+    steps = cut.get("pretokenizers", [cut])
+    patterns = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split"]
+    last = steps[-1]
+    if model.get("type", "BPE") != "BPE" or last.get("type") != "ByteLevel" or last.get("add_prefix_space"):
+        other.append("pre-tokeniser")
+    if patterns != ([] if last.get("use_regex", True) else [FILE_WORD_PATTERN]):
+        other.append("pattern")
+    norm = content.get("normalizer") or {}
+    kinds = [n["type"] for n in norm.get("normalizers", [norm] if norm else [])]
+    if kinds != (["NFC", "Replace", "Lowercase"] if patterns else []):
+        other.append("normaliser")
+    if max([*model["vocab"].values(), *(t["id"] for t in special)], default=0) >> ID_BITS:
+        other.append(f"ids of more than {ID_BITS} bits")
+    if other:
+        raise ValueError(f"vocabulary with settings that are not supported: {', '.join(other)}")
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
+    refuse_other_settings(content)
     model = content["model"]
     vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
     pairs = {}
@@ -229,10 +256,10 @@ def encode_documents(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, ids): ids as little-endian 32-bit integers in a binary column."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    vocabulary = share(docs.sparkSession, load_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary.value)
+        codec = Codec(shared(vocabulary))
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -243,10 +270,10 @@ def encode_documents(
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    vocabulary = share(encoded.sparkSession, load_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary.value)
+        codec = Codec(shared(vocabulary))
         for batch in batches:
             texts = [codec.decode(ids or b"") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -262,10 +289,10 @@ def round_trip(
 
     Encodes and decodes within one task, so ids never travel.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    vocabulary = share(docs.sparkSession, load_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary.value)
+        codec = Codec(shared(vocabulary))
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for value in batch.column(1):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, fold, pieces, small, text_or_empty, written
+from .common import LOWER, byte_table, fold, pieces, share, shared, small, text_or_empty, written
 from .quality_neighbours import trigram_slots
 
 TRIGRAM_BITS = 15
@@ -195,10 +195,10 @@ def fit(
 
 def identify(docs: DataFrame, book: Codebook, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, ambiguous."""
-    model = docs.sparkSession.sparkContext.broadcast(book)
+    model = share(docs.sparkSession, book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = model.value
+        book = shared(model)
         names = np.array([*book.languages, "und"], dtype=object)
         for batch in batches:
             n = batch.num_rows

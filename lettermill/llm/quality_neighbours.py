@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, text_or_empty, written
+from .common import fold, pieces, share, shared, text_or_empty, written
 
 FEATURE_BITS = 11
 FEATURES = 1 << FEATURE_BITS
@@ -153,10 +153,10 @@ def fit(
 
 def score(docs: DataFrame, space: Space | None, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(space)
+    model = share(docs.sparkSession, space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = model.value
+        space = shared(model)
         for batch in batches:
             values = [np.empty(0)]
             for first, end, raw, starts in pieces(batch):

@@ -22,10 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import CACHE_WORDS, LONG_WORD, Splitter, Vocabulary, byte_symbols, load_vocabulary, merge_word
+from .bpe_codec import (
+    CACHE_WORDS,
+    FILE_WORD_PATTERN,
+    LONG_WORD,
+    Splitter,
+    Vocabulary,
+    byte_symbols,
+    load_vocabulary,
+    merge_word,
+)
+from .common import share, shared
 
-# The pattern of the vocabulary's pre-tokeniser.
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+WORD_PATTERN = FILE_WORD_PATTERN
 
 
 def first_parts(word: bytes, vocabulary: Vocabulary) -> list[int]:
@@ -100,10 +109,10 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     vocabulary = load_vocabulary(vocabulary_path)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
+    model = share(docs.sparkSession, (vocabulary, whole_tokens(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*model.value)
+        counter = Counter(*shared(model))
         for batch in batches:
             n = [counter.count(value.as_py() or "") for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
