@@ -13,7 +13,7 @@ by Spark's own writer, so lost tasks are repeated and nothing partial is ever re
     packed tables (zlib): tokens of each document u64, distinct ids u32, their frequencies u32,
         per block: code words u32, CRC-32 of its ids u32
     CRC-32 of all of the above u32
-    code words u32 of block 0, block 1, ...
+    code words u16 of block 0, block 1, ...
 
 *Blocks* of equally many ids are coded independently of each other: models and coder start anew,
 so a damaged block is found by its checksum and costs no other. Three predictions are mixed for
@@ -25,8 +25,8 @@ each id:
 
 The weights of the mix adapt within the block: for every pair of confidences (and whether the two
 orders agree) they are the running shares of ids that order 2 had right, that order 1 had
-right, and the rest. A range coder (64-bit state, 32-bit words, no carries) codes which of the
-three it was, and after the third the id itself by its order-0 frequency.
+right, and the rest. A range coder (64-bit state, 16-bit words, no carries) codes the id's part of the mix: all of
+order 2's weight, all of order 1's, or what is left times the id's order-0 frequency.
 
 A block cannot be coded faster than one id after the other, so all blocks of a segment advance
 together: every step is a NumPy operation over one id of each block.
@@ -41,6 +41,7 @@ and no rows; one very long text is one segment of many blocks; a payload that wa
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -50,116 +51,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import CACHE_WORDS, LONG_WORD, Splitter, byte_symbols
+from .bpe_codec import CACHE_WORDS, LONG_WORD, Splitter, byte_symbols, refuse_other_settings
 from .common import new_work_path, small
-from .token_counts import WORD_PATTERN, lowered
+from .token_counts import lowered
 
-SEGMENT_IDS = 1 << 21
-BLOCK_IDS = 2048
-MIN_BLOCK_IDS = 256
-LANES = 1024
+SEGMENT_IDS = 1 << 22
+BLOCK_IDS = 1024
+MIN_BLOCK_IDS = 128
+LANES = 4096
 END_ID = 2
 
 MAGIC, VERSION = b"LMID", 1
-HEAD = struct.Struct("<4sHIIQIIIII")
+HEAD = "<4sHIIQIIIII"
+HEAD_SIZE = struct.calcsize(HEAD)
 
-SHARE_BITS = 16  # precision of the adaptive weights
-SHARE = 1 << SHARE_BITS
-LEAST_SHARE = 48  # no weight below it
-RATE = 5  # weights move by 1/32 of the gap
-TABLE_BITS = 12  # entries of each order's table
+# The pattern of the vocabulary's pre-tokeniser; letters, which no other
+# alternative can begin with, are tried first.
+WORD_PATTERN = r"""[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+TABLE_BITS = 10  # entries of each order's table
 CONFIDENCE_BITS = 3
-FREQUENCY_BITS = 20
+SHARE_BITS, FREQUENCY_BITS = 14, 18  # an id's interval is a part of 2**32
+SHARE, FREQUENCY = 1 << SHARE_BITS, 1 << FREQUENCY_BITS
+RATE = 5  # weights move by 1/32 of the gap
+GAIN = SHARE // 32 - 6  # both weights together stay below SHARE
+FIELD = 32  # order 2's weight stands above order 1's in one integer
 
 U = np.uint64
-WORD_BITS, WORD_MASK, FULL = U(32), U(0xFFFFFFFF), U(1) << U(32)
+LIMIT, BELOW, OUT = U(1 << 48), U((1 << 48) - 1), U(16)
 
 
 # --- the mix of predictions ------------------------------------------------------------
 
 
 class Mix:
-    """Order-1 and order-2 predictions of ``lanes`` independent blocks, and their weights."""
+    """Order-1 and order-2 predictions of ``lanes`` independent blocks, and their weights.
+
+    A table entry is an id and how often it was right of late, CONFIDENCE_BITS of it. Right:
+    surer. Wrong: half as sure, and replaced when no trust is left.
+    """
 
     def __init__(self, lanes: int):
-        entries, self.top = 1 << TABLE_BITS, (1 << CONFIDENCE_BITS) - 1
-        self.one = np.zeros(lanes * entries, dtype=np.int64)
-        self.two = np.zeros(lanes * entries, dtype=np.int64)
+        entries, top = 1 << TABLE_BITS, (1 << CONFIDENCE_BITS) - 1
+        self.one, self.two = np.zeros(lanes * entries, np.int32), np.zeros(lanes * entries, np.int32)
         self.base = np.arange(lanes, dtype=np.int64) * entries
         cells = 2 << (2 * CONFIDENCE_BITS)
-        self.weight_base = np.arange(lanes, dtype=np.int64) * cells
-        self.share_two = np.full(lanes * cells, SHARE // 4, dtype=np.int64)
-        self.share_one = np.full(lanes * cells, SHARE // 4, dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
+        self.cells = np.arange(lanes, dtype=np.int64) * cells
+        self.weights = np.full(lanes * cells, (SHARE // 4) << FIELD | SHARE // 4, dtype=U)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        sure = np.arange(top + 1)
+        self.trust = np.append(sure // 2 - sure, np.minimum(sure + 1, top) - sure).astype(np.int32)
+        self.gain = np.array([0, GAIN, GAIN << FIELD], dtype=U)
+        self.decay = U(((SHARE - 1) >> RATE) << FIELD | ((SHARE - 1) >> RATE))
+        self.top = np.int32(top)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first ``n`` lanes: predicted ids and weights of orders 2 and 1."""
-        last, base, shift = self.last[:n], self.base[:n], 32 - TABLE_BITS
-        self.at_one = base + ((last * 0x9E3779B1 & 0xFFFFFFFF) >> shift)
-        self.at_two = base + (((last * 0x85EBCA6B ^ self.before[:n] * 0xC2B2AE35) & 0xFFFFFFFF) >> shift)
+        """For the first ``n`` lanes: predicted ids of orders 2 and 1 and their weights."""
+        base, shift = self.base[:n], np.uint32(32 - TABLE_BITS)
+        mixed = self.last[:n] * np.uint32(0x9E3779B1)
+        self.at_one = base + (mixed >> shift)
+        self.at_two = base + ((mixed * np.uint32(0x85EBCA6B) ^ self.before[:n]) >> shift)
+        self.mixed = mixed
         self.entry_one, self.entry_two = self.one[self.at_one], self.two[self.at_two]
-        id_one, id_two = self.entry_one >> CONFIDENCE_BITS, self.entry_two >> CONFIDENCE_BITS
-        cell = (self.entry_two & self.top) << CONFIDENCE_BITS | self.entry_one & self.top
-        self.at_share = self.weight_base[:n] + (cell << 1 | (id_one == id_two))
-        self.two_now, self.one_now = self.share_two[self.at_share], self.share_one[self.at_share]
-        return id_two, id_one, self.two_now, self.one_now
-
-    def learn(self, n: int, ids: np.ndarray, by_two: np.ndarray, by_one: np.ndarray, one_right: np.ndarray) -> None:
-        """Adapt to the ids that came: who had them, and whether order 1 had them too."""
-        room = SHARE - 3 * LEAST_SHARE
-        self.share_two[self.at_share] = self.two_now + ((by_two * room + LEAST_SHARE - self.two_now) >> RATE)
-        self.share_one[self.at_share] = self.one_now + ((by_one * room + LEAST_SHARE - self.one_now) >> RATE)
-        for table, at, entry, right in (
-            (self.one, self.at_one, self.entry_one, one_right),
-            (self.two, self.at_two, self.entry_two, by_two),
+        self.sure_one, self.sure_two = self.entry_one & self.top, self.entry_two & self.top
+        two, one = self.entry_two >> CONFIDENCE_BITS, self.entry_one >> CONFIDENCE_BITS
+        cell = (self.sure_two << (CONFIDENCE_BITS + 1)) + (self.sure_one << 1) + (two == one)
+        self.at_weight = self.cells[:n] + cell
+        self.weight = self.weights[self.at_weight]
+        return two, one, self.weight >> U(FIELD), self.weight & U(0xFFFFFFFF)
+
+    def learn(self, n: int, ids: np.ndarray, who: np.ndarray, two_right: np.ndarray, one_right: np.ndarray) -> None:
+        """Adapt to the ids that came; ``who`` had them: 2, 1 or 0 (none)."""
+        weight = self.weight
+        self.weights[self.at_weight] = weight - ((weight >> U(RATE)) & self.decay) + self.gain[who]
+        fresh = (ids << CONFIDENCE_BITS) + 1
+        for table, at, entry, sure, right in (
+            (self.one, self.at_one, self.entry_one, self.sure_one, one_right),
+            (self.two, self.at_two, self.entry_two, self.sure_two, two_right),
         ):
-            sure = entry & self.top
-            # Right: surer. Wrong: half as sure, and replaced when no trust is left.
-            kept = entry - sure + (sure >> 1)
-            wrong = np.where(sure == 0, ids << CONFIDENCE_BITS | 1, kept)
-            table[at] = np.where(right, entry + (sure < self.top), wrong)
-        self.before[:n], self.last[:n] = self.last[:n], ids
+            state = (right.view(np.int8) << CONFIDENCE_BITS) + sure
+            table[at] = np.where(state == 0, fresh, entry + self.trust[state])
+        self.before[:n] = self.mixed * np.uint32(0xC2B2AE35)
+        self.last[:n] = ids
 
 
 def order_zero(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and frequencies that add up to 2**FREQUENCY_BITS, none 0."""
+    """The distinct ids and frequencies that add up to FREQUENCY, none 0."""
     distinct, counts = np.unique(ids, return_counts=True)
-    total = 1 << FREQUENCY_BITS
-    if len(distinct) > total // 2:
-        raise ValueError(f"more than {total // 2} distinct ids in a segment")
-    frequency = counts * (total - len(distinct)) // counts.sum() + 1 if len(counts) else counts
+    if len(distinct) > FREQUENCY // 2 or (len(ids) and distinct[-1] >> (31 - CONFIDENCE_BITS)):
+        raise ValueError(f"more than {FREQUENCY // 2} distinct ids in a segment, or ids of more than 28 bits")
     if len(counts):
-        frequency[np.argmax(counts)] += total - frequency.sum()
-    return distinct, frequency
+        counts = counts * (FREQUENCY - len(distinct)) // counts.sum() + 1
+        counts[np.argmax(counts)] += FREQUENCY - counts.sum()
+    return distinct, counts
 
 
 # --- the range coder over many blocks ---------------------------------------------------
 
 
 class Coder:
-    """Range coders of several lanes: ``low`` and ``range`` of 64 bits, output in 32-bit words."""
+    """Range coders of several lanes: ``low`` and ``range`` of 64 bits, output in 16-bit words."""
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, dtype=U)
         self.range = np.full(lanes, ~U(0), dtype=U)
 
-    def narrow(self, at, begin: np.ndarray, width: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keep the part [begin, begin + width) of 2**bits in lanes ``at``.
+    def narrow(self, n: int, unit: np.ndarray, begin: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keep [begin, begin + width) units of the first ``n`` lanes.
 
-        Gives the lanes whose leading word is settled, these words, and the lanes' new state.
-        A range that has less than a word left is cut where its leading word would change.
+        Gives lanes with a settled leading word and these words, as often as there are any.
+        A range that has less than LIMIT left is cut where its leading word would change.
         """
-        unit = self.range[at] >> U(bits)
-        low, span = self.low[at] + unit * begin.astype(U), unit * width.astype(U)
-        out = np.flatnonzero(span < FULL)
-        words = low[out] >> WORD_BITS
-        if len(out):
-            rest = low[out] & WORD_MASK
-            span[out] = np.minimum(span[out], FULL - rest) << WORD_BITS
-            low[out] = rest << WORD_BITS
-        self.low[at], self.range[at] = low, span
-        return out, words, unit
+        low, span = self.low[:n], self.range[:n]
+        low += unit * begin
+        np.multiply(unit, width, out=span)
+        out = np.flatnonzero(span < LIMIT)
+        while len(out):
+            old = low[out]
+            rest = old & BELOW
+            left = np.minimum(span[out], LIMIT - rest) << OUT
+            low[out], span[out] = rest << OUT, left
+            yield out, old >> U(48)
+            out = out[left < LIMIT]
+
+
+def _intervals(who: np.ndarray, two: np.ndarray, one: np.ndarray, upto, frequency) -> tuple[np.ndarray, np.ndarray]:
+    """Where the interval of an id begins in 2**32 and its width, by who had it.
+
+    ``upto`` and ``frequency`` are the order-0 interval of lanes that nobody had (others: any).
+    """
+    known, bits = two + one, U(FREQUENCY_BITS)
+    rest, nobody = U(SHARE) - known, who == 0
+    begin = np.where(nobody, (known << bits) + rest * upto, np.where(who == 1, two << bits, U(0)))
+    width = np.where(nobody, rest * frequency, np.where(who == 1, one, two) << bits)
+    return begin, width
 
 
 def _starts(n_ids: int, block: int) -> np.ndarray:
@@ -170,36 +195,37 @@ def encode_blocks(ids: np.ndarray, block: int, distinct: np.ndarray, frequency:
     """The code words of every block of ``block`` ids; the last block may be shorter."""
     starts = _starts(len(ids), block)
     lanes, mix, coder = len(starts), Mix(len(starts)), Coder(len(starts))
-    place = np.searchsorted(distinct, ids)
-    upto = np.append(0, np.cumsum(frequency))
-    lengths = np.minimum(block, len(ids) - starts)
+    # By step, then by block: each step reads one row.
+    steps = np.zeros((lanes, block), dtype=np.int32)
+    steps.ravel()[: len(ids)] = ids
+    steps = np.ascontiguousarray(steps.T)
+    upto = np.append(0, np.cumsum(frequency))[:-1].astype(U)
+    frequency = frequency.astype(U)
+    place = np.zeros(int(distinct[-1]) + 1, dtype=np.int64)
+    place[distinct] = np.arange(len(distinct))
+    last_length = len(ids) - starts[-1]
     sent_lanes, sent_words = [], []
-    for step in range(int(lengths.max(initial=0))):
+    for step in range(min(block, len(ids))):
         # Only the last block can be shorter, so lanes in use are the first n.
-        n = lanes if step < lengths[-1] else lanes - 1
-        now = ids[starts[:n] + step]
+        n = lanes if step < last_length else lanes - 1
+        now = steps[step, :n]
         two, one, w_two, w_one = mix.predict(n)
-        by_two, one_right = two == now, one == now
-        by_one = one_right & ~by_two
-        known = w_two + w_one
-        begin = np.where(by_two, 0, np.where(by_one, w_two, known))
-        width = np.where(by_two, w_two, np.where(by_one, w_one, SHARE - known))
-        out, words, _ = coder.narrow(slice(0, n), begin, width, SHARE_BITS)
-        sent_lanes.append(out)
-        sent_words.append(words)
-        rest = np.flatnonzero(~(by_two | by_one))
-        at = place[starts[rest] + step]
-        out, words, _ = coder.narrow(rest, upto[at], frequency[at], FREQUENCY_BITS)
-        sent_lanes.append(rest[out])
-        sent_words.append(words)
-        mix.learn(n, now, by_two, by_one, one_right)
-    # Two words of any number in [low, low + range) end a block; low itself will do.
+        two_right, one_right = two == now, one == now
+        who = np.where(two_right, 2, one_right)
+        at = place[now]
+        begin, width = _intervals(who, w_two, w_one, upto[at], frequency[at])
+        for out, words in coder.narrow(n, coder.range[:n] >> U(32), begin, width):
+            sent_lanes.append(out)
+            sent_words.append(words.astype(np.uint16))
+        mix.learn(n, now, who, two_right, one_right)
+    # Four words of ``low`` end a block.
     everyone = np.arange(lanes)
-    sent_lanes += [everyone, everyone]
-    sent_words += [coder.low >> WORD_BITS, coder.low & WORD_MASK]
-    lane, word = np.concatenate(sent_lanes), np.concatenate(sent_words).astype("<u4")
-    order = np.argsort(lane, kind="stable")
-    return np.split(word[order], np.searchsorted(lane[order], everyone[1:]))
+    for shift in (48, 32, 16, 0):
+        sent_lanes.append(everyone)
+        sent_words.append(((coder.low >> U(shift)) & U(0xFFFF)).astype(np.uint16))
+    lane, word = np.concatenate(sent_lanes), np.concatenate(sent_words)
+    order = np.argsort(lane.astype(np.uint16 if lanes <= 1 << 16 else np.int64), kind="stable")
+    return np.split(word[order].astype("<u2"), np.cumsum(np.bincount(lane, minlength=lanes))[:-1])
 
 
 def decode_blocks(
@@ -208,41 +234,40 @@ def decode_blocks(
     """The ids of blocks whose code words stand in ``words``, ``counts`` of them per block."""
     starts = _starts(n_ids, block)
     lanes, mix, coder = len(starts), Mix(len(starts)), Coder(len(starts))
-    upto = np.append(0, np.cumsum(frequency))
+    upto = np.append(0, np.cumsum(frequency))[:-1].astype(U)
     slots = np.repeat(np.arange(len(distinct)), frequency)
-    words = np.append(words.astype(U), U(0))
-    stop = np.cumsum(counts)
-    at_word, code = stop - counts, np.zeros(lanes, dtype=U)
+    frequency, distinct = frequency.astype(U), distinct.astype(np.int32)
+    words = np.append(words, np.zeros(4, words.dtype)).astype(U)
+    at_word, code = np.cumsum(counts) - counts, np.zeros(lanes, dtype=U)
 
     def take(which: np.ndarray) -> None:
-        """One more word for the lanes ``which``; a block that has no more reads the next ones."""
-        code[which] = code[which] << WORD_BITS | words[np.minimum(at_word[which], len(words) - 1)]
-        at_word[which] += 1
-
-    everyone = np.arange(lanes)
-    take(everyone)
-    take(everyone)
-    lengths = np.minimum(block, n_ids - starts)
-    ids = np.empty(n_ids, dtype=np.int64)
-    for step in range(int(lengths.max(initial=0))):
-        n = lanes if step < lengths[-1] else lanes - 1
+        """One more word for the lanes ``which``; a damaged block may ask for more than it has."""
+        place = at_word[which]
+        code[which] = code[which] << OUT | words[np.minimum(place, len(words) - 1)]
+        at_word[which] = place + 1
+
+    for _ in range(4):
+        take(np.arange(lanes))
+    last_length = n_ids - starts[-1]
+    steps = np.zeros((block, lanes), dtype=np.int32)
+    bits = U(FREQUENCY_BITS)
+    for step in range(min(block, n_ids)):
+        n = lanes if step < last_length else lanes - 1
         two, one, w_two, w_one = mix.predict(n)
+        unit = coder.range[:n] >> U(32)
+        target = (code[:n] - coder.low[:n]) // unit
         known = w_two + w_one
-        target = ((code[:n] - coder.low[:n]) // (coder.range[:n] >> U(SHARE_BITS))).astype(np.int64)
-        by_two, rest = target < w_two, target >= known
-        by_one = ~(by_two | rest)
-        begin = np.where(by_two, 0, np.where(by_one, w_two, known))
-        width = np.where(by_two, w_two, np.where(by_one, w_one, SHARE - known))
-        take(coder.narrow(slice(0, n), begin, width, SHARE_BITS)[0])
-        now = np.where(by_two, two, one)
-        rest = np.flatnonzero(rest)
-        target = (code[rest] - coder.low[rest]) // (coder.range[rest] >> U(FREQUENCY_BITS))
-        at = slots[np.minimum(target.astype(np.int64), len(slots) - 1)]
-        take(rest[coder.narrow(rest, upto[at], frequency[at], FREQUENCY_BITS)[0]])
-        now[rest] = distinct[at]
-        ids[starts[:n] + step] = now
-        mix.learn(n, now, by_two, by_one, one == now)
-    return ids
+        nobody = target >= known << bits
+        who = np.where(target < w_two << bits, 2, ~nobody)
+        slot = (target - (known << bits)) // (U(SHARE) - known)
+        at = slots[np.where(nobody, np.minimum(slot, U(FREQUENCY - 1)), U(0)).astype(np.int64)]
+        now = np.where(nobody, distinct[at], np.where(who == 2, two, one))
+        begin, width = _intervals(who, w_two, w_one, upto[at], frequency[at])
+        for out, _ in coder.narrow(n, unit, begin, width):
+            take(out)
+        steps[step, :n] = now
+        mix.learn(n, now, who, two == now, one == now)
+    return steps.T.ravel()[:n_ids]
 
 
 # --- segments ----------------------------------------------------------------------------
@@ -269,8 +294,8 @@ def pack(documents: list[bytes], end_id: int = END_ID) -> bytes:
     ]
     packed = zlib.compress(b"".join(t.tobytes() for t in tables))
     n_words = sum(map(len, words))
-    head = HEAD.pack(
-        MAGIC, VERSION, end_id, len(documents), len(ids), block, len(words), len(distinct), len(packed), n_words
+    head = struct.pack(
+        HEAD, MAGIC, VERSION, end_id, len(documents), len(ids), block, len(words), len(distinct), len(packed), n_words
     )
     front = head + packed
     return b"".join([front, struct.pack("<I", zlib.crc32(front)), *[w.tobytes() for w in words]])
@@ -278,15 +303,15 @@ def pack(documents: list[bytes], end_id: int = END_ID) -> bytes:
 
 def unpack(payload: bytes) -> list[np.ndarray]:
     """The ids of each document of a payload; every block is held against its checksum."""
-    if len(payload) < HEAD.size + 4 or payload[:4] != MAGIC:
+    if len(payload) < HEAD_SIZE + 4 or payload[:4] != MAGIC:
         raise Damaged("not a payload of token ids")
-    _, version, _, n_docs, n_ids, block, n_blocks, n_distinct, n_packed, n_words = HEAD.unpack_from(payload)
-    at = HEAD.size + n_packed
-    if version != VERSION or len(payload) != at + 4 + 4 * n_words:
+    _, version, _, n_docs, n_ids, block, n_blocks, n_distinct, n_packed, n_words = struct.unpack_from(HEAD, payload)
+    at = HEAD_SIZE + n_packed
+    if version != VERSION or len(payload) != at + 4 + 2 * n_words:
         raise Damaged("another version, or a payload cut short")
     if struct.unpack_from("<I", payload, at)[0] != zlib.crc32(payload[:at]):
         raise Damaged("the tables of a payload have changed")
-    tables, place = zlib.decompress(payload[HEAD.size : at]), 0
+    tables, place = zlib.decompress(payload[HEAD_SIZE : at]), 0
 
     def column(n: int, kind: str) -> np.ndarray:
         nonlocal place
@@ -296,7 +321,7 @@ def unpack(payload: bytes) -> list[np.ndarray]:
 
     sizes, distinct, frequency = column(n_docs, "<u8"), column(n_distinct, "<u4"), column(n_distinct, "<u4")
     counts, sums = column(n_blocks, "<u4"), column(n_blocks, "<u4")
-    words = np.frombuffer(payload, dtype="<u4", offset=at + 4)
+    words = np.frombuffer(payload, dtype="<u2", offset=at + 4)
     ids = decode_blocks(words, counts, n_ids, block, distinct, frequency).astype("<u4") if n_ids else np.empty(0, "<u4")
     for i, expected in enumerate(sums.tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != expected:
@@ -313,10 +338,10 @@ class Words(dict):
     A pre-token's ids do not depend on its surroundings, so each distinct one is encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        library = Tokenizer.from_str(content)
         self.model = library.model.tokenize
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
@@ -352,6 +377,10 @@ def segments(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str,
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")]
     ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    with open(vocabulary_path, encoding="utf-8") as file:
+        content = file.read()
+    refuse_other_settings(json.loads(content))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = None, end_id.to_bytes(4, "little")
@@ -371,7 +400,7 @@ def segments(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str,
 
         for batch in batches:
             if words is None:
-                words, kind_arrow = Words(vocabulary_path), batch.column(1).type
+                words, kind_arrow = Words(vocabulary.value), batch.column(1).type
                 part = batch.column(0)[0].as_py()
             for doc_id, text in zip(batch.column(1), batch.column(2)):
                 names.append(doc_id.as_py())
