@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -106,3 +107,24 @@ def test_tables(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in back) == sorted((i or 0, t or "") for i, t, _, _ in CASES)
     assert token_counts.count_tokens(rows(spark, []), WORDS).count() == 0
     assert bpe_codec.round_trip(rows(spark, []), BYTES).count() == 0
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda c: c["model"].update(byte_fallback=True),
+        lambda c: c["model"].update(unk_token="?"),
+        lambda c: c["model"]["vocab"].update({"far": 1 << bpe_codec.ID_BITS}),
+        lambda c: c.update(normalizer={"type": "NFKC"}),
+        lambda c: c["added_tokens"][0].update(lstrip=True),
+        lambda c: c["pre_tokenizer"].update(type="Whitespace"),
+    ],
+)
+def test_other_settings_are_refused(tmp_path, change):
+    with open(BYTES, encoding="utf-8") as file:
+        content = json.load(file)
+    change(content)
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(content), encoding="utf-8")
+    with pytest.raises(ValueError, match="not supported"):
+        bpe_codec.load_vocabulary(str(path))
