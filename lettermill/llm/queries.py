@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     bpe_codec,
     exact_dedup,
+    id_store,
     language_codes,
     line_runs,
     ngram_join,
@@ -242,6 +243,11 @@ FROM found QUALIFY part = 'pair' OR rank <= {source_divergence.TOP}
 """
 
 
+@query
+def op11_id_store(spark, sf_dir):
+    return id_store.store_and_read(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
+
+
 @query
 def op12_spelling_variants(spark, sf_dir):
     return spelling_variants.spelling_variants(documents(spark, sf_dir))
