@@ -9,8 +9,13 @@ one task or emits more than k hits per query and block:
   to the cells that, by the triangle inequality, can hold one of its k nearest.
   Cells are cut into blocks of bounded size on both sides, so a cell with a
   third of all rows is many tasks, not one.
-* blocks with ``probes``: the same, but a query visits only its nearest cells
-  (approximate).
+* blocks with ``slack``: approximate, with a recall that was measured. A query visits every
+  cell whose pivot is at most ``slack`` farther than its nearest pivot; ``calibrate``
+  finds the least slack that reaches the wanted recall on queries with exact answers.
+* blocks with ``probes``: approximate, a query visits that many nearest cells.
+
+Queries find their cells through a tree of centres over the pivots (``pivots_within``), so
+a query is measured against the pivots of the centres that can matter, not against all.
 
 Copies of one vector are folded before anything is compared: only the k smallest
 ids of equal vectors can be among the k nearest, and equal queries share hits.
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -158,67 +164,183 @@ def _nearest_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataF
     )
 
 
-def _visit(queries: DataFrame, pivots, radius, filled, k: int, probes: int | None, id_type: str):
+def _gaps(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances by matrix products, and what each may be off by."""
+    norms, own = (vectors**2).sum(axis=1), (centres**2).sum(axis=1)
+    square = norms[:, None] + own[None, :] - 2.0 * (vectors @ centres.T)
+    return np.sqrt(np.maximum(square, 0.0)), 1e-6 * (1.0 + np.sqrt(norms + own.max(initial=0.0)))
+
+
+def pivots_within(
+    vectors: np.ndarray, pivots: np.ndarray, tree, reach: np.ndarray, limit: np.ndarray, gaps=None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """All (vector, pivot) with distance - reach[pivot] <= limit[vector], their distances, and
+    the number of pairs that were measured.
+
+    By the triangle inequality a centre is skipped if none of its pivots can satisfy that.
+    Pivots with a reach of -inf are never wanted. ``gaps`` are those to the centres, if known.
+    """
+    centres, owned, _ = tree
+    gap, off = gaps or _gaps(vectors, centres)
+    rows, cols, dist, measured = [], [], [], 0 if gaps else gap.size
+    for c, mine in enumerate(owned):
+        mine = mine[reach[mine] > -np.inf]
+        if not len(mine):
+            continue
+        to_pivot = np.sqrt(((pivots[mine] - centres[c]) ** 2).sum(axis=1))
+        may = np.flatnonzero(gap[:, c] - (to_pivot + reach[mine]).max() <= limit + off)
+        step = max(1, _CELLS_AT_ONCE // len(mine))
+        for at in range(0, len(may), step):
+            part = may[at : at + step]
+            d, slip = _gaps(vectors[part], pivots[mine])
+            r, m = np.nonzero(d - reach[mine] <= (limit[part] + slip)[:, None])
+            measured += d.size
+            rows.append(part[r])
+            cols.append(mine[m])
+            dist.append(d[r, m])
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), measured
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist), measured
+
+
+def k_bounds(
+    vectors: np.ndarray, pivots: np.ndarray, tree, reach: np.ndarray, filled: np.ndarray, k: int, gaps=None
+) -> tuple[np.ndarray, int]:
+    """For every vector a distance within which k chunk vectors certainly are (inf if there
+    are fewer), and the number of (vector, pivot) pairs measured.
+
+    First by centres: nearest-first ones whose cells together hold k vectors. Then by the
+    pivots of the nearest centre: k pivots are k vectors, and so are cells that hold k.
+    """
+    centres, owned, _ = tree
+    held = np.array([filled[o].sum() for o in owned])
+    span = np.full(len(centres), -np.inf)
+    for c, mine in enumerate(owned):
+        if held[c]:
+            span[c] = (np.sqrt(((pivots[mine] - centres[c]) ** 2).sum(axis=1)) + reach[mine]).max()
+    gap, off = gaps or _gaps(vectors, centres)
+    order = np.argsort(gap, axis=1)
+    enough = held[order].cumsum(axis=1) >= k
+    worst = np.maximum.accumulate(np.take_along_axis(gap, order, 1) + span[order], axis=1)
+    first = enough.argmax(axis=1)
+    everyone = np.arange(len(vectors))
+    bound = np.where(enough.any(axis=1), worst[everyone, first], np.inf)
+    own, measured = order[:, 0] if len(centres) else np.zeros(len(vectors), int), 0 if gaps else gap.size
+    for c, mine in enumerate(owned):
+        rows, mine = np.flatnonzero(own == c), mine[filled[mine] > 0]
+        step = max(1, _CELLS_AT_ONCE // max(1, len(mine)))
+        for at in range(0, len(rows) if len(mine) else 0, step):
+            part = rows[at : at + step]
+            d, _ = _gaps(vectors[part], pivots[mine])
+            measured += d.size
+            if len(mine) >= k:
+                bound[part] = np.minimum(bound[part], np.partition(d, k - 1, axis=1)[:, k - 1])
+            far = d + reach[mine]
+            by = np.argsort(far, axis=1)
+            has = filled[mine][by].cumsum(axis=1) >= k
+            at_k = np.take_along_axis(far, by, 1)[np.arange(len(part)), has.argmax(axis=1)]
+            bound[part] = np.where(has.any(axis=1), np.minimum(bound[part], at_k), bound[part])
+    return bound + off, measured
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Chunk vectors grouped around pivots: what a search by cells needs."""
+
+    assigned: DataFrame  # rep, ids, v, cell, reach: one row per distinct vector
+    pivots: np.ndarray
+    reach: np.ndarray  # distance of a cell's farthest vector, -inf where it has none
+    filled: np.ndarray  # distinct vectors in a cell
+    k: int  # ids kept of equal vectors
+
+
+def chunk_cells(chunks: DataFrame, k: int, wanted: int, id_type: str) -> Cells:
+    """``wanted`` cells of (cid, v)."""
+    few_copies = first_in_group(chunks, ["v"], [F.col("cid")], k)
+    groups = cut_lineage(
+        few_copies.groupBy("v")
+        .agg(F.sort_array(F.collect_list("cid")).alias("ids"))
+        .select(F.element_at("ids", 1).alias("rep"), "ids", "v")
+    )
+    picked = groups.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(wanted)
+    pivots = _matrix(picked.select("v").toPandas()["v"])
+    assigned = cut_lineage(_nearest_pivot(groups, pivots, id_type))
+    reach, filled = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
+    sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)), F.max("reach")).collect()  # a row per pivot
+    for cell, n, far in sizes:
+        reach[cell], filled[cell] = far, n
+    return Cells(assigned, pivots, reach, filled, k)
+
+
+def _visit(queries: DataFrame, cells: Cells, k: int, probes: int | None, slack: float | None, id_type: str):
     """Add ``cells``: where a query has to look."""
-    shared = queries.sparkSession.sparkContext.broadcast((pivots, radius, filled))
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (cells.pivots, pivot_tree(cells.pivots), cells.reach, cells.filled)
+    )
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, reach, count = shared.value
+        pivots, tree, reach, filled = shared.value
         for batch in batches:
             if len(batch) == 0:
                 continue
-            rows, cols, d2 = block_top_k(_matrix(batch["v"]), centres, len(centres))
-            m = len(batch)
-            near = cols.reshape(m, -1)
-            dist = np.sqrt(d2).reshape(m, -1)
+            vectors = _matrix(batch["v"])
             if probes is not None:
-                picked = [list(map(int, r[:probes])) for r in near]
+                rows, cols, _ = block_top_k(vectors, pivots, probes)
+            elif slack is not None:
+                _, near = nearest_pivot(vectors, pivots, tree)
+                none = np.where(filled > 0, 0.0, -np.inf)
+                rows, cols, _, _ = pivots_within(vectors, pivots, tree, none, near + slack)
             else:
-                # Two upper bounds of the k-th distance: k pivots are k vectors,
-                # and nearest-first cells that together hold k vectors do.
-                bound = np.full(m, np.inf)
-                if len(centres) >= k:
-                    bound = dist[:, k - 1]
-                far = dist + reach[near]
-                enough = count[near].cumsum(axis=1) >= k
-                worst = np.maximum.accumulate(far, axis=1)
-                has = enough.any(axis=1)
-                first = enough.argmax(axis=1)
-                by_cells = np.where(has, worst[np.arange(m), first], np.inf)
-                bound = np.minimum(bound, by_cells) * (1 + 1e-9) + 1e-9
-                may = (dist - reach[near] <= bound[:, None]) & (count[near] > 0)
-                picked = [list(map(int, r[ok])) for r, ok in zip(near, may)]
+                gaps = _gaps(vectors, tree[0])
+                bound, _ = k_bounds(vectors, pivots, tree, reach, filled, k, gaps)
+                rows, cols, _, _ = pivots_within(vectors, pivots, tree, reach, bound, gaps)
+            order = np.argsort(rows, kind="stable")
+            picked = np.split(cols[order].astype(np.int32), np.searchsorted(rows[order], np.arange(1, len(vectors))))
             yield batch.assign(cells=picked)
 
     return queries.mapInPandas(choose, f"rep {id_type}, v array<float>, cells array<int>")
 
 
-def _block_hits(
-    queries: DataFrame, chunks: DataFrame, n_chunks: int, width: int, k: int, probes, cells, block_rows, types
-) -> DataFrame:
-    q_type, c_type = types
+def calibrate(cells: Cells, queries: DataFrame, exact: DataFrame, recall: float) -> float:
+    """The least slack with which the share ``recall`` of all exact hits is in a visited cell.
+
+    ``queries`` are (qid, v), ``exact`` their exact hits (qid, cid). For every hit it is
+    asked how much farther its cell's pivot is than the query's nearest pivot.
+    """
     spark = queries.sparkSession
-    few_copies = first_in_group(chunks, ["v"], [F.col("cid")], k)
-    groups = cut_lineage(
-        few_copies.groupBy("v")
-        .agg(F.sort_array(F.collect_list("cid")).alias("ids"))
-        .select(F.element_at("ids", 1).alias("rep"), "ids", "v")
+    shared = spark.sparkContext.broadcast((cells.pivots, pivot_tree(cells.pivots)))
+
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, tree = shared.value
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            vectors = _matrix(batch["v"])
+            _, near = nearest_pivot(vectors, pivots, tree)
+            own = np.sqrt(((vectors - pivots[batch["cell"].to_numpy()]) ** 2).sum(axis=1))
+            yield pd.DataFrame({"gap": np.maximum(own - near, 0.0)})
+
+    homes = cells.assigned.select(F.explode("ids").alias("cid"), "cell")
+    asked = exact.select("qid", "cid").join(homes, "cid").join(queries, "qid").select("v", "cell")
+    found = asked.mapInPandas(gaps, "gap double").agg(
+        F.expr(f"percentile_disc({float(recall)}) WITHIN GROUP (ORDER BY gap)")
     )
-    distinct = queries.groupBy("v").agg(F.min("qid").alias("rep")).select("rep", "v")
+    least = found.first()[0]
+    return 1e-9 + (least or 0.0)
 
-    # Cells of about sqrt(n) vectors. What bounds their number is the broadcast of the
-    # pivots alone: 64 MiB are 131 072 cells of 64 dimensions.
-    wanted = cells or max(1, min(math.isqrt(n_chunks), PIVOT_BYTES // (8 * max(1, width))))
-    picked = groups.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(wanted)
-    pivots = _matrix(picked.select("v").toPandas()["v"])
-    assigned = cut_lineage(_nearest_pivot(groups, pivots, c_type))
-    radius, filled = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
-    for cell, n, reach in (
-        assigned.groupBy("cell").agg(F.count(F.lit(1)), F.max("reach")).collect()
-    ):
-        radius[cell], filled[cell] = reach, n
-
-    routed = cut_lineage(_visit(distinct, pivots, radius, filled, k, probes, q_type))
+
+def cells_wanted(n_chunks: int, width: int) -> int:
+    """About sqrt(n) cells. What bounds their number is the broadcast of the pivots alone:
+    64 MiB are 131 072 cells of 64 dimensions."""
+    return max(1, min(math.isqrt(n_chunks), PIVOT_BYTES // (8 * max(1, width))))
+
+
+def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_rows, types) -> DataFrame:
+    q_type, c_type = types
+    spark = queries.sparkSession
+    assigned, filled = cells.assigned, cells.filled
+    distinct = queries.groupBy("v").agg(F.min("qid").alias("rep")).select("rep", "v")
+    routed = cut_lineage(_visit(distinct, cells, k, probes, slack, q_type))
     visits = routed.select("rep", "v", F.explode("cells").alias("cell"))
     visitors = dict(visits.groupBy("cell").count().collect())
     # One row per pivot cell.
@@ -297,14 +419,16 @@ def nearest(
     chunk_id: str = "chunk_id",
     vector: str = "vector",
     probes: int | None = None,
-    cells: int | None = None,
+    cells: int | Cells | None = None,
+    slack: float | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, chunk_id, rank, distance2, score): the k nearest chunks per query.
 
-    Ordered by squared Euclidean distance, then chunk id. Exact unless ``probes``
-    (cells visited per query) is given. An empty chunk table gives no rows.
+    Ordered by squared Euclidean distance, then chunk id. Exact unless ``probes`` (cells
+    visited per query) or ``slack`` (from ``calibrate``) is given. ``cells`` is their number,
+    or ``Cells`` made before. An empty chunk table gives no rows.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -324,11 +448,15 @@ def nearest(
         return no_hits(queries, query_id, chunk_id, types)
     if low != width:
         raise ValueError(f"chunk vectors have from {low} to {width} numbers")
-    if probes is None and size <= broadcast_bytes:
+    if probes is None and slack is None and size <= broadcast_bytes:
         few = first_in_group(c, ["v"], [F.col("cid")], k).select("cid", "v").toPandas()
         hits = _broadcast_hits(q, few, k, types)
     else:
-        hits = _block_hits(q, c, n_chunks, width, k, probes, cells, block_rows, types)
+        if not isinstance(cells, Cells):
+            cells = chunk_cells(c, k, cells or cells_wanted(n_chunks, width), types[1])
+        elif cells.k < k:
+            raise ValueError(f"these cells keep {cells.k} ids of equal vectors, {k} are asked for")
+        hits = _block_hits(q, cells, k, probes, slack, block_rows, types)
     return hits.select(
         F.col("qid").alias(query_id),
         F.col("cid").alias(chunk_id),
@@ -338,6 +466,50 @@ def nearest(
     )
 
 
+@dataclass(frozen=True)
+class Recalling:
+    """Approximate search whose recall was measured: call it like ``nearest``."""
+
+    cells: Cells
+    slack: float
+
+    def __call__(self, queries: DataFrame, chunks: DataFrame, k: int, **options) -> DataFrame:
+        return nearest(queries, chunks, k, **{"cells": self.cells, "slack": self.slack, **options})
+
+
+def recalling(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    recall: float = 0.9,
+    cells: int | None = None,
+    query_id: str = "query_id",
+    chunk_id: str = "chunk_id",
+    vector: str = "vector",
+) -> Recalling:
+    """An approximate search over ``chunks`` that finds the share ``recall`` of the k nearest
+    of ``queries``: a bounded sample of the queries to come, answered exactly to calibrate it."""
+    vectors = F.col(vector).cast("array<float>").alias("v")
+    c = chunks.select(F.col(chunk_id).alias("cid"), vectors).where(F.coalesce(F.size("v"), F.lit(0)) > 0)
+    n, width = c.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    made = chunk_cells(c, k, cells or cells_wanted(n, width or 1), dict(c.dtypes)["cid"])
+    exact = nearest(queries, chunks, k, query_id, chunk_id, vector)
+    asked = queries.select(F.col(query_id).alias("qid"), vectors)
+    hits = exact.select(F.col(query_id).alias("qid"), F.col(chunk_id).alias("cid"))
+    return Recalling(made, calibrate(made, asked, hits, recall))
+
+
+def found_of(hits: DataFrame, exact: DataFrame, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
+    """(query_id, n_exact, n_found): how many of the exact hits a search has found."""
+    got = hits.select(query_id, chunk_id, F.lit(1).alias("got"))
+    return (
+        exact.select(query_id, chunk_id)
+        .join(got, [query_id, chunk_id], "left")
+        .groupBy(query_id)
+        .agg(F.count(F.lit(1)).alias("n_exact"), F.count("got").alias("n_found"))
+    )
+
+
 #: What finds chunks for queries: the arguments of ``nearest``, its hit table.
 Retriever = Callable[..., DataFrame]
 

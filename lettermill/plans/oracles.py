@@ -453,6 +453,32 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, chunk_id, round(1 - d2 / sqrt(2), 6) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, chunk_id) AS rank FROM dists)
         WHERE rank <= 5""",
+    "knn_recall": """
+        WITH vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        pivots AS (
+          SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS cell, e AS p
+          FROM vecs ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT 32),
+        gaps AS (
+          SELECT vec_id, e, cell, sqrt(d2) - min(sqrt(d2)) OVER (PARTITION BY vec_id) AS gap,
+            row_number() OVER (PARTITION BY vec_id ORDER BY d2, cell) AS r
+          FROM (SELECT vec_id, e, cell, list_sum(list_transform(list_zip(e, p),
+                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2 FROM vecs CROSS JOIN pivots)),
+        dists AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.cell,
+            list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+          FROM vecs q JOIN gaps c ON q.vec_id % 10 = 0 AND c.r = 1),
+        exact AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, chunk_id) AS rank FROM dists)
+          WHERE rank <= 5),
+        wide AS (
+          SELECT e.query_id, e.chunk_id, e.query_id % 20 = 0 AS calibrated, g.gap FROM exact e
+          JOIN gaps g ON g.vec_id = e.query_id AND g.cell = e.cell),
+        slack AS (SELECT quantile_disc(gap, 0.95) + 1e-9 AS s FROM wide WHERE calibrated),
+        counted AS (
+          SELECT query_id, calibrated, count(*) AS n_exact, count(*) FILTER (gap <= s) AS n_found
+          FROM wide, slack GROUP BY query_id, calibrated)
+        SELECT *, round(sum(n_found) OVER (PARTITION BY calibrated) / sum(n_exact) OVER (PARTITION BY calibrated), 6)
+          AS recall FROM counted""",
     "knn_threshold": f"WITH {KNN} SELECT {HIT_COLUMNS} FROM hits WHERE 1 - d2 / sqrt(2) >= 0.2",
     "knn_plain": f"WITH {KNN} SELECT query_id, chunk_id FROM hits",
     "knn_none": "SELECT vec_id AS query_id, CAST(0 AS BIGINT) AS n_hits FROM embeddings",

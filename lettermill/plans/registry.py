@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, templates, text, vectors
@@ -545,6 +545,25 @@ def knn_ivf(spark, sf_dir):
     return hit_rows(retrieval.nearest(*vectors_of(spark, sf_dir), K, cells=16, probes=4))
 
 
+@query
+def knn_recall(spark, sf_dir):
+    """Recall of the approximate search: calibrated on the queries with ids divisible by 20 for
+    0.95 of their exact hits, measured on these and on as many others."""
+    queries, chunks = vectors_of(spark, sf_dir)
+    known = F.col("query_id") % 20 == 0
+    search = retrieval.recalling(queries.where(known), chunks, K, recall=0.95, cells=32)
+    asked = queries.where(F.col("query_id") % 10 == 0)
+    found = retrieval.found_of(search(asked, chunks, K), retrieval.nearest(asked, chunks, K))
+    both = Window.partitionBy("calibrated")
+    return found.withColumn("calibrated", known).select(
+        "query_id",
+        "calibrated",
+        "n_exact",
+        "n_found",
+        rounded(F.sum("n_found").over(both) / F.sum("n_exact").over(both)).alias("recall"),
+    )
+
+
 @query
 def knn_threshold(spark, sf_dir):
     return hit_rows(retrieval.above_threshold(retrieval.nearest(*vectors_of(spark, sf_dir), K)))

@@ -158,3 +158,65 @@ def test_odd_chunk_vectors(spark):
     uneven = chunks.union(spark.createDataFrame([("d", [1.0])], kind)).withColumnRenamed("id", "chunk_id")
     with pytest.raises(ValueError):
         R.nearest(queries.withColumnRenamed("id", "query_id"), uneven, 2)
+
+
+def routed(n, seed=11, k=5):
+    """(pairs measured, visits) of n clustered queries against sqrt(n) pivots of n chunks."""
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(40, 6))[rng.integers(0, 40, n)] * 10 + rng.normal(size=(n, 6)) * 0.3
+    pivots = rows[: math.isqrt(n)]
+    tree = R.pivot_tree(pivots)
+    cell, dist = R.nearest_pivot(rows, pivots, tree)
+    filled = np.bincount(cell, minlength=len(pivots))
+    reach = np.full(len(pivots), -np.inf)
+    np.maximum.at(reach, cell, dist)
+    gaps = R._gaps(rows, tree[0])
+    bound, first = R.k_bounds(rows, pivots, tree, reach, filled, k, gaps)
+    who, cells, _, then = R.pivots_within(rows, pivots, tree, reach, bound, gaps)
+    return rows, cell, bound, set(zip(who.tolist(), cells.tolist())), gaps[0].size + first + then, k
+
+
+def test_routing_keeps_every_cell_that_matters():
+    rows, cell, bound, visits, _, k = routed(900)
+    for i, v in enumerate(rows[::7]):
+        d = np.sqrt(((rows - v) ** 2).sum(axis=1))
+        near = np.argsort(d, kind="stable")[:k]
+        assert d[near[-1]] <= bound[7 * i]
+        assert all((7 * i, int(cell[j])) in visits for j in near)
+
+
+def test_queries_do_not_meet_all_pivots():
+    sizes = (2_500, 10_000, 40_000)
+    measured = [routed(n)[4] for n in sizes]
+    # All pivots would be n * sqrt(n) pairs, 8 times as many for 4 times the vectors.
+    assert measured[2] < 40_000 * 200 * 0.7
+    assert all(b < 7 * a for a, b in zip(measured, measured[1:]))
+
+
+def test_no_pivots_are_wanted_where_cells_are_empty():
+    pivots = np.eye(4)
+    reach = np.array([0.5, -np.inf, 0.5, -np.inf])
+    who, cells, _, _ = R.pivots_within(np.zeros((2, 4)), pivots, R.pivot_tree(pivots), reach, np.full(2, np.inf))
+    assert sorted(zip(who, cells)) == [(0, 0), (0, 2), (1, 0), (1, 2)]
+
+
+@pytest.mark.parametrize("recall", [0.5, 0.9, 1.0])
+def test_search_with_measured_recall(spark, recall):
+    rows = clustered(8, 400)
+    q, c = frames(spark, rows, rows)
+    sample = q.where(F.col("query_id") % 20 == 0)
+    search = R.recalling(sample, c, 6, recall=recall, cells=20)
+    exact = R.nearest(sample, c, 6)
+    counted = R.found_of(search(sample, c, 6), exact).agg(F.sum("n_found"), F.sum("n_exact")).first()
+    assert counted[1] == 120 and counted[0] >= recall * counted[1]
+    if recall == 1.0:
+        assert found(search(sample, c, 6)) == found(exact)
+
+
+def test_recall_of_nothing(spark):
+    q, c = frames(spark, clustered(9, 30), clustered(10, 30))
+    search = R.recalling(q.limit(0), c, 3, cells=4)
+    assert search.slack == pytest.approx(0, abs=1e-6)
+    assert search(q, c, 3).groupBy("query_id").count().count() == 30
+    with pytest.raises(ValueError, match="keep 3 ids"):
+        search(q, c, 4)
