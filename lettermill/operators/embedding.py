@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
@@ -18,18 +19,56 @@ from .chunking import chunk_fixed, chunk_recursive
 Model = Callable[[DataFrame, str, str], DataFrame]
 
 
-def hashed_terms(dimensions: int = 256) -> Model:
-    """Unit-length term-frequency vectors by feature hashing, all on the JVM.
+MOST_DIMENSIONS = 1 << 16
 
-    The offline default; it needs no fitted state, so it is narrow and gives the
-    same vectors in batch and streaming.
+
+def buckets(text: Column, dimensions: int) -> Column:
+    """The bucket of every token, by the first 28 bits of its md5: the same in any engine."""
+    return F.transform(
+        metric_tokens(text),
+        lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dimensions,
+    )
+
+
+def fit_idf(df: DataFrame, text_col: str, dimensions: int = 256) -> DataFrame:
+    """(bucket, n_with, n_docs, idf) for every bucket: a small table to keep with the index.
+
+    Distinct buckets of a text are counted before they are shuffled. idf is
+    ln((n_docs + 1) / (n_with + 1)); buckets that no text has are rows as well.
+    """
+    if dimensions > MOST_DIMENSIONS:
+        raise ValueError(f"at most {MOST_DIMENSIONS} dimensions")
+    texts = df.select(F.array_distinct(buckets(F.col(text_col), dimensions)).alias("b"))
+    seen = texts.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_with"))
+    n_docs = texts.count()
+    spark = df.sparkSession
+    counted = spark.range(dimensions).withColumnRenamed("id", "bucket").join(F.broadcast(seen), "bucket", "left")
+    n_with = F.coalesce("n_with", F.lit(0).cast("bigint"))
+    n = F.lit(n_docs).cast("bigint")
+    return counted.select(
+        "bucket", n_with.alias("n_with"), n.alias("n_docs"), F.log((n + 1) / (n_with + 1)).alias("idf")
+    )
+
+
+def hashed_terms(dimensions: int = 256, idf: DataFrame | None = None) -> Model:
+    """Unit-length vectors of hashed terms, all on the JVM: counts, idf, length 1.
+
+    Without ``idf`` (from ``fit_idf``) plain counts are taken; then nothing is fitted. Either
+    way an embedding is narrow and the same in batch and streaming.
     """
+    # One number per dimension.
+    scale = None if idf is None else [r["idf"] for r in idf.orderBy("bucket").select("idf").collect()]
+    if scale is not None and len(scale) != dimensions:
+        raise ValueError(f"an idf table of {len(scale)} buckets for {dimensions} dimensions")
 
     def embed(df: DataFrame, text_col: str, out: str) -> DataFrame:
-        tokens = df.withColumn("_tokens", metric_tokens(F.col(text_col)))
-        counted = HashingTF(
-            inputCol="_tokens", outputCol="_tf", numFeatures=dimensions
-        ).transform(tokens)
+        named = F.transform(buckets(F.col(text_col), dimensions), lambda b: b.cast("string"))
+        tokens = df.withColumn("_tokens", F.coalesce(named, F.array().cast("array<string>")))
+        vocabulary = [str(b) for b in range(dimensions)]
+        counted = CountVectorizerModel.from_vocabulary(vocabulary, "_tokens", "_tf").transform(tokens)
+        if scale is not None:
+            weigh = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_tf", outputCol="_weighted")
+            counted = weigh.transform(counted).drop("_tf").withColumnRenamed("_weighted", "_tf")
         unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
         vector = vector_to_array("_unit", "float32")
         return unit.withColumn(out, vector).drop("_tokens", "_tf", "_unit")
@@ -59,6 +98,38 @@ def python_model(factory: Callable[[], Callable[[list[str]], np.ndarray]]) -> Mo
 MODELS: dict[str, Callable[..., Model]] = {"hashed_terms": hashed_terms, "python": python_model}
 
 
+def index_chunks(
+    docs: DataFrame,
+    id_col: str,
+    body_col: str,
+    index_name: str,
+    model: Model | None = None,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    recursive: bool = True,
+) -> DataFrame:
+    """Chunk store rows of documents of any type: keys, chunk text and vector.
+
+    What else a document has stays in its payload row (``payloads``), once per document and
+    not once per chunk, and is joined to the few chunks that a search returns.
+    """
+    cut = chunk_recursive if recursive else chunk_fixed
+    bodies = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(body_col).alias("_body"))
+    chunks = cut(bodies, "_body", size, overlap).drop("_body")
+    embedded = (model or hashed_terms())(chunks, "chunk", "vector")
+    return embedded.select("doc_id", "chunk_no", "chunk", "vector", F.lit(index_name).alias("index_name"))
+
+
+def payloads(docs: DataFrame, id_col: str, index_name: str, columns: list[str] | None = None) -> DataFrame:
+    """(doc_id, payload, index_name): the columns of a document type as one struct."""
+    kept = columns or [c for c in docs.columns if c != id_col]
+    return docs.select(
+        F.col(id_col).cast("string").alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("payload"),
+        F.lit(index_name).alias("index_name"),
+    )
+
+
 def build_index(
     emails: DataFrame,
     id_col: str,
@@ -68,8 +139,9 @@ def build_index(
     overlap: int = CHUNK_OVERLAP,
     recursive: bool = True,
 ) -> DataFrame:
-    """Chunk store rows of clean emails: chunk text, its vector, the whole email.
+    """Self-contained chunk rows of clean emails: chunk text, its vector, the whole email.
 
+    For small indexes; ``index_chunks`` and ``payloads`` keep an email once.
     ``emails`` has email, subject, thread, date (ISO text) and summary columns.
     """
     cut = chunk_recursive if recursive else chunk_fixed

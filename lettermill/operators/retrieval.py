@@ -543,6 +543,56 @@ def not_contained(query_text: Column, chunk_text: Column) -> Column:
     return ~F.contains(query_text, chunk_text)
 
 
+def nearest_kept(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    query_text: str,
+    chunk_text: str,
+    query_id: str = "query_id",
+    chunk_id: str = "chunk_id",
+    vector: str = "vector",
+    exclude_self: Column | None = None,
+    search: Callable[..., DataFrame] | None = None,
+    widen: int = 4,
+) -> DataFrame:
+    """The k nearest chunks per query that are no part of the query's own text.
+
+    Filtering a top k leaves fewer; here the rows that lost hits are searched again with
+    ``widen`` times as many, until k are left or the chunk table ends. Rows that are full
+    leave the search. Columns as of ``nearest``, ranks counted anew.
+    ``exclude_self`` is a predicate over the id columns of hits to be left out as well.
+    """
+    n_chunks = chunks.count()
+    search = search or nearest
+    words = queries.select(query_id, F.col(query_text).alias("_asked"))
+    texts = chunks.select(chunk_id, F.col(chunk_text).alias("_chunk"))
+    open_rows, wide, done = queries, max(k + 1, k * widen // 2), []
+    while True:
+        last = wide >= n_chunks
+        hits = cut_lineage(search(open_rows, chunks, min(wide, max(n_chunks, 1)), query_id=query_id, chunk_id=chunk_id, vector=vector))
+        if exclude_self is not None:
+            hits = hits.where(~exclude_self)
+        # A chunk may be near to very many queries, so its copies are spread.
+        told = uneven_join(hits, texts, [chunk_id], [query_id], how="inner").join(words, query_id)
+        kept = cut_lineage(told.where(not_contained(F.col("_asked"), F.col("_chunk"))).select(*hits.columns))
+        full = kept.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(query_id)
+        done.append(kept if last else kept.join(full, query_id, "left_semi"))
+        if last:
+            break
+        open_rows = cut_lineage(open_rows.join(full, query_id, "left_anti"))
+        if open_rows.isEmpty():
+            break
+        wide *= widen
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    order = rows.withColumnRenamed("rank", "_rank")
+    return first_in_group(order, [query_id], [F.col("_rank")], k).select(
+        query_id, chunk_id, "rank", "distance2", "score"
+    )
+
+
 def with_neighbours(
     rows: DataFrame,
     hits: DataFrame,
@@ -555,6 +605,7 @@ def with_neighbours(
     out: str = "relevant_emails",
     drop_contained: bool = True,
     exclude_self: Column | None = None,
+    payloads: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: the row's hits as ``{serialized_email, score, chunk}`` in rank order.
 
@@ -562,13 +613,21 @@ def with_neighbours(
     hits get an empty array. The array is bounded by k. ``hits`` is used twice
     (a popular chunk may be hit by a large share of all rows, and its copies are
     spread), so it is written once. ``exclude_self`` is a predicate over the hit
-    columns marking hits on the row itself.
+    columns marking hits on the row itself. With ``payloads`` (doc_id, payload: one row per
+    doc_id) ``payload`` is an expression over that table, joined after the top k.
     """
     if exclude_self is not None:
         hits = hits.where(~exclude_self)
     hits = cut_lineage(hits.select(row_id, chunk_id, "rank", "score"))
-    texts = chunks.select(chunk_id, F.col(chunk_text).alias("_chunk"), payload.alias("_payload"))
-    carried = uneven_join(hits, texts, [chunk_id], [row_id], how="inner")
+    if payloads is None:
+        texts = chunks.select(chunk_id, F.col(chunk_text).alias("_chunk"), payload.alias("_payload"))
+        carried = uneven_join(hits, texts, [chunk_id], [row_id], how="inner")
+    else:
+        # Documents are read for the hits alone, once per document.
+        texts = chunks.select(chunk_id, F.col(chunk_text).alias("_chunk"), F.col("doc_id").alias("_doc"))
+        found = cut_lineage(uneven_join(hits, texts, [chunk_id], [row_id], how="inner"))
+        stored = payloads.select(F.col("doc_id").alias("_doc"), payload.alias("_payload"))
+        carried = uneven_join(found, stored, ["_doc"], [row_id, chunk_id], how="inner")
     arrays = carried.groupBy(row_id).agg(
         F.sort_array(
             F.collect_list(

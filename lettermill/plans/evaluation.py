@@ -32,7 +32,13 @@ class Evaluation:
 
 
 def _with_hits(
-    prompts: DataFrame, chunks: DataFrame, k: int, threshold: float, model: Model, search: Callable[..., DataFrame]
+    prompts: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    threshold: float,
+    model: Model,
+    search: Callable[..., DataFrame],
+    stored: DataFrame | None,
 ) -> DataFrame:
     """Add ``hits``: bodies of the stored emails nearest to each prompt."""
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
@@ -46,8 +52,9 @@ def _with_hits(
         "prompt",
         "chunk_id",
         "chunk",
-        F.col("email"),
+        F.col("email" if stored is None else "payload"),
         drop_contained=False,
+        payloads=stored,
     )
     bodies = F.transform("relevant_emails", lambda h: h["serialized_email"]["email"])
     return found.withColumn("hits", bodies).drop("relevant_emails")
@@ -64,6 +71,7 @@ def evaluate(
     use_thread: bool = False,
     thread_emails: int = 0,
     chunks: DataFrame | None = None,
+    stored: DataFrame | None = None,
     rag_emails: int = 0,
     threshold: float = RELEVANCE_THRESHOLD,
     goldens_for_divergence: str = "all",
@@ -84,7 +92,8 @@ def evaluate(
     Rows with one prompt share their goldens; the last thread counts. The prompt
     id is a hash of the prompt, so goldens find their prompt without a join.
     Replies are generated once and written before they are scored. With
-    ``chunks`` and ``rag_emails`` the prompt shows retrieved emails. Without
+    ``chunks`` and ``rag_emails`` the prompt shows retrieved emails; keyed chunks need their
+    payload table ``stored`` as well. Without
     ``compute_metrics`` prompts are only answered.
     """
     embed = model or hashed_terms()
@@ -97,7 +106,7 @@ def evaluate(
     hits = None
     search = partial(retriever, probes=probes, cells=search_cells)
     if chunks is not None and rag_emails > 0:
-        prompts = _with_hits(cut_lineage(prompts), chunks, rag_emails, threshold, embed, search)
+        prompts = _with_hits(cut_lineage(prompts), chunks, rag_emails, threshold, embed, search, stored)
         hits = F.col("hits")
     full_prompt = build_prompt(
         F.col("prompt"),

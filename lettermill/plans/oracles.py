@@ -320,6 +320,32 @@ chunks AS (
   WHERE i = 0 OR i * 900 + 100 < n)"""
 
 
+def weights(name: str, source: str, keys: str) -> str:
+    """Unit vectors of hashed terms with idf: (keys, bucket, w) as ``name``."""
+    return f"""
+{name}_words AS (SELECT {keys}, unnest({words(normal('text'))}) AS word FROM {source}),
+{name}_tf AS (
+  SELECT {keys}, ('0x' || substring(md5(word), 1, 7))::BIGINT % 256 AS bucket, count(*) AS tf FROM {name}_words GROUP BY ALL),
+{name} AS (
+  SELECT {keys}, bucket, CAST(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {keys})) AS FLOAT)::DOUBLE AS w
+  FROM {name}_tf JOIN idf USING (bucket) WHERE idf > 0)"""
+
+
+IDF = f"""
+seen AS (
+  SELECT DISTINCT doc_id, ('0x' || substring(md5(word), 1, 7))::BIGINT % 256 AS bucket
+  FROM (SELECT doc_id, unnest({words(normal('text'))}) AS word FROM documents)),
+idf AS (
+  SELECT b AS bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(doc_id) + 1)) AS idf
+  FROM range(0, 256) r(b) LEFT JOIN seen ON bucket = b GROUP BY b)"""
+
+NUMBERED_CHUNKS = """
+cut AS (
+  SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS text
+  FROM documents, range(0, 100000) r(i)
+  WHERE length(text) > 0 AND (i = 0 OR i * 900 + 100 < length(text)))"""
+
+
 def events_by_day() -> str:
     return """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS reason, count(*) AS n
               FROM events GROUP BY ALL"""
@@ -435,6 +461,30 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 400 + 1 AS BIGINT), 500) AS chunk
         FROM documents, range(0, 100000) r(i)
         WHERE length(text) > 0 AND (i = 0 OR i * 400 + 100 < length(text))""",
+    "document_store": """
+        SELECT doc_id, lang, source, CAST(ceil(coalesce(length(text), 0) / 700) AS BIGINT) AS n_chunks,
+               CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents""",
+    "embed_documents": f"""WITH {IDF},{weights('vecs', 'documents', 'doc_id')}
+        SELECT doc_id, bucket, round(w, 6) AS weight FROM vecs WHERE w > 0""",
+    "build_index": f"""WITH {IDF},{NUMBERED_CHUNKS},{weights('vecs', 'cut', 'doc_id, chunk_no')}
+        SELECT doc_id, chunk_no, any_value(text) AS chunk, count(w) AS n_buckets, coalesce(round(sum(w), 6), 0.0) AS weight_sum
+        FROM cut LEFT JOIN vecs USING (doc_id, chunk_no) GROUP BY doc_id, chunk_no""",
+    "search_text": f"""WITH {IDF},{NUMBERED_CHUNKS},{weights('vecs', 'cut', 'doc_id, chunk_no')},
+        {weights('asked', 'benchmark', 'item_id')},
+        norms AS (SELECT doc_id, chunk_no, coalesce(sum(w * w), 0) AS c2 FROM cut LEFT JOIN vecs USING (doc_id, chunk_no)
+                  GROUP BY ALL),
+        own AS (SELECT item_id, coalesce(sum(w * w), 0) AS q2 FROM benchmark LEFT JOIN asked USING (item_id) GROUP BY ALL),
+        dots AS (SELECT item_id, doc_id, chunk_no, sum(a.w * v.w) AS dot FROM asked a JOIN vecs v USING (bucket) GROUP BY ALL),
+        dists AS (
+          SELECT item_id AS query_id, doc_id || '#' || chunk_no AS chunk_id, q2 + c2 - 2 * coalesce(dot, 0) AS d2
+          FROM own CROSS JOIN norms LEFT JOIN dots USING (item_id, doc_id, chunk_no))
+        SELECT query_id, rank, chunk_id, round(1 - d2 / sqrt(2), 6) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 12), chunk_id) AS rank FROM dists)
+        WHERE rank <= 5""",
+    "raft_refilled": f"""WITH {RAFT.split('hits AS')[0].rstrip().rstrip(',')}
+        SELECT doc_id, rank, chunk_id, round(1 - d2 / sqrt(2), 6) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, chunk_id) AS rank FROM dists
+          WHERE NOT contains(own, chunk)) WHERE rank <= 5""",
     "knn_exact": f"WITH {KNN} SELECT {HIT_COLUMNS} FROM hits",
     "knn_blocks": f"WITH {KNN} SELECT {HIT_COLUMNS} FROM hits",
     "knn_ivf": """

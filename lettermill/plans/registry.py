@@ -23,6 +23,7 @@ from ..operators import (
     splitting,
     threads,
 )
+from ..schema import KEYED_CHUNKS
 from ..session import cut_lineage, new_work_path, spread
 from ..sources import jsonl, mail_view, mbox, store
 from ..streaming import ingest as stream_ingest
@@ -424,17 +425,49 @@ def discard_sink(spark, sf_dir):
     )
 
 
-def fixed_chunk_store(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.col("text").alias("email"),
-        F.lit("").alias("subject"),
-        F.array().cast("array<string>").alias("thread"),
-        F.lit(None).cast("string").alias("date"),
-        F.lit(None).cast("string").alias("summary"),
+def fixed_chunk_store(spark, sf_dir, model: embedding.Model | None = None) -> DataFrame:
+    """Keyed chunks of documents, which are no emails."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = model or embedding.hashed_terms(64)
+    return embedding.index_chunks(docs, "doc_id", "text", "documents", model, 1000, 100, recursive=False)
+
+
+@query
+def document_store(spark, sf_dir):
+    """Documents, not emails, put into one index by a batch, a stream and another batch:
+    chunks hold keys only, and language and source come from the payloads."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chunks, stored, arrived, state = (
+        new_work_path(spark, n) for n in ("doc-chunks", "doc-payloads", "doc-arrived", "doc-state")
     )
-    return embedding.build_index(
-        docs, "doc_id", "documents", embedding.hashed_terms(64), 1000, 100, recursive=False
+    model = embedding.hashed_terms(16)
+
+    def by_batch(rows: DataFrame) -> None:
+        store.store_chunks(
+            embedding.index_chunks(rows, "doc_id", "text", "docs", model, 700, 0, recursive=False), chunks
+        )
+        store.store_chunks(embedding.payloads(rows, "doc_id", "docs"), stored)
+
+    third = F.col("doc_id") % 3
+    by_batch(docs.where(third == 0))
+    docs.where(third == 1).repartition(4, "doc_id").write.parquet(arrived)
+    stream_ingest.ingest_documents(
+        spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(arrived),
+        chunks, stored, state, "doc_id", "text", "docs", 700, 0, model, recursive=False,
+    ).awaitTermination()
+    by_batch(docs.where(third == 2))
+    documents = store.load_index(spark, stored, "docs", store.payload_schema(docs.drop("doc_id").schema))
+    per_doc = (
+        store.load_index(spark, chunks, "docs", KEYED_CHUNKS)
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
+    )
+    return documents.join(per_doc, "doc_id", "left").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("payload.lang").alias("lang"),
+        F.col("payload.source").alias("source"),
+        F.coalesce("n_chunks", F.lit(0).cast("bigint")).alias("n_chunks"),
+        F.coalesce("n_chars", F.lit(0).cast("bigint")).alias("n_chars"),
     )
 
 
@@ -442,12 +475,12 @@ def fixed_chunk_store(spark, sf_dir) -> DataFrame:
 def store_append(spark, sf_dir):
     """A store that starts missing, then gets the same chunks twice."""
     path = new_work_path(spark, "store")
-    before = store.load_index(spark, path, "documents").count()
+    before = store.load_index(spark, path, "documents", KEYED_CHUNKS).count()
     chunks = fixed_chunk_store(spark, sf_dir)
     store.store_chunks(chunks, path)
     store.store_chunks(chunks, path)
     return (
-        store.load_index(spark, path, "documents")
+        store.load_index(spark, path, "documents", KEYED_CHUNKS)
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
         .withColumn("before", F.lit(before).cast("bigint"))
@@ -497,13 +530,28 @@ def chunk_recursive(spark, sf_dir):
 
 @query
 def embed_documents(spark, sf_dir):
+    """Unit vectors of hashed terms with idf, one row per bucket that a text has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embedding.hashed_terms()(docs, "text", "vector").select("doc_id", "vector")
+    model = embedding.hashed_terms(256, embedding.fit_idf(docs, "text", 256))
+    weights = model(docs, "text", "vector").select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    return weights.where("weight > 0").select(
+        "doc_id", F.col("bucket").cast("bigint").alias("bucket"), rounded(F.col("weight").cast("double")).alias("weight")
+    )
 
 
 @query
 def build_index(spark, sf_dir):
-    return fixed_chunk_store(spark, sf_dir).select("doc_id", "chunk_no", "chunk", "vector")
+    """Chunks with vectors by the idf of all chunks' documents; vectors as rounded sums."""
+    docs = table(spark, sf_dir, "documents")
+    model = embedding.hashed_terms(256, embedding.fit_idf(docs, "text", 256))
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    return fixed_chunk_store(spark, sf_dir, model).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("chunk_no").cast("bigint").alias("chunk_no"),
+        "chunk",
+        F.size(F.filter(vector, lambda x: x > 0)).cast("bigint").alias("n_buckets"),
+        rounded(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)).alias("weight_sum"),
+    )
 
 
 # --- retrieval ------------------------------------------------------------------------
@@ -648,16 +696,26 @@ def containment_filter(spark, sf_dir):
 
 @query
 def search_text(spark, sf_dir):
-    """Benchmark texts looked up in the document chunks by hashed vectors."""
+    """Benchmark texts looked up in the document chunks by hashed vectors with idf."""
+    model = embedding.hashed_terms(256, embedding.fit_idf(table(spark, sf_dir, "documents"), "text", 256))
     chunks = cut_lineage(
-        fixed_chunk_store(spark, sf_dir).select(
+        fixed_chunk_store(spark, sf_dir, model).select(
             F.concat_ws("#", "doc_id", "chunk_no").alias("chunk_id"), "vector"
         )
     )
-    queries = embedding.hashed_terms(64)(
-        table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text", "vector"
+    queries = model(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text", "vector")
+    return hit_rows(retrieval.nearest(queries, chunks, K))
+
+
+@query
+def raft_refilled(spark, sf_dir):
+    """Every document with its K nearest others that it does not contain, however far they are."""
+    rows = cut_lineage(documents_with_vectors(spark, sf_dir))
+    chunks = rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"), "vector")
+    hits = retrieval.nearest_kept(rows, chunks, K, "text", "chunk", query_id="doc_id")
+    return hits.select(
+        "doc_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", rounded("score").alias("score")
     )
-    return retrieval.nearest(queries, chunks, K).select("query_id", "rank", "chunk_id", "score")
 
 
 # --- prompts and pairs ---------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ from ..fixed_values import (
 )
 from ..functions.dates import sort_micros
 from ..operators import cleaning, prompting
-from ..operators.embedding import Model, build_index, hashed_terms
+from ..operators.embedding import Model, hashed_terms, index_chunks
+from ..operators.embedding import payloads as payload_rows
 from ..operators.generation import GeneratorFactory, generate
-from ..operators.retrieval import Retriever, nearest, with_neighbours
+from ..operators.retrieval import Retriever, nearest, nearest_kept, with_neighbours
 from ..operators.splitting import split_train_test
 from ..session import cut_lineage
 from ..sources import mbox
@@ -103,15 +105,18 @@ def split(emails: DataFrame, settings: Settings, id_col: str = "email_id") -> Da
 def index(
     train: DataFrame, settings: Settings, model: Model | None = None, id_col: str = "email_id"
 ) -> DataFrame:
-    """Chunks and vectors of the training emails."""
-    rows = train.select(
-        id_col, "email", "subject", "thread", F.col("date_iso").alias("date"), "summary"
-    )
-    return build_index(
-        rows, id_col, settings.index_name, model, settings.chunk_size, settings.chunk_overlap
+    """Chunks and vectors of the training emails; the emails themselves are ``payloads``."""
+    return index_chunks(
+        train, id_col, "email", settings.index_name, model, settings.chunk_size, settings.chunk_overlap
     )
 
 
+def payloads(train: DataFrame, settings: Settings, id_col: str = "email_id") -> DataFrame:
+    """The training emails as the payload table of their index, one row each."""
+    emails = train.select(id_col, "email", "subject", "thread", F.col("date_iso").alias("date"), "summary")
+    return payload_rows(emails, id_col, settings.index_name)
+
+
 def enrich(
     train: DataFrame,
     chunks: DataFrame,
@@ -122,9 +127,15 @@ def enrich(
     drop_contained: bool = True,
     exclude_self: bool = True,
     retriever: Retriever = nearest,
+    stored: DataFrame | None = None,
+    refill: bool = False,
 ) -> DataFrame:
     """Training emails with their nearest stored emails in ``relevant_emails``.
 
+    ``chunks`` are keyed chunks of ``stored`` payloads (by default of ``train`` itself), or
+    self-contained ones with an ``email`` column. With ``refill`` contained hits are replaced
+    by the next nearest ones, as far as there are any.
+
     By default a row asks with its own body and loses the hits it contains.
     ``query_text=instruction_of(summary)`` with ``drop_contained=False`` and
     ``exclude_self=False`` asks the way a prompt does at writing time.
@@ -132,10 +143,18 @@ def enrich(
     keyed = chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_no"))
     asked = train.select(id_col, (F.col("email") if query_text is None else query_text).alias("q"))
     queries = (model or hashed_terms())(asked, "q", "vector")
-    hits = retriever(
-        queries, keyed, settings.neighbours, query_id=id_col, probes=settings.probes, cells=settings.cells
-    )
+    options = {"probes": settings.probes, "cells": settings.cells}
     chunk_of = F.regexp_replace("chunk_id", r"#[0-9]+\z", "")
+    own = (chunk_of == F.col(id_col)) if exclude_self else None
+    if refill:
+        queries = cut_lineage(queries.join(train.select(id_col, F.col("email").alias("_body")), id_col))
+        search = partial(retriever, **options)
+        hits = nearest_kept(
+            queries, keyed, settings.neighbours, "_body", "chunk", id_col, exclude_self=own, search=search
+        )
+    else:
+        hits = retriever(queries, keyed, settings.neighbours, query_id=id_col, **options)
+    whole = "email" in chunks.columns
     return with_neighbours(
         train,
         hits,
@@ -144,9 +163,10 @@ def enrich(
         "email",
         "chunk_id",
         "chunk",
-        F.col("email"),
-        drop_contained=drop_contained,
-        exclude_self=(chunk_of == F.col(id_col)) if exclude_self else None,
+        F.col("email" if whole else "payload"),
+        drop_contained=drop_contained and not refill,
+        exclude_self=own,
+        payloads=None if whole else (payloads(train, settings, id_col) if stored is None else stored),
     )
 
 

@@ -31,6 +31,17 @@ CHAT_MESSAGE = T.StructType(
     [T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]
 )
 
+# Chunk rows without their documents, which stand in a payload table by doc_id.
+KEYED_CHUNKS = T.StructType(
+    [
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("chunk", T.StringType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
+        T.StructField("index_name", T.StringType()),
+    ]
+)
+
 CHUNKS = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),

@@ -33,8 +33,19 @@ def load_index(
     return stored.where(F.col("index_name") == index_name).select(*schema.names)
 
 
+def payload_schema(columns: T.StructType) -> T.StructType:
+    """Row type of a payload table of documents with these columns."""
+    return T.StructType(
+        [
+            T.StructField("doc_id", T.StringType()),
+            T.StructField("payload", columns),
+            T.StructField("index_name", T.StringType()),
+        ]
+    )
+
+
 def store_chunks(chunks: DataFrame, path: str) -> None:
-    """Append to the store; indexes are partitions, duplicates are kept.
+    """Append chunks or payloads to their store; indexes are partitions, duplicates are kept.
 
     Below an index every write has a folder of its own, as the batches of a stream have,
     so batch and stream can fill the same index.

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cleaning
-from ..operators.embedding import Model, build_index
+from ..operators.embedding import Model, build_index, index_chunks, payloads
 from ..schema import PARTS
 from ..sources.store import index_folder
 
@@ -69,6 +69,41 @@ def ingest(
     )
 
 
+def ingest_documents(
+    docs: DataFrame,
+    store: str,
+    payload_store: str,
+    checkpoint: str,
+    id_col: str,
+    body_col: str,
+    index_name: str,
+    chunk_size: int,
+    chunk_overlap: int,
+    model: Model | None = None,
+    recursive: bool = True,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Append every batch's documents, of any columns, to an index: keyed chunks to ``store``,
+    the documents to ``payload_store``.
+
+    A batch that is run again overwrites its own two folders.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark = docs.sparkSession
+        chunks = index_chunks(batch, id_col, body_col, index_name, model, chunk_size, chunk_overlap, recursive)
+        for rows, where in ((chunks, store), (payloads(batch, id_col, index_name), payload_store)):
+            folder = f"{index_folder(spark, where, index_name)}/batch_id=stream-{batch_id}"
+            rows.drop("index_name").write.mode("overwrite").parquet(folder)
+
+    return (
+        docs.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
+        .start()
+    )
+
+
 def ingested(spark: SparkSession, store: str) -> DataFrame:
     """All chunks stored so far; ``batch_id`` is a partition column."""
     return spark.read.option("basePath", store).parquet(store)
