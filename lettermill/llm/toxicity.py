@@ -9,10 +9,12 @@ length over all their terms; terms of a query that no example has count in its l
 
 The examples are held in a block-max inverted index. Terms of COMMON examples or more keep,
 per block of BLOCK examples, their postings and their largest weight; rarer terms are few
-postings and are added up first. The sum of a query's weights times these maxima, plus the
-best rare part in a block, bounds every cosine there; blocks are visited by falling bound
-and the search ends when no unvisited block can beat the k-th best, so the k nearest are
-exact. Among equal cosines the example that comes first in the index wins.
+postings and are added up first, and terms of more than one in FREQUENT examples stand as
+rows of a matrix that many texts are multiplied with at once. The sum of a query's weights
+times the maxima, plus the best that rare and frequent terms give in a block, bounds every
+cosine there; blocks are visited by falling bound and the search ends when no unvisited
+block can beat the k-th best, so the k nearest are exact. Among equal cosines the example
+that comes first in the index wins.
 
 A vote weighs each neighbour's label by its closeness; a logistic curve fitted on
 leave-one-out votes of the examples turns votes into calibrated scores. The examples are a
@@ -36,6 +38,7 @@ import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -45,11 +48,13 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, fold, mix64, pieces, share, shared, text_or_empty, words_in, written
 
-MAX_EXAMPLES = 4_000
+MAX_EXAMPLES = 3_000
 HALF_CHI = 20.0  # chi-square at which a term has half of the full relevance
 FLOOR = 0.005  # relevance of a term that says nothing about the label
 BLOCK = 64
 COMMON = 16
+FREQUENT = 16
+TEXTS_AT_ONCE = 64
 NEIGHBOURS = 15
 PREFIXES = (4, 5)
 FOLDS, HELD_OUT = 5, 0
@@ -74,7 +79,9 @@ def terms_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def counted_terms(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, term) of several texts, in this order, with their counts."""
     hashes, owner = terms_of(raw, starts)
-    order = np.lexsort((hashes, owner))
+    order = np.argsort(hashes)
+    # A stable sort of 16-bit numbers is a radix sort.
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(starts) < 1 << 16 else np.int64), kind="stable")]
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -119,28 +126,54 @@ class Index:
     common: np.ndarray  # by term: its row in the block tables, or -1
     block_max: np.ndarray  # (common terms, blocks)
     places: np.ndarray  # (common terms, blocks + 1): where a block's postings begin
+    frequent: np.ndarray  # by term: its row in the matrix, or -1
     ids: np.ndarray  # by example
     labels: np.ndarray
     slope: float = 0.0
     offset: float = -np.inf
     empty_score: float = 0.0
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (fewer if fewer share a term) and their cosines."""
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """(frequent terms, examples): weights, 0 where an example does not have a term."""
+        often = np.flatnonzero(self.frequent >= 0)
+        out = np.zeros((len(often), self.block_max.shape[1] * BLOCK))
+        for row, k in enumerate(often):
+            span = slice(self.starts[k], self.starts[k + 1])
+            out[row, self.examples[span]] = self.weights[span]
+        return out
+
+    def by_frequent(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """(n texts, examples): what frequent terms give to the cosines."""
+        row = self.frequent[terms]
+        some = row >= 0
+        texts = np.zeros((n, len(self.matrix)))
+        texts[owner[some], row[some]] = weights[some]
+        return texts @ self.matrix
+
+    def nearest(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples (fewer if fewer share a term) and their cosines.
+
+        ``base`` is the text's row of ``by_frequent``, if that is known.
+        """
         n_blocks = self.block_max.shape[1]
+        if base is None:
+            base = self.by_frequent(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
         row = self.common[terms]
-        rare = row < 0
-        base = np.zeros(n_blocks * BLOCK)
-        found = _ranges(self.starts[terms[rare]], self.starts[terms[rare] + 1])
-        counts = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
-        base += np.bincount(self.examples[found], self.weights[found] * np.repeat(weights[rare], counts), len(base))
-        row, weights = row[~rare], weights[~rare]
+        rare = (row < 0) & (self.frequent[terms] < 0)
+        begin, end = self.starts[terms[rare]], self.starts[terms[rare] + 1]
+        found = _ranges(begin, end)
+        value = self.weights[found] * np.repeat(weights[rare], end - begin)
+        base = base + np.bincount(self.examples[found], value, len(base))
+        row, weights = row[row >= 0], weights[row >= 0]
         bound = weights @ self.block_max[row] + base.reshape(n_blocks, BLOCK).max(axis=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, score = np.empty(0, np.int64), np.empty(0)
         # The most promising blocks first, then ever more of those that can still matter.
-        first, count = 0, 4
+        first, count = 0, 8
         while first < len(order):
             blocks = order[first : first + count]
             if len(score) >= k:
@@ -151,7 +184,7 @@ class Index:
             at, score = np.concatenate([at, hit[hit != skip]]), np.concatenate([score, value[hit != skip]])
             best = np.lexsort((at, -np.round(score, 6)))[:k]
             at, score = at[best], score[best]
-            first, count = first + count, count * 4
+            first, count = first + count, count * 8
         return at, score
 
     def _scored(self, row: np.ndarray, weights: np.ndarray, blocks: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,17 +235,21 @@ def build_index(ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term:
     order = np.lexsort((example, t))
     t, example, w = t[order], example[order], w[order]
     starts = np.append(0, np.cumsum(df))
-    often = np.flatnonzero(df >= COMMON)
+    long = df * FREQUENT > n
+    often = np.flatnonzero((df >= COMMON) & ~long)
+    frequent = np.full(len(terms), -1, dtype=np.int32)
+    frequent[long] = np.arange(long.sum())
     common = np.full(len(terms), -1, dtype=np.int64)
     common[often] = np.arange(len(often))
     block_max = np.zeros((len(often), n_blocks))
-    places = np.empty((len(often), n_blocks + 1), dtype=np.int64)
+    places = np.empty((len(often), n_blocks + 1), dtype=np.int32)
     for i, k in enumerate(often):
         a, b = starts[k], starts[k + 1]
         np.maximum.at(block_max[i], example[a:b] // BLOCK, w[a:b])
         places[i] = a + np.searchsorted(example[a:b], np.arange(n_blocks + 1) * BLOCK)
     unseen = (np.log(1 + n) + 1.0) * FLOOR
-    return Index(terms, idf, unseen, starts, example.astype(np.int32), w, common, block_max, places, ids, labels.astype(float))
+    example = example.astype(np.uint16 if n < 1 << 16 else np.int32)
+    return Index(terms, idf, unseen, starts, example, w, common, block_max, places, frequent, ids, labels.astype(float))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -246,7 +283,9 @@ def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def _built(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"index": [pickle.dumps(tuple(vars(build_index(*_postings(rows))).values()))]})
+    """The index as rows (name, data), one per array."""
+    found = vars(build_index(*_postings(rows)))
+    return pd.DataFrame({"name": list(found), "data": [pickle.dumps(v) for v in found.values()]})
 
 
 def leave_one_out(index: Index, rows: DataFrame, k: int) -> pd.DataFrame:
@@ -301,8 +340,8 @@ def fit(
     one = F.max(F.struct("terms", "tf", "label")).alias("x")
     rows, _ = written(rows.groupBy("example").agg(one).select("example", "x.label", "x.terms", "x.tf"), "tox-terms")
     # At most ``max_examples`` rows: one task.
-    built = rows.groupBy().applyInPandas(_built, "index binary").first()
-    index = Index(*pickle.loads(built["index"]))
+    built, _ = written(rows.groupBy().applyInPandas(_built, "name string, data binary"), "tox-index")
+    index = Index(**{r["name"]: pickle.loads(r["data"]) for r in built.toLocalIterator()})
     votes = leave_one_out(index, rows, k)
     index.empty_score = float(totals[1] / sum(totals.values()))
     if len(votes):
@@ -332,15 +371,24 @@ class Scorer:
         order = np.lexsort((known, owner))
         owner, known, tf = owner[order], known[order], tf[order]
         rows, at = np.unique(owner, return_index=True)
-        for row, a, b in zip(rows, at, np.append(at[1:], len(owner))):
-            # Copies of a text are common.
-            key = hashlib.md5(known[a:b].tobytes() + tf[a:b].tobytes() + unseen[row].tobytes()).digest()
-            if key not in self.seen:
-                weights = query_vector(index, known[a:b], tf[a:b], unseen[row])
-                near, cosine = index.nearest(known[a:b], weights, self.k)
-                if len(self.seen) > 100_000:
-                    self.seen.clear()
+        spans = list(zip(rows, at, np.append(at[1:], len(owner))))
+        # Copies of a text are common.
+        keys = [hashlib.md5(known[a:b].tobytes() + tf[a:b].tobytes() + unseen[r].tobytes()).digest() for r, a, b in spans]
+        new = {key: span for key, span in zip(keys, spans) if key not in self.seen}
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+            new = dict(zip(keys, spans))
+        asked = list(new.items())
+        for first in range(0, len(asked), TEXTS_AT_ONCE):
+            some = asked[first : first + TEXTS_AT_ONCE]
+            weights = [query_vector(index, known[a:b], tf[a:b], unseen[r]) for _, (r, a, b) in some]
+            place = np.repeat(np.arange(len(some)), [len(w) for w in weights])
+            terms = np.concatenate([known[a:b] for _, (_, a, b) in some])
+            base = index.by_frequent(place, terms, np.concatenate(weights), len(some))
+            for i, (key, (_, a, b)) in enumerate(some):
+                near, cosine = index.nearest(known[a:b], weights[i], self.k, base=base[i])
                 self.seen[key] = index.calibrated(index.vote(near, cosine)), index.ids[near].tolist()
+        for key, (row, _, _) in zip(keys, spans):
             out[row], evidence[row] = self.seen[key]
         return out, evidence
 
