@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,24 +44,41 @@ def extractive() -> Generator:
 GENERATORS: dict[str, GeneratorFactory] = {"echo": echo, "extractive": extractive}
 
 
+GENERATION_ROWS = 256
+
+
+def by_length(prompts: pd.Series, model: Generator, batch_rows: int) -> pd.Series:
+    """Replies in the order of ``prompts``, asked for in batches of like length."""
+    size = prompts.str.len().fillna(0)
+    order = size.argsort(kind="stable").to_numpy()
+    replies = np.empty(len(prompts), dtype=object)
+    for at in range(0, len(order), batch_rows):
+        rows = order[at : at + batch_rows]
+        replies[rows] = np.asarray(model(prompts.iloc[rows]), dtype=object)
+    return pd.Series(replies, index=prompts.index)
+
+
 def generate(
     df: DataFrame,
     prompt_col: str,
     factory: GeneratorFactory,
     out: str = "response",
     samples: int = 1,
+    batch_rows: int = GENERATION_ROWS,
 ) -> DataFrame:
     """Add ``sample_no`` and ``out``: ``samples`` replies per row, keys kept.
 
     Only the prompt column goes through Python. The call is marked so that the
-    optimizer never repeats it.
+    optimizer never repeats it. A model gets prompts of like length together, at most
+    ``batch_rows`` at a time, so what it pads them with stays small; replies go back to
+    their prompts' places.
     """
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for prompts in batches:
-            yield model(prompts)
+            yield by_length(prompts, model, batch_rows)
 
     asked = df.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return asked.withColumn(out, run.asNondeterministic()(F.col(prompt_col)))

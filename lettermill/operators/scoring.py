@@ -7,13 +7,10 @@ are joined and summed; the goldens of a prompt never meet in one row or task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import (
     explode_ngrams,
@@ -151,10 +148,43 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - rows.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in pairs:
-        yield pd.Series([lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays, as a fold.
+
+    The places in ``b`` of every token of ``a``, each token's places from last to first, are
+    one sequence; its longest increasing subsequence is what is asked. The fold keeps, for each
+    length, the smallest last place of an increasing subsequence of that length. It costs the
+    number of equal pairs of tokens times the result, whatever the lengths of the texts.
+    """
+    numbered = F.transform(b, lambda token, i: F.struct(token.alias("t"), (-i).alias("i")))
+    # Sorted by token, then from last to first place: a map from token to its places.
+    distinct = F.array_distinct(F.array_intersect(b, a))
+    places = F.map_from_arrays(
+        distinct,
+        F.transform(
+            distinct,
+            lambda token: F.transform(
+                F.array_sort(F.filter(numbered, lambda x: x["t"] == token)), lambda x: -x["i"]
+            ),
+        ),
+    )
+    walked = F.flatten(
+        F.transform(
+            F.filter(a, lambda token: F.array_contains(distinct, token)), lambda token: F.element_at(places, token)
+        )
+    )
+    none = F.array().cast("array<int>")
+    # lengths: kept smallest last places are ascending, so those below a place are a prefix.
+    last = F.aggregate(
+        walked,
+        none,
+        lambda ends, at: F.concat(
+            F.filter(ends, lambda e: e < at),
+            F.array(at),
+            F.slice(F.filter(ends, lambda e: e >= at), 2, F.size(ends) + 1),
+        ),
+    )
+    return F.coalesce(F.size(last), F.lit(0))
 
 
 def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataFrame:
@@ -162,7 +192,7 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
 
     The best golden has the highest ROUGE-1 F, the first one on ties. Texts have
     no line breaks after normalisation, so Lsum equals L. ``longest=False``
-    leaves both out and stays on the JVM. Samples without goldens score NULL.
+    leaves both out. Samples without goldens score NULL.
 
     n-grams meet per prompt and range of 2**GOLDEN_RANGE_BITS golden numbers, so a
     prompt with very many goldens is many join keys; a sample's few n-grams are
@@ -194,26 +224,25 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
     )
     overlap = (
         gold_counts.join(cand_counts, ["prompt_id", "part", "n", "gram"])
-        .groupBy("sample_id", "prompt_id", "golden_no", "clen", "glen")
+        .groupBy("sample_id", "prompt_id", "part", "golden_no", "clen", "glen")
         .agg(
             F.sum(F.when(F.col("n") == 1, F.least("c", "k"))).alias("h1"),
             F.coalesce(F.sum(F.when(F.col("n") == 2, F.least("c", "k"))), F.lit(0)).alias("h2"),
         )
     )
     f1 = 2 * F.col("h1") / (F.col("clen") + F.col("glen"))
-    best = overlap.groupBy("sample_id", "prompt_id").agg(
-        F.min_by(
-            F.struct("golden_no", "clen", "glen", "h1", "h2"),
-            F.struct(-f1, F.col("golden_no")),
-        ).alias("b")
-    )
-    picked = best.select("sample_id", "prompt_id", "b.*")
+    # The smallest of -F and golden number is the best golden; of each range of goldens one row
+    # is left before they meet.
+    ordered = F.struct((-f1).alias("worse"), "golden_no", "clen", "glen", "h1", "h2")
+    by_part = overlap.groupBy("sample_id", "prompt_id", "part").agg(F.min(ordered).alias("b"))
+    best = by_part.groupBy("sample_id", "prompt_id").agg(F.min("b").alias("b"))
+    picked = best.select("sample_id", "prompt_id", "b.*").drop("worse")
     if longest:
         with_text = picked.join(
             gold.select("prompt_id", "golden_no", F.col("t").alias("gt")),
             ["prompt_id", "golden_no"],
         ).join(cand.select("sample_id", F.col("t").alias("ct")), "sample_id")
-        picked = with_text.withColumn("hl", _lcs("ct", "gt")).drop("ct", "gt")
+        picked = with_text.withColumn("hl", common_length(F.col("gt"), F.col("ct"))).drop("ct", "gt")
     # A prompt with goldens but no overlap scores 0; without goldens NULL.
     has_golden = goldens.select("prompt_id").distinct().withColumn("_has", F.lit(True))
     scored = (

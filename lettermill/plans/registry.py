@@ -917,7 +917,31 @@ def rouge_n(spark, sf_dir):
 @query
 def rouge_l(spark, sf_dir):
     scores = scoring.rouge(*graded(spark, sf_dir))
-    return scores.select("sample_id", *[c for c in scores.columns if c.startswith("rougeL")])
+    longest = [c for c in scores.columns if c.startswith("rougeL")]
+    return scores.select("sample_id", *[rounded(c).alias(c) for c in longest])
+
+
+@query
+def rouge_all_goldens(spark, sf_dir):
+    """Replies against every earlier turn of their conversation, BLEU and all of ROUGE."""
+    turns = mails(spark, sf_dir).select("conv_id", "turn", "role", "text", "prev")
+    asked = turns.where((F.col("role") == "assistant") & F.col("prev").isNotNull())
+    samples = asked.select(
+        F.concat_ws("-", "conv_id", "turn").alias("sample_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("prompt_id"),
+        F.col("text").alias("response"),
+    )
+    before = turns.select("conv_id", F.col("turn").alias("golden_no"), F.col("text").alias("golden"))
+    goldens = (
+        asked.select("conv_id", "turn")
+        .join(before, "conv_id")
+        .where("golden_no < turn")
+        .select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "golden_no", "golden")
+    )
+    goldens = cut_lineage(goldens)
+    both = scoring.bleu(samples, goldens).join(scoring.rouge(samples, goldens), "sample_id")
+    kept = ["bleu", "rouge1_fmeasure", "rouge2_fmeasure", "rougeL_fmeasure"]
+    return both.select("sample_id", *[rounded(c).alias(c) for c in kept])
 
 
 @query
