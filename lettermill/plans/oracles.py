@@ -270,6 +270,31 @@ rouge_scores AS (
   SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
          coalesce(2 * p2 * r2 / nullif(p2 + r2, 0), 0) AS f2 FROM rscores)"""
 
+# The longest common subsequence as the longest increasing sequence of matching places: for
+# every length the smallest place it can end at. A place is a list of one, as the result is a list.
+LONGEST = f"""
+lpairs AS (
+  SELECT b.sample_id, cl, gl, {rouge_words('response')} AS c, {rouge_words('golden')} AS g
+  FROM rbest b JOIN samples USING (sample_id) JOIN goldens o ON o.sample_id = b.sample_id AND o.golden_no = b.golden_no),
+lwalk AS (
+  SELECT sample_id, flatten(list_transform(g, lambda t: [[j] FOR j IN range(len(c), 0, -1) IF c[j] = t])) AS places
+  FROM lpairs),
+lcs AS (
+  SELECT sample_id, len(list_reduce(coalesce(places, []::BIGINT[][]),
+    lambda acc, x: list_filter(acc, lambda e: e < x[1]) || x || list_filter(acc, lambda e: e >= x[1])[2:], []::BIGINT[])) AS n
+  FROM lwalk),
+longest AS (
+  SELECT b.sample_id, coalesce(n, 0) / nullif(cl, 0) AS p0, coalesce(n, 0) / nullif(gl, 0) AS r0,
+         coalesce(p0, 0) AS pl, coalesce(r0, 0) AS rl, coalesce(2 * pl * rl / nullif(pl + rl, 0), 0) AS fl
+  FROM rbest b LEFT JOIN lcs USING (sample_id))"""
+
+# Every earlier turn of a conversation is a golden of a reply.
+ALL_GOLDENS = f"""{MAILS},
+samples AS (SELECT email_id AS sample_id, conv_id, turn, text AS response FROM mails
+            WHERE role = 'assistant' AND prev IS NOT NULL),
+goldens AS (SELECT s.sample_id, m.turn AS golden_no, m.text AS golden
+            FROM samples s JOIN mails m ON m.conv_id = s.conv_id AND m.turn < s.turn)"""
+
 PERPLEXITY = f"""{SPLIT_DOCS},
 toks AS (SELECT doc_id, split, {words(normal('text'))} AS t FROM split_docs),
 pairs AS (
@@ -426,6 +451,35 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, text AS email, '' AS subject, CAST(0 AS BIGINT) AS n_thread,
                CAST(NULL AS BIGINT) AS date_us, CAST(NULL AS VARCHAR) AS summary FROM conversations""",
     "mime_parts": f"WITH {PARTS} SELECT * FROM parts",
+    "mbox_ids": f"""WITH {MAILS},
+        raws AS (
+          SELECT turn, md5('From: A Person <' || from_addr || '>' || {NL} || 'Subject: ' || subject || {NL} || 'Date: '
+            || strftime(to_timestamp(sent_s + 7200) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S') || ' +0200' || {NL}
+            || 'MIME-Version: 1.0' || {NL} || 'Content-Type: multipart/mixed; boundary="=_part"' || {NL} || {NL}
+            || '--=_part' || {NL} || 'Content-Type: text/plain; charset=utf-8' || {NL}
+            || 'Content-Transfer-Encoding: 8bit' || {NL} || {NL} || body
+            || {NL} || '--=_part' || {NL} || 'Content-Type: text/html; charset=utf-8' || {NL} || {NL} || '<p>' || subject || '</p>'
+            || {NL} || '--=_part' || {NL} || 'Content-Type: text/plain' || {NL} || 'Content-Transfer-Encoding: base64' || {NL} || {NL}
+            || rtrim(regexp_replace(base64(encode(text)), '(.{{76}})', '\\1' || chr(13) || {NL}, 'g'), chr(13) || {NL})
+            || {NL} || '--=_part--') AS digest FROM mails)
+        SELECT digest, CASE WHEN turn % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS n_rows,
+               CASE WHEN turn % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS n_ids,
+               CASE WHEN turn % 4 = 0 THEN digest || '#1' ELSE digest END AS last_id FROM raws""",
+    "mail_dates": f"""WITH {MAILS},
+        zoned AS (
+          SELECT *, turn % 7 AS form, conv_id % 5 AS zone,
+            CASE conv_id % 5 WHEN 0 THEN 120 WHEN 1 THEN -210 WHEN 2 THEN -300 ELSE 0 END AS minutes,
+            CASE conv_id % 5 WHEN 0 THEN '+02:00' WHEN 1 THEN '-03:30' WHEN 2 THEN '-05:00' WHEN 3 THEN '+00:00' ELSE '' END AS suffix
+          FROM mails)
+        SELECT email_id,
+          CASE WHEN form NOT IN (3, 5) THEN
+            strftime(to_timestamp(sent_s + minutes * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || suffix END AS date_iso,
+          CASE WHEN form NOT IN (3, 5) THEN sent_s * 1000000 END AS date_us,
+          CASE turn % 3 WHEN 0 THEN 'Re: Grüße ' || conv_id WHEN 1 THEN 'Grüße ' || conv_id ELSE subject END AS subject,
+          CASE form WHEN 3 THEN 'missing_date' WHEN 5 THEN 'bad_date' END AS reason
+        FROM zoned""",
+    "report_round_trip": f"""WITH {BLEU}
+        SELECT sample_id, round(b, 6) AS bleu, round(avg(b) OVER (), 6) AS mean FROM bleu_scores""",
     "mbox_scan": f"WITH {PARTS} SELECT * EXCLUDE (msg_id) FROM parts",
     "extract_mailbox": f"""{flags(False)},
         twice AS (
@@ -603,6 +657,14 @@ ORACLES: dict[str, str] = {
         SELECT sample_id, round(p1, 6) AS rouge1_precision, round(r1, 6) AS rouge1_recall,
                round(f1, 6) AS rouge1_fmeasure, round(p2, 6) AS rouge2_precision,
                round(r2, 6) AS rouge2_recall, round(f2, 6) AS rouge2_fmeasure FROM rouge_scores""",
+    "rouge_l": f"""WITH {GRADED},{ROUGE},{LONGEST}
+        SELECT sample_id, round(pl, 6) AS "rougeL_precision", round(rl, 6) AS "rougeL_recall", round(fl, 6) AS "rougeL_fmeasure",
+               round(pl, 6) AS "rougeLsum_precision", round(rl, 6) AS "rougeLsum_recall", round(fl, 6) AS "rougeLsum_fmeasure"
+        FROM longest""",
+    "rouge_all_goldens": f"""WITH {ALL_GOLDENS},{BLEU_SCORES},{ROUGE},{LONGEST}
+        SELECT sample_id, round(b, 6) AS bleu, round(f1, 6) AS rouge1_fmeasure, round(f2, 6) AS rouge2_fmeasure,
+               round(fl, 6) AS "rougeL_fmeasure"
+        FROM bleu_scores JOIN rouge_scores USING (sample_id) JOIN longest USING (sample_id)""",
     "metric_means": f"""WITH {BLEU},{ROUGE}
         SELECT round(avg(b), 6) AS bleu, round(avg(p1), 6) AS rouge1_precision,
                round(avg(r1), 6) AS rouge1_recall, round(avg(f1), 6) AS rouge1_fmeasure,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, templates, text, vectors
+from ..functions import dates, headers, templates, text, vectors
 from ..operators import (
     chunking,
     cleaning,
@@ -389,6 +389,72 @@ def mbox_scan(spark, sf_dir):
     return mime_rows(mbox.explode_parts(mbox.read_mbox(spark, mailbox_files(spark, sf_dir))))
 
 
+@query
+def mbox_ids(spark, sf_dir):
+    """Ids of messages by content: every fourth turn twice, all in files of their conversation."""
+    path = new_work_path(spark, "mailbox-ids")
+    raw = mail_view.raw_messages(mails(spark, sf_dir))
+    twice = raw.where("turn % 4 = 0").union(raw).withColumn("folder", F.col("conv_id") % 3)
+    record = F.concat(F.lit("From x Mon Jan  1 00:00:00 2024\n"), "raw", F.lit("\n"))
+    by_file = twice.select("folder", record.alias("value")).repartition("folder")
+    by_file.write.option("lineSep", "\n").partitionBy("folder").text(path)
+    ids = mbox.read_mbox(spark, path).select(F.substring_index("msg_id", ":", -1).alias("id"))
+    digest = F.substring_index("id", "#", 1)
+    return ids.groupBy(digest.alias("digest")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("id").alias("n_ids"),
+        F.max("id").alias("last_id"),
+    )
+
+
+def mails_with_headers(spark, sf_dir) -> DataFrame:
+    """Mails whose Date and Subject headers come in many forms; some have no or a bad date."""
+    rows = mails(spark, sf_dir)
+    zones = [("+0200", 120), ("-0330", -210), ("EST", -300), ("GMT", 0), ("-0000", 0)]
+    case = F.col("conv_id") % len(zones)
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in zones]), (case + 1).cast("int"))
+    minutes = F.element_at(F.array(*[F.lit(m) for _, m in zones]), (case + 1).cast("int"))
+    local = F.timestamp_seconds(F.col("sent_s") + minutes * 60)
+    date = F.concat_ws(" ", F.date_format(local, "EEE, d MMM yyyy HH:mm:ss"), name)
+    bad = F.concat(F.lit("some day in "), F.date_format(local, "yyyy"))
+    word = F.concat(F.lit("Grüße "), F.col("conv_id").cast("string"))
+    in_q = F.concat(F.lit("=?utf-8?q?Gr=C3=BC=C3=9Fe_"), F.col("conv_id").cast("string"), F.lit("?="))
+    in_b = F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(word, "UTF-8")), F.lit("?="))
+    kind = F.col("turn") % 3
+    return rows.withColumns(
+        {
+            "date_raw": F.when(F.col("turn") % 7 == 3, F.lit(None)).when(F.col("turn") % 7 == 5, bad).otherwise(date),
+            "subject": F.when(kind == 0, F.concat(F.lit("Re: "), in_q)).when(kind == 1, in_b).otherwise(F.col("subject")),
+        }
+    )
+
+
+@query
+def mail_dates(spark, sf_dir):
+    """Date headers in five zones, missing and bad ones, and encoded subjects, read in columns."""
+    rows = mails_with_headers(spark, sf_dir).withColumn("date", headers.mail_date(F.col("date_raw")))
+    parts = rows.select(
+        F.col("email_id").alias("msg_id"),
+        F.lit(0).alias("part_no"),
+        "from_addr",
+        "subject",
+        "date_raw",
+        F.col("date.iso").alias("date_iso"),
+        F.col("date.us").alias("date_us"),
+        F.lit("text/plain").alias("content_type"),
+        F.col("body").cast("binary").alias("payload"),
+    )
+    flags = cleaning.flag_parts(parts, ["@example.com"])
+    by_date = F.col("reason").isin("missing_date", "bad_date")
+    return flags.select(
+        F.col("msg_id").alias("email_id"),
+        "date_iso",
+        "date_us",
+        headers.decode_words(F.col("subject")).alias("subject"),
+        F.when(by_date, F.col("reason")).alias("reason"),
+    )
+
+
 @query
 def extract_mailbox(spark, sf_dir):
     """Mailbox files to clean emails: scan, part walk, all rules."""
@@ -497,6 +563,19 @@ def reuse_stage(spark, sf_dir):
     return kept.select("doc_id", "version")
 
 
+@query
+def report_round_trip(spark, sf_dir):
+    """Scores and their means written as a report and read again from its files."""
+    path = new_work_path(spark, "report")
+    samples, goldens = graded(spark, sf_dir)
+    scores = cut_lineage(scoring.bleu(samples, goldens))
+    store.write_report(scores, scoring.metric_means(scores, "bleu"), path)
+    rows = spark.read.schema("bleu double, bleu1 double, bleu2 double, bleu3 double, bleu4 double, sample_id string")
+    means = spark.read.schema("bleu double").json(f"{path}/aggregate_metrics").select(F.col("bleu").alias("mean"), F.lit(1).alias("one"))
+    back = rows.json(f"{path}/responses").withColumn("one", F.lit(1)).join(F.broadcast(means), "one")
+    return back.select("sample_id", rounded("bleu").alias("bleu"), rounded("mean").alias("mean"))
+
+
 @query
 def stage_counts(spark, sf_dir):
     """Rows of two stages, counted while they are written and not by extra jobs."""

@@ -64,8 +64,12 @@ def extract(
     settings: Settings,
     detect_language: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Mailbox files to flagged parts: scan, part walk and all rules, no shuffle."""
-    parts = mbox.part_date(mbox.explode_parts(mbox.read_mbox(spark, path)))
+    """Mailbox files to flagged parts: scan, part walk and all rules; messages are not shuffled.
+
+    Only plain text of the wanted senders is decoded.
+    """
+    messages = mbox.read_mbox(spark, path)
+    parts = mbox.part_date(mbox.explode_parts(messages, settings.addresses, plain_only=True))
     flagged = cleaning.flag_parts(parts, list(settings.addresses), detect_language)
     return flagged.withColumn("email_id", F.concat_ws("#", "msg_id", "part_no"))
 

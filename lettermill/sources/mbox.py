@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import after_last
 from ..schema import PARTS
+from ..session import cut_lineage
 
+YIELD_BYTES, YIELD_ROWS = 8 << 20, 10_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -23,23 +25,37 @@ def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A line starting with ``From `` opens a message, so that is the record
     separator; the envelope line, which is all before the first line end, is
-    dropped. Bytes stay as they are. Ids repeat on re-reading the same files
-    with the same split settings.
+    dropped. Bytes stay as they are.
+
+    An id is the file and a digest of the message (without line ends around it), so it
+    stays the same however the files are split and whatever files come later. Equal
+    messages of one file are told apart by #1, #2, ... behind it; they are found by one
+    pass over the digests alone and made again from one of them, so messages are not shuffled.
     """
     lines = (
         spark.read.option("lineSep", "\nFrom ")
         .text(path)
-        .select(
-            F.concat_ws(
-                ":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")
-            ).alias("msg_id"),
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("value").cast("binary").alias("_record"),
-        )
+        .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").cast("binary").alias("_record"))
     )
     cut = F.position(F.lit("\n").cast("binary"), F.col("_record"))
     body = F.when(cut > 0, F.substring(F.col("_record"), cut + 1, F.length("_record")))
-    return lines.withColumn("raw", body).drop("_record").where(F.length("raw") > 0)
+    digest = F.md5(F.expr("btrim(raw, X'0A')"))
+    found = lines.withColumn("raw", body).drop("_record").where(F.length("raw") > 0).withColumn("_digest", digest)
+    key = ["source_file", "_digest"]
+    copies = cut_lineage(found.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("_n")).where("_n > 1"))
+    single = found.join(copies, key, "left_anti").withColumn("_tie", F.lit(0))
+    # Line ends around a message may differ, its first form stands for all.
+    several = (
+        found.join(copies.select(*key), key, "left_semi")
+        .groupBy(*key)
+        .agg(F.min("raw").alias("raw"))
+        .join(copies, key)
+        .withColumn("_tie", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        .select(*single.columns)
+    )
+    tie = F.when(F.col("_tie") > 0, F.concat(F.lit("#"), F.col("_tie").cast("string"))).otherwise("")
+    msg_id = F.concat("source_file", F.lit(":"), "_digest", tie)
+    return single.unionByName(several).select(msg_id.alias("msg_id"), "source_file", "raw")
 
 
 def _date(header) -> tuple[str | None, int | None]:
@@ -61,23 +77,40 @@ def _text(header) -> str | None:
     return None if header is None else str(header).encode("utf-8", "replace").decode("utf-8")
 
 
-def explode_parts(raw: DataFrame) -> DataFrame:
-    """One row per leaf part of each message, transfer encoding already undone."""
+def explode_parts(raw: DataFrame, senders: tuple[str, ...] | None = None, plain_only: bool = False) -> DataFrame:
+    """One row per leaf part of each message, transfer encoding already undone.
+
+    With ``senders`` the parts of messages whose From header has none of these addresses
+    get an empty payload, with ``plain_only`` parts that are no plain text: such parts are
+    set aside by their headers, so nothing is decoded and sent on for them. Rows leave in
+    batches of about YIELD_BYTES of payload.
+    """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=PARTS.names)
+            out["date_us"] = out["date_us"].astype("Int64")
+            return out
+
         for batch in batches:
-            rows = []
             for msg_id, data in zip(batch["msg_id"], batch["raw"]):
                 message = message_from_bytes(bytes(data))
-                header = message["Date"]
+                header, sender = message["Date"], _text(message["From"])
+                wanted = senders is None or any(s in (sender or "") for s in senders)
                 iso, micros = _date(header) if header else (None, None)
-                shared = (_text(message["From"]), _text(message["Subject"]), _text(header), iso, micros)
+                shared = (sender, _text(message["Subject"]), _text(header), iso, micros)
                 for no, part in enumerate(_leaves(message)):
-                    payload = part.get_payload(decode=True) or b""
-                    rows.append((msg_id, no, *shared, part.get_content_type(), payload))
-            out = pd.DataFrame(rows, columns=PARTS.names)
-            out["date_us"] = out["date_us"].astype("Int64")
-            yield out
+                    kind = part.get_content_type()
+                    read = wanted and (not plain_only or kind == "text/plain")
+                    payload = (part.get_payload(decode=True) or b"") if read else b""
+                    rows.append((msg_id, no, *shared, kind, payload))
+                    held += len(payload)
+                    if held > YIELD_BYTES or len(rows) >= YIELD_ROWS:
+                        yield frame()
+                        rows, held = [], 0
+        yield frame()
 
     return raw.select("msg_id", "raw").mapInPandas(walk, PARTS)
 

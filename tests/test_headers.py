@@ -4,12 +4,10 @@ from datetime import timezone
 from email.header import decode_header
 from email.utils import parsedate_to_datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions.headers import decode_words, mail_date
 from lettermill.operators.generation import by_length
-from lettermill.operators.scoring import common_length, lcs_length
 
 DATES = [
     "Mon, 01 Jan 2024 10:00:00 +0200", "1 Feb 2024 23:59:59 -0330", "Tue, 29 Feb 2000 00:00:00 GMT", "5 Mar 99 7:05 EST",
@@ -54,18 +52,6 @@ def test_words_that_cannot_be_decoded_stay(spark):
     assert [r["d"] for r in df.select(decode_words(F.col("h")).alias("d")).collect()] == odd
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_common_length_is_the_subsequence_length(spark, seed):
-    import random
-
-    rng = random.Random(seed)
-    rows = [([rng.choice("abcdexyz") for _ in range(rng.randint(0, 25))], [rng.choice("abcdeuvw") for _ in range(rng.randint(0, 25))]) for _ in range(60)]
-    rows += [([], []), (["a"], []), (["a"] * 30, ["a"] * 20)]
-    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    for r in df.select("a", "b", common_length(F.col("a"), F.col("b")).alias("n")).collect():
-        assert r["n"] == lcs_length(r["a"], r["b"])
-
-
 def test_prompts_of_like_length_go_together():
     import pandas as pd
 
