@@ -16,7 +16,9 @@ nearest to the balance.
 Defined cases: null text has no words; size 0 documents are taken like others but change
 no total; NULL is a source, last in order; rows that repeat are separate units; a source
 without words has target 0; an empty table gives an empty result. Reruns agree: order and
-random numbers come from hashes of the ids.
+random numbers come from hashes of the ids. Ids of any type are carried as text, so large ones
+stay exact beside null ones. Sources are a table like any other: their order, targets and
+chunks are computed by Spark, only totals come to the driver.
 """
 
 from __future__ import annotations
@@ -25,18 +27,18 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, text_or_empty, written
+from ..operators.ordering import uneven_join
+from .common import WORD, fresh, small, text_or_empty, written
 
 CHUNK = 2000
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_RATE = 3.0
-BROADCAST_SOURCES = 10_000
 EPS = 1e-9
 
-UNITS = "doc_id bigint, row_key bigint, size bigint, place int, p double"
+UNITS = "doc_id string, row_key bigint, size bigint, place bigint, p double"
 
 
 def targets(sizes: list[float], weights: list[float], total: float, max_rate: float = MAX_RATE) -> list[float]:
@@ -119,23 +121,31 @@ def _settle(last: bool):
     return run
 
 
+def _beside(many: DataFrame, table: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """``many`` with the columns of ``table``, of which it has a row per key; one key may own
+    a large part of ``many``."""
+    marked = small(table, rows)
+    return many.join(marked, keys) if marked is not table else uneven_join(many, table, keys, ["doc_id", "row_key"], "inner")
+
+
 def balanced_sample(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Settle the probabilities ``p`` of (doc_id, row_key, size, place, p) to 0 or 1, per ``place``.
 
     Each level keeps the decided rows and sends the undecided on.
     """
+    id_type = dict(units.dtypes)["doc_id"]
+    units = units.withColumn("doc_id", F.col("doc_id").cast("string"))
     done: list[DataFrame] = []
     level = 0
-    spark = units.sparkSession
-    counts = {r["place"]: r["n"] for r in units.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     while True:
-        parts = {k: max(1, -(-n // chunk)) for k, n in counts.items()}
-        last = all(v == 1 for v in parts.values())
-        table = spark.createDataFrame(sorted(parts.items()) or [(0, 1)], "place int, parts int")
-        table = F.broadcast(table) if len(parts) <= BROADCAST_SOURCES else table
+        parts, _ = written(
+            units.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("bigint").alias("parts")), "mix-parts"
+        )
+        places, most = parts.agg(F.count(F.lit(1)), F.max("parts")).first()
+        last = (most or 1) == 1
         hashed = F.xxhash64("doc_id", "row_key", F.lit(level))
-        dealt = units.join(table, "place").select(
-            *units.columns, hashed.alias("h"), F.pmod(hashed, F.col("parts")).cast("int").alias("part")
+        dealt = _beside(units, parts, places, ["place"]).select(
+            *units.columns, hashed.alias("h"), F.pmod(hashed, F.col("parts")).alias("part")
         )
         # ``parts`` of a source does not change the other sources' chunks.
         settled, _ = written(
@@ -147,12 +157,71 @@ def balanced_sample(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
         open_units = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(settled.where(~open_units))
         units = settled.where(open_units)
-        counts = {r["place"]: r["n"] for r in units.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
         level += 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def numbered_sources(rows: DataFrame) -> DataFrame:
+    """(unnamed, name, size, place): total sizes of sources, numbered by code point, NULL last."""
+    sums = rows.groupBy("unnamed", "name").agg(F.sum("size").alias("size"))
+    # Ranges in order; the id of a sorted row is its range and its place there.
+    ordered = sums.repartitionByRange("unnamed", "name").sortWithinPartitions("unnamed", "name")
+    ordered, _ = written(ordered.withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ordered.withColumn("range", F.shiftright("at", 33))
+    # One row per range.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    return ranged.join(F.broadcast(offsets), "range").select(
+        "unnamed", "name", "size", (F.col("offset") + within).alias("place")
+    )
+
+
+def source_rates(rows: DataFrame, weights: tuple[float, ...], max_rate: float, share: float) -> tuple[DataFrame, int]:
+    """(unnamed, name, place, source_size, target, base, p) of all sources, and their number.
+
+    The targets of ``targets``, found as one level: a source gets level * weight words, or
+    ``max_rate`` times its size if that is less. Each round takes the stopped sources'
+    words off the total and raises the level, until no further source is stopped.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources, _ = written(numbered_sources(rows).withColumn("weight", weight), "mix-sources")
+    size = F.col("size").cast("double")
+    n, total, level = sources.agg(
+        F.count(F.lit(1)), F.sum(size) * share, F.sum(size) * share / F.sum(F.when(size > 0, F.col("weight")))
+    ).first()
+    stopped = -1
+    while level is not None and n:
+        over = (size > 0) & (F.col("weight") * level > size * max_rate)
+        free = (size > 0) & ~over
+        count, held, rest = sources.agg(
+            F.count_if(over), F.sum(F.when(over, size * max_rate)), F.sum(F.when(free, F.col("weight")))
+        ).first()
+        if count == stopped:
+            break
+        stopped = count
+        if not rest:
+            level = float("inf")
+            break
+        level = (total - (held or 0.0)) / rest
+    wanted = F.least(F.col("weight") * F.lit(level or 0.0), size * max_rate)
+    rate = F.when(size > 0, F.col("target") / size).otherwise(0.0)
+    rate = F.when(F.abs(rate - F.round(rate)) < EPS, F.round(rate)).otherwise(rate)
+    table = sources.withColumn("target", F.when(size > 0, wanted).otherwise(0.0)).withColumn("_rate", rate)
+    return table.select(
+        "unnamed",
+        "name",
+        "place",
+        F.col("size").alias("source_size"),
+        "target",
+        F.floor("_rate").cast("bigint").alias("base"),
+        (F.col("_rate") - F.floor("_rate")).alias("p"),
+    ), n
 
 
 def mix(
@@ -167,53 +236,35 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, row_key, source.
 
-    The table of sources (one row each, with totals) is held by the driver; documents
-    never are. ``weights`` repeat over the sources in code point order.
+    ``weights`` repeat over the sources in code point order.
     """
     key = F.lit(0).cast("bigint") if row_key is None else row_key
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint")
+    source = F.col(source_col).cast("string")
     rows, _ = written(
         docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"),
+            F.col(id_col).alias("doc_id"),
             key.alias("row_key"),
-            F.col(source_col).cast("string").alias("source"),
+            source.isNull().alias("unnamed"),
+            F.coalesce(source, F.lit("")).alias("name"),
             size.alias("size"),
         ),
         "mix-sizes",
     )
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    # UTF-8 bytes order like code points.
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
-    sizes = [r["size"] for r in found]
-    wanted = targets(
-        sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), max_rate
-    )
-    spark = docs.sparkSession
-    rates = []
-    for i, (r, t) in enumerate(zip(found, wanted)):
-        rate = t / r["size"] if r["size"] else 0.0
-        rate = float(round(rate)) if abs(rate - round(rate)) < EPS else rate
-        rates.append((r["source"], i, r["size"], t, int(rate), rate - int(rate)))
-    table = spark.createDataFrame(
-        rates, "_source string, place int, source_size bigint, target double, base int, p double"
-    )
-    table = F.broadcast(table) if len(rates) <= BROADCAST_SOURCES else table
-    placed = rows.join(table.select("_source", "place", "p"), rows["source"].eqNullSafe(table["_source"]))
+    rates, n = source_rates(rows, weights, max_rate, share)
+    table, _ = written(rates, "mix-rates")
+    placed = _beside(rows, table.select("unnamed", "name", "place", "p"), n, ["unnamed", "name"])
     drawn = balanced_sample(placed.select("doc_id", "row_key", "size", "place", "p"))
-    copies = (F.col("base") + F.col("p_drawn").cast("int")).cast("bigint")
-    return (
-        drawn.withColumnRenamed("p", "p_drawn")
-        .join(table.drop("p"), "place")
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * copies).alias("taken"),
-            copies.alias("copies"),
-            "row_key",
-            F.col("_source").alias("source"),
-        )
+    copies = F.col("base") + F.col("p_drawn").cast("bigint")
+    return _beside(drawn.withColumnRenamed("p", "p_drawn"), table.drop("p"), n, ["place"]).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * copies).alias("taken"),
+        copies.alias("copies"),
+        "row_key",
+        F.when(~F.col("unnamed"), F.col("name")).alias("source"),
     )
 
 
@@ -235,7 +286,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc_id").alias(ids), F.col("row_key").alias(keys), F.col("copies").alias(times), F.col("n").alias(rows)
     ).where(F.col(times) > 0)
     marked = docs.withColumn(each, row_key)
-    same = marked[f"`{id_col}`"].cast("bigint").eqNullSafe(plan[ids]) & (marked[each] == plan[keys])
+    same = marked[f"`{id_col}`"].eqNullSafe(plan[ids]) & (marked[each] == plan[keys])
     # Equal rows share their copies: all of them go through the first, which is the same.
     joined = marked.join(plan, same)
     if not plan.where(F.col(rows) > 1).isEmpty():

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lettermill.llm import bpe_codec, exact_dedup, ngram_join, quality_rules, source_mix, toxicity
@@ -130,6 +131,39 @@ def test_mix_odd_rows(spark):
     assert source_mix.mix(df.limit(0)).count() == 0 and source_mix.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_large_ids_beside_null_ones(spark):
+    rows = [((1 << 60) + i if i % 7 else None, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(200)]
+    df = mix_rows(spark, rows)
+    got = source_mix.mix(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _, _ in rows)
+    mixed = Counter(r["doc_id"] for r in source_mix.mixed_documents(df).collect())
+    copies = Counter()
+    for r in got:
+        copies[r["doc_id"]] += r["copies"]
+    assert sum(mixed.values()) > 100 and set(mixed) <= set(copies)
+    named = df.withColumn("doc_id", F.concat(F.lit("id-"), F.coalesce("doc_id", F.lit(0)).cast("string")))
+    assert source_mix.mix(named).where("doc_id LIKE 'id-%'").count() == 200
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_targets_of_many_sources(spark, monkeypatch, broadcast_rows):
+    """Order, stops and levels of the source table against the plain statement."""
+    from lettermill.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    rng = np.random.default_rng(6)
+    names = [None, "", "Z", "a", "é", "z", "日", "\U0001F600", "\uffff"] + [f"s{i}" for i in range(60)]
+    size = {s: int(rng.choice([0, 1, 3, 50, 4000])) for s in names}
+    rows = [(i, "w " * (size[s] // 2 + (size[s] % 2) * k), s) for i, s in enumerate(names) for k in (0, 1)]
+    got = source_mix.mix(mix_rows(spark, rows)).toPandas()
+    order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
+    totals = [sum(len(t.split()) for _, t, x in rows if x == s) for s in order]
+    want = dict(zip(order, source_mix.targets(totals, [[1, 2, 3][i % 3] for i in range(len(order))], sum(totals))))
+    found = {None if r["source"] is None or r["source"] != r["source"] else r["source"]: r for _, r in got.iterrows()}
+    assert found.keys() == want.keys()
+    assert all(found[s]["target"] == pytest.approx(want[s]) and found[s]["source_size"] == t for s, t in zip(order, totals))
+
+
 def test_pipeline(spark):
     """Each stage against what it promises on the rows the one before kept."""
     sf_dir = "/root/testdata/sf0.001"
