@@ -26,6 +26,7 @@ from ..session import cut_lineage, new_work_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20  # text handled at once inside a task
+BROADCAST_BYTES = 64 << 20  # counted bytes a table may have to be broadcast
 BROADCAST_ROWS = 1_000_000  # narrow rows a counted table may have to be broadcast
 
 __all__ = [

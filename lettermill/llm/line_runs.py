@@ -8,21 +8,16 @@ before they are sorted, the sort is by ranges, and ranks are the increasing ids
 rows, so no rank, no line and no group of equal runs is ever one task.
 
 The suffixes of one rank at level k are the LCP interval of depth 2**k: all places of one run of
-2**k lines. The interval's smallest place is the copy that stays. Every other place of it is a
-later copy, and its lines are deleted if the run has MIN_WORDS words. A maximal repeated run of
-L lines is the union of its first and its last 2**floor(log2 L) lines, both of which are
-repeated, so the intervals of these depths cover all maximal runs: a repeated run of 2 *
-MIN_WORDS words or more always goes, one of fewer than MIN_WORDS never. A round only has the
-suffixes whose run still recurs; there are log2 of the longest repeated run of them.
-
-``maximal=True`` deletes every later copy of a maximal repeated run of MIN_WORDS words or more,
-whatever its length in lines. Two kinds of windows stand for all such runs: the shortest one
-with MIN_WORDS words from each first line, and the shortest one up to each last line. In a later
-copy [p, q) a line with MIN_WORDS words from p up to itself lies in the window that ends there,
-any other line in the window that begins at p; both lie within the copy, and every window that
-stood earlier is itself part of a run with enough words. A window of m lines is named by m and
-the ranks of its first and its last 2**floor(log2 m) lines, so only levels up to the longest
-window are made.
+2**k lines, the smallest of which is the copy that stays. A round only has the suffixes whose
+run still recurs.
+
+Every later copy of a maximal repeated run of MIN_WORDS words or more is deleted, whatever its
+length in lines. Two kinds of windows stand for all such runs: the shortest one with MIN_WORDS
+words from each first line, and the shortest one up to each last line. In a later copy [p, q) a
+line with MIN_WORDS words from p up to itself lies in the window that ends there, any other line
+in the window that begins at p; both lie within the copy, and every window that stood earlier is
+itself part of a run with enough words. A window of m lines is named by m and the ranks of its
+first and its last 2**floor(log2 m) lines, so only levels up to the longest window are made.
 
 Defined cases: null text is the empty text with one empty line; lines are what stands between
 line feeds, compared whole; rows that repeat id and text are one document, each such row is
@@ -38,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, text_or_empty, written
+from .common import BROADCAST_BYTES, WORD, text_or_empty, written
 
 MIN_WORDS = 25
 LAST = (1 << 63) - 1  # stands for a missing id in the order of documents
@@ -174,20 +169,10 @@ def maximal_hits(level: DataFrame, min_words: int) -> DataFrame:
     return named.join(runs, ["m", "r", "s"]).where(_places() > F.col("first")).select("d", "row", "i", F.col("m").alias("lines"))
 
 
-def deleted_lines(keyed: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+def deleted_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, row, gone, gone_words): the line numbers each document loses."""
     level = repeated_lines(written(line_rows(keyed), "lines")[0])
-    if maximal:
-        hits = maximal_hits(level, min_words)
-    else:
-        hits = reduce(
-            DataFrame.union,
-            [
-                x.where(F.col("later") & (F.col("words") >= min_words)).select("d", "row", "i", F.lit(1 << k).alias("lines"))
-                for k, x in enumerate(suffix_levels(level))
-            ],
-        )
-    longest = hits.groupBy("d", "row", "i").agg(F.max("lines").alias("lines"))
+    longest = maximal_hits(level, min_words).groupBy("d", "row", "i").agg(F.max("lines").alias("lines"))
     # Every line of a later copy has an earlier copy itself, so it is a row of level 0.
     before = Window.partitionBy("d", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     covered = (
@@ -204,13 +189,13 @@ def deleted_lines(keyed: DataFrame, min_words: int = MIN_WORDS, maximal: bool =
 
 
 def without_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, maximal: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """One row per document: doc_id, n_lines, n_deleted, deleted_words, clean_text."""
     keyed = keyed_documents(docs, id_col, text_col)
-    gone = deleted_lines(keyed, min_words, maximal)
-    size = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("m")).first()
-    gone = F.broadcast(gone) if size["n"] + (size["m"] or 0) <= BROADCAST_ROWS else gone
+    gone = deleted_lines(keyed, min_words)
+    n_bytes = gone.agg(F.sum(F.size("gone") * 4 + 80)).first()[0] or 0
+    gone = F.broadcast(gone) if n_bytes <= BROADCAST_BYTES else gone
     lines = F.split("text", "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(numbers, lambda i: F.get("lines", i))

@@ -66,34 +66,26 @@ def op2_line_runs(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_deleted", "deleted_words", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-def _line_runs_sql(levels: int = 12, min_words: int = line_runs.MIN_WORDS) -> str:
-    """Names of all runs of 2**k lines by nested digests; beyond 2**12 lines nothing is added."""
-    parts = [
-        f"""h0 AS (
-  SELECT doc_id, i, md5(line) AS h, len(regexp_extract_all(line, {_re(WORD)})) AS w FROM (
-    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
-      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))"""
-    ]
-    for k in range(1, levels + 1):
-        parts.append(
-            f"""h{k} AS (
-  SELECT doc_id, i, md5(h || h2) AS h, w + w2 AS w FROM (
-    SELECT *, lead(h, {1 << (k - 1)}) OVER o AS h2, lead(w, {1 << (k - 1)}) OVER o AS w2
-    FROM h{k - 1} WINDOW o AS (PARTITION BY doc_id ORDER BY i))
-  WHERE h2 IS NOT NULL)"""
-        )
-    hits = "\n  UNION ALL ".join(
-        f"""SELECT doc_id, i, {1 << k} AS n FROM (
-    SELECT *, min((doc_id, i)) OVER (PARTITION BY h) AS f FROM h{k}) WHERE (doc_id, i) > f AND w >= {min_words}"""
-        for k in range(levels + 1)
-    )
-    return f"""
-WITH {", ".join(parts)},
-hits AS (SELECT doc_id, i, max(n) AS n FROM ({hits}) GROUP BY doc_id, i),
-marked AS (
-  SELECT l.doc_id, l.i, l.w, coalesce(max(l.i + n) OVER (PARTITION BY l.doc_id ORDER BY l.i), 0) > l.i AS gone
-  FROM h0 l LEFT JOIN hits USING (doc_id, i)),
-cut AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line, w, gone FROM marked JOIN documents USING (doc_id))
+# The shortest windows of MIN_WORDS words from and up to every line; one that stood earlier goes.
+ORACLES["op2_line_runs"] = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  FROM (SELECT *, len(regexp_extract_all(line, {_re(WORD)})) AS w FROM l)),
+wins AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b
+    ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {line_runs.MIN_WORDS} GROUP BY a.doc_id, a.i
+  UNION
+  SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b
+    ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {line_runs.MIN_WORDS} GROUP BY b.doc_id, b.i),
+named AS (SELECT doc_id, i, j, j - i AS m, md5(array_to_string(ls[i:j], chr(10))) AS h FROM wins JOIN d USING (doc_id)),
+hits AS (
+  SELECT doc_id, i, max(j) AS j FROM (SELECT *, min((doc_id, i)) OVER (PARTITION BY h, m) AS f FROM named)
+  WHERE (doc_id, i) > f GROUP BY doc_id, i),
+cut AS (
+  SELECT c.*, coalesce(max(h.j) OVER (PARTITION BY c.doc_id ORDER BY c.i), 0) >= c.i AS gone
+  FROM c LEFT JOIN hits h ON h.doc_id = c.doc_id AND h.i = c.i)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
        coalesce(sum(w) FILTER (gone), 0)::BIGINT AS deleted_words,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256
@@ -101,15 +93,6 @@ FROM cut GROUP BY doc_id
 """
 
 
-ORACLES["op2_line_runs"] = _line_runs_sql()
-
-
-@query
-def op2_maximal_runs(spark, sf_dir):
-    found = line_runs.without_runs(documents(spark, sf_dir), maximal=True)
-    return found.select("doc_id", "n_lines", "n_deleted", "deleted_words", F.sha2("clean_text", 256).alias("clean_sha256"))
-
-
 @query
 def op3_quality_neighbours(spark, sf_dir):
     docs = documents(spark, sf_dir)

@@ -6,50 +6,11 @@ from lettermill.llm import line_runs
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_words):
-    """Windows of 2**k lines with enough words that stood earlier, by dictionaries of tuples."""
-    docs = {}
-    for d, t in rows:
-        docs.setdefault((d, t or ""), (t or "").split("\n"))
-    order = sorted(docs)
-    gone = {key: set() for key in docs}
-    size = 1
-    while size <= max(map(len, docs.values()), default=0):
-        seen = set()
-        for key in order:
-            lines = docs[key]
-            for i in range(len(lines) - size + 1):
-                run = tuple(lines[i : i + size])
-                if run in seen and sum(len(WORD.findall(x)) for x in run) >= min_words:
-                    gone[key].update(range(i, i + size))
-                seen.add(run)
-        size *= 2
-    out = []
-    for d, t in rows:
-        lines, cut = docs[(d, t or "")], gone[(d, t or "")]
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in cut)
-        out.append((d, len(lines), len(cut), sum(len(WORD.findall(lines[i])) for i in cut), kept))
-    return sorted(out, key=repr)
-
-
 def got(spark, rows, min_words):
     df = spark.createDataFrame([(d, t, 1, "z", 0) for d, t in rows], "doc_id bigint, text string, i int, row string, gone int")
     return sorted(map(tuple, line_runs.without_runs(df, min_words=min_words).collect()), key=repr)
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(4)
-    rows = [(0, None), (1, ""), (2, "\n\n"), (3, "one line"), (4, "one line"), (4, "one line")]
-    rows += [(i, "\n".join(rng.choice(["a b", "c", "d e f", "", "g h"]) for _ in range(rng.randrange(1, 20)))) for i in range(10, 40)]
-    passage = [f"line {i} of a passage" for i in range(11)]
-    for i in range(50, 56):
-        own = [f"own {i} {j}" for j in range(6)]
-        rows.append((i, "\n".join(own[:3] + passage[i - 50 :] + own[3:])))
-    rows += [(60, "\n".join(passage * 3)), (61, "x " * 30_000 + "\n" + "y"), (62, "x " * 30_000 + "\n" + "z")]
-    for least in (0, 4, 25):
-        assert got(spark, rows, least) == brute(rows, least)
-
-
 def brute_maximal(rows, min_words):
     """At every place the longest run that stood earlier, deleted as a whole if it has enough words."""
     docs = {}
@@ -76,11 +37,6 @@ def brute_maximal(rows, min_words):
     return sorted(out, key=repr)
 
 
-def got_maximal(spark, rows, min_words):
-    df = spark.createDataFrame([(d, t, 1, "z", 0) for d, t in rows], "doc_id bigint, text string, i int, row string, gone int")
-    return sorted(map(tuple, line_runs.without_runs(df, min_words=min_words, maximal=True).collect()), key=repr)
-
-
 def test_maximal_runs(spark):
     def passage(name, *sizes):
         return [" ".join(f"{name}{i}_{j}" for j in range(n)) for i, n in enumerate(sizes)]
@@ -88,7 +44,7 @@ def test_maximal_runs(spark):
     # A run of 36 words with windows of 24, and runs whose ends have few words.
     runs = [passage("a", 12, 12, 12), passage("b", 45, 3, 2), passage("c", 40, 1, 1, 1, 5, 5, 5), passage("e", 2, 3, 45), passage("f", 8, 8, 8)]
     rows = [(i, "\n".join([f"own {i}", *run, f"end {i}"])) for i, run in enumerate(runs * 2)]
-    assert [n for _, _, n, _, _ in sorted(got_maximal(spark, rows, 25))] == [0] * 5 + [3, 3, 7, 3, 0]
+    assert [n for _, _, n, _, _ in sorted(got(spark, rows, 25))] == [0] * 5 + [3, 3, 7, 3, 0]
 
 
 def test_maximal_runs_against_brute_force(spark):
@@ -102,7 +58,7 @@ def test_maximal_runs_against_brute_force(spark):
     rows += [(60, "\n".join(passage * 3)), (61, "x " * 30_000 + "\n" + "y"), (62, "x " * 30_000 + "\n" + "z")]
     rows += [(70, "head\n" + "\n" * 300 + "tail of it"), (71, "head\n" + "\n" * 300 + "tail of it")]
     for least in (0, 1, 4, 25):
-        assert got_maximal(spark, rows, least) == brute_maximal(rows, least)
+        assert got(spark, rows, least) == brute_maximal(rows, least)
 
 
 def test_rows_without_id_come_last(spark):
