@@ -10,17 +10,6 @@ MIN_WORDS = 10
 ATTRIBUTION = r"(^On.*wrote.*)|(^Am.*schrieb.*)"
 # One attribution line only, for the opt-in strict mode.
 ATTRIBUTION_STRICT = r"^(On\b[^\n]*\bwrote:|Am\b[^\n]*\bschrieb\b[^\n]*:)[^\S\n]*$"
-REASONS = (
-    "other_sender",
-    "missing_date",
-    "bad_date",
-    "not_plain_text",
-    "cant_decode_utf8",
-    "forwarded",
-    "short",
-    "non_english",
-    "empty",
-)
 
 # --- whitespace and punctuation -------------------------------------------
 # The characters str.split() and str.strip() treat as whitespace, once as a

@@ -371,6 +371,48 @@ cut AS (
   WHERE length(text) > 0 AND (i = 0 OR i * 900 + 100 < length(text)))"""
 
 
+def recursive_chunks(size: int, overlap: int) -> str:
+    """Cut at paragraphs, lines, blanks, characters; neighbours are packed up to ``size``.
+
+    ``items`` are texts that still have to be cut and, with ``small``, pieces that are not.
+    A run are small pieces between two large ones; a step has the piece a chunk begins with
+    and the one behind its end, found on the running lengths ``p`` of its run.
+    """
+    return f"""
+WITH RECURSIVE seps AS (SELECT * FROM (VALUES (1, {NL} || {NL}), (2, {NL}), (3, ' '), (4, '')) v(level, sep)),
+items AS (
+  SELECT doc_id, []::BIGINT[] AS path, text, 1 AS level, false AS small FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, list_append(path, k), piece, level + 1, length(piece) < {size} FROM (
+    SELECT doc_id, path, level, k, CASE WHEN k > 1 THEN sep || pieces[k] ELSE pieces[k] END AS piece FROM (
+      SELECT *, unnest(range(1, len(pieces) + 1)) AS k FROM (
+        SELECT i.doc_id, i.path, s.level, s.sep, string_split(i.text, s.sep) AS pieces
+        FROM items i JOIN seps s ON NOT i.small AND s.level = (
+          SELECT min(t.level) FROM seps t WHERE t.level >= i.level AND (t.sep = '' OR contains(i.text, t.sep)))
+        WHERE i.level <= 4))) WHERE piece <> ''),
+siblings AS (
+  SELECT doc_id, path[:-2] AS parent, path[-1] AS k, path, text, small,
+         count(*) FILTER (NOT small) OVER (PARTITION BY doc_id, path[:-2] ORDER BY path[-1]) AS run
+  FROM items WHERE len(path) > 0),
+runs AS (
+  SELECT doc_id, parent, run, min(path) AS place, list(text ORDER BY k) AS t,
+         list_prepend(0::BIGINT, list(upto ORDER BY k)) AS p
+  FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id, parent, run ORDER BY k)::BIGINT AS upto FROM siblings WHERE small)
+  GROUP BY doc_id, parent, run),
+steps AS (
+  SELECT doc_id, place, t, p, 1 AS no, 1::BIGINT AS a,
+         coalesce(list_filter(range(1, len(t) + 1), lambda e: p[e + 1] > {size})[1], len(t) + 1) AS b FROM runs
+  UNION ALL
+  SELECT doc_id, place, t, p, no + 1, s,
+         coalesce(list_filter(range(b, len(t) + 1), lambda e: p[e + 1] - p[s] > {size})[1], len(t) + 1)
+  FROM (SELECT *, list_filter(range(a, b + 1), lambda x: x = b
+                  OR (p[b] - p[x] <= {overlap} AND p[b + 1] - p[x] <= {size}))[1] AS s FROM steps WHERE b <= len(t))),
+chunks AS (
+  SELECT doc_id, place, no, trim(array_to_string(t[a:b - 1], ''), {TRIM}) AS chunk FROM steps)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, no) - 1 AS BIGINT) AS chunk_no, chunk
+FROM chunks WHERE chunk <> ''"""
+
+
 def events_by_day() -> str:
     return """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS reason, count(*) AS n
               FROM events GROUP BY ALL"""
@@ -515,6 +557,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, i AS chunk_no, substring(text, CAST(i * 400 + 1 AS BIGINT), 500) AS chunk
         FROM documents, range(0, 100000) r(i)
         WHERE length(text) > 0 AND (i = 0 OR i * 400 + 100 < length(text))""",
+    "chunk_recursive": recursive_chunks(500, 100),
     "document_store": """
         SELECT doc_id, lang, source, CAST(ceil(coalesce(length(text), 0) / 700) AS BIGINT) AS n_chunks,
                CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents""",

@@ -604,7 +604,9 @@ def chunk_fixed(spark, sf_dir):
 @query
 def chunk_recursive(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunking.chunk_recursive(docs, "text", 500, 100).select("doc_id", "chunk_no", "chunk")
+    return chunking.chunk_recursive(docs, "text", 500, 100).select(
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk"
+    )
 
 
 @query

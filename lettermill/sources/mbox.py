@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import after_last
 from ..schema import PARTS
 from ..session import cut_lineage
 
@@ -134,8 +133,3 @@ def write_mbox(raw: DataFrame, path: str, sender: Column) -> None:
         F.lit("From "), sender, F.lit(" Mon Jan  1 00:00:00 2024\n"), F.col("raw"), F.lit("\n")
     )
     raw.select(record.alias("value")).write.option("lineSep", "\n").text(path)
-
-
-def mailbox_name(source_file: Column) -> Column:
-    """The file name without folder, to tell merged mailboxes apart."""
-    return after_last(source_file, "/")
