@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lettermill.llm import bpe_codec, exact_dedup, ngram_join, source_mix, toxicity
-from lettermill.llm.common import documents, labels, new_work_path
+from lettermill.llm.common import documents, labels, new_work_path, release
 from lettermill.llm.queries import vocabulary_path
 
 
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = new_work_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what this stage has read and rewritten
+            release(spark, before)
+        before = path
     return docs
