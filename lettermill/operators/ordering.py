@@ -135,17 +135,18 @@ def uneven_join(
     spread_by: list[str],
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` (few keys may own most rows) to ``table`` on ``keys``.
 
     A key with more than ``rows_per_task`` rows is spread over as many tasks as it needs
     by a hash of ``spread_by``, and only its rows of ``table`` are repeated. The list of
     such keys has at most rows / rows_per_task entries; its size is checked before it is
-    broadcast. Rows without a key match nothing and are spread too.
+    broadcast. Rows without a key match nothing and are spread too. ``counts`` are the rows
+    of ``many`` per key as ``count``, where a caller has them already.
     """
     heavy = cut_lineage(
-        many.groupBy(*keys)
-        .count()
+        (many.groupBy(*keys).count() if counts is None else counts)
         .where(F.col("count") > rows_per_task)
         .select(*keys, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
         .dropna()

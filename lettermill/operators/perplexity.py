@@ -42,23 +42,27 @@ def row_perplexity(
     pairs = cut_lineage(
         grams.groupBy("w1", "w2").agg(
             F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("c12"),
-            F.bool_or(F.col("id").isNotNull()).alias("asked"),
+            F.count("id").alias("asked"),
         )
     )
     seen = pairs.where(F.col("c12") > 0)
-    first = seen.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocabulary = (
-        seen.select("w1").distinct().union(seen.select("w2").distinct()).distinct().count()
-    )
+    # Per first word its count and how many pairs ask for it: who is common is known from here.
+    first = cut_lineage(pairs.groupBy("w1").agg(F.sum("c12").alias("c1"), F.count_if(F.col("asked") > 0).alias("count")))
+    vocabulary = seen.select(F.explode(F.array("w1", "w2")).alias("w")).distinct().count()
     logp = uneven_join(
-        pairs.where("asked").select("w1", "w2", "c12"), first, ["w1"], ["w2"]
+        pairs.where("asked > 0").select("w1", "w2", "c12"),
+        first.select("w1", "c1"),
+        ["w1"],
+        ["w2"],
+        counts=first.select("w1", "count"),
     ).select(
         "w1",
         "w2",
         F.ln((F.col("c12") + 1) / (F.coalesce("c1", F.lit(0)) + F.lit(vocabulary))).alias("lp"),
     )
     asked = grams.where(F.col("id").isNotNull())
-    scored = uneven_join(asked, logp, ["w1", "w2"], ["id"], how="inner")
+    counts = pairs.select("w1", "w2", F.col("asked").alias("count"))
+    scored = uneven_join(asked, logp, ["w1", "w2"], ["id"], how="inner", counts=counts)
     per_row = scored.groupBy("id").agg(
         F.sum("n").alias("n_bigrams"), F.sum(F.col("n") * F.col("lp")).alias("log_prob")
     )
