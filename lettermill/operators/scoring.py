@@ -1,30 +1,31 @@
 """BLEU and ROUGE of generated replies against any number of goldens.
 
 Inputs are long: ``samples(sample_id, prompt_id, response)`` and
-``goldens(prompt_id, golden_no, golden)``. Scores come from n-gram counts that
-are joined and summed; the goldens of a prompt never meet in one row or task.
+``goldens(prompt_id, golden_no, golden)``. A reply meets slices of at most
+2**GOLDEN_SLICE_BITS goldens of its prompt, and n-grams are counted where they meet: texts are
+shuffled, n-grams never. All goldens of a prompt never meet in one row or task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import (
-    explode_ngrams,
-    metric_tokens,
-    normalise_for_metrics,
-    rouge_tokens,
-)
-from .ordering import rank_in_group
+from ..functions.text import metric_tokens, normalise_for_metrics, rouge_tokens
+from ..session import cut_lineage
+from .ordering import rank_in_group, same_keys_join
 
 ORDERS = (1, 2, 3, 4)
-GOLDEN_RANGE_BITS = 10
+GOLDEN_SLICE_BITS = 4
+SLICES_AT_ONCE_BITS = 8
 ROUGE_KEYS = tuple(
     f"{kind}_{part}"
     for kind in ("rouge1", "rouge2", "rougeL", "rougeLsum")
@@ -63,6 +64,110 @@ def golden_groups(
     )
 
 
+def golden_slices(gold: DataFrame) -> DataFrame:
+    """(prompt_id, part, gs) of (prompt_id, golden_no, t): goldens whose numbers share all but the
+    last GOLDEN_SLICE_BITS bits, as ``{golden_no, words, size}``; the words joined by spaces."""
+    part = F.shiftright(F.col("golden_no").cast("bigint"), GOLDEN_SLICE_BITS)
+    words = F.array_join("t", " ").alias("words")
+    return cut_lineage(
+        gold.groupBy("prompt_id", part.alias("part")).agg(
+            F.collect_list(F.struct("golden_no", words, F.size("t").alias("size"))).alias("gs")
+        )
+    )
+
+
+def _with_slices(
+    cand: DataFrame,
+    keys: list[str],
+    slices: DataFrame,
+    compare: Callable[[list, list, list, list, int], object],
+    out: str,
+    kind: str,
+) -> DataFrame:
+    """(keys..., part, out) for every slice of goldens that a candidate's prompt has.
+
+    ``compare`` gets the candidate's texts, the golden numbers, words and sizes of the slice,
+    and how many slices the prompt has.
+    """
+    texts = cand.groupBy(*keys).agg(F.collect_list(F.array_join("t", " ")).alias("ts"))
+    parts = slices.groupBy("prompt_id").agg(F.collect_list(F.struct("part")).alias("parts"))
+    placed = texts.join(parts, "prompt_id").select(
+        *keys, "ts", F.size("parts").alias("n_parts"), F.explode("parts").alias("p")
+    )
+    met = same_keys_join(
+        placed.select(*keys, "ts", "n_parts", "p.part"), slices, ["prompt_id", "part"]
+    ).select(
+        *keys,
+        "part",
+        "ts",
+        "n_parts",
+        F.col("gs.golden_no").alias("nos"),
+        F.col("gs.words").alias("words"),
+        F.col("gs.size").alias("sizes"),
+    )
+    schema = T.StructType([*[met.schema[k] for k in [*keys, "part"]], T.StructField(out, T._parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[out].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("ts", "nos", "words", "sizes", "n_parts")]
+            found = pa.array([compare(*row) for row in zip(*columns)], arrow)
+            kept = [batch.column(k) for k in [*keys, "part"]]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=[*keys, "part", out])
+
+    return met.mapInArrow(run, schema)
+
+
+def gram_counts(texts: list[str], orders: tuple[int, ...]) -> list[Counter]:
+    """The n-grams of texts whose words are joined by one space, counted per order."""
+    counts = [Counter() for _ in orders]
+    for text in texts:
+        words = text.split(" ") if text else []
+        for n, seen in zip(orders, counts):
+            seen.update(words if n == 1 else zip(*[words[i:] for i in range(n)]))
+    return counts
+
+
+def _by_golden(nos: list, words: list, sizes: list | None = None) -> dict:
+    """Texts per golden (number and size, if given); rows that share them count together."""
+    together: dict = {}
+    for i, (no, text) in enumerate(zip(nos, words)):
+        if text is not None:
+            together.setdefault(no if sizes is None else (no, sizes[i]), []).append(text)
+    return together
+
+
+def clipped(texts: list, nos: list, words: list, sizes: list, n_parts: int) -> list[list[int]]:
+    """Per order, the candidate's n-gram counts clipped by the largest count in any golden.
+
+    The only slice of a prompt gives their sums: nothing is left to be compared.
+    """
+    mine = gram_counts(texts, ORDERS)
+    most = [dict.fromkeys(seen, 0) for seen in mine]
+    for own in _by_golden(nos, words).values():
+        for best, theirs in zip(most, gram_counts(own, ORDERS)):
+            for gram in best.keys() & theirs.keys():
+                best[gram] = max(best[gram], theirs[gram])
+    hits = [[min(c, best[g]) for g, c in seen.items()] for seen, best in zip(mine, most)]
+    return hits if n_parts > 1 else [[sum(h)] for h in hits]
+
+
+def best_golden(texts: list, nos: list, words: list, sizes: list, n_parts: int) -> dict | None:
+    """The golden of a slice with the highest unigram F, the first one on ties; None without overlap."""
+    mine = gram_counts(texts, (1, 2))
+    clen = texts[0].count(" ") + 1 if texts and texts[0] else 0
+    best = None
+    for (no, glen), own in _by_golden(nos, words, sizes).items():
+        theirs = gram_counts(own, (1, 2))
+        h1, h2 = (sum(min(a[g], b[g]) for g in a.keys() & b.keys()) for a, b in zip(mine, theirs))
+        if h1:
+            found = (-(2 * h1 / (clen + glen)), no is not None, no or 0, clen, glen, h1, h2, no)
+            best = found if best is None else min(best, found)
+    if best is None:
+        return None
+    return dict(zip(("worse", "golden_no", "clen", "glen", "h1", "h2"), (best[0], best[7], *best[3:7])))
+
+
 def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
     """Mean of BLEU-1..4 per sample: (sample_id, bleu1..bleu4, bleu).
 
@@ -76,31 +181,31 @@ def bleu(samples: DataFrame, goldens: DataFrame) -> DataFrame:
     gold = goldens.select(
         "prompt_id", "golden_no", metric_tokens(F.col("golden")).alias("t")
     )
-    cand_counts = (
-        explode_ngrams(cand, "t", 4, ["sample_id", "prompt_id"])
-        .groupBy("sample_id", "prompt_id", "n", "gram")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    gold_max = (
-        explode_ngrams(gold, "t", 4, ["prompt_id", "golden_no"])
-        .groupBy("prompt_id", "golden_no", "n", "gram")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("prompt_id", "n", "gram")
-        .agg(F.max("c").alias("most"))
-    )
-    matched = (
-        cand_counts.join(gold_max, ["prompt_id", "n", "gram"])
-        .groupBy("sample_id")
-        .agg(
-            *[
-                F.sum(F.when(F.col("n") == n, F.least("c", "most"))).alias(f"m{n}")
-                for n in ORDERS
-            ]
-        )
+    slices = golden_slices(gold)
+    met = _with_slices(cand, ["sample_id", "prompt_id"], slices, clipped, "hits", "array<array<int>>")
+
+    def most(rows: DataFrame, *keys: Column | str) -> DataFrame:
+        # Slices of a prompt list the candidate's n-grams in one order.
+        def larger(a: Column, b: Column) -> Column:
+            return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda m, n: F.greatest(m, n)))
+
+        all_hits = rows.groupBy(*keys).agg(F.collect_list("hits").alias("_all"))
+        first, others = F.get("_all", F.lit(0)), F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0)))
+        return all_hits.withColumn("hits", F.aggregate(others, first, larger)).drop("_all")
+
+    some = F.shiftright("part", SLICES_AT_ONCE_BITS).alias("some")
+    hits = most(most(met, "sample_id", "prompt_id", some), "sample_id", "prompt_id")
+    matched = hits.groupBy("sample_id").agg(
+        *[
+            F.sum(F.aggregate(F.get("hits", F.lit(n - 1)), F.lit(0), lambda a, x: a + x)).alias(f"m{n}")
+            for n in ORDERS
+        ]
     )
     # Distinct lengths per prompt: few, however many goldens share a prompt.
-    lengths = gold.groupBy("prompt_id", F.size("t").alias("glen")).agg(
-        F.min("golden_no").alias("first_no")
+    lengths = (
+        slices.select("prompt_id", F.explode("gs").alias("g"))
+        .groupBy("prompt_id", F.col("g.size").alias("glen"))
+        .agg(F.min("g.golden_no").alias("first_no"))
     )
     sized = cand.select("sample_id", "prompt_id", F.size("t").alias("clen"))
     closest = (
@@ -164,9 +269,8 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
     no line breaks after normalisation, so Lsum equals L. ``longest=False``
     leaves both out. Samples without goldens score NULL.
 
-    n-grams meet per prompt and range of 2**GOLDEN_RANGE_BITS golden numbers, so a
-    prompt with very many goldens is many join keys; a sample's few n-grams are
-    repeated per range of its prompt.
+    Samples and goldens meet per prompt and slice of goldens, so a prompt with very many
+    goldens is many join keys; a sample's text is repeated per slice of its prompt.
     """
     cand = samples.select(
         "sample_id",
@@ -176,36 +280,19 @@ def rouge(samples: DataFrame, goldens: DataFrame, longest: bool = True) -> DataF
     gold = goldens.select(
         "prompt_id",
         "golden_no",
-        F.shiftright(F.col("golden_no").cast("bigint"), GOLDEN_RANGE_BITS).alias("part"),
         rouge_tokens(normalise_for_metrics(F.col("golden"))).alias("t"),
     )
-    parts = gold.select("prompt_id", "part").distinct()
-    cand_parts = cand.join(parts, "prompt_id").withColumn("clen", F.size("t"))
-    cand_counts = (
-        explode_ngrams(cand_parts, "t", 2, ["sample_id", "prompt_id", "part", "clen"])
-        .groupBy("sample_id", "prompt_id", "part", "clen", "n", "gram")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    gold_sized = gold.withColumn("glen", F.size("t"))
-    gold_counts = (
-        explode_ngrams(gold_sized, "t", 2, ["prompt_id", "part", "golden_no", "glen"])
-        .groupBy("prompt_id", "part", "golden_no", "glen", "n", "gram")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    overlap = (
-        gold_counts.join(cand_counts, ["prompt_id", "part", "n", "gram"])
-        .groupBy("sample_id", "prompt_id", "part", "golden_no", "clen", "glen")
-        .agg(
-            F.sum(F.when(F.col("n") == 1, F.least("c", "k"))).alias("h1"),
-            F.coalesce(F.sum(F.when(F.col("n") == 2, F.least("c", "k"))), F.lit(0)).alias("h2"),
-        )
+    number = dict(gold.dtypes)["golden_no"]
+    # Of each slice of goldens one row is left before they meet: the smallest of -F and number.
+    by_part = _with_slices(
+        cand.withColumn("clen", F.size("t")),
+        ["sample_id", "prompt_id", "clen"],
+        golden_slices(gold),
+        best_golden,
+        "b",
+        f"struct<worse: double, golden_no: {number}, clen: int, glen: int, h1: bigint, h2: bigint>",
     )
-    f1 = 2 * F.col("h1") / (F.col("clen") + F.col("glen"))
-    # The smallest of -F and golden number is the best golden; of each range of goldens one row
-    # is left before they meet.
-    ordered = F.struct((-f1).alias("worse"), "golden_no", "clen", "glen", "h1", "h2")
-    by_part = overlap.groupBy("sample_id", "prompt_id", "part").agg(F.min(ordered).alias("b"))
-    best = by_part.groupBy("sample_id", "prompt_id").agg(F.min("b").alias("b"))
+    best = by_part.where(F.col("b").isNotNull()).groupBy("sample_id", "prompt_id").agg(F.min("b").alias("b"))
     picked = best.select("sample_id", "prompt_id", "b.*").drop("worse")
     if longest:
         with_text = picked.join(

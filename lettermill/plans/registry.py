@@ -1019,7 +1019,7 @@ def rouge_all_goldens(spark, sf_dir):
         .where("golden_no < turn")
         .select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "golden_no", "golden")
     )
-    goldens = cut_lineage(goldens)
+    samples, goldens = cut_lineage(samples), cut_lineage(goldens)
     both = scoring.bleu(samples, goldens).join(scoring.rouge(samples, goldens), "sample_id")
     kept = ["bleu", "rouge1_fmeasure", "rouge2_fmeasure", "rougeL_fmeasure"]
     return both.select("sample_id", *[rounded(c).alias(c) for c in kept])

@@ -277,3 +277,24 @@ def test_evaluation_with_retrieval_and_threads(spark):
     assert "E-MAIL CONTENT:\nabout cats we write\n\n---" in row.full_prompt
     assert "zebra" not in row.full_prompt and "new\n\n---" in row.full_prompt
     assert result.goldens.count() == 2 and result.metrics.count() == 1
+
+
+@pytest.mark.parametrize("score", [scoring.bleu, scoring.rouge])
+def test_ngrams_are_not_rows(graded, score):
+    """Texts are shuffled to their goldens; a row per n-gram was ten times as much."""
+    _, samples, goldens = graded
+    plan = score(samples, goldens)._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan.replace("program", "")
+
+
+def test_goldens_of_many_slices(spark):
+    """Clipped by the largest count in any golden, however the goldens fall into slices."""
+    samples = spark.createDataFrame([("s", 1, "a b a b a c d e")], "sample_id string, prompt_id int, response string")
+    texts = ["a b x", "a b a b x", "c d e", "a y a", "b a b a"] * 1000
+    goldens = spark.createDataFrame(
+        [(1, i, t) for i, t in enumerate(texts)], "prompt_id int, golden_no int, golden string"
+    )
+    got = scoring.bleu(samples, goldens).first()["bleu"]
+    assert got == pytest.approx(plain_bleu("a b a b a c d e", texts))
+    best = scoring.rouge(samples, goldens, longest=False).first()
+    assert best["rouge1_fmeasure"] == pytest.approx(plain_rouge("a b a b a c d e", texts)["rouge1"][2])
