@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 64
 MICRO = 1_000_000
+CHARS_AT_ONCE = 1 << 20
 _A, _B = 961, 31
 _NONE = np.empty(0, dtype=np.int64)
 
@@ -31,6 +32,18 @@ def trigram_buckets(text: str) -> np.ndarray:
     return (codes[:-2] * _A + codes[1:-1] * _B + codes[2:]) % BUCKETS
 
 
+def slices(texts: list[str | None], most: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``most`` characters together: what is looked at in one go."""
+    start = chars = 0
+    for at, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= most:
+            yield start, at + 1
+            start, chars = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def trigram_counts(
     df: DataFrame, text_col: str, lang_col: str, max_languages: int = MAX_LANGUAGES
 ) -> DataFrame:
@@ -44,8 +57,10 @@ def trigram_counts(
                     if len(seen) >= max_languages:
                         raise ValueError("more languages than max_languages")
                     seen[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                buckets = np.concatenate([trigram_buckets(t) for t in texts])
-                seen[lang] += np.bincount(buckets, minlength=BUCKETS)
+                texts = texts.tolist()
+                for start, end in slices(texts):
+                    buckets = np.concatenate([trigram_buckets(t) for t in texts[start:end]])
+                    seen[lang] += np.bincount(buckets, minlength=BUCKETS)
         for lang, counts in seen.items():
             used = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": used, "n": counts[used]})
@@ -93,17 +108,20 @@ def language_detector(
     @F.pandas_udf("string")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names, logp = shared.value
-        for texts in batches:
-            # All texts of the batch at once: one run of trigrams, one sum per text.
-            runs = [trigram_buckets(t) if t is not None else _NONE for t in texts]
-            length = np.array([len(r) for r in runs])
-            out = np.full(len(runs), None, dtype=object)
-            some = np.flatnonzero(length)
-            if len(some):
-                starts = np.append(0, np.cumsum(length[some])[:-1])
-                buckets = np.concatenate([runs[i] for i in some])
-                total = np.stack([np.add.reduceat(column[buckets], starts) for column in logp.T], axis=1)
-                out[some] = np.array(names, dtype=object)[total.argmax(axis=1)]
+        names = np.array(names, dtype=object)
+        for batch in batches:
+            texts = batch.tolist()
+            out = np.full(len(texts), None, dtype=object)
+            for begin, end in slices(texts):
+                # Many texts at once: one run of trigrams, one sum per text.
+                runs = [trigram_buckets(t) if t is not None else _NONE for t in texts[begin:end]]
+                length = np.array([len(r) for r in runs])
+                some = np.flatnonzero(length)
+                if len(some):
+                    starts = np.append(0, np.cumsum(length[some])[:-1])
+                    buckets = np.concatenate([runs[i] for i in some])
+                    total = np.stack([np.add.reduceat(column[buckets], starts) for column in logp.T], axis=1)
+                    out[begin + some] = names[total.argmax(axis=1)]
             yield pd.Series(out, dtype=object)
 
     # Marked so that the optimizer neither copies the call into filters nor runs it twice.
