@@ -1,14 +1,17 @@
 """k-nearest-neighbour joins and what is done with the hits.
 
-``nearest`` has three ways, none of which pairs every query with every chunk in
+``nearest`` has several ways, none of which pairs every query with every chunk in
 one task or emits more than k hits per query and block:
 
 * broadcast: the chunk vectors were counted and fit BROADCAST_BYTES. Queries
   are not shuffled at all.
+* few queries: their vectors fit FEW_QUERIES and BROADCAST_BYTES. Chunks are not shuffled; a
+  task keeps the k nearest of its chunks.
 * blocks, exact: chunk vectors are grouped around pivots; a query is sent only
-  to the cells that, by the triangle inequality, can hold one of its k nearest.
-  Cells are cut into blocks of bounded size on both sides, so a cell with a
-  third of all rows is many tasks, not one.
+  to blocks with cells that, by the triangle inequality, can hold one of its k nearest.
+  Neighbouring cells share a block, and a block grows with the table up to BLOCK_MOST rows:
+  vectors without structure meet in about BLOCKS x BLOCKS pairs of blocks, and a query is
+  sent at most BLOCKS times, not once per cell. Larger cells are several blocks.
 * blocks with ``slack``: approximate, with a recall that was measured. A query visits every
   cell whose pivot is at most ``slack`` farther than its nearest pivot; ``calibrate``
   finds the least slack that reaches the wanted recall on queries with exact answers.
@@ -39,14 +42,54 @@ from .ordering import first_in_group, uneven_join
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
+FEW_QUERIES = 1 << 14
+FEW_HITS = 1 << 18
+BLOCKS = 32
+BLOCK_MOST = 1 << 15
 PIVOT_BYTES = 64 << 20
-_CELLS_AT_ONCE = 4_000_000
+_CELLS_AT_ONCE = 2_000_000
+_GROUP = 64
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _halves(chunks: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
+    """(-2 c, |c|^2) as columns in single precision, filled up to whole groups; None if too large for it."""
+    if not norms.max() < 1e30:
+        return None
+    padded = np.zeros((chunks.shape[1] + 1, -(-len(chunks) // _GROUP) * _GROUP), dtype=np.float32)
+    padded[:-1, : len(chunks)] = -2.0 * chunks.T
+    padded[-1, : len(chunks)], padded[-1, len(chunks) :] = norms, np.inf
+    return padded
+
+
+def _may_be_near(queries: np.ndarray, norms: np.ndarray, halves: np.ndarray, chunk_norms: np.ndarray, k: int):
+    """(query row, chunk row) of all pairs that can be among the k nearest; None if too many.
+
+    The minima of k groups of chunks are k chunks, so the k-th smallest minimum bounds the k-th
+    distance and only the groups below it are looked into. Products are in single precision;
+    what they may be off by is allowed for.
+    """
+    if not norms.max() < 1e30:
+        return None
+    asked = np.ones((len(queries), len(halves)), dtype=np.float32)
+    asked[:, :-1] = queries
+    estimate = (asked @ halves).reshape(len(queries), -1, _GROUP)
+    least = estimate.min(axis=2)
+    off = 2.4e-7 * (len(halves) + 4) * (norms + chunk_norms.max()) + 1e-30
+    limit = (np.partition(least, k - 1, axis=1)[:, k - 1] + 2.0 * off).astype(np.float32)
+    limit = np.nextafter(limit, np.float32(np.inf))
+    rows, groups = np.nonzero(least <= limit[:, None])
+    if len(rows) > 4 * (k + 8) * len(queries):
+        return None
+    at, place = np.nonzero(estimate[rows, groups] <= limit[rows][:, None])
+    cols = groups[at] * _GROUP + place
+    real = cols < len(chunk_norms)
+    return rows[at][real], cols[real]
+
+
 def block_top_k(queries: np.ndarray, chunks: np.ndarray, k: int):
     """Top k of every query against one block; chunk rows must be in id order.
 
@@ -57,11 +100,16 @@ def block_top_k(queries: np.ndarray, chunks: np.ndarray, k: int):
     found = []
     chunk_norms = (chunks * chunks).sum(axis=1)
     step = max(1, _CELLS_AT_ONCE // max(1, len(chunks)))
+    halves = _halves(chunks, chunk_norms) if len(chunks) > 4 * k * _GROUP else None
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         norms = (part * part).sum(axis=1)
-        estimate = norms[:, None] + chunk_norms[None, :] - 2.0 * (part @ chunks.T)
-        if len(chunks) > k:
+        may = _may_be_near(part, norms, halves, chunk_norms, k) if halves is not None else None
+        if may is None:
+            estimate = norms[:, None] + chunk_norms[None, :] - 2.0 * (part @ chunks.T)
+        if may is not None:
+            rows, cols = may
+        elif len(chunks) > k:
             kth = np.partition(estimate, k - 1, axis=1)[:, k - 1]
             slack = 1e-9 * (1.0 + norms + chunk_norms.max())
             rows, cols = np.nonzero(estimate <= (kth + slack)[:, None])
@@ -107,6 +155,33 @@ def _broadcast_hits(queries: DataFrame, few: pd.DataFrame, k: int, types) -> Dat
     return queries.mapInPandas(search, f"qid {types[0]}, cid {types[1]}, rank int, d2 double")
 
 
+def _few_queries_hits(queries: DataFrame, chunks: DataFrame, k: int, types) -> DataFrame:
+    """Every chunk against a few queries: a narrow map over the chunks, k hits per query and task."""
+    spark = queries.sparkSession
+    few = queries.toPandas()
+    shared = spark.sparkContext.broadcast(_matrix(few["v"]))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            batch = batch.sort_values("cid", kind="stable")
+            rows, cols, d2 = block_top_k(shared.value, _matrix(batch["v"]), k)
+            new = pd.DataFrame({"row": rows, "cid": batch["cid"].to_numpy()[cols], "d2": d2})
+            if best is not None:
+                both = pd.concat([best, new]).sort_values(["row", "d2", "cid"], kind="stable")
+                new = both.groupby("row", sort=False).head(k)
+            best = new
+        if best is not None:
+            yield best
+
+    found = chunks.mapInPandas(search, f"row bigint, cid {types[1]}, d2 double")
+    best = first_in_group(found, ["row"], [F.col("d2"), F.col("cid")], k)
+    ids = spark.createDataFrame(list(enumerate(few["qid"].tolist())), f"row bigint, qid {types[0]}")
+    return best.join(F.broadcast(ids), "row").select("qid", "cid", "rank", "d2")
+
+
 def pivot_tree(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """About sqrt(p) of the pivots as centres, the pivots nearest to each, their radius."""
     centres = pivots[:: max(1, math.isqrt(len(pivots)))]
@@ -272,8 +347,24 @@ def chunk_cells(chunks: DataFrame, k: int, wanted: int, id_type: str) -> Cells:
     return Cells(assigned, pivots, reach, filled, k)
 
 
-def _visit(queries: DataFrame, cells: Cells, k: int, probes: int | None, slack: float | None, id_type: str):
-    """Add ``cells``: where a query has to look."""
+def cell_blocks(cells: Cells, block_rows: int) -> tuple[np.ndarray, int]:
+    """The block of every cell, and how many rows a block may have.
+
+    Cells under one centre follow each other and fill a block; a larger cell has its own.
+    """
+    most = max(block_rows, min(-(-int(cells.filled.sum()) // BLOCKS), BLOCK_MOST))
+    home, block, rows = np.zeros(len(cells.pivots), dtype=np.int32), 0, 0
+    for cell in np.concatenate(pivot_tree(cells.pivots)[1]):
+        if rows and rows + cells.filled[cell] > most:
+            block, rows = block + 1, 0
+        home[cell], rows = block, rows + cells.filled[cell]
+    return home, most
+
+
+def _visit(
+    queries: DataFrame, cells: Cells, k: int, probes: int | None, slack: float | None, id_type: str, home: np.ndarray
+) -> DataFrame:
+    """Add ``blocks``: where a query has to look. ``home`` is the block of every cell."""
     shared = queries.sparkSession.sparkContext.broadcast(
         (cells.pivots, pivot_tree(cells.pivots), cells.reach, cells.filled)
     )
@@ -294,11 +385,12 @@ def _visit(queries: DataFrame, cells: Cells, k: int, probes: int | None, slack:
                 gaps = _gaps(vectors, tree[0])
                 bound, _ = k_bounds(vectors, pivots, tree, reach, filled, k, gaps)
                 rows, cols, _, _ = pivots_within(vectors, pivots, tree, reach, bound, gaps)
-            order = np.argsort(rows, kind="stable")
-            picked = np.split(cols[order].astype(np.int32), np.searchsorted(rows[order], np.arange(1, len(vectors))))
-            yield batch.assign(cells=picked)
+            width = int(home.max()) + 1
+            rows, blocks = np.divmod(np.unique(rows.astype(np.int64) * width + home[cols]), width)
+            picked = np.split(blocks.astype(np.int32), np.searchsorted(rows, np.arange(1, len(vectors))))
+            yield batch.assign(blocks=picked)
 
-    return queries.mapInPandas(choose, f"rep {id_type}, v array<float>, cells array<int>")
+    return queries.mapInPandas(choose, f"rep {id_type}, v array<float>, blocks array<int>")
 
 
 def calibrate(cells: Cells, queries: DataFrame, exact: DataFrame, recall: float) -> float:
@@ -340,18 +432,24 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     spark = queries.sparkSession
     assigned, filled = cells.assigned, cells.filled
     distinct = queries.groupBy("v").agg(F.min("qid").alias("rep")).select("rep", "v")
-    routed = cut_lineage(_visit(distinct, cells, k, probes, slack, q_type))
-    visits = routed.select("rep", "v", F.explode("cells").alias("cell"))
-    visitors = dict(visits.groupBy("cell").count().collect())
+    # An approximate search promises certain cells, so each is a block of its own.
+    home = np.arange(len(filled), dtype=np.int32)
+    if probes is None and slack is None:
+        home, block_rows = cell_blocks(cells, block_rows)
+    held = np.bincount(home, weights=filled).astype(np.int64)
+    routed = cut_lineage(_visit(distinct, cells, k, probes, slack, q_type, home))
+    visits = routed.select("rep", "v", F.explode("blocks").alias("block"))
+    visitors = dict(visits.groupBy("block").count().collect())
     # One row per pivot cell.
+    homes = spark.createDataFrame([(c, int(b)) for c, b in enumerate(home)], "cell int, block int")
     sizes = F.broadcast(
         spark.createDataFrame(
             [
-                (c, -(-int(n) // block_rows), -(-int(visitors.get(c, 0)) // block_rows))
-                for c, n in enumerate(filled)
-                if n and visitors.get(c, 0)
+                (b, -(-int(n) // block_rows), -(-int(visitors.get(b, 0)) // block_rows))
+                for b, n in enumerate(held)
+                if n and visitors.get(b, 0)
             ],
-            "cell int, chunk_blocks int, query_blocks int",
+            "block int, chunk_blocks int, query_blocks int",
         )
     )
 
@@ -361,15 +459,16 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     def each(of: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    key = ["cell", "qb", "cb"]
+    key = ["block", "qb", "cb"]
     left = (
-        visits.join(sizes, "cell")
+        visits.join(sizes, "block")
         .withColumn("qb", block("rep", "query_blocks"))
         .withColumn("cb", each("chunk_blocks"))
         .select(*key, F.col("rep").alias("qid"), "v")
     )
     right = (
-        assigned.join(sizes, "cell")
+        assigned.join(F.broadcast(homes), "cell")
+        .join(sizes, "block")
         .withColumn("cb", block("rep", "chunk_blocks"))
         .withColumn("qb", each("query_blocks"))
         .select(*key, "rep", "ids", "v")
@@ -411,6 +510,12 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     )
 
 
+def _are_few(queries: DataFrame, k: int, broadcast_bytes: int) -> bool:
+    size = F.size("v") * 8 + F.octet_length(F.col("qid").cast("string"))
+    n, total = queries.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return 0 < n <= min(FEW_QUERIES, FEW_HITS // k) and total is not None and total <= broadcast_bytes
+
+
 def nearest(
     queries: DataFrame,
     chunks: DataFrame,
@@ -451,6 +556,8 @@ def nearest(
     if probes is None and slack is None and size <= broadcast_bytes:
         few = first_in_group(c, ["v"], [F.col("cid")], k).select("cid", "v").toPandas()
         hits = _broadcast_hits(q, few, k, types)
+    elif probes is None and slack is None and cells is None and _are_few(q, k, broadcast_bytes):
+        hits = _few_queries_hits(q, c, k, types)
     else:
         if not isinstance(cells, Cells):
             cells = chunk_cells(c, k, cells or cells_wanted(n_chunks, width), types[1])

@@ -220,3 +220,40 @@ def test_recall_of_nothing(spark):
     assert search(q, c, 3).groupBy("query_id").count().count() == 30
     with pytest.raises(ValueError, match="keep 3 ids"):
         search(q, c, 4)
+
+
+def test_products_in_single_precision_lose_nothing():
+    rng = np.random.default_rng(5)
+    for scale, shift in ((1.0, 0.0), (1e-18, 0.0), (1.0, 1e4), (1e16, 0.0)):
+        chunks = rng.normal(size=(1500, 16)) * scale + shift * scale
+        chunks[700:760] = chunks[3]
+        queries = np.concatenate([chunks[::50], rng.normal(size=(20, 16)) * scale])
+        rows, cols, d2 = R.block_top_k(queries, chunks, 4)
+        every = ((queries[:, None] - chunks[None]) ** 2).sum(axis=2)
+        want = np.argsort(every, axis=1, kind="stable")[:, :4]
+        assert (cols.reshape(-1, 4) == want).all(), (scale, shift)
+
+
+def test_a_query_is_not_sent_once_per_cell():
+    """Vectors without structure: every cell can hold a hit, but a query meets few blocks."""
+    rng = np.random.default_rng(6)
+    pivots = rng.normal(size=(400, 32))
+    filled = rng.integers(0, 200, 400)
+    cells = R.Cells(None, pivots, np.ones(400), filled, 5)
+    home, most = R.cell_blocks(cells, 16)
+    held = np.bincount(home, weights=filled)
+    assert held.max() <= most and len(held) <= 2 * R.BLOCKS
+    filled[7] = 10**6
+    home, most = R.cell_blocks(cells, 16)
+    assert most == -(-filled.sum() // R.BLOCKS) and filled[home == home[7]].sum() == filled[7]
+
+
+def test_few_queries_against_many_chunks(spark):
+    rows = clustered(12, 300, copies=20)
+    q, c = frames(spark, rows, rows)
+    few = q.where("query_id < 9").unionByName(q.where("query_id = 3"))
+    want = found(R.nearest(few, c, 6))
+    size = 1 << 13  # the chunks do not fit, these queries do
+    plan = R.nearest(few, c.repartition(5), 6, broadcast_bytes=size)
+    assert "cogroup" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found(plan) == want

@@ -298,3 +298,19 @@ def test_goldens_of_many_slices(spark):
     assert got == pytest.approx(plain_bleu("a b a b a c d e", texts))
     best = scoring.rouge(samples, goldens, longest=False).first()
     assert best["rouge1_fmeasure"] == pytest.approx(plain_rouge("a b a b a c d e", texts)["rouge1"][2])
+
+
+def test_trigrams_of_few_texts_at_once(spark, monkeypatch):
+    """A batch of long texts is looked at in parts: memory is bounded in characters, not in rows."""
+    texts = [None, "", "das und die " * 30, "the and of " * 30, "der " * 400, "the", None] * 20
+    runs = list(language.slices(texts, 1000))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(len(texts)))
+    assert all(sum(len(t or "") for t in texts[a : b - 1]) < 1000 for a, b in runs)
+    df = spark.createDataFrame([(i, t, "de" if "d" in (t or "") else "en") for i, t in enumerate(texts)], "i int, t string, l string")
+    whole = sorted(map(tuple, language.trigram_counts(df, "t", "l").collect()))
+    profile = language.train_profile(df, "t", "l")
+    told = [tuple(r) for r in df.select("i", language.language_detector(df, profile)(F.col("t"))).orderBy("i").collect()]
+    monkeypatch.setattr(language.slices, "__defaults__", (50,))
+    assert sorted(map(tuple, language.trigram_counts(df, "t", "l").collect())) == whole
+    again = df.select("i", language.language_detector(df, profile)(F.col("t"))).orderBy("i")
+    assert [tuple(r) for r in again.collect()] == told
