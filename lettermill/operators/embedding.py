@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
@@ -22,24 +22,54 @@ Model = Callable[[DataFrame, str, str], DataFrame]
 MOST_DIMENSIONS = 1 << 16
 
 
-def buckets(text: Column, dimensions: int) -> Column:
-    """The bucket of every token, by the first 28 bits of its md5: the same in any engine."""
-    return F.transform(
-        metric_tokens(text),
-        lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dimensions,
-    )
+KNOWN_WORDS = 1 << 18
+TEXTS_AT_ONCE = 256
+
+
+def bucket(word: bytes, dimensions: int) -> int:
+    """By the first 28 bits of the word's md5: the same in any engine."""
+    return int(hashlib.md5(word).hexdigest()[:7], 16) % dimensions
+
+
+def bucket_counts(tokens: pa.ListArray, dimensions: int, known: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """Words per text and bucket, some texts at a time. ``known`` keeps the buckets of words
+    between calls: a word is digested once, not every time it occurs."""
+    step = max(1, min(TEXTS_AT_ONCE, (1 << 21) // dimensions))
+    for start in range(0, len(tokens), step):
+        texts = tokens.slice(start, step)
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        coded = texts.flatten().dictionary_encode()
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        place = np.zeros(len(coded.dictionary), dtype=np.int64)
+        for i, word in enumerate(coded.dictionary.cast(pa.binary()).to_pylist()):
+            if (found := known.get(word)) is None:
+                found = known[word] = bucket(word, dimensions)
+            place[i] = found
+        at = np.repeat(np.arange(len(texts)) * dimensions, sizes) + place[coded.indices.to_numpy()]
+        yield np.bincount(at, minlength=len(texts) * dimensions).reshape(len(texts), dimensions)
 
 
 def fit_idf(df: DataFrame, text_col: str, dimensions: int = 256) -> DataFrame:
     """(bucket, n_with, n_docs, idf) for every bucket: a small table to keep with the index.
 
-    Distinct buckets of a text are counted before they are shuffled. idf is
+    Texts that have a bucket are counted per task; only these counts are shuffled. idf is
     ln((n_docs + 1) / (n_with + 1)); buckets that no text has are rows as well.
     """
     if dimensions > MOST_DIMENSIONS:
         raise ValueError(f"at most {MOST_DIMENSIONS} dimensions")
-    texts = df.select(F.array_distinct(buckets(F.col(text_col), dimensions)).alias("b"))
-    seen = texts.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_with"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        with_it = np.zeros(dimensions, dtype=np.int64)
+        for batch in batches:
+            for counts in bucket_counts(batch.column("t"), dimensions, known):
+                with_it += (counts > 0).sum(axis=0)
+        some = np.flatnonzero(with_it)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(with_it[some])], names=["bucket", "n"])
+
+    texts = df.select(metric_tokens(F.col(text_col)).alias("t"))
+    seen = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n_with"))
     n_docs = texts.count()
     spark = df.sparkSession
     counted = spark.range(dimensions).withColumnRenamed("id", "bucket").join(F.broadcast(seen), "bucket", "left")
@@ -51,27 +81,35 @@ def fit_idf(df: DataFrame, text_col: str, dimensions: int = 256) -> DataFrame:
 
 
 def hashed_terms(dimensions: int = 256, idf: DataFrame | None = None) -> Model:
-    """Unit-length vectors of hashed terms, all on the JVM: counts, idf, length 1.
+    """Unit-length vectors of hashed terms: tokens on the JVM, then counts, idf, length 1 by Arrow.
 
     Without ``idf`` (from ``fit_idf``) plain counts are taken; then nothing is fitted. Either
     way an embedding is narrow and the same in batch and streaming.
     """
+    if dimensions > MOST_DIMENSIONS:
+        raise ValueError(f"at most {MOST_DIMENSIONS} dimensions")
     # One number per dimension.
     scale = None if idf is None else [r["idf"] for r in idf.orderBy("bucket").select("idf").collect()]
     if scale is not None and len(scale) != dimensions:
         raise ValueError(f"an idf table of {len(scale)} buckets for {dimensions} dimensions")
 
+    weights = 1.0 if scale is None else np.array(scale)
+
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, int] = {}
+        for tokens in batches:
+            rows = [np.empty((0, dimensions), dtype=np.float32)]
+            for counts in bucket_counts(tokens, dimensions, known):
+                weighed = counts * weights
+                # Squares are added one after another, as any engine may repeat it.
+                length = np.sqrt((weighed * weighed).cumsum(axis=1)[:, -1:])
+                rows.append((weighed / np.where(length > 0, length, 1.0)).astype(np.float32))
+            ends = np.arange(len(tokens) + 1, dtype=np.int32) * dimensions
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).ravel()))
+
     def embed(df: DataFrame, text_col: str, out: str) -> DataFrame:
-        named = F.transform(buckets(F.col(text_col), dimensions), lambda b: b.cast("string"))
-        tokens = df.withColumn("_tokens", F.coalesce(named, F.array().cast("array<string>")))
-        vocabulary = [str(b) for b in range(dimensions)]
-        counted = CountVectorizerModel.from_vocabulary(vocabulary, "_tokens", "_tf").transform(tokens)
-        if scale is not None:
-            weigh = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_tf", outputCol="_weighted")
-            counted = weigh.transform(counted).drop("_tf").withColumnRenamed("_weighted", "_tf")
-        unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
-        vector = vector_to_array("_unit", "float32")
-        return unit.withColumn(out, vector).drop("_tokens", "_tf", "_unit")
+        return df.withColumn(out, vectors(metric_tokens(F.col(text_col))))
 
     return embed
 
