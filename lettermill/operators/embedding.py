@@ -108,8 +108,11 @@ def hashed_terms(dimensions: int = 256, idf: DataFrame | None = None) -> Model:
             ends = np.arange(len(tokens) + 1, dtype=np.int32) * dimensions
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).ravel()))
 
+    # Marked so that the optimizer does not copy the call into filters: it would run twice.
+    once = vectors.asNondeterministic()
+
     def embed(df: DataFrame, text_col: str, out: str) -> DataFrame:
-        return df.withColumn(out, vectors(metric_tokens(F.col(text_col))))
+        return df.withColumn(out, once(metric_tokens(F.col(text_col))))
 
     return embed
 

@@ -121,3 +121,24 @@ def test_emails_come_from_their_payloads(spark):
     assert hits["m0"] == [] and "s0" in hits["m1"]  # it contains both of its nearest
     more = {r["email_id"]: [h["serialized_email"]["email"] for h in r["relevant_emails"]] for r in full.collect()}
     assert more["m0"] == ["alpha beta epsilon zeta", "omega psi chi"] and all(len(h) == 2 for h in more.values())
+
+
+def test_a_word_is_digested_once(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    plain = embedding.bucket
+    monkeypatch.setattr(embedding, "bucket", lambda w, n: asked.append(w) or plain(w, n))
+    texts = [["the", "cat", "the"], None, [], ["é", "cat"]] * 300
+    known = {}
+    counts = np.concatenate(list(embedding.bucket_counts(pa.array(texts, pa.list_(pa.string())), 16, known)))
+    assert sorted(asked) == sorted({w.encode() for w in ("the", "cat", "é")})
+    for row, text in zip(counts, texts):
+        want = Counter(bucket(w, 16) for w in text or [])
+        assert row.tolist() == [want[b] for b in range(16)]
+
+
+def test_an_embedding_is_evaluated_once(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    rows = embedding.hashed_terms(8)(docs, "text", "v").select("doc_id", F.posexplode("v")).where("col > 0")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("vectors(") == 1
