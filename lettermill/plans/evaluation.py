@@ -130,6 +130,8 @@ def evaluate(
     goldens = rank_in_group(answers, ["prompt_id"], "_seq", "golden_no").select("prompt_id", "golden_no", "golden")
     if not compute_metrics:
         return Evaluation(responses, goldens, None, None)
+    # Read by every metric: numbered, and so shuffled, once.
+    goldens = cut_lineage(goldens)
     replies = responses.select("sample_id", "prompt_id", "response")
     scores = cut_lineage(
         replies.select("sample_id", "prompt_id")

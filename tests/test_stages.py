@@ -121,3 +121,14 @@ def test_batch_and_stream_share_an_index(spark):
     store.replace_index(chunks, out)
     assert store.load_index(spark, out, "my index").count() == 1
     assert store.load_index(spark, out, "other").count() == 1
+
+
+def test_goldens_are_numbered_once(spark):
+    """All metrics read the numbered goldens from a table: their window is not run again."""
+    test = spark.createDataFrame(
+        [("p", 1, "one two", ["t"]), ("p", 2, "two three", ["t"]), ("q", 3, "four", ["t"])],
+        "summary string, seq long, email string, thread array<string>",
+    )
+    found = evaluate(test, generation.echo, cells=2)
+    assert "Window" not in found.goldens._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.golden_no, r.golden) for r in found.goldens.collect()) == [(0, "four"), (0, "one two"), (1, "two three")]
