@@ -46,6 +46,7 @@ FEW_QUERIES = 1 << 14
 FEW_HITS = 1 << 18
 BLOCKS = 32
 BLOCK_MOST = 1 << 15
+QUERY_GROUP = 4
 PIVOT_BYTES = 64 << 20
 _CELLS_AT_ONCE = 2_000_000
 _GROUP = 64
@@ -436,6 +437,8 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     home = np.arange(len(filled), dtype=np.int32)
     if probes is None and slack is None:
         home, block_rows = cell_blocks(cells, block_rows)
+    # Chunks are repeated per group of queries, so these groups are larger than blocks of chunks.
+    query_rows = max(block_rows, min(QUERY_GROUP * block_rows, BLOCK_MOST))
     held = np.bincount(home, weights=filled).astype(np.int64)
     routed = cut_lineage(_visit(distinct, cells, k, probes, slack, q_type, home))
     visits = routed.select("rep", "v", F.explode("blocks").alias("block"))
@@ -445,7 +448,7 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     sizes = F.broadcast(
         spark.createDataFrame(
             [
-                (b, -(-int(n) // block_rows), -(-int(visitors.get(b, 0)) // block_rows))
+                (b, -(-int(n) // block_rows), -(-int(visitors.get(b, 0)) // query_rows))
                 for b, n in enumerate(held)
                 if n and visitors.get(b, 0)
             ],

@@ -257,3 +257,24 @@ def test_few_queries_against_many_chunks(spark):
     plan = R.nearest(few, c.repartition(5), 6, broadcast_bytes=size)
     assert "cogroup" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
     assert found(plan) == want
+
+
+def test_chunks_are_repeated_per_large_group_of_queries(spark, monkeypatch):
+    """Groups of queries are larger than blocks of chunks; hits stay those of brute force."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(400, 4)).astype("float32"), rng.normal(size=(300, 4)).astype("float32")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "query_id long, vector array<float>")
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "chunk_id long, vector array<float>")
+    seen, real = [], R.block_top_k
+
+    def made(rows, schema=None, **options):
+        if schema == "block int, chunk_blocks int, query_blocks int":
+            seen.extend(rows)
+        return original(rows, schema, **options)
+
+    original = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *args, **options: made(*args, **options))
+    hits = R.nearest(queries, chunks, 3, broadcast_bytes=0, cells=4, block_rows=100).collect()
+    assert seen and max(n for _, _, n in seen) == 1
+    rows, cols, _ = real(a.astype(float), b.astype(float), 3)
+    assert sorted((h.query_id, h.chunk_id) for h in hits) == sorted(zip(rows.tolist(), cols.tolist()))
