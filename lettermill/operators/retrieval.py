@@ -61,7 +61,7 @@ def _halves(chunks: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
     if not norms.max() < 1e30:
         return None
     padded = np.zeros((chunks.shape[1] + 1, -(-len(chunks) // _GROUP) * _GROUP), dtype=np.float32)
-    padded[:-1, : len(chunks)] = -2.0 * chunks.T
+    np.multiply(chunks.T, -2.0, out=padded[:-1, : len(chunks)], casting="same_kind")
     padded[-1, : len(chunks)], padded[-1, len(chunks) :] = norms, np.inf
     return padded
 
@@ -94,12 +94,14 @@ def _may_be_near(queries: np.ndarray, norms: np.ndarray, halves: np.ndarray, chu
 def block_top_k(queries: np.ndarray, chunks: np.ndarray, k: int):
     """Top k of every query against one block; chunk rows must be in id order.
 
+    Chunks may be of single precision; they are measured in double precision all the same.
+
     Distances are estimated by one matrix product; all rows the estimate cannot
     exclude are measured again directly, so equal vectors tie exactly. Returns
     (query row, chunk row, squared distance).
     """
     found = []
-    chunk_norms = (chunks * chunks).sum(axis=1)
+    chunk_norms = np.einsum("ij,ij->i", chunks, chunks, dtype=np.float64)
     step = max(1, _CELLS_AT_ONCE // max(1, len(chunks)))
     halves = _halves(chunks, chunk_norms) if len(chunks) > 4 * k * _GROUP else None
     for start in range(0, len(queries), step):
@@ -134,8 +136,9 @@ def block_top_k(queries: np.ndarray, chunks: np.ndarray, k: int):
 def _broadcast_hits(queries: DataFrame, few: pd.DataFrame, k: int, types) -> DataFrame:
     """Every query against a small chunk matrix: a narrow map over the queries."""
     few = few.sort_values("cid", kind="stable").reset_index(drop=True)
+    # Vectors are of single precision: as such they are exact and half as large in every worker.
     shared = queries.sparkSession.sparkContext.broadcast(
-        (few["cid"].to_numpy(), _matrix(few["v"]))
+        (few["cid"].to_numpy(), np.stack(few["v"].to_numpy()).astype(np.float32))
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

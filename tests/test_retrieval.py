@@ -278,3 +278,19 @@ def test_chunks_are_repeated_per_large_group_of_queries(spark, monkeypatch):
     assert seen and max(n for _, _, n in seen) == 1
     rows, cols, _ = real(a.astype(float), b.astype(float), 3)
     assert sorted((h.query_id, h.chunk_id) for h in hits) == sorted(zip(rows.tolist(), cols.tolist()))
+
+
+def test_broadcast_matrix_is_single_precision(spark, monkeypatch):
+    """The shared matrix is half as large; distances are those of double precision."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(20, 5)).astype("float32"), rng.normal(size=(2000, 5)).astype("float32")
+    single, double = R.block_top_k(a.astype(float), b, 3), R.block_top_k(a.astype(float), b.astype(float), 3)
+    assert all((x == y).all() for x, y in zip(single, double)) and single[2].dtype == np.float64
+    queries = spark.createDataFrame([(1, a[0].tolist())], "query_id long, vector array<float>")
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b[:9])], "chunk_id long, vector array<float>")
+    kinds, original = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(
+        type(spark.sparkContext), "broadcast", lambda self, value: kinds.append(value[1].dtype) or original(self, value)
+    )
+    assert R.nearest(queries, chunks, 3).count() == 3
+    assert kinds == [np.float32]
