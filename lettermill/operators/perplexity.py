@@ -11,17 +11,14 @@ from .ordering import uneven_join
 
 
 def _bigrams(texts: DataFrame) -> DataFrame:
-    """(id, w1, w2, n): bigrams per id, counted before the shuffle."""
-    tokens = texts.select("id", metric_tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
-    followers = F.size("t") - 1
+    """(id, w1, w2): a row per bigram."""
+    tokens = texts.select("id", metric_tokens(F.col("text")).alias("t"))
+    # Short texts have no pairs; a filter on their size would find the tokens a second time.
+    followers = F.greatest(F.size("t") - 1, F.lit(0))
     pairs = F.arrays_zip(
         F.slice("t", F.lit(1), followers).alias("w1"), F.slice("t", F.lit(2), followers).alias("w2")
     )
-    return (
-        tokens.select("id", F.explode(pairs).alias("b"))
-        .groupBy("id", "b.w1", "b.w2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return tokens.select("id", F.explode(pairs).alias("b")).select("id", "b.w1", "b.w2")
 
 
 def row_perplexity(
@@ -31,27 +28,33 @@ def row_perplexity(
 
     p(w2 | w1) = (count(w1, w2) + 1) / (count(w1) + V), counts and the vocabulary
     V (distinct words of any bigram) from the training rows. Both parts are
-    counted in one pass, training rows under the id NULL. Probabilities are
+    counted per bigram in one pass, training rows under the id NULL; bigrams of a
+    test row mostly differ and are not counted per row first. Probabilities are
     looked up once per distinct bigram; common bigrams and words are spread.
     """
     texts = test.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     learnt = train.select(
         F.lit(None).cast(texts.schema["id"].dataType).alias("id"), F.col(text_col).alias("text")
     )
-    grams = cut_lineage(_bigrams(texts.unionByName(learnt)))
     pairs = cut_lineage(
-        grams.groupBy("w1", "w2").agg(
-            F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("c12"),
-            F.count("id").alias("asked"),
-        )
+        _bigrams(texts.unionByName(learnt))
+        .groupBy("w1", "w2")
+        .agg(F.count_if(F.col("id").isNull()).alias("c12"), F.count("id").alias("asked"))
+    )
+    # Per word: its count as a first word, how many pairs ask for it (so who is common is known
+    # from here), and whether a training row has it.
+    trained = (F.col("c12") > 0).alias("trained")
+    as_first = F.struct(F.col("w1").alias("w"), F.col("c12").alias("c1"), (F.col("asked") > 0).alias("asks"), trained)
+    as_second = F.struct(F.col("w2").alias("w"), F.lit(0).cast("bigint").alias("c1"), F.lit(False).alias("asks"), trained)
+    first = cut_lineage(
+        pairs.select(F.inline(F.array(as_first, as_second)))
+        .groupBy(F.col("w").alias("w1"))
+        .agg(F.sum("c1").alias("c1"), F.count_if("asks").alias("count"), F.max("trained").alias("trained"))
     )
-    seen = pairs.where(F.col("c12") > 0)
-    # Per first word its count and how many pairs ask for it: who is common is known from here.
-    first = cut_lineage(pairs.groupBy("w1").agg(F.sum("c12").alias("c1"), F.count_if(F.col("asked") > 0).alias("count")))
-    vocabulary = seen.select(F.explode(F.array("w1", "w2")).alias("w")).distinct().count()
+    vocabulary = first.where("trained").count()
     logp = uneven_join(
         pairs.where("asked > 0").select("w1", "w2", "c12"),
-        first.select("w1", "c1"),
+        first.where("count > 0").select("w1", "c1"),
         ["w1"],
         ["w2"],
         counts=first.select("w1", "count"),
@@ -60,11 +63,11 @@ def row_perplexity(
         "w2",
         F.ln((F.col("c12") + 1) / (F.coalesce("c1", F.lit(0)) + F.lit(vocabulary))).alias("lp"),
     )
-    asked = grams.where(F.col("id").isNotNull())
+    asked = _bigrams(texts.where(F.col("id").isNotNull()))
     counts = pairs.select("w1", "w2", F.col("asked").alias("count"))
     scored = uneven_join(asked, logp, ["w1", "w2"], ["id"], how="inner", counts=counts)
     per_row = scored.groupBy("id").agg(
-        F.sum("n").alias("n_bigrams"), F.sum(F.col("n") * F.col("lp")).alias("log_prob")
+        F.count(F.lit(1)).alias("n_bigrams"), F.sum("lp").alias("log_prob")
     )
     return per_row.select(
         F.col("id").alias(id_col),

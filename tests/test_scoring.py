@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from lettermill.operators import divergence, language, perplexity, scoring
 from lettermill.operators import generation
 from lettermill.operators.embedding import build_index, hashed_terms
 from lettermill.plans.evaluation import evaluate
+from lettermill.session import cut_lineage
 
 WORDS = ["the", "a", "cat", "dog", "sat", "on", "mat", "The", "cat.", "é"]
 
@@ -314,3 +316,28 @@ def test_trigrams_of_few_texts_at_once(spark, monkeypatch):
     assert sorted(map(tuple, language.trigram_counts(df, "t", "l").collect())) == whole
     again = df.select("i", language.language_detector(df, profile)(F.col("t"))).orderBy("i")
     assert [tuple(r) for r in again.collect()] == told
+
+
+def test_bigrams_are_shuffled_once_per_pair(spark, monkeypatch):
+    """No shuffle by (id, w1, w2), and tokens are found once per text: no filter asks for them."""
+    train = spark.createDataFrame([(1, "a b a b"), (2, "one")], "id long, t string")
+    test = spark.createDataFrame([(3, "a b c"), (3, "a b"), (4, ""), (5, None), (6, "x")], "id long, t string")
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(perplexity, "cut_lineage", keep)
+    got = perplexity.row_perplexity(train, test, "id", "t").collect()
+    # (a b) twice of two a's, (b c) never of one b; two words.
+    logs = 2 * math.log(3 / 4) + math.log(1 / 3)
+    assert [(r.id, r.n_bigrams) for r in got] == [(3, 3)]
+    assert got[0].log_prob == pytest.approx(logs)
+    assert "hashpartitioning(id" not in "".join(plans) and "Filter" not in plans[0]
+
+
+def test_longest_subsequence_reads_joined_words():
+    """Words travel as one string; as characters, "ab cd" and "ab ce" would share four."""
+    pairs = iter([(pd.Series(["ab cd", "", None, "a"]), pd.Series(["ab ce", "a", "a", "a"]))])
+    assert [list(s) for s in scoring._lcs.func(pairs)] == [[1, 0, 0, 1]]
