@@ -127,20 +127,21 @@ def evaluate(
     )
     # Numbered densely, so that ranges of goldens are full.
     answers = keyed.where(F.col(email).isNotNull()).select("prompt_id", F.col(seq).alias("_seq"), F.col(email).alias("golden"))
-    goldens = rank_in_group(answers, ["prompt_id"], "_seq", "golden_no").select("prompt_id", "golden_no", "golden")
+    numbered = rank_in_group(answers, ["prompt_id"], "_seq", "golden_no").select("prompt_id", "golden_no", "golden")
     if not compute_metrics:
-        return Evaluation(responses, goldens, None, None)
-    # Read by every metric: numbered, and so shuffled, once.
-    goldens = cut_lineage(goldens)
+        return Evaluation(responses, numbered, None, None)
+    # Read several times by BLEU and ROUGE: numbered, and so shuffled, once for them.
+    goldens = cut_lineage(numbered)
     replies = responses.select("sample_id", "prompt_id", "response")
     scores = cut_lineage(
         replies.select("sample_id", "prompt_id")
         .join(bleu(replies, goldens), "sample_id", "left")
         .join(rouge(replies, goldens), "sample_id", "left")
     )
-    compared = goldens
+    # The start of k-means depends on the order of rows, which a table does not keep.
+    compared = numbered
     if goldens_for_divergence == "first":
-        compared = goldens.groupBy("prompt_id").agg(F.min_by("golden", "golden_no").alias("golden"))
+        compared = numbered.groupBy("prompt_id").agg(F.min_by("golden", "golden_no").alias("golden"))
     both = replies.select(F.col("response").alias("t"), F.lit(True).alias("is_reply")).union(
         compared.select("golden", F.lit(False))
     )
