@@ -42,16 +42,20 @@ and no rows; one very long text is one segment of many blocks; a payload that wa
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import CACHE_WORDS, LONG_WORD, Splitter, byte_symbols, refuse_other_settings
+from .bpe_codec import CACHE_WORDS, LATIN_END, LONG_WORD, Splitter, byte_symbols, refuse_other_settings
 from .common import new_work_path, small
 from .token_counts import lowered
 
@@ -60,6 +64,9 @@ BLOCK_IDS = 1024
 MIN_BLOCK_IDS = 128
 LANES = 4096
 END_ID = 2
+TEXT_AT_ONCE = 1 << 22  # bytes of text that are cut into pre-tokens at once
+WORDS_AT_ONCE = 1000  # new pre-tokens that the library gets at once
+CODED_BYTES = {"latin-1": 1, "utf-16-le": 2, "utf-32-le": 4}
 
 MAGIC, VERSION = b"LMID", 1
 HEAD = "<4sHIIQIIIII"
@@ -75,7 +82,7 @@ SHARE_BITS, FREQUENCY_BITS = 14, 18  # an id's interval is a part of 2**32
 SHARE, FREQUENCY = 1 << SHARE_BITS, 1 << FREQUENCY_BITS
 RATE = 5  # weights move by 1/32 of the gap
 GAIN = SHARE // 32 - 6  # both weights together stay below SHARE
-FIELD = 32  # order 2's weight stands above order 1's in one integer
+FIELD = 16  # order 2's weight stands above order 1's in one integer
 
 U = np.uint64
 LIMIT, BELOW, OUT = U(1 << 48), U((1 << 48) - 1), U(16)
@@ -87,52 +94,70 @@ LIMIT, BELOW, OUT = U(1 << 48), U((1 << 48) - 1), U(16)
 class Mix:
     """Order-1 and order-2 predictions of ``lanes`` independent blocks, and their weights.
 
-    A table entry is an id and how often it was right of late, CONFIDENCE_BITS of it. Right:
-    surer. Wrong: half as sure, and replaced when no trust is left.
+    Ids are numbers into ``codes``, whose first is id 0. A table entry is such a number and how
+    often it was right of late, CONFIDENCE_BITS of it. Right: surer. Wrong: half as sure, and
+    replaced when no trust is left. Row 0 of two-row arrays is order 1, row 1 order 2.
     """
 
-    def __init__(self, lanes: int):
-        entries, top = 1 << TABLE_BITS, (1 << CONFIDENCE_BITS) - 1
-        self.one, self.two = np.zeros(lanes * entries, np.int32), np.zeros(lanes * entries, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64) * entries
+    def __init__(self, lanes: int, codes: np.ndarray):
+        entries = 1 << TABLE_BITS
+        # Half the bytes if they will do: the tables are what does not fit into a core's cache.
+        self.kind = np.dtype(np.uint16 if len(codes) <= 1 << (16 - CONFIDENCE_BITS) else np.uint32)
+        self.entries = np.zeros(2 * lanes * entries, self.kind)
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * entries
         cells = 2 << (2 * CONFIDENCE_BITS)
         self.cells = np.arange(lanes, dtype=np.int64) * cells
-        self.weights = np.full(lanes * cells, (SHARE // 4) << FIELD | SHARE // 4, dtype=U)
+        self.weights = np.full(lanes * cells, (SHARE // 4) << FIELD | SHARE // 4, dtype=np.uint32)
+        self.hashes = codes.astype(np.uint32) * np.uint32(0x9E3779B1)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        sure = np.arange(top + 1)
-        self.trust = np.append(sure // 2 - sure, np.minimum(sure + 1, top) - sure).astype(np.int32)
-        self.gain = np.array([0, GAIN, GAIN << FIELD], dtype=U)
-        self.decay = U(((SHARE - 1) >> RATE) << FIELD | ((SHARE - 1) >> RATE))
-        self.top = np.int32(top)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first ``n`` lanes: predicted ids of orders 2 and 1 and their weights."""
-        base, shift = self.base[:n], np.uint32(32 - TABLE_BITS)
-        mixed = self.last[:n] * np.uint32(0x9E3779B1)
-        self.at_one = base + (mixed >> shift)
-        self.at_two = base + ((mixed * np.uint32(0x85EBCA6B) ^ self.before[:n]) >> shift)
-        self.mixed = mixed
-        self.entry_one, self.entry_two = self.one[self.at_one], self.two[self.at_two]
-        self.sure_one, self.sure_two = self.entry_one & self.top, self.entry_two & self.top
-        two, one = self.entry_two >> CONFIDENCE_BITS, self.entry_one >> CONFIDENCE_BITS
-        cell = (self.sure_two << (CONFIDENCE_BITS + 1)) + (self.sure_one << 1) + (two == one)
+        self.top = self.kind.type((1 << CONFIDENCE_BITS) - 1)
+        self.body = self.kind.type(np.iinfo(self.kind).max - self.top)
+        self.gain = np.array([0, GAIN, GAIN << FIELD], dtype=np.uint32)
+        self.decay = np.uint32(((SHARE - 1) >> RATE) << FIELD | ((SHARE - 1) >> RATE))
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of orders 2 and 1 for the first ``n`` lanes; ``entry`` holds their predictions."""
+        shift = np.uint32(32 - TABLE_BITS)
+        last = self.last[:n]
+        at = np.empty((2, n), np.int64)
+        np.add(self.base[0, :n], last >> shift, out=at[0])
+        np.add(self.base[1, :n], (last * np.uint32(0x85EBCA6B) ^ self.before[:n]) >> shift, out=at[1])
+        entry = self.entries.take(at)
+        sure = entry & self.top
+        cell = sure[1] << (CONFIDENCE_BITS + 1)
+        cell |= sure[0] << 1
+        cell |= (entry[0] ^ entry[1]) <= self.top  # the two agree
         self.at_weight = self.cells[:n] + cell
-        self.weight = self.weights[self.at_weight]
-        return two, one, self.weight >> U(FIELD), self.weight & U(0xFFFFFFFF)
-
-    def learn(self, n: int, ids: np.ndarray, who: np.ndarray, two_right: np.ndarray, one_right: np.ndarray) -> None:
-        """Adapt to the ids that came; ``who`` had them: 2, 1 or 0 (none)."""
-        weight = self.weight
-        self.weights[self.at_weight] = weight - ((weight >> U(RATE)) & self.decay) + self.gain[who]
-        fresh = (ids << CONFIDENCE_BITS) + 1
-        for table, at, entry, sure, right in (
-            (self.one, self.at_one, self.entry_one, self.sure_one, one_right),
-            (self.two, self.at_two, self.entry_two, self.sure_two, two_right),
-        ):
-            state = (right.view(np.int8) << CONFIDENCE_BITS) + sure
-            table[at] = np.where(state == 0, fresh, entry + self.trust[state])
-        self.before[:n] = self.mixed * np.uint32(0xC2B2AE35)
-        self.last[:n] = ids
+        weight = self.weights.take(self.at_weight)
+        self.at, self.entry, self.sure, self.weight = at, entry, sure, weight
+        return weight >> np.uint32(FIELD), weight & np.uint32((1 << FIELD) - 1)
+
+    def right(self, now: np.ndarray) -> np.ndarray:
+        """Which orders were right about the numbers ``now`` that came."""
+        self.fresh = now << CONFIDENCE_BITS
+        self.gap = self.entry ^ self.fresh
+        return self.gap <= self.top
+
+    def learn(self, n: int, now: np.ndarray, who: np.ndarray, right: np.ndarray) -> None:
+        """Adapt to the numbers that came; ``who`` had them: 2, 1 or 0 (none)."""
+        weight, sure = self.weight, self.sure
+        self.weights[self.at_weight] = weight - ((weight >> np.uint32(RATE)) & self.decay) + self.gain.take(who)
+        doubt = sure == 0
+        down = sure >> 1
+        down += doubt  # of the entry that takes its place
+        up = np.minimum(sure + self.kind.type(1), self.top)
+        up -= down
+        up *= right
+        up += down
+        stays = np.logical_or(doubt, right, out=doubt).astype(self.kind)
+        stays -= self.kind.type(1)  # all bits where the entry's number stays, none where ``now`` comes
+        stays &= self.gap
+        stays &= self.body
+        stays ^= self.fresh
+        stays |= up
+        self.entries[self.at] = stays
+        self.before[:n] = self.last[:n] * np.uint32(0xC2B2AE35)
+        self.last[:n] = self.hashes.take(now)
 
 
 def order_zero(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +200,31 @@ class Coder:
             out = out[left < LIMIT]
 
 
-def _intervals(who: np.ndarray, two: np.ndarray, one: np.ndarray, upto, frequency) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(distinct: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids by number, id 0 always the first, and of each the order-0 interval's begin and width.
+
+    One more interval, the last, is the whole: that of ids which order 1 or 2 had right.
+    """
+    if not len(distinct) or distinct[0]:
+        distinct, frequency = np.append(0, distinct), np.append(0, frequency)
+    upto = np.cumsum(frequency) - frequency
+    return distinct, np.append(upto, 0).astype(np.uint32), np.append(frequency, FREQUENCY).astype(np.uint32)
+
+
+def _intervals(
+    two_has: np.ndarray, one_has: np.ndarray, two: np.ndarray, one: np.ndarray, upto: np.ndarray, frequency: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Where the interval of an id begins in 2**32 and its width, by who had it.
 
-    ``upto`` and ``frequency`` are the order-0 interval of lanes that nobody had (others: any).
+    Weights adapt but never get to 0, so no width is 2**32 and 32 bits hold all of them.
     """
-    known, bits = two + one, U(FREQUENCY_BITS)
-    rest, nobody = U(SHARE) - known, who == 0
-    begin = np.where(nobody, (known << bits) + rest * upto, np.where(who == 1, two << bits, U(0)))
-    width = np.where(nobody, rest * frequency, np.where(who == 1, one, two) << bits)
-    return begin, width
+    known = two + one
+    share = np.where(two_has, two, np.where(one_has, one, np.uint32(SHARE) - known))
+    begin = np.where(two_has, np.uint32(0), np.where(one_has, two, known))
+    begin <<= np.uint32(FREQUENCY_BITS)
+    begin += share * upto
+    share *= frequency
+    return begin, share
 
 
 def _starts(n_ids: int, block: int) -> np.ndarray:
@@ -194,32 +234,33 @@ def _starts(n_ids: int, block: int) -> np.ndarray:
 def encode_blocks(ids: np.ndarray, block: int, distinct: np.ndarray, frequency: np.ndarray) -> list[np.ndarray]:
     """The code words of every block of ``block`` ids; the last block may be shorter."""
     starts = _starts(len(ids), block)
-    lanes, mix, coder = len(starts), Mix(len(starts)), Coder(len(starts))
+    codes, upto, frequency = _numbered(distinct, frequency)
+    lanes = len(starts)
+    mix, coder, predicted = Mix(lanes, codes), Coder(lanes), len(codes)
+    place = np.zeros(int(codes[-1]) + 1, dtype=mix.kind)
+    place[codes] = np.arange(len(codes))
     # By step, then by block: each step reads one row.
-    steps = np.zeros((lanes, block), dtype=np.int32)
-    steps.ravel()[: len(ids)] = ids
+    steps = np.zeros((lanes, block), dtype=mix.kind)
+    steps.ravel()[: len(ids)] = place[ids]
     steps = np.ascontiguousarray(steps.T)
-    upto = np.append(0, np.cumsum(frequency))[:-1].astype(U)
-    frequency = frequency.astype(U)
-    place = np.zeros(int(distinct[-1]) + 1, dtype=np.int64)
-    place[distinct] = np.arange(len(distinct))
     last_length = len(ids) - starts[-1]
     sent_lanes, sent_words = [], []
     for step in range(min(block, len(ids))):
         # Only the last block can be shorter, so lanes in use are the first n.
         n = lanes if step < last_length else lanes - 1
         now = steps[step, :n]
-        two, one, w_two, w_one = mix.predict(n)
-        two_right, one_right = two == now, one == now
-        who = np.where(two_right, 2, one_right)
-        at = place[now]
-        begin, width = _intervals(who, w_two, w_one, upto[at], frequency[at])
+        w_two, w_one = mix.predict(n)
+        right = mix.right(now)
+        one_right, two_right = right
+        number = now.astype(np.int64)
+        at = np.where(one_right | two_right, predicted, number)
+        begin, width = _intervals(two_right, one_right, w_two, w_one, upto.take(at), frequency.take(at))
         for out, words in coder.narrow(n, coder.range[:n] >> U(32), begin, width):
-            sent_lanes.append(out)
+            sent_lanes.append(out.astype(np.uint32))
             sent_words.append(words.astype(np.uint16))
-        mix.learn(n, now, who, two_right, one_right)
+        mix.learn(n, number, (two_right.view(np.int8) << 1 | (one_right > two_right)).astype(np.int64), right)
     # Four words of ``low`` end a block.
-    everyone = np.arange(lanes)
+    everyone = np.arange(lanes, dtype=np.uint32)
     for shift in (48, 32, 16, 0):
         sent_lanes.append(everyone)
         sent_words.append(((coder.low >> U(shift)) & U(0xFFFF)).astype(np.uint16))
@@ -233,41 +274,45 @@ def decode_blocks(
 ) -> np.ndarray:
     """The ids of blocks whose code words stand in ``words``, ``counts`` of them per block."""
     starts = _starts(n_ids, block)
-    lanes, mix, coder = len(starts), Mix(len(starts)), Coder(len(starts))
-    upto = np.append(0, np.cumsum(frequency))[:-1].astype(U)
-    slots = np.repeat(np.arange(len(distinct)), frequency)
-    frequency, distinct = frequency.astype(U), distinct.astype(np.int32)
-    words = np.append(words, np.zeros(4, words.dtype)).astype(U)
+    codes, upto, frequency = _numbered(distinct, frequency)
+    lanes = len(starts)
+    mix, coder, predicted = Mix(lanes, codes), Coder(lanes), len(codes)
+    slots = np.repeat(np.arange(predicted, dtype=mix.kind), frequency[:-1])
+    words = np.append(words, np.zeros(4, words.dtype))
     at_word, code = np.cumsum(counts) - counts, np.zeros(lanes, dtype=U)
 
     def take(which: np.ndarray) -> None:
         """One more word for the lanes ``which``; a damaged block may ask for more than it has."""
         place = at_word[which]
-        code[which] = code[which] << OUT | words[np.minimum(place, len(words) - 1)]
+        code[which] = code[which] << OUT | words.take(place, mode="clip")
         at_word[which] = place + 1
 
     for _ in range(4):
         take(np.arange(lanes))
     last_length = n_ids - starts[-1]
-    steps = np.zeros((block, lanes), dtype=np.int32)
-    bits = U(FREQUENCY_BITS)
+    steps = np.zeros((block, lanes), dtype=mix.kind)
+    bits = np.uint32(FREQUENCY_BITS)
     for step in range(min(block, n_ids)):
         n = lanes if step < last_length else lanes - 1
-        two, one, w_two, w_one = mix.predict(n)
+        w_two, w_one = mix.predict(n)
         unit = coder.range[:n] >> U(32)
-        target = (code[:n] - coder.low[:n]) // unit
+        # Beyond 32 bits only in damaged blocks.
+        target = ((code[:n] - coder.low[:n]) // unit).astype(np.uint32)
         known = w_two + w_one
-        nobody = target >= known << bits
-        who = np.where(target < w_two << bits, 2, ~nobody)
-        slot = (target - (known << bits)) // (U(SHARE) - known)
-        at = slots[np.where(nobody, np.minimum(slot, U(FREQUENCY - 1)), U(0)).astype(np.int64)]
-        now = np.where(nobody, distinct[at], np.where(who == 2, two, one))
-        begin, width = _intervals(who, w_two, w_one, upto[at], frequency[at])
+        somebody = target < known << bits
+        two_has = target < w_two << bits
+        slot = (target - (known << bits)) // (np.uint32(SHARE) - known)
+        nobody = slots.take(slot.astype(np.int64), mode="clip").astype(np.int64)
+        one, two = mix.entry >> CONFIDENCE_BITS
+        number = np.where(somebody, np.where(two_has, two, one), nobody)
+        at = np.where(somebody, predicted, nobody)
+        begin, width = _intervals(two_has, somebody, w_two, w_one, upto.take(at), frequency.take(at))
         for out, _ in coder.narrow(n, unit, begin, width):
             take(out)
-        steps[step, :n] = now
-        mix.learn(n, now, who, two == now, one == now)
-    return steps.T.ravel()[:n_ids]
+        now = steps[step, :n]
+        now[:] = number
+        mix.learn(n, number, (two_has.view(np.int8) << 1 | (somebody > two_has)).astype(np.int64), mix.right(now))
+    return codes[steps.T.ravel()[:n_ids]]
 
 
 # --- segments ----------------------------------------------------------------------------
@@ -279,14 +324,18 @@ class Damaged(ValueError):
 
 def pack(documents: list[bytes], end_id: int = END_ID) -> bytes:
     """The payload of documents given as ids in little-endian 32-bit integers, end ids included."""
-    ids = np.frombuffer(b"".join(documents), dtype="<u4").astype(np.int64)
+    return pack_ids(np.frombuffer(b"".join(documents), dtype="<u4"), np.array([len(d) // 4 for d in documents]), end_id)
+
+
+def pack_ids(ids: np.ndarray, sizes: np.ndarray, end_id: int = END_ID) -> bytes:
+    """The payload of the ids of documents one after the other, ``sizes`` of them each, end ids included."""
     block = int(np.clip(-(-len(ids) // LANES), MIN_BLOCK_IDS, BLOCK_IDS))
     distinct, frequency = order_zero(ids)
     words = encode_blocks(ids, block, distinct, frequency) if len(ids) else []
-    raw = ids.astype("<u4")
+    raw = ids.astype("<u4", copy=False)
     sums = [zlib.crc32(raw[a : a + block].tobytes()) for a in range(0, len(ids), block)]
     tables = [
-        np.array([len(d) // 4 for d in documents], dtype="<u8"),
+        sizes.astype("<u8"),
         distinct.astype("<u4"),
         frequency.astype("<u4"),
         np.array([len(w) for w in words], dtype="<u4"),
@@ -295,7 +344,7 @@ def pack(documents: list[bytes], end_id: int = END_ID) -> bytes:
     packed = zlib.compress(b"".join(t.tobytes() for t in tables))
     n_words = sum(map(len, words))
     head = struct.pack(
-        HEAD, MAGIC, VERSION, end_id, len(documents), len(ids), block, len(words), len(distinct), len(packed), n_words
+        HEAD, MAGIC, VERSION, end_id, len(sizes), len(ids), block, len(words), len(distinct), len(packed), n_words
     )
     front = head + packed
     return b"".join([front, struct.pack("<I", zlib.crc32(front)), *[w.tobytes() for w in words]])
@@ -332,38 +381,200 @@ def unpack(payload: bytes) -> list[np.ndarray]:
 # --- tokens ------------------------------------------------------------------------------
 
 
-class Words(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers, by the library's own model.
+class Words:
+    """Ids of texts, by the library's own model, many texts at once.
 
-    A pre-token's ids do not depend on its surroundings, so each distinct one is encoded once.
+    A pre-token's ids do not depend on its surroundings, so each distinct one is encoded once and
+    has a row: ``begins`` and ``lengths`` name its ids in ``ids``. Rows of the end id and
+    the special strings come first. Texts are cut into pre-tokens by the kinds of their characters.
     """
 
-    def __init__(self, content: str):
-        from tokenizers import Tokenizer
+    def __init__(self, content: str, end_id: int = END_ID):
+        # One task has one core: the library is to start no threads.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         library = Tokenizer.from_str(content)
         self.model = library.model.tokenize
-        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+        self.symbols = np.array([ord(c) for c in byte_symbols()], dtype="<u2")
+        self.symbols[0x20] = 0x20  # no pre-token has a space; it stands between them
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.splitter = Splitter(WORD_PATTERN, special)
-
-    def __missing__(self, word: str) -> bytes:
-        letters = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-        out = b"".join([t.id.to_bytes(4, "little") for t in self.model(letters)])
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= LONG_WORD:
-            self[word] = out
-        return out
+        self.special = {text: row for row, text in enumerate(special, 1)}
+        self.first_ids = [end_id, *special.values()]
+        suffix = json.loads(content)["model"].get("end_of_word_suffix")
+        self.bare, self.ends = None, None
+        if suffix:
+            self.bare = Tokenizer(library.model)
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            vocabulary = self.bare.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.kinds = np.empty(0, np.uint8)
+        self._start()
+
+    def _start(self) -> None:
+        n = len(self.first_ids)
+        # By coding, pre-token -> row: those that came of late, and those that came before.
+        self.rows: dict[str, dict[bytes, int]] = {}
+        self.older: dict[str, dict[bytes, int]] = {}
+        self.ids, self.begins, self.lengths = np.array(self.first_ids, "<u4"), np.arange(n), np.ones(n, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the rows of pre-tokens that came of late only."""
+        late, n = self.rows, len(self.first_ids)
+        kept = np.concatenate([np.arange(n), *[np.fromiter(rows.values(), np.int64, len(rows)) for rows in late.values()]])
+        self.ids, self.lengths = self._ids_of(kept), self.lengths[kept]
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.rows, self.older = {}, {}
+        for coding, rows in late.items():
+            self.older[coding] = dict(zip(rows, range(n, n + len(rows))))
+            n += len(rows)
+
+    def _ids_of(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of ``rows``, one after the other."""
+        lengths = self.lengths[rows]
+        upto = np.cumsum(lengths)
+        return self.ids[np.arange(upto[-1]) + np.repeat(self.begins[rows] - upto + lengths, lengths)]
+
+    def _kinds(self, top: int) -> np.ndarray:
+        """Kind of each character up to ``top``: white space 0, letter 1, number 2, other 3."""
+        if top >= len(self.kinds):
+            size = next(n for n in (LATIN_END, 1 << 16, 0x110000) if n > top)
+            codes = [c for c in range(size) if not 0xD800 <= c < 0xE000]
+            text, self.kinds = "".join(map(chr, codes)), np.full(size, 3, dtype=np.uint8)
+            for kind, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+                self.kinds[[ord(c) for c in regex.findall(pattern, text)]] = kind
+        return self.kinds
+
+    def _cut(self, text: str) -> tuple[np.ndarray, bytes, np.ndarray, str]:
+        """Where pre-tokens begin in ``text``.
+
+        Returned with these places: the characters outside white space, coded with equally many
+        bytes each; where pre-tokens begin among these characters; the coding.
+        """
+        n = len(text)
+        kind = np.zeros(n + 3, np.uint8)  # white space behind the text
+        try:
+            raw, coding = text.encode("latin-1"), "latin-1"
+            kinds = self._kinds(255)[:256]
+            codes, kept = np.frombuffer(raw, np.uint8), raw.translate(None, np.flatnonzero(kinds == 0).astype(np.uint8).tobytes())
+            kind[:n] = np.frombuffer(raw.translate(kinds.tobytes()), np.uint8)
+        except UnicodeEncodeError:
+            codes, coding = np.frombuffer(text.encode("utf-32-le"), "<u4"), "utf-32-le"
+            top = int(codes.max())
+            if top < 1 << 16:
+                codes, coding = codes.astype("<u2"), "utf-16-le"
+            kind[:n] = self._kinds(top)[codes]
+            kept = codes[kind[:n] != 0].tobytes()
+        begin = kind == 2  # numbers are cut one by one
+        begin[0] = True
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin &= kind != 0
+        # An apostrophe that begins a run may begin 's, 't, 're, 've, 'm, 'll or 'd.
+        quote = np.flatnonzero(codes == 0x27)
+        quote = quote[begin[quote]]
+        one, two = (codes[np.minimum(quote + i, n - 1)] * (quote + i < n) for i in (1, 2))
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.zeros(len(quote), bool)
+        for a, b in ("re", "ve", "ll"):
+            long |= (one == ord(a)) & (two == ord(b))
+        begin[quote[short | long] + 1] = False
+        after = np.append(quote[short] + 2, quote[long] + 3)
+        begin[after] = kind[after] != 0
+        return np.flatnonzero(begin), kept, np.flatnonzero(begin[kind != 0]), coding
+
+    def _add(self, words: list[bytes], coding: str) -> np.ndarray:
+        """Encode pre-tokens that have no row; their rows."""
+        found, lengths, space = [], [], " ".encode(coding)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            raw = space.join(some).decode(coding).encode("utf-8")
+            letters = self.symbols[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
+            if self.bare:
+                # Tokens of pre-tokens one after the other; one with the end mark ends each.
+                ids = np.array(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(some) and len(ids) == last[-1] + 1:
+                    found.append(ids)
+                    lengths.append(np.diff(last, prepend=-1))
+                    continue
+            each = [[t.id for t in self.model(x)] for x in letters.split(" ")]
+            found.append(np.array([i for ids in each for i in ids], dtype="<u4"))
+            lengths.append(np.array([len(ids) for ids in each], dtype=np.int64))
+        rows = np.arange(len(words)) + len(self.lengths)
+        lengths = np.concatenate(lengths)
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, *found])
+        return rows
+
+    def _rows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The row of every pre-token of ``text`` and where it begins."""
+        if not text:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at, kept, first, coding = self._cut(text)
+        # Distinct pre-tokens by their characters; beyond 2 GiB the offsets are of 64 bits.
+        borders = np.append(first * CODED_BYTES[coding], len(kept))
+        kind, borders = (pa.large_binary(), borders) if len(kept) >> 31 else (pa.binary(), borders.astype(np.int32))
+        coded = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(borders), pa.py_buffer(kept)]).dictionary_encode()
+        _, borders_of, data = coded.dictionary.buffers()
+        n = len(coded.dictionary)
+        if not n:
+            return np.empty(0, np.int64), at
+        borders, data = np.frombuffer(borders_of, borders.dtype, n + 1).tolist(), data.to_pybytes()
+        words = [data[a:b] for a, b in zip(borders, borders[1:])]
+        known, older = self.rows.setdefault(coding, {}), self.older.get(coding, {})
+        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, n)
+        not_late = np.flatnonzero(rows < 0)
+        if len(not_late):
+            words = [words[i] for i in not_late.tolist()]
+            found = np.fromiter(map(older.get, words, repeat(-1)), np.int64, len(words))
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                found[new] = self._add([words[i] for i in new.tolist()], coding)
+            rows[not_late] = found
+            known.update((word, row) for word, row in zip(words, found.tolist()) if len(word) <= LONG_WORD)
+        return rows[coded.indices.to_numpy()], at
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        if sum(map(len, self.rows.values())) >= CACHE_WORDS // 2 or len(self.ids) >= 8 * CACHE_WORDS:
+            self._forget()
+        plain, tails = [], []  # stretches without special strings, and the row that comes after each
+        for text in texts:
+            cut = self.splitter.segments(text)
+            plain.extend(map(lowered, cut[::2]))
+            tails.extend([self.special[x] for x in cut[1::2]])
+            tails.append(0)
+        tails = np.array(tails, dtype=np.int64)
+        # A line break belongs to no pre-token, so none goes on from one stretch to the next.
+        rows, at = self._rows("\n".join(plain))
+        borders = np.cumsum([len(x) + 1 for x in plain])
+        ends = np.searchsorted(at, borders)
+        rows = np.insert(rows, ends, tails)
+        last = np.cumsum(self.lengths[rows])[(ends + np.arange(len(ends)))[tails == 0]]
+        return self._ids_of(rows), np.diff(last, prepend=0)
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for i, segment in enumerate(self.splitter.segments(text)):
-            if i % 2:
-                out.append(self.splitter.special[segment].to_bytes(4, "little"))
-            else:
-                out.extend(map(self.__getitem__, self.splitter.words(lowered(segment))))
-        return b"".join(out)
+        return self.encode_all([text])[0][:-1].tobytes()
+
+
+def held_words(vocabulary: dict, end_id: int) -> Words:
+    """The Words of a vocabulary's ``content``, kept in ``vocabulary`` once made."""
+    if "words" not in vocabulary:
+        vocabulary["words"] = Words(vocabulary["content"], end_id)
+    return vocabulary["words"]
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and end rows of runs of texts with TEXT_AT_ONCE bytes or, where one text has more, of that text."""
+    ends, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + TEXT_AT_ONCE, side="right")))
+        yield first, last
+        first = last
 
 
 # --- Spark -------------------------------------------------------------------------------
@@ -380,37 +591,45 @@ def segments(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str,
     with open(vocabulary_path, encoding="utf-8") as file:
         content = file.read()
     refuse_other_settings(json.loads(content))
-    vocabulary = docs.sparkSession.sparkContext.broadcast(content)
+    # What a Python worker builds from the vocabulary stays with its copy, for its further tasks.
+    vocabulary = docs.sparkSession.sparkContext.broadcast({"content": content})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = None, end_id.to_bytes(4, "little")
-        names, held, size, made, part = [], [], 0, 0, None
+        words, names, ids, sizes, held, made = None, [], [], [], 0, 0
 
-        def row() -> pa.RecordBatch:
+        def row(part: int, kind: pa.DataType) -> pa.RecordBatch:
+            lengths = np.concatenate(sizes)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([made], pa.int64()),
-                    pa.array([names], pa.list_(kind_arrow)),
-                    pa.array([[len(d) // 4 for d in held]], pa.list_(pa.int64())),
-                    pa.array([pack(held, end_id)], pa.binary()),
+                    pa.array([names], pa.list_(kind)),
+                    pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                    pa.array([pack_ids(np.concatenate(ids), lengths, end_id)], pa.binary()),
                 ],
                 ["part", "segment", "doc_ids", "n_tokens", "payload"],
             )
 
         for batch in batches:
-            if words is None:
-                words, kind_arrow = Words(vocabulary.value), batch.column(1).type
-                part = batch.column(0)[0].as_py()
-            for doc_id, text in zip(batch.column(1), batch.column(2)):
-                names.append(doc_id.as_py())
-                held.append(words.encode(text.as_py()) + end)
-                size += len(held[-1]) // 4
-                if size >= segment_ids:
-                    yield row()
-                    names, held, size, made = [], [], 0, made + 1
-        if held:
-            yield row()
+            words = words or held_words(vocabulary.value, end_id)
+            part, kind = batch.column(0)[0].as_py(), batch.column(1).type
+            for first, last in runs(batch.column(2)):
+                found, lengths = words.encode_all(batch.column(2)[first:last].to_pylist())
+                upto, at, done = np.cumsum(lengths), 0, 0
+                while at < len(lengths):
+                    # Whole documents until there are ``segment_ids`` ids or more.
+                    end = int(np.searchsorted(upto, done + segment_ids - held)) + 1
+                    stop = min(end, len(lengths))
+                    names.extend(batch.column(1)[first + at : first + stop].to_pylist())
+                    sizes.append(lengths[at:stop])
+                    ids.append(found[done : upto[stop - 1]])
+                    held += upto[stop - 1] - done
+                    at, done = stop, upto[stop - 1]
+                    if held >= segment_ids:
+                        yield row(part, kind)
+                        names, ids, sizes, held, made = [], [], [], 0, made + 1
+        if names:
+            yield row(part, kind)
 
     numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     return numbered.mapInArrow(

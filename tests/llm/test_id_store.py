@@ -1,6 +1,8 @@
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -39,6 +41,49 @@ def test_tokens_are_the_librarys(words, text):
     assert words.encode(text) == as_bytes(library_ids(text)[:-1])
 
 
+def test_many_texts_at_once_are_the_librarys(words):
+    rng = np.random.default_rng(4)
+    bits = ["'s", "'", "''", "'ll", "'RE", "a", "B", "1", "\u0663", "-", " ", "\n", "\u3000", "e\u0301", "\u03a3", "\u0130", "the "]
+    for i in range(40):
+        pool = [b for b in bits if i % 2 or max(map(ord, b)) < 256]
+        texts = [*("".join(rng.choice(pool, rng.integers(0, 12))) for _ in range(5)), *HARD[i % 3 :: 3]]
+        want = [library_ids(t) for t in texts]
+        ids, sizes = words.encode_all(texts)
+        assert ids.tolist() == [i for d in want for i in d] and sizes.tolist() == list(map(len, want))
+        if i % 7 == 0:
+            words._forget()
+
+
+class Counted:
+    def __init__(self, library):
+        self.library, self.calls = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += 1
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_new_words_reach_the_library_together_and_once(words):
+    texts = [" ".join(f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(k, k + 9)) for k in range(500)]
+    with open(WORDS, encoding="utf-8") as file:
+        vocabulary = {"content": file.read()}
+    for task, calls in enumerate((1, 0)):  # a further task of the same worker has what the first one made
+        held = id_store.held_words(vocabulary, id_store.END_ID)
+        held.bare = Counted(held.bare)
+        held.encode_all(texts)
+        assert held.bare.calls == calls
+    held._forget()  # what has come of late stays
+    held.encode_all(texts[:3])
+    assert held.bare.calls == 0 and held.encode(texts[9]) == as_bytes(library_ids(texts[9])[:-1])
+
+
+def test_runs_of_texts():
+    texts = ["a" * id_store.TEXT_AT_ONCE, "b", "", "c" * (id_store.TEXT_AT_ONCE + 9), "", "d"]
+    for kind in (pa.string(), pa.large_string()):
+        assert list(id_store.runs(pa.array(texts, kind))) == [(0, 1), (1, 3), (3, 4), (4, 6)]
+    assert list(id_store.runs(pa.array([], pa.string()))) == []
+
+
 def documents_of(rng, kind):
     if kind == "few":
         return [as_bytes(rng.integers(0, 5, rng.integers(0, 40))) for _ in range(30)]
@@ -55,6 +100,20 @@ def test_round_trip(kind):
     assert [d.tobytes() for d in id_store.unpack(id_store.pack(docs))] == docs
 
 
+@pytest.mark.parametrize("kind, sum_", [("few", 2651130412), ("many", 4153821405), ("repeats", 2662030101), ("skewed", 3044373212)])
+def test_payloads_are_those_of_version_1(kind, sum_):
+    payload = id_store.pack(documents_of(np.random.default_rng(5), kind))
+    n_words = struct.unpack_from(id_store.HEAD, payload)[-1]
+    assert zlib.crc32(payload[-2 * n_words :]) == sum_
+
+
+@pytest.mark.parametrize("n, size", [(8191, 2), (8193, 4)])
+def test_tables_take_two_bytes_an_entry_where_these_hold_all_ids(n, size):
+    ids = np.random.default_rng(6).permutation(np.arange(1, n + 1, dtype=np.uint32))
+    assert id_store.Mix(3, np.append(0, np.sort(ids))).entries.itemsize == size
+    assert np.array_equal(np.concatenate(id_store.unpack(id_store.pack([ids.tobytes()]))), ids)
+
+
 def test_predictable_ids_become_small():
     docs = documents_of(np.random.default_rng(1), "repeats")
     n = sum(map(len, docs)) // 4
