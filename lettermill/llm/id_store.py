@@ -46,7 +46,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +63,7 @@ BLOCK_IDS = 1024
 MIN_BLOCK_IDS = 128
 LANES = 4096
 END_ID = 2
-TEXT_AT_ONCE = 1 << 22  # bytes of text that are cut into pre-tokens at once
+TEXT_AT_ONCE = 1 << 23  # bytes of text that are cut into pre-tokens at once
 WORDS_AT_ONCE = 1000  # new pre-tokens that the library gets at once
 CODED_BYTES = {"latin-1": 1, "utf-16-le": 2, "utf-32-le": 4}
 
@@ -82,6 +81,7 @@ SHARE_BITS, FREQUENCY_BITS = 14, 18  # an id's interval is a part of 2**32
 SHARE, FREQUENCY = 1 << SHARE_BITS, 1 << FREQUENCY_BITS
 RATE = 5  # weights move by 1/32 of the gap
 GAIN = SHARE // 32 - 6  # both weights together stay below SHARE
+ROWS_TURNED = 32
 FIELD = 16  # order 2's weight stands above order 1's in one integer
 
 U = np.uint64
@@ -122,7 +122,7 @@ class Mix:
         at = np.empty((2, n), np.int64)
         np.add(self.base[0, :n], last >> shift, out=at[0])
         np.add(self.base[1, :n], (last * np.uint32(0x85EBCA6B) ^ self.before[:n]) >> shift, out=at[1])
-        entry = self.entries.take(at)
+        entry = self.entries.take(at, mode="clip")  # all are in range; saves the check
         sure = entry & self.top
         cell = sure[1] << (CONFIDENCE_BITS + 1)
         cell |= sure[0] << 1
@@ -190,7 +190,7 @@ class Coder:
         low, span = self.low[:n], self.range[:n]
         low += unit * begin
         np.multiply(unit, width, out=span)
-        out = np.flatnonzero(span < LIMIT)
+        out = (span < LIMIT).nonzero()[0]
         while len(out):
             old = low[out]
             rest = old & BELOW
@@ -227,6 +227,14 @@ def _intervals(
     return begin, share
 
 
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """``rows`` transposed in memory, a few rows at a time: these stay in the core's cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for at in range(0, len(rows), ROWS_TURNED):
+        out[:, at : at + ROWS_TURNED] = rows[at : at + ROWS_TURNED].T
+    return out
+
+
 def _starts(n_ids: int, block: int) -> np.ndarray:
     return np.arange(0, n_ids, block, dtype=np.int64)
 
@@ -242,7 +250,7 @@ def encode_blocks(ids: np.ndarray, block: int, distinct: np.ndarray, frequency:
     # By step, then by block: each step reads one row.
     steps = np.zeros((lanes, block), dtype=mix.kind)
     steps.ravel()[: len(ids)] = place[ids]
-    steps = np.ascontiguousarray(steps.T)
+    steps = _turned(steps)
     last_length = len(ids) - starts[-1]
     sent_lanes, sent_words = [], []
     for step in range(min(block, len(ids))):
@@ -312,7 +320,7 @@ def decode_blocks(
         now = steps[step, :n]
         now[:] = number
         mix.learn(n, number, (two_has.view(np.int8) << 1 | (somebody > two_has)).astype(np.int64), mix.right(now))
-    return codes[steps.T.ravel()[:n_ids]]
+    return codes[_turned(steps).ravel()[:n_ids]]
 
 
 # --- segments ----------------------------------------------------------------------------
@@ -415,21 +423,25 @@ class Words:
 
     def _start(self) -> None:
         n = len(self.first_ids)
-        # By coding, pre-token -> row: those that came of late, and those that came before.
-        self.rows: dict[str, dict[bytes, int]] = {}
-        self.older: dict[str, dict[bytes, int]] = {}
+        # By coding: pre-tokens that have a row, these rows, and when each came last.
+        self.known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+        self.time = 0
         self.ids, self.begins, self.lengths = np.array(self.first_ids, "<u4"), np.arange(n), np.ones(n, np.int64)
 
     def _forget(self) -> None:
-        """Keep the rows of pre-tokens that came of late only."""
-        late, n = self.rows, len(self.first_ids)
-        kept = np.concatenate([np.arange(n), *[np.fromiter(rows.values(), np.int64, len(rows)) for rows in late.values()]])
+        """Keep the rows of at most CACHE_WORDS pre-tokens of each coding, those that came last."""
+        n = len(self.first_ids)
+        kept = [np.arange(n)]
+        for coding, (words, rows, came) in self.known.items():
+            late = came > (np.partition(came, -CACHE_WORDS - 1)[-CACHE_WORDS - 1] if len(came) > CACHE_WORDS else 0)
+            kept.append(rows[late])
+            self.known[coding] = words.filter(pa.array(late)), np.arange(n, n + len(kept[-1])), came[late]
+            n += len(kept[-1])
+        kept = np.concatenate(kept)
         self.ids, self.lengths = self._ids_of(kept), self.lengths[kept]
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.rows, self.older = {}, {}
-        for coding, rows in late.items():
-            self.older[coding] = dict(zip(rows, range(n, n + len(rows))))
-            n += len(rows)
+        if len(self.ids) >= 16 * CACHE_WORDS:
+            self._start()
 
     def _ids_of(self, rows: np.ndarray) -> np.ndarray:
         """The ids of ``rows``, one after the other."""
@@ -514,32 +526,33 @@ class Words:
         if not text:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at, kept, first, coding = self._cut(text)
-        # Distinct pre-tokens by their characters; beyond 2 GiB the offsets are of 64 bits.
-        borders = np.append(first * CODED_BYTES[coding], len(kept))
-        kind, borders = (pa.large_binary(), borders) if len(kept) >> 31 else (pa.binary(), borders.astype(np.int32))
-        coded = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(borders), pa.py_buffer(kept)]).dictionary_encode()
-        _, borders_of, data = coded.dictionary.buffers()
-        n = len(coded.dictionary)
-        if not n:
+        # Distinct pre-tokens by their characters.
+        size, kind = CODED_BYTES[coding], pa.large_binary()
+        buffers = [None, pa.py_buffer(np.append(first * size, len(kept))), pa.py_buffer(kept)]
+        coded = pa.Array.from_buffers(kind, len(first), buffers).dictionary_encode()
+        distinct = coded.dictionary
+        if not len(distinct):
             return np.empty(0, np.int64), at
-        borders, data = np.frombuffer(borders_of, borders.dtype, n + 1).tolist(), data.to_pybytes()
-        words = [data[a:b] for a, b in zip(borders, borders[1:])]
-        known, older = self.rows.setdefault(coding, {}), self.older.get(coding, {})
-        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, n)
-        not_late = np.flatnonzero(rows < 0)
-        if len(not_late):
-            words = [words[i] for i in not_late.tolist()]
-            found = np.fromiter(map(older.get, words, repeat(-1)), np.int64, len(words))
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                found[new] = self._add([words[i] for i in new.tolist()], coding)
-            rows[not_late] = found
-            known.update((word, row) for word, row in zip(words, found.tolist()) if len(word) <= LONG_WORD)
+        none = np.empty(0, np.int64)
+        words, rows_of, came = self.known.get(coding, (pa.array([], kind), none, none))
+        self.time += 1
+        place = pc.index_in(distinct, value_set=words).fill_null(-1).to_numpy()
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        rows = np.empty(len(distinct), np.int64)
+        rows[old] = rows_of[place[old]]
+        came[place[old]] = self.time
+        if len(new):
+            fresh = distinct.take(pa.array(new))
+            rows[new] = self._add(fresh.to_pylist(), coding)
+            short = np.flatnonzero(pc.binary_length(fresh).to_numpy() <= LONG_WORD * size)
+            words = pa.concat_arrays([words, fresh.take(pa.array(short))])
+            rows_of = np.append(rows_of, rows[new[short]])
+            self.known[coding] = words, rows_of, np.append(came, np.full(len(short), self.time))
         return rows[coded.indices.to_numpy()], at
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each has."""
-        if sum(map(len, self.rows.values())) >= CACHE_WORDS // 2 or len(self.ids) >= 8 * CACHE_WORDS:
+        if any(len(rows) >= 2 * CACHE_WORDS for _, rows, _ in self.known.values()) or len(self.ids) >= 16 * CACHE_WORDS:
             self._forget()
         plain, tails = [], []  # stretches without special strings, and the row that comes after each
         for text in texts:
