@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, fold, mix64, pieces, share, shared, text_or_empty, words_in, written
+from .common import ALNUM, LOWER, fold, mix64, pieces, share, shared, text_or_empty, tidied, words_in, written
 
 MAX_EXAMPLES = 3_000
 HALF_CHI = 20.0  # chi-square at which a term has half of the full relevance
@@ -417,7 +417,7 @@ def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col
 
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>")
+    scored = rows.mapInArrow(tidied(run), f"doc_id {kind}, score double, evidence array<{kind}>")
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
@@ -437,7 +437,7 @@ def keep_mild(docs: DataFrame, index: Index | None, text_col: str = "text", limi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared(model))
         for batch in batches:
-            values = [np.empty(0)] + [scorer.scores(raw, starts)[0] for _, _, raw, starts in pieces(batch, place)]
-            yield batch.filter(pa.array(np.concatenate(values) < limit))
+            for first, end, raw, starts in pieces(batch, place):
+                yield batch.slice(first, end - first).filter(pa.array(scorer.scores(raw, starts)[0] < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
