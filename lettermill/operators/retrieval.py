@@ -26,19 +26,21 @@ ids of equal vectors can be among the k nearest, and equal queries share hits.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import RELEVANCE_THRESHOLD
 from ..functions.vectors import relevance
-from ..session import cut_lineage
-from .ordering import first_in_group, uneven_join
+from ..session import cut_lineage, shuffles_freed
+from .ordering import BROADCAST_KEYS, first_in_group, uneven_join
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
@@ -48,6 +50,10 @@ BLOCKS = 32
 BLOCK_MOST = 1 << 15
 QUERY_GROUP = 4
 PIVOT_BYTES = 64 << 20
+HEAD_BYTES = 16
+DIGEST_BYTES = 16
+HITS_AT_ONCE = 64
+_BASE = 0x9E3779B97F4A7C15
 _CELLS_AT_ONCE = 2_000_000
 _GROUP = 64
 
@@ -656,6 +662,117 @@ def not_contained(query_text: Column, chunk_text: Column) -> Column:
     return ~F.contains(query_text, chunk_text)
 
 
+class _Windows:
+    """Polynomial hashes of the windows of a text, modulo 2^64: products and sums wrap around.
+
+    A text's print is the sum of byte[j] * base^j. The base is odd, so it has an inverse, and
+    the print of any window is a difference of two running sums times a power of it.
+    """
+
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def sums(self, text: bytes) -> np.ndarray:
+        n = len(text)
+        if n > len(self.powers):
+            size = max(n, 2 * len(self.powers))
+            self.powers, self.inverse = (
+                np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
+                for base in (_BASE, pow(_BASE, -1, 1 << 64))
+            )
+        out = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(np.frombuffer(text, np.uint8) * self.powers[:n], out=out[1:])
+        return out
+
+    def places(self, sums: np.ndarray, size: int, print_: int) -> np.ndarray:
+        """Where windows of ``size`` bytes have that print: wherever a text with it is, and
+        hardly anywhere else."""
+        n = len(sums) - size
+        return np.flatnonzero((sums[size:] - sums[:n]) * self.inverse[:n] == np.uint64(print_))
+
+
+def text_marks(windows: _Windows, text: bytes) -> tuple[int, bytes, int, bytes]:
+    """(bytes, first bytes, print, digest) of a text: enough to find it in another one."""
+    own = int(windows.sums(text)[-1])
+    digest = hashlib.sha256(text).digest()[:DIGEST_BYTES]
+    return len(text), text[:HEAD_BYTES], own - (own >> 63 << 64), digest
+
+
+def holds(windows: _Windows, text: bytes, marks: list[tuple[int, bytes, int, bytes]]) -> list[bool]:
+    """For each of the marks whether ``text`` contains the text they are of.
+
+    A window counts if its SHA-256 digest is the same; first bytes and prints only tell which
+    windows to digest, so that a text is read a few times at most for each of the marks.
+    """
+    sums, found = None, []
+    for size, head, own, digest in marks:
+        inside = size <= len(text) and head in text
+        if inside and size > HEAD_BYTES:
+            sums = windows.sums(text) if sums is None else sums
+            inside = any(
+                hashlib.sha256(text[at : at + size]).digest()[:DIGEST_BYTES] == digest
+                for at in windows.places(sums, size, own & (1 << 64) - 1).tolist()
+            )
+        found.append(inside)
+    return found
+
+
+MARKS = "size int, head binary, print bigint, digest binary"
+
+
+def marked(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, _mark) of every row that has a text."""
+    kind = dict(texts.dtypes)[id_col]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows()
+        for batch in batches:
+            rows = [text_marks(windows, text.as_py()) for text in batch.column("_text")]
+            columns = [batch.column("_id"), *([r[i] for r in rows] for i in range(4))]
+            types = (batch.schema.field("_id").type, pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)],
+                names=["_id", "size", "head", "print", "digest"],
+            )
+
+    rows = texts.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    marks = rows.where(F.col("_text").isNotNull()).mapInArrow(mark, f"_id {kind}, {MARKS}")
+    return marks.select(F.col("_id").alias(id_col), F.struct("size", "head", "print", "digest").alias("_mark"))
+
+
+def contained(text: Column, marks: Column) -> Column:
+    """ARRAY<BOOLEAN>: which of an array of marks belong to texts that are in ``text``."""
+
+    @F.arrow_udf("array<boolean>")
+    def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        windows = _Windows()
+        for asked, sought in batches:
+            yield pa.array(
+                [
+                    holds(windows, t.as_py(), [(m["size"], m["head"], m["print"], m["digest"]) for m in ms.as_py()])
+                    for t, ms in zip(asked, sought)
+                ],
+                pa.list_(pa.bool_()),
+            )
+
+    return look.asNondeterministic()(text.cast("binary"), marks)
+
+
+def _kept(hits: DataFrame, marks: DataFrame, words: DataFrame, query_id: str, chunk_id: str, wide: int) -> DataFrame:
+    """``hits`` whose chunk is no part of the query's text.
+
+    A hit travels with the marks of its chunk, not with its text, and a query's text meets
+    HITS_AT_ONCE hits at a time: per hit some hundred bytes are shuffled, per query one text.
+    """
+    # A chunk may be near to very many queries, so its copies are spread.
+    told = uneven_join(hits, marks, [chunk_id], [query_id], how="inner")
+    part = [F.floor(F.col("rank") / HITS_AT_ONCE).alias("_part")] if wide > HITS_AT_ONCE else []
+    packs = told.groupBy(query_id, *part).agg(F.collect_list(F.struct(*hits.columns, "_mark")).alias("_hits"))
+    asked = packs.join(words, query_id).select("_hits", contained(F.col("_asked"), F.col("_hits._mark")).alias("_in"))
+    each = asked.select(F.explode(F.arrays_zip("_hits", "_in")).alias("_hit")).where(~F.col("_hit._in"))
+    return each.select(*[F.col("_hit")["_hits"][c].alias(c) for c in hits.columns])
+
+
 def nearest_kept(
     queries: DataFrame,
     chunks: DataFrame,
@@ -668,6 +785,8 @@ def nearest_kept(
     exclude_self: Column | None = None,
     search: Callable[..., DataFrame] | None = None,
     widen: int = 4,
+    query_texts: DataFrame | None = None,
+    chunk_texts: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest chunks per query that are no part of the query's own text.
 
@@ -675,28 +794,36 @@ def nearest_kept(
     ``widen`` times as many, until k are left or the chunk table ends. Rows that are full
     leave the search. Columns as of ``nearest``, ranks counted anew.
     ``exclude_self`` is a predicate over the id columns of hits to be left out as well.
+    ``query_texts`` and ``chunk_texts`` are tables with the ids and texts, where ``queries``
+    and ``chunks`` do not have the texts themselves.
     """
-    n_chunks = chunks.count()
     search = search or nearest
-    words = queries.select(query_id, F.col(query_text).alias("_asked"))
-    texts = chunks.select(chunk_id, F.col(chunk_text).alias("_chunk"))
-    open_rows, wide, done = queries, max(k + 1, k * widen // 2), []
-    while True:
-        last = wide >= n_chunks
-        hits = cut_lineage(search(open_rows, chunks, min(wide, max(n_chunks, 1)), query_id=query_id, chunk_id=chunk_id, vector=vector))
-        if exclude_self is not None:
-            hits = hits.where(~exclude_self)
-        # A chunk may be near to very many queries, so its copies are spread.
-        told = uneven_join(hits, texts, [chunk_id], [query_id], how="inner").join(words, query_id)
-        kept = cut_lineage(told.where(not_contained(F.col("_asked"), F.col("_chunk"))).select(*hits.columns))
-        full = kept.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(query_id)
-        done.append(kept if last else kept.join(full, query_id, "left_semi"))
-        if last:
-            break
-        open_rows = cut_lineage(open_rows.join(full, query_id, "left_anti"))
-        if open_rows.isEmpty():
-            break
-        wide *= widen
+    spark = queries.sparkSession
+    words = (queries if query_texts is None else query_texts).select(query_id, F.col(query_text).alias("_asked"))
+    words = words.where(F.col("_asked").isNotNull())
+    texts = chunks if chunk_texts is None else chunk_texts
+    with shuffles_freed(spark):
+        n_chunks = chunks.count()
+        marks = cut_lineage(marked(texts, chunk_id, chunk_text))
+        open_rows, open_words, wide, done = queries, words, max(k + 1, k * widen // 2), []
+        while True:
+            last = wide >= n_chunks
+            hits = cut_lineage(search(open_rows, chunks, min(wide, max(n_chunks, 1)), query_id=query_id, chunk_id=chunk_id, vector=vector))
+            if exclude_self is not None:
+                hits = hits.where(~exclude_self)
+            kept = cut_lineage(_kept(hits, marks, open_words, query_id, chunk_id, wide))
+            full = kept.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(query_id)
+            done.append(kept if last else kept.join(full, query_id, "left_semi"))
+            if last:
+                break
+            # Rows without an id or a text keep nothing however wide they look.
+            still = cut_lineage(open_words.select(query_id).join(full, query_id, "left_anti").distinct())
+            n_open = still.count()
+            if n_open == 0:
+                break
+            few = F.broadcast(still) if n_open <= BROADCAST_KEYS else still
+            open_rows, open_words = (df.join(few, query_id, "left_semi") for df in (queries, words))
+            wide *= widen
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)

@@ -791,9 +791,14 @@ def search_text(spark, sf_dir):
 @query
 def raft_refilled(spark, sf_dir):
     """Every document with its K nearest others that it does not contain, however far they are."""
-    rows = cut_lineage(documents_with_vectors(spark, sf_dir))
-    chunks = rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"), "vector")
-    hits = retrieval.nearest_kept(rows, chunks, K, "text", "chunk", query_id="doc_id")
+    rows = documents_with_vectors(spark, sf_dir)
+    # The search reads vectors many times, texts are read twice: only the vectors are written.
+    queries = spread(cut_lineage(rows.select("doc_id", "vector")), "doc_id")
+    texts = rows.select("doc_id", "text")
+    chunks, chunk_texts = (df.withColumnRenamed("doc_id", "chunk_id") for df in (queries, texts))
+    hits = retrieval.nearest_kept(
+        queries, chunks, K, "text", "text", query_id="doc_id", query_texts=texts, chunk_texts=chunk_texts
+    )
     return hits.select(
         "doc_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", rounded("score").alias("score")
     )
