@@ -30,6 +30,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ FEW_HITS = 1 << 18
 BLOCKS = 32
 BLOCK_MOST = 1 << 15
 QUERY_GROUP = 4
+FOUND_ROWS = 1 << 24
 PIVOT_BYTES = 64 << 20
 HEAD_BYTES = 16
 DIGEST_BYTES = 16
@@ -245,7 +247,7 @@ def _nearest_pivot(groups: DataFrame, pivots: np.ndarray, id_type: str) -> DataF
 
     return groups.mapInPandas(
         assign,
-        f"rep {id_type}, ids array<{id_type}>, v array<float>, cell int, reach double",
+        f"rep {id_type}, ids array<{id_type}>, v array<float>, no bigint, cell int, reach double",
     )
 
 
@@ -332,7 +334,7 @@ def k_bounds(
 class Cells:
     """Chunk vectors grouped around pivots: what a search by cells needs."""
 
-    assigned: DataFrame  # rep, ids, v, cell, reach: one row per distinct vector
+    assigned: DataFrame  # rep, ids, v, no, cell, reach: one row per distinct vector, numbered
     pivots: np.ndarray
     reach: np.ndarray  # distance of a cell's farthest vector, -inf where it has none
     filled: np.ndarray  # distinct vectors in a cell
@@ -345,7 +347,7 @@ def chunk_cells(chunks: DataFrame, k: int, wanted: int, id_type: str) -> Cells:
     groups = cut_lineage(
         few_copies.groupBy("v")
         .agg(F.sort_array(F.collect_list("cid")).alias("ids"))
-        .select(F.element_at("ids", 1).alias("rep"), "ids", "v")
+        .select(F.element_at("ids", 1).alias("rep"), "ids", "v", F.monotonically_increasing_id().alias("no"))
     )
     picked = groups.orderBy(F.md5(F.col("rep").cast("string")), "rep").limit(wanted)
     pivots = _matrix(picked.select("v").toPandas()["v"])
@@ -454,16 +456,11 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     visitors = dict(visits.groupBy("block").count().collect())
     # One row per pivot cell.
     homes = spark.createDataFrame([(c, int(b)) for c, b in enumerate(home)], "cell int, block int")
-    sizes = F.broadcast(
-        spark.createDataFrame(
-            [
-                (b, -(-int(n) // block_rows), -(-int(visitors.get(b, 0)) // query_rows))
-                for b, n in enumerate(held)
-                if n and visitors.get(b, 0)
-            ],
-            "block int, chunk_blocks int, query_blocks int",
-        )
-    )
+    sizes = [
+        (b, -(-int(n) // block_rows), -(-int(visitors.get(b, 0)) // query_rows))
+        for b, n in enumerate(held)
+        if n and visitors.get(b, 0)
+    ]
 
     def block(id_col: str, of: str) -> Column:
         return F.pmod(F.xxhash64(id_col), F.col(of).cast("bigint")).cast("int")
@@ -471,44 +468,54 @@ def _block_hits(queries: DataFrame, cells: Cells, k: int, probes, slack, block_r
     def each(of: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    key = ["block", "qb", "cb"]
-    left = (
-        visits.join(sizes, "block")
-        .withColumn("qb", block("rep", "query_blocks"))
-        .withColumn("cb", each("chunk_blocks"))
-        .select(*key, F.col("rep").alias("qid"), "v")
-    )
-    right = (
-        assigned.join(F.broadcast(homes), "cell")
-        .join(sizes, "block")
-        .withColumn("cb", block("rep", "chunk_blocks"))
-        .withColumn("qb", each("query_blocks"))
-        .select(*key, "rep", "ids", "v")
-    )
-
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"qid": [], "rep": [], "ids": [], "d2": []})
+            return pd.DataFrame({"qid": [], "rep": [], "no": [], "d2": []})
         c = c.sort_values("rep", kind="stable")
         rows, cols, d2 = block_top_k(_matrix(q["v"]), _matrix(c["v"]), k)
         return pd.DataFrame(
             {
                 "qid": q["qid"].to_numpy()[rows],
                 "rep": c["rep"].to_numpy()[cols],
-                "ids": c["ids"].to_numpy()[cols],
+                "no": c["no"].to_numpy()[cols],
                 "d2": d2,
             }
         )
 
-    found = (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInPandas(
-            search, f"qid {q_type}, rep {c_type}, ids array<{c_type}>, d2 double"
+    def best_of(some: list[tuple[int, int, int]]) -> DataFrame:
+        key = ["block", "qb", "cb"]
+        several = F.broadcast(spark.createDataFrame(some, "block int, chunk_blocks int, query_blocks int"))
+        left = (
+            visits.join(several, "block")
+            .withColumn("qb", block("rep", "query_blocks"))
+            .withColumn("cb", each("chunk_blocks"))
+            .select(*key, F.col("rep").alias("qid"), "v")
         )
-    )
-    best = first_in_group(found, ["qid"], [F.col("d2"), F.col("rep")], k)
-    ids = best.select("qid", F.explode("ids").alias("cid"), "d2")
+        right = (
+            assigned.join(F.broadcast(homes), "cell")
+            .join(several, "block")
+            .withColumn("cb", block("rep", "chunk_blocks"))
+            .withColumn("qb", each("query_blocks"))
+            .select(*key, "rep", "no", "v")
+        )
+        found = (
+            left.groupBy(*key)
+            .cogroup(right.groupBy(*key))
+            .applyInPandas(search, f"qid {q_type}, rep {c_type}, no bigint, d2 double")
+        )
+        return first_in_group(found, ["qid"], [F.col("d2"), F.col("rep")], k).drop("rank")
+
+    # Every visit finds k vectors: some blocks at a time, so that what is shuffled for them fits
+    # the disk whatever the number of queries. Ids of equal vectors are looked up for the best alone.
+    rounds = max(1, -(-sum(visitors.get(b, 0) for b, _, _ in sizes) * k // FOUND_ROWS))
+    with shuffles_freed(spark):
+        parts = [cut_lineage(best_of(sizes[at::rounds])) for at in range(min(rounds, len(sizes)) or 1)]
+        best = parts[0]
+        if len(parts) > 1:
+            every = reduce(DataFrame.unionByName, parts)
+            best = cut_lineage(first_in_group(every, ["qid"], [F.col("d2"), F.col("rep")], k).drop("rank"))
+        named = uneven_join(best, assigned.select("no", "ids"), ["no"], ["qid"], how="inner")
+    ids = named.select("qid", F.explode("ids").alias("cid"), "d2")
     hits = first_in_group(ids, ["qid"], [F.col("d2"), F.col("cid")], k)
     # Back from distinct query vectors to all queries: at most k hits per vector.
     packed = hits.groupBy(F.col("qid").alias("rep")).agg(

@@ -734,6 +734,18 @@ def documents_with_vectors(spark, sf_dir) -> DataFrame:
     return docs.join(vecs, F.col("doc_id") % n == F.col("vec_id")).drop("vec_id")
 
 
+def texts_with_vectors(spark, sf_dir) -> DataFrame:
+    """(doc_id, text) of ``documents_with_vectors``, as often as a row is there. Texts are dealt by
+    doc_id, not by the vector's id, so a join on doc_id does not shuffle them again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vecs = table(spark, sf_dir, "embeddings")
+    times = vecs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("times"))
+    n = vecs.count()
+    found = docs.select("doc_id").distinct().join(times, F.col("doc_id") % n == F.col("vec_id"))
+    rows = docs.join(found.select("doc_id", "times"), "doc_id")
+    return rows.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+
+
 def enriched(spark, sf_dir, drop_contained: bool = True, threshold: float | None = None) -> DataFrame:
     rows = documents_with_vectors(spark, sf_dir)
     chunks = rows.withColumnRenamed("doc_id", "chunk_id")
@@ -791,10 +803,9 @@ def search_text(spark, sf_dir):
 @query
 def raft_refilled(spark, sf_dir):
     """Every document with its K nearest others that it does not contain, however far they are."""
-    rows = documents_with_vectors(spark, sf_dir)
     # The search reads vectors many times, texts are read twice: only the vectors are written.
-    queries = spread(cut_lineage(rows.select("doc_id", "vector")), "doc_id")
-    texts = rows.select("doc_id", "text")
+    vectors = documents_with_vectors(spark, sf_dir).select("doc_id", "vector")
+    queries, texts = spread(cut_lineage(vectors), "doc_id"), texts_with_vectors(spark, sf_dir)
     chunks, chunk_texts = (df.withColumnRenamed("doc_id", "chunk_id") for df in (queries, texts))
     hits = retrieval.nearest_kept(
         queries, chunks, K, "text", "text", query_id="doc_id", query_texts=texts, chunk_texts=chunk_texts
