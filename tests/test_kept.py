@@ -1,5 +1,6 @@
 """Hits that a row does not contain: found by marks, not by texts that travel with every hit."""
 
+from collections import Counter
 from contextlib import nullcontext
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.operators import retrieval
 from lettermill.operators.retrieval import HITS_AT_ONCE, _Windows, holds, text_marks
+from lettermill.plans import registry
 from lettermill.session import cut_lineage, shuffles_freed
 
 LONG = "".join(chr(97 + i * i % 23) for i in range(300))
@@ -98,3 +100,43 @@ def test_shuffles_end_with_their_action(spark):
     assert spark.conf.get(key, None) == was
     cut_lineage(df)
     assert on_disk(spark) > before
+
+
+def test_blocks_are_searched_in_rounds(spark, monkeypatch):
+    """Also with equal vectors and with chunk ids that come twice."""
+    rng, k = np.random.default_rng(3), 4
+    vectors = [rng.normal(size=2).tolist() for _ in range(60)] * 3
+    queries = spark.createDataFrame(list(enumerate(vectors[:90])), "query_id long, vector array<float>")
+    chunks = spark.createDataFrame([(i % 150, v) for i, v in enumerate(vectors)], "chunk_id long, vector array<float>")
+    written = []
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda x: (cut_lineage(x), written.append(x.columns))[0])
+
+    def found(rows):
+        written.clear()
+        monkeypatch.setattr(retrieval, "FOUND_ROWS", rows, raising=False)
+        hits = retrieval.nearest(queries, chunks, k, broadcast_bytes=0, block_rows=8)
+        return sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["distance2"], 5)) for r in hits.collect())
+
+    def brute():
+        out = []
+        for i, v in enumerate(vectors[:90]):
+            gap = lambda w, v=v: float(((np.float32(v) - np.float32(w)).astype(float) ** 2).sum())
+            near = sorted((gap(w), j % 150) for j, w in enumerate(vectors))[:k]
+            out += [(i, rank, j, round(d, 5)) for rank, (d, j) in enumerate(near, 1)]
+        return out
+
+    once = found(1 << 24)
+    rounds = written.count(["qid", "rep", "no", "d2"])
+    assert once == brute() and rounds == 1
+    assert found(100) == once and written.count(["qid", "rep", "no", "d2"]) > 3
+
+
+def test_texts_are_those_of_the_rows_with_vectors(spark, tmp_path):
+    docs = [(i, f"text {i}") for i in range(9)] + [(3, "text 3"), (3, "other"), (5, None), (None, "no id")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [1.0]) for i in (0, 1, 2, 2, None, 7)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = registry.documents_with_vectors(spark, str(tmp_path)).select("doc_id", "text")
+    got = registry.texts_with_vectors(spark, str(tmp_path))
+    assert got.columns == want.columns and want.count() > 6
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
